@@ -170,7 +170,7 @@ def _exits(times: np.ndarray, gap: int) -> np.ndarray:
 
 
 def rate_limit(
-    events: DataFrame, seconds: float = 2.0, keys: list[str] | None = None, chunk_seconds: int = 3600
+    events: DataFrame, seconds: float = 2.0, keys: list[str] | None = None, chunk_seconds: int = 120
 ) -> DataFrame:
     """Events that are sent out: per key none within ``seconds`` after the last one sent.
 
@@ -183,58 +183,59 @@ def rate_limit(
     keys = keys or NOTIFY_KEY
     gap = round(seconds * 1e6)
     width = max(chunk_seconds * SECOND, gap)
-    us = micros(F.col("ts"))
     # Equal instants: only the first id can be sent.
-    points = events.groupBy(*keys, us.alias("us")).agg(F.min("id").alias("id"))
-    points = points.withColumn("chunk", F.floor(F.col("us") / F.lit(width)))
-    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.select(*keys).schema)
-
-    def reduce_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["us"].to_numpy())
-        start = int(pdf["chunk"].iloc[0]) * width
-        n = int(np.searchsorted(times, start + gap, side="left")) + 1
-        out = pd.DataFrame({"first": times[:n], "last": _exits(times, gap)[:n]})
-        # Neighbours with the same outcome need one line: any start up to the later one leads there.
-        keep = np.append(np.diff(out["last"].to_numpy()) != 0, True)
-        out = out[keep]
-        for c in [*keys, "chunk"]:
-            out[c] = pdf[c].iloc[0]
-        return out[[*keys, "chunk", "first", "last"]]
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["chunk", "first"])
-        rows, sent = [], None
-        for chunk, part in pdf.groupby("chunk", sort=False):
-            rows.append((chunk, sent))
-            firsts, lasts = part["first"].to_numpy(), part["last"].to_numpy()
-            at = 0 if sent is None else int(np.searchsorted(firsts, sent + gap, side="left"))
-            if at < len(firsts):
-                sent = int(lasts[at])
-        out = pd.DataFrame(rows, columns=["chunk", "entry"])
-        out["entry"] = out["entry"].astype("Int64")
-        for c in keys:
-            out[c] = pdf[c].iloc[0]
-        return out[[*keys, "chunk", "entry"]]
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us")
-        times = pdf["us"].to_numpy()
-        entry = pdf["entry"].iloc[0]
-        at = 0 if pd.isna(entry) else int(np.searchsorted(times, int(entry) + gap, side="left"))
-        following, picks = _after(times, gap), []
-        while at < len(times):
-            picks.append(at)
-            at = int(following[at])
-        return pdf.iloc[picks][[*keys, "us", "id"]]
-
-    tables = points.groupBy(*keys, "chunk").applyInPandas(reduce_chunk, f"{key_schema}, chunk long, first long, last long")
-    entries = tables.groupBy(*keys).applyInPandas(walk, f"{key_schema}, chunk long, entry long")
-    sent = (
-        points.join(entries, [*keys, "chunk"])
-        .groupBy(*keys, "chunk")
-        .applyInPandas(finish, f"{key_schema}, us long, id long")
+    points = events.groupBy(*keys, micros(F.col("ts")).alias("us")).agg(F.min("id").alias("id"))
+    chunks = (
+        points.groupBy(*keys, F.floor(F.col("us") / F.lit(width)).alias("chunk"))
+        .agg(F.array_sort(F.collect_list(F.struct("us", "id"))).alias("p"))
+        .select(*keys, "chunk", F.col("p.us").alias("us"), F.col("p.id").alias("id"))
+    )
+
+    @F.pandas_udf("first array<long>, last array<long>")
+    def effect(chunk: pd.Series, us: pd.Series) -> pd.DataFrame:
+        out = []
+        for c, times in zip(chunk, us):
+            n = int(np.searchsorted(times, c * width + gap, side="left")) + 1
+            last = _exits(times, gap)[:n]
+            # Neighbours with the same outcome need one line: any start up to the later one leads there.
+            keep = np.append(np.diff(last) != 0, True)
+            out.append((times[:n][keep], last[keep]))
+        return pd.DataFrame(out, columns=["first", "last"])
+
+    @F.pandas_udf("array<long>")
+    def walk(firsts: pd.Series, lasts: pd.Series) -> pd.Series:
+        out = []
+        for first_lists, last_lists in zip(firsts, lasts):
+            entries, sent = [], None
+            for first, last in zip(first_lists, last_lists):
+                entries.append(sent)
+                at = 0 if sent is None else int(np.searchsorted(first, sent + gap, side="left"))
+                if at < len(first):
+                    sent = int(last[at])
+            out.append(entries)
+        return pd.Series(out)
+
+    @F.pandas_udf("us array<long>, id array<long>")
+    def finish(us: pd.Series, ids: pd.Series, entry: pd.Series) -> pd.DataFrame:
+        out = []
+        for times, names, sent in zip(us, ids, entry):
+            at = 0 if pd.isna(sent) else int(np.searchsorted(times, int(sent) + gap, side="left"))
+            following, picks = _after(times, gap), []
+            while at < len(times):
+                picks.append(at)
+                at = int(following[at])
+            out.append((times[picks], names[picks]))
+        return pd.DataFrame(out, columns=["us", "id"])
+
+    tables = chunks.select(*keys, "chunk", effect("chunk", "us").alias("e"))
+    per_key = tables.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk", "e.first", "e.last"))).alias("t"))
+    entries = per_key.select(
+        *keys, F.explode(F.arrays_zip(F.col("t.chunk").alias("chunk"), walk("t.first", "t.last").alias("entry"))).alias("z")
+    ).select(*keys, "z.chunk", "z.entry")
+    sent = chunks.join(entries, [*keys, "chunk"]).select(*keys, finish("us", "id", "entry").alias("s"))
+    return sent.select(*keys, F.explode(F.arrays_zip("s.us", "s.id")).alias("z")).select(
+        *keys, F.timestamp_micros("z.us").alias("ts"), F.col("z.id").alias("id")
     )
-    return sent.select(*keys, F.timestamp_micros("us").alias("ts"), "id")
 
 
 # --- lists --------------------------------------------------------------------------------------

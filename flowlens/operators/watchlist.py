@@ -40,7 +40,7 @@ def text_hits(texts: DataFrame, column: str, entries: DataFrame, broadcast_rows:
     looked up. A key equals at most one entry, so a text yields no more rows than it has matches,
     whatever the list looks like. Repeated stretches of a text are dropped before the join.
     """
-    lengths = entries.agg(F.array_sort(F.collect_set(F.length("key")))).scalar()  # distinct sizes only
+    sizes = entries.agg(F.array_sort(F.collect_set(F.length("key")))).scalar()  # distinct sizes only
     low = F.lower(F.col(column))
 
     def stretches(size: Column) -> Column:
@@ -48,8 +48,8 @@ def text_hits(texts: DataFrame, column: str, entries: DataFrame, broadcast_rows:
         starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda at: F.substring(low, at, size))
 
-    parts = F.array_distinct(F.flatten(F.transform(lengths, stretches)))
-    lookups = texts.select(column, F.explode(parts).alias("key"))
+    parts = F.array_distinct(F.flatten(F.transform(F.col("__sizes"), stretches)))
+    lookups = texts.select(column, sizes.alias("__sizes")).select(column, F.explode(parts).alias("key"))
     return (
         lookups.join(_sized(entries, broadcast_rows), "key")
         .groupBy(column)

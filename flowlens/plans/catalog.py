@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import report_queries  # noqa: F401
+from . import pipeline_queries, report_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

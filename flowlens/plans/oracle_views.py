@@ -100,7 +100,7 @@ VIEWS = {
          CASE event_type WHEN 'click' THEN 'acknowledge' ELSE 'resolve' END AS action
   FROM base WHERE event_type IN ('click', 'purchase')""",
     "raw": """
-  SELECT event_id AS row_id, ts AS at, k, user_id, event_type, value,
+  SELECT event_id AS row_id, ts AS seen, k, user_id, event_type, value,
          CASE k WHEN 13 THEN '999.1.1.1' WHEN 14 THEN '010.0.0.1' WHEN 15 THEN '2001:db8::1'
                 WHEN 16 THEN '::ffff:10.0.0.1' WHEN 17 THEN '' WHEN 18 THEN '1:2:3' WHEN 19 THEN 'fe80::1%eth0'
                 WHEN 20 THEN '1::2::3' ELSE ' ' || ip || ' ' END AS src,
@@ -147,7 +147,7 @@ VIEWS = {
          CASE WHEN time = '' THEN TIMESTAMP '2024-01-31 00:00:00'
               WHEN k % 8 = 0 THEN make_timestamp(CAST(time AS BIGINT) * 1000000)
               WHEN k % 8 = 1 THEN make_timestamp(CAST(time AS BIGINT) * 1000)
-              WHEN time <> 'soon' THEN date_trunc('second', at) END AS ts,
+              WHEN time <> 'soon' THEN date_trunc('second', seen) END AS ts,
          time, sport AS raw_sport, src AS raw_src, dest AS raw_dest,
          CASE WHEN dur = 'inf' OR try_cast(dur AS DOUBLE) IS NULL THEN 0.0 ELSE greatest(CAST(dur AS DOUBLE), 0.0) END
            AS duration,
