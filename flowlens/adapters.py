@@ -134,17 +134,21 @@ def arp_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predictions_of(events: DataFrame) -> DataFrame:
     """Truth from the event type, prediction from the value; four streams."""
-    base = event_base(table(spark, sf_dir, "events"))
+    base = event_base(events)
     predicted = F.when(F.col("value") < 20, "Normal").when(F.col("value") < 60, "Suspicious").otherwise("Malicious")
     truth = _by_type("BENIGN", "0", "probe", "normal", "DDoS")
     return base.select("event_id", "ts", (F.col("k") % 4).alias("stream"), truth.alias("truth"), predicted.alias("predicted"))
 
 
-def alert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predictions_of(table(spark, sf_dir, "events"))
+
+
+def alert_events_of(events: DataFrame) -> DataFrame:
     """Errors and signups raise alert events."""
-    base = event_base(table(spark, sf_dir, "events")).where(F.col("event_type").isin("error", "signup"))
+    base = event_base(events).where(F.col("event_type").isin("error", "signup"))
     levels = F.when(F.col("event_type") == "error", "High").otherwise("Low")
     return base.select(
         F.col("event_id").alias("id"),
@@ -159,9 +163,13 @@ def alert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def alert_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def alert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alert_events_of(table(spark, sf_dir, "events"))
+
+
+def alert_actions_of(events: DataFrame) -> DataFrame:
     """Clicks acknowledge, purchases resolve, on the level the value falls in."""
-    base = event_base(table(spark, sf_dir, "events")).where(F.col("event_type").isin("click", "purchase"))
+    base = event_base(events).where(F.col("event_type").isin("click", "purchase"))
     return base.select(
         F.col("event_id").alias("id"),
         "ts",
@@ -172,6 +180,10 @@ def alert_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def alert_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alert_actions_of(table(spark, sf_dir, "events"))
+
+
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored alerts: one per flow that is not normal; ``k`` gives status and count."""
     base = event_base(table(spark, sf_dir, "events")).where(F.col("event_type").isin("error", "signup", "purchase"))

@@ -102,7 +102,8 @@ def application(protocol: Column, src_port: Column, dest_port: Column, payload:
     there and is decided by the JVM expressions.
     """
     hello = F.when((protocol == "TCP") & (F.substring(payload, 1, 1) == F.unhex(F.lit("16"))), payload)
-    question = F.when((protocol == "UDP") & ((src_port == 53) | (dest_port == 53)), payload)
+    dns_port = src_port.isin(53, 5353) | dest_port.isin(53, 5353)
+    question = F.when((protocol == "UDP") & dns_port, payload)
     return _application(protocol, src_port, dest_port, payload, tls_server_name(hello), dns_query_name(question))
 
 

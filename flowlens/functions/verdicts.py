@@ -78,6 +78,7 @@ def provenance(kind: str, detail: Column | None = None) -> Column:
 
 def explanation(label: Column, sbytes: Column, splt_mean: Column, packets: Column, size: Column) -> Column:
     """Threat type, reason, severity and action of one verdict, as a struct."""
+    sbytes, splt_mean, packets, size = (c.cast("double") for c in (sbytes, splt_mean, packets, size))
 
     def verdict(threat: str, reason: Column | str, severity: str, action: str) -> Column:
         text = F.lit(reason) if isinstance(reason, str) else reason

@@ -1,0 +1,195 @@
+"""Registered queries: foreign files. The raw records of the test tables are written as files of each
+format to the shared folder and read back by the readers, whole."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import adapters as A
+from ..functions.values import iso_text
+from ..operators import evaluate, model
+from ..operators.normalize import valid_rows
+from ..session import shared_dir
+from ..sinks import exports
+from ..sources import files
+from . import importer
+from . import pipeline_queries as P
+from .oracle_views import iso, with_views
+from .registry import as_of, query
+
+W = with_views
+
+_SHOWN = f"""SELECT {iso("coalesce(ts, TIMESTAMP '2024-01-31 00:00:00')")} AS timestamp, src_ip, dest_ip, coalesce(sport, 0) AS src_port,
+  dport AS dest_port, protocol, duration, src_bytes, dest_bytes, total_bytes, packet_count, label AS ground_truth_label, info,
+  array_to_string(errors, '; ') AS errors, array_to_string(warnings, '; ') AS warnings FROM checked"""
+_RECORDS = W("norm", extra=P._CHECKED) + _SHOWN
+
+
+def _shown(flows):
+    return flows.select(
+        iso_text(F.col("timestamp")).alias("timestamp"), "src_ip", "dest_ip", "src_port", "dest_port", "protocol", "duration",
+        "src_bytes", "dest_bytes", "total_bytes", "packet_count", "ground_truth_label", "info",
+        F.concat_ws("; ", "errors").alias("errors"), F.concat_ws("; ", "warnings").alias("warnings"),
+    )
+
+
+def _raw(spark, sf):
+    return A.raw_records(spark, sf).drop("row_id")
+
+
+@query("read_csv", _RECORDS)
+def read_csv(spark, sf):
+    path = shared_dir(spark, "csv")
+    _raw(spark, sf).write.csv(path, header=True, sep=";", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return _shown(files.read_flows(spark, path, as_of(), fmt="csv"))
+
+
+@query("read_jsonl", _RECORDS)
+def read_jsonl(spark, sf):
+    path = shared_dir(spark, "jsonl")
+    _raw(spark, sf).write.json(path)
+    return _shown(files.read_flows(spark, path, as_of(), fmt="jsonl"))
+
+
+@query("read_json_documents", _RECORDS)
+def read_json_documents(spark, sf):
+    """Documents of 64 records each, under a key next to other fields."""
+    path = shared_dir(spark, "json")
+    raw = _raw(spark, sf)
+    record = F.struct(*[F.col(f"`{c}`") for c in raw.columns])
+    docs = (
+        A.raw_records(spark, sf)
+        .select(F.floor(F.col("row_id") / 64).alias("part"), record.alias("r"))
+        .groupBy("part")
+        .agg(F.collect_list("r").alias("flows"))
+        .select(F.to_json(F.struct(F.lit("export").alias("kind"), "flows")).alias("value"))
+    )
+    return _shown(_documents(spark, docs, path))
+
+
+def _documents(spark, docs, path):
+    """Documents as rows of a table instead of one tiny file each; the reader's steps after the scan."""
+    docs.write.parquet(path)
+    records = files.document_records(spark.read.parquet(path))
+    raw = files.json_rows(records).withColumn(files.ROW_ID, F.monotonically_increasing_id())
+    mapping = files.auto_mapping(files.headers(raw), "json")
+    return files.normalize(raw, mapping, as_of(), fmt="json", keep=[files.ROW_ID])
+
+
+_ZEEK = {
+    "ts": "ts", "id.orig_h": "Source IP", "id.orig_p": "sport", "id.resp_h": "Destination IP", "id.resp_p": "dport",
+    "proto": "proto", "service": "host", "duration": "dur", "orig_bytes": "sbytes", "resp_bytes": "dbytes",
+    "orig_pkts": "spkts", "resp_pkts": "dpkts",
+}
+
+
+@query(
+    "read_zeek",
+    W("norm", extra=P._CHECKED) + f"""SELECT {iso("coalesce(ts, TIMESTAMP '2024-01-31 00:00:00')")} AS timestamp, src_ip, dest_ip,
+  coalesce(sport, 0) AS src_port, dport AS dest_port, protocol, duration, src_bytes, dest_bytes, src_bytes + dest_bytes AS total_bytes,
+  greatest(1, src_pkts + dest_pkts) AS packet_count, info FROM checked WHERE len(errors) = 0""",
+)
+def read_zeek(spark, sf):
+    """Connection logs, one column of whole lines whose name is the header; ``-`` stands for nothing."""
+    path = shared_dir(spark, "zeek")
+    raw = A.raw_records(spark, sf)
+    cells = [F.when(F.trim(F.col(f"`{c}`")) == "", "-").otherwise(F.col(f"`{c}`")) for c in _ZEEK.values()]
+    names = list(_ZEEK)
+    line = F.concat_ws("\t", *cells).alias("#fields\t" + "\t".join(_ZEEK))
+    raw.select(line).write.csv(path, header=True, sep="\u0001", quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    flows = valid_rows(files.read_flows(spark, path, as_of(), fmt="zeek"))
+    return _shown(flows).drop("ground_truth_label", "errors", "warnings")
+
+
+@query(
+    "read_eve",
+    W("norm", extra=P._CHECKED) + f"""SELECT {iso("coalesce(ts, TIMESTAMP '2024-01-31 00:00:00')")} AS timestamp, src_ip, dest_ip,
+  coalesce(sport, 0) AS src_port, dport AS dest_port, protocol, duration, src_bytes, dest_bytes, src_bytes + dest_bytes AS total_bytes,
+  greatest(1, src_pkts + dest_pkts) AS packet_count, label AS ground_truth_label FROM checked WHERE len(errors) = 0""",
+)
+def read_eve(spark, sf):
+    """Nested flow events."""
+    path = shared_dir(spark, "eve")
+    raw = A.raw_records(spark, sf)
+    event = F.struct(
+        F.col("ts").alias("timestamp"),
+        F.lit("flow").alias("event_type"),
+        F.col("Source IP").alias("src_ip"),
+        F.col("sport").alias("src_port"),
+        F.col("Destination IP").alias("dest_ip"),
+        F.col("dport").alias("dest_port"),
+        "proto",
+        F.struct(
+            F.col("sbytes").alias("bytes_toserver"),
+            F.col("dbytes").alias("bytes_toclient"),
+            F.col("spkts").alias("pkts_toserver"),
+            F.col("dpkts").alias("pkts_toclient"),
+            F.col("dur").alias("age"),
+        ).alias("flow"),
+        F.struct(F.col("class").alias("signature")).alias("alert"),
+    )
+    raw.select(F.to_json(event).alias("value")).write.text(path)
+    flows = valid_rows(files.read_flows(spark, path, as_of(), fmt="eve"))
+    return _shown(flows).drop("info", "errors", "warnings")
+
+
+@query(
+    "export_research",
+    W("logs") + f"""SELECT id, {iso("timestamp")} AS timestamp, src_ip, dest_ip, src_port, dest_port, protocol, duration AS duration_sec,
+  total_bytes, prediction_label AS label, confidence_score AS confidence, coalesce(info, '') AS l7_metadata, connection_state AS tcp_state
+FROM logs WHERE protocol ILIKE '%http%' ORDER BY timestamp DESC, logs.id DESC LIMIT 5000""",
+)
+def export_research(spark, sf):
+    return exports.research_rows(A.logs(spark, sf), protocol="http")
+
+
+@query(
+    "export_report",
+    W("logs") + f"""SELECT id AS "ID", {iso("timestamp")} AS "Timestamp", src_ip AS "Source IP", dest_ip AS "Destination IP",
+  src_port AS "Source Port", dest_port AS "Destination Port", protocol AS "Protocol", duration AS "Duration", total_bytes AS "Bytes",
+  prediction_label AS "Label", confidence_score AS "Confidence", coalesce(info, '') AS "Metadata Context", source AS "Source",
+  connection_state AS "TCP State" FROM logs ORDER BY logs.timestamp DESC, logs.id DESC LIMIT 1000""",
+)
+def export_report(spark, sf):
+    return exports.report_rows(A.logs(spark, sf))
+
+
+@query(
+    "export_batch",
+    W("logs") + f"""SELECT id, {iso("timestamp")} AS timestamp, src_ip, dest_ip, src_port, dest_port, protocol, duration AS duration_sec,
+  total_bytes, prediction_label AS label, confidence_score AS confidence, coalesce(info, '') AS info, import_batch_id
+FROM logs WHERE import_batch_id = 2""",
+)
+def export_batch(spark, sf):
+    """Written as CSV and read back."""
+    path = shared_dir(spark, "export")
+    rows = exports.batch_rows(A.logs(spark, sf), 2)
+    exports.write_csv(rows, path)
+    return spark.read.schema(rows.schema).csv(path, header=True, escape='"')
+
+
+@query(
+    "batch_summary",
+    W("norm", "watch", extra=P._CHECKED + """,
+  v AS (SELECT c.*, s.value IS NOT NULL OR d.value IS NOT NULL OR EXISTS (SELECT 1 FROM watch w WHERE w.entry_type = 'domain'
+      AND contains(lower(c.info), lower(w.value))) AS hit FROM checked c
+    LEFT JOIN (SELECT DISTINCT value FROM watch WHERE entry_type = 'ipv4') s ON s.value = c.src_ip
+    LEFT JOIN (SELECT DISTINCT value FROM watch WHERE entry_type = 'ipv4') d ON d.value = c.dest_ip WHERE len(errors) = 0)""")
+    + """SELECT 7 AS id, (SELECT count(*) FROM checked) AS record_count, count(*) AS valid_count,
+  (SELECT count(*) FROM checked WHERE len(errors) > 0) AS invalid_count, count(*) FILTER (len(warnings) > 0) AS warning_count,
+  count(*) FILTER (NOT hit) AS normal_count, count(*) FILTER (hit) AS suspicious_count, 0 AS malicious_count, 0 AS anomaly_count,
+  count(*) FILTER (hit) AS watchlist_matches, count(*) FILTER (hit) AS alerts_count FROM v""",
+)
+def batch_summary(spark, sf):
+    """An import without classifier and profile: labels come from the watchlist alone."""
+    normalized = P._normalized(spark, sf).withColumnRenamed("row_id", files.ROW_ID)
+    done = importer.run_batch(normalized, A.watchlist(spark, sf), None, batch_id=7, can_classify=False, can_profile=False)
+    return done.summary
+
+
+@query("import_evaluation")
+def import_evaluation(spark, sf):
+    """An import labelled by the classifier and compared with its ground truth."""
+    normalized = P._normalized(spark, sf).withColumnRenamed("row_id", files.ROW_ID)
+    done = importer.run_batch(normalized, A.watchlist(spark, sf), model.train_baseline(spark), batch_id=7)
+    return evaluate.confusion(done.logs, "ground_truth_label", "prediction_label")

@@ -1,0 +1,197 @@
+"""Foreign files to labelled flows, alerts and a batch summary."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+from dataclasses import dataclass
+
+from pyspark.ml import Model
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import verdicts
+from ..operators import anomaly, evaluate, model, normalize, watchlist
+from ..sinks import tables
+from ..sources import files
+
+MODES = ("analyze_only", "historical", "replay", "label_eval")
+
+
+@dataclass
+class Import:
+    """Frames of one import; all lazy unless the mode stored them."""
+
+    logs: DataFrame
+    alerts: DataFrame
+    summary: DataFrame
+    rejections: DataFrame
+    confusion: DataFrame | None = None
+    metrics: DataFrame | None = None
+
+
+def label_flows(flows: DataFrame, entries: DataFrame, classifier: Model, can_classify: bool) -> DataFrame:
+    """Watchlist hit, label and confidence of normalised flows."""
+    matched = watchlist.attach_entry(watchlist.match_watchlist(flows, entries), entries)
+    hit, eligible = F.col("watch_id").isNotNull(), normalize.can_classify(can_classify)
+    if not can_classify:  # the model is not asked at all
+        nothing = F.lit(None)
+        rule = model.label_rule(hit, F.lit(False), nothing.cast("string"), nothing.cast("double"))
+        return matched.select("*", *rule)
+    names = ["sbytes", "dbytes", "proto_id"]
+    with_inputs = matched.select(
+        "*",
+        F.col("src_bytes").cast("double").alias("sbytes"),
+        F.col("dest_bytes").cast("double").alias("dbytes"),
+        F.col("proto_num").alias("proto_id"),
+    )
+    told = model.classify(with_inputs, classifier)
+    told = told.withColumnsRenamed({"prediction_label": "__label", "confidence_score": "__conf"})
+    rule = model.label_rule(hit, eligible, F.col("__label"), F.col("__conf"))
+    return told.select("*", *rule).drop("__label", "__conf", *names)
+
+
+def log_rows(labelled: DataFrame, batch_id: int, source: str) -> DataFrame:
+    """Traffic-log rows; a watchlist hit without any info text becomes the info."""
+    hit_text = F.when(F.col("watch_id").isNotNull(), F.concat(F.lit("Watchlist Match: "), F.col("watch_value")))
+    return labelled.select(
+        F.col(files.ROW_ID).alias("id"),
+        "timestamp",
+        "src_ip",
+        "dest_ip",
+        "src_port",
+        "dest_port",
+        "protocol",
+        F.floor("duration").alias("duration"),
+        "total_bytes",
+        "packet_count",
+        "prediction_label",
+        "confidence_score",
+        F.coalesce(F.nullif(F.col("info"), F.lit("")), hit_text, F.lit("")).alias("info"),
+        F.lit(source).alias("source"),
+        F.lit("N/A").alias("connection_state"),
+        F.lit(batch_id).cast("long").alias("import_batch_id"),
+        "watch_id",
+        "ground_truth_label",
+        (F.size("warnings") > 0).alias("has_warning"),
+    )
+
+
+def alert_rows(logs: DataFrame) -> DataFrame:
+    """Alerts of imported flows, raised by the watchlist hit itself or by a threat label."""
+    hit = F.col("watch_id").isNotNull()
+    kind = verdicts.import_threat_type(hit)
+    note = verdicts.import_note(*[F.col("import_batch_id"), kind, F.col("src_ip"), F.col("dest_ip"), F.col("protocol"), F.col("info")])
+    return logs.where(hit | verdicts.is_threat(F.col("prediction_label"))).select(
+        "id",
+        F.col("id").alias("traffic_log_id"),
+        F.lit(None).cast("long").alias("device_id"),
+        "import_batch_id",
+        verdicts.import_alert_type(hit).alias("alert_type"),
+        F.col("timestamp").alias("alert_time"),
+        F.col("timestamp").alias("last_seen"),
+        verdicts.import_level(hit, F.col("prediction_label")).alias("threat_level"),
+        F.lit("New").alias("status"),
+        F.lit(False).alias("is_simulated"),
+        note.alias("notes"),
+        F.lit(False).alias("is_resolved"),
+        F.lit(1).cast("long").alias("count"),
+    )
+
+
+def batch_summary(logs: DataFrame, rejected: DataFrame, anomalies: DataFrame | None, batch_id: int) -> DataFrame:
+    """One row of counters. The rejected rows and anomalies come in as scalar subqueries."""
+
+    def n(rule: Column) -> Column:
+        return F.count_if(rule)
+
+    label = F.col("prediction_label")
+    hit = F.col("watch_id").isNotNull()
+    sums = logs.agg(
+        F.count(F.lit(1)).alias("valid_count"),
+        n(F.col("has_warning")).alias("warning_count"),
+        n(label == "Normal").alias("normal_count"),
+        n(label == "Suspicious").alias("suspicious_count"),
+        n(label == "Malicious").alias("malicious_count"),
+        n(hit).alias("watchlist_matches"),
+        n(hit | verdicts.is_threat(label)).alias("alerts_count"),
+    )
+    invalid = rejected.agg(F.count(F.lit(1))).scalar()
+    odd = F.lit(0) if anomalies is None else anomalies.agg(F.count_if("is_anomalous")).scalar()
+    return sums.select(
+        F.lit(batch_id).cast("long").alias("id"),
+        "*",
+        invalid.alias("invalid_count"),
+        odd.cast("long").alias("anomaly_count"),
+        (F.col("valid_count") + invalid).alias("record_count"),
+    )
+
+
+def run_batch(
+    normalized: DataFrame,
+    entries: DataFrame,
+    classifier: Model,
+    *,
+    batch_id: int,
+    mode: str = "analyze_only",
+    name: str = "",
+    can_classify: bool = True,
+    can_profile: bool = True,
+    isolate_profile: bool = False,
+) -> Import:
+    """Label normalised rows. ``analyze_only`` stores nothing; the other modes store logs and alerts
+    and then count what was stored, so the work is done once."""
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    spark = normalized.sparkSession
+    valid = normalize.valid_rows(normalized)
+    rejected = normalize.rejected_rows(normalized)
+    source = f"replay:{name}" if mode == "replay" else f"import:{batch_id}"
+    logs = log_rows(label_flows(valid, entries, classifier, can_classify), batch_id, source)
+    alerts = alert_rows(logs)
+    if mode != "analyze_only":
+        tables.append_logs(logs)
+        logs = spark.table(tables.LOGS).where(F.col("import_batch_id") == batch_id).drop("log_date")
+        tables.append_alerts(alert_rows(logs))
+        alerts = spark.table(tables.ALERTS).where(F.col("import_batch_id") == batch_id).drop("log_date")
+    scored = anomaly.device_anomaly(logs) if can_profile and not isolate_profile else None
+    out = Import(logs, alerts, batch_summary(logs, rejected, scored, batch_id), normalize.rejections(normalized, files.ROW_ID))
+    if mode == "label_eval":
+        out.confusion = evaluate.confusion(logs, "ground_truth_label", "prediction_label")
+        out.metrics = evaluate.eval_metrics(logs, "ground_truth_label", "prediction_label")
+    if mode != "analyze_only":
+        tables.append_batch(
+            out.summary.withColumn("dataset_name", F.lit(name)).withColumn("analysis_mode", F.lit(mode)).withColumn("status", F.lit("completed"))
+        )
+    return out
+
+
+def import_dataset(
+    spark: SparkSession,
+    path: str,
+    entries: DataFrame,
+    as_of: Column,
+    *,
+    batch_id: int,
+    mode: str = "analyze_only",
+    fmt: str | None = None,
+    mapping: Mapping[str, str] | None = None,
+    classifier: Model | None = None,
+    isolate_profile: bool = False,
+) -> Import:
+    """Import a file or folder: detect the format, map the columns, normalise, label, store."""
+    fmt = fmt or files.detect_format(spark, path)
+    raw = files.read_raw(spark, path, fmt)
+    mapping = mapping if mapping is not None else normalize.auto_mapping(files.headers(raw), fmt)
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    normalized = normalize.normalize(raw, mapping, as_of, fmt=fmt, batch_id=batch_id, filename=name, keep=[files.ROW_ID])
+    return run_batch(
+        normalized,
+        entries,
+        classifier or model.train_baseline(spark),
+        batch_id=batch_id,
+        mode=mode,
+        name=name,
+        can_classify=normalize.supports(mapping, "arf_classification"),
+        can_profile=normalize.supports(mapping, "behaviour_profiling"),
+        isolate_profile=isolate_profile,
+    )

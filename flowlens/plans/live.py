@@ -1,0 +1,81 @@
+"""Packet stream to labelled logs, alerts, and a classifier that keeps learning."""
+
+from __future__ import annotations
+
+from pyspark.ml import Model, PipelineModel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import alerts as al
+from ..operators import model, watchlist
+from ..sinks.tables import write_epoch
+from ..streaming.flows import build_flows_stream
+from ..streaming.run import for_each_epoch
+
+
+def enrich(flows: DataFrame, classifier: Model, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Log rows and alert events of closed flows."""
+    labelled = model.classify(flows, classifier)
+    logs = labelled.withColumn("timestamp", F.col("last_seen")).withColumn(
+        "protocol", F.coalesce("protocol_l7", "protocol")
+    )
+    key = F.abs(F.xxhash64("src_ip", "dest_ip", "src_port", "dest_port", "protocol", "start_time"))
+    logs = watchlist.match_watchlist(logs.withColumn("id", key), entries)
+    events = al.event_notes(al.flow_events(logs))
+    rows = logs.select(
+        "id", "timestamp", "src_ip", "dest_ip", "src_port", "dest_port", "protocol",
+        F.floor("duration").alias("duration"), "total_bytes", "packet_count", "prediction_label", "confidence_score",
+        "info", "source", "connection_state", "watch_id",
+    )
+    return rows, events
+
+
+def run_stream(
+    packets: DataFrame, classifier: Model, entries: DataFrame, out: str, *, timeout: float = 2.0, delay: str = "1 minute",
+    decode: str = "full", **trigger,
+):
+    """Label every closed flow; ``logs`` and ``alert_events`` grow below ``out``, one partition per epoch.
+
+    An epoch that is run again writes the same partition again, so nothing is counted twice.
+    """
+
+    def work(flows: DataFrame, epoch: int) -> None:
+        flows.persist()  # two outputs from one micro-batch
+        logs, events = enrich(flows, classifier, entries)
+        write_epoch(logs, f"{out}/logs", epoch)
+        write_epoch(events, f"{out}/alert_events", epoch)
+        flows.unpersist()
+
+    return for_each_epoch(build_flows_stream(packets, timeout, delay, decode), f"{out}/checkpoint", work, **trigger)
+
+
+def refit_stream(labelled: DataFrame, out: str, *, keep_epochs: int = 20, trees: int = 3, **trigger):
+    """Predict, then learn: each micro-batch is labelled by the current model and joins the training
+    window of the last ``keep_epochs`` micro-batches, on which the model is fitted anew.
+
+    Until the window knows two classes the baseline forest answers. ``labelled`` has the seven
+    features and ``label``; predictions go to ``<out>/predictions``, models to ``<out>/models``.
+    """
+    spark = labelled.sparkSession
+    baseline = model.train_baseline(spark)
+    index = f"{out}/model_index"
+
+    def newest(epoch: int) -> str | None:
+        """The model of the last epoch before this one; asked each time, so a restart finds it too."""
+        if epoch == 0:
+            return None
+        rows = spark.read.schema("path string, epoch long").parquet(index).where(F.col("epoch") < epoch)
+        return rows.agg(F.max_by("path", "epoch").alias("path")).head().path
+
+    def work(rows: DataFrame, epoch: int) -> None:
+        path = newest(epoch)
+        current = PipelineModel.load(path) if path else baseline
+        write_epoch(model.classify(rows, current), f"{out}/predictions", epoch)
+        write_epoch(rows, f"{out}/window", epoch)
+        window = spark.read.parquet(f"{out}/window").where(F.col("epoch").between(epoch - keep_epochs + 1, epoch))
+        if model.knows_enough(window):
+            path = f"{out}/models/epoch-{epoch}"
+            model.train(window, trees=trees).write().overwrite().save(path)
+        write_epoch(spark.createDataFrame([(path,)], "path string"), index, epoch)
+
+    return for_each_epoch(labelled, f"{out}/checkpoint", work, **trigger)

@@ -620,14 +620,17 @@ def error_blocks(spark, sf):
     return drift.error_blocks(A.predictions(spark, sf), "stream", "ts", wrong, HOUR)
 
 
-def shifting_errors(spark, sf):
-    """Predictions that are right half the time at first and turn bad by type, for a drift to find."""
-    rows = A.predictions(spark, sf)
+def shifting_errors_of(rows):
+    """Predictions that are right most of the time at first and turn bad later, for a drift to find."""
     late = F.dayofmonth("ts") > 15
     wrong = F.when(late, F.col("predicted") != "Normal").otherwise(F.col("predicted") == "Malicious")
     return rows.select("event_id", "stream", "ts", wrong.alias("wrong"))
 
 
+def shifting_errors(spark, sf):
+    return shifting_errors_of(A.predictions(spark, sf))
+
+
 @query("drift_points")
 def drift_points(spark, sf):
     out = drift.drift_points(shifting_errors(spark, sf), "stream", "ts", F.col("wrong"), block_us=HOUR)
