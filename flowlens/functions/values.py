@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_DIGITS = "[0-9]+(_[0-9]+)*"
-NUMBER = rf"^\s*[+-]?({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})([eE][+-]?{_DIGITS})?\s*$"
+# What counts as blank around a value, and the characters of a decimal number.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+# A decimal number as people write it; underscores may stand between digits. The lengths keep the value
+# finite: a number too large for a double is no number here.
+_DIGITS = "[0-9]{1,100}+(?:_[0-9]{1,100}+)*+"
+NUMBER = rf"^[+-]?+(?:{_DIGITS}\.?+(?:{_DIGITS})?+|\.{_DIGITS})(?:[eE][+-]?+[0-9]{{1,2}})?+$"
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"({_OCTET}\.){{3}}{_OCTET}"
 ISO_TIME = (
@@ -40,7 +44,7 @@ IPV6 = _ipv6_pattern()
 
 
 def strip(value: Column) -> Column:
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    return F.btrim(value, F.lit(BLANKS))
 
 
 def is_blank(value: Column) -> Column:
@@ -49,22 +53,34 @@ def is_blank(value: Column) -> Column:
 
 def clean_ip(value: Column) -> Column:
     """The trimmed address if it is a valid IPv4 or IPv6 address, else null."""
-    text = strip(value)
-    return F.when(text.rlike(f"^{IPV4}$") | text.rlike(f"^{IPV6}$"), text)
+    return valid_ip(strip(value))
+
+
+def valid_ip(text: Column) -> Column:
+    """Same for a value that is trimmed already."""
+    valid = F.when(text.contains(":"), text.rlike(f"^{IPV6}$")).otherwise(text.rlike(f"^{IPV4}$"))
+    return F.when(valid, text)
 
 
 def to_number(value: Column) -> Column:
-    """The value as a double if it is written as a finite number, else null."""
-    plain = F.regexp_replace(strip(value), "_", "")
-    number = F.when(value.rlike(NUMBER), plain).try_cast("double")
-    return F.when(F.abs(number) < F.lit(float("inf")), number)
+    """The value as a double if it is written as a finite decimal number, else null.
+
+    The pattern keeps out what only Java reads as a number (``1d``, ``0x1p3``, ``Infinity``), and text
+    that would fail in the cast, which costs an exception per value.
+    """
+    text = strip(value)
+    written = F.when(text.rlike(NUMBER), F.replace(text, F.lit("_"), F.lit("")))
+    return written.try_cast("double")
 
 
 def clean_port(value: Column) -> Column:
     """Port 0..65535, blank gives 0, anything else null (the caller warns)."""
-    number = to_number(value)
-    whole = F.when(F.abs(number) < 1e9, number).cast("int")
-    return F.when(is_blank(value), F.lit(0)).when(whole.between(0, 65535), whole)
+    return valid_port(strip(value), to_number(value).try_cast("int"))
+
+
+def valid_port(text: Column, whole: Column) -> Column:
+    """Same for trimmed text and its whole number (cut towards zero)."""
+    return F.when(text.isNull() | (text == ""), F.lit(0)).when((whole >= 0) & (whole <= 65535), whole)
 
 
 def protocol_name(value: Column) -> Column:
@@ -106,45 +122,67 @@ def device_protocol_id(name: Column) -> Column:
     )
 
 
+_CLOCK = "[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"
+# Shape of the text -> layouts tried on it. A layout is only tried on text of its shape:
+# a failed attempt costs an exception.
+LAYOUTS = {
+    r"^[0-9]{8}$": ("yyyyMMdd",),
+    r"^[0-9]{8}T[0-9]{6}$": ("yyyyMMdd'T'HHmmss",),
+    rf"^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}} {_CLOCK}$": ("yyyy-M-d H:m:s",),
+    rf"^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}} {_CLOCK}\.[0-9]{{1,6}}$": (
+        "yyyy-M-d H:m:s[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]",
+    ),
+    rf"^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}} {_CLOCK}$": ("d/M/yyyy H:m:s", "M/d/yyyy H:m:s"),
+    rf"^[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}} {_CLOCK}$": ("yyyy/M/d H:m:s",),
+}
+
+
 def parse_time(value: Column) -> Column:
     """Epoch seconds or milliseconds, ISO text, then the usual layouts (day before month).
 
     Null when nothing fits. Text without a zone is read in the session zone, which is UTC.
     """
-    number = to_number(value)
-    seconds = F.when(number > 1e11, number / 1000.0).when(number > 1e8, number)
-    in_range = (seconds >= 0) & (seconds < 253402300800.0)
-    epoch = F.when(in_range, F.timestamp_micros(F.rint(F.when(in_range, seconds) * 1e6).cast("long")))
+    return time_of(strip(value), to_number(value))
 
-    text = strip(value)
-    iso = F.regexp_replace(F.regexp_replace(text, "Z", "+00:00"), ",", ".")
-    layouts = (
-        "yyyyMMdd",
-        "yyyyMMdd'T'HHmmss",
-        "yyyy-M-d H:m:s",
-        "yyyy-M-d H:m:s[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]",
-        "d/M/yyyy H:m:s",
-        "M/d/yyyy H:m:s",
-        "yyyy/M/d H:m:s",
+
+def time_of(text: Column, number: Column) -> Column:
+    """Same for trimmed text and its number."""
+    # Above 1e11 milliseconds, above 1e8 seconds; beyond the year 9999 a number is no time.
+    seconds = (
+        F.when((number > 1e11) & (number < 253402300800e3), number / 1000.0)
+        .when((number > 1e8) & (number <= 1e11), number)
     )
+    iso = F.replace(F.replace(text, F.lit("Z"), F.lit("+00:00")), F.lit(","), F.lit("."))
+    tried = [
+        F.when(text.rlike(shape), F.coalesce(*[F.try_to_timestamp(text, F.lit(x)) for x in layouts]))
+        for shape, layouts in LAYOUTS.items()
+    ]
     return F.coalesce(
-        epoch,
+        F.timestamp_micros(F.rint(seconds * 1e6).cast("long")),
         F.when(iso.rlike(ISO_TIME), iso).try_cast("timestamp"),
-        *[F.try_to_timestamp(text, F.lit(layout)) for layout in layouts],
+        *tried,
     )
 
 
+def at_least(number: Column, default: float = 0.0, floor: float = 0.0) -> Column:
+    return F.greatest(F.coalesce(number, F.lit(default)), F.lit(floor))
+
+
 def clean_number(value: Column, default: float = 0.0, floor: float = 0.0) -> Column:
-    """A number not below ``floor``; blank, malformed or infinite text gives the default."""
-    not_a_number = F.lower(strip(value)).rlike(r"^[+-]?nan$")
-    return F.when(not_a_number, F.lit(floor)).otherwise(
-        F.greatest(F.coalesce(to_number(value), F.lit(default)), F.lit(floor))
-    )
+    """A number not below ``floor``; blank or malformed text gives the default, ``nan`` the floor."""
+    number = at_least(to_number(value), default, floor)
+    if default == floor:
+        return number
+    return F.when(F.lower(strip(value)).rlike(r"^[+-]?nan$"), F.lit(floor)).otherwise(number)
 
 
 def clean_count(value: Column) -> Column:
-    """A whole number >= 0."""
-    return clean_number(value).cast("long")
+    """A whole number >= 0; one too large for a long is malformed."""
+    return whole_of(to_number(value))
+
+
+def whole_of(number: Column) -> Column:
+    return F.coalesce(at_least(number).try_cast("long"), F.lit(0))
 
 
 def ground_truth(value: Column) -> Column:

@@ -162,33 +162,33 @@ def normalize(
         header = mapping.get(field)
         return F.col(f"`{header}`").cast("string") if header else F.lit(None).cast("string")
 
-    def shown(field: str) -> Column:
-        return F.coalesce(raw(field), F.lit("None"))
-
     def message(bad: Column, *parts: Column | str) -> Column:
         return F.when(bad, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
 
     def listed(*messages: Column) -> Column:
         return F.filter(F.array(*messages), lambda m: m.isNotNull())
 
-    # Step 1: one cleaned column per field, so that step 2 can use it more than once for free.
-    no_time = raw("timestamp").isNull() | (raw("timestamp") == "")
-    step = df.select(
-        *keep,
-        V.clean_ip(raw("src_ip")).alias("src_ip"),
-        V.clean_ip(raw("dest_ip")).alias("dest_ip"),
-        V.clean_port(raw("src_port")).alias("__sport"),
-        V.clean_port(raw("dest_port")).alias("__dport"),
-        V.protocol_name(raw("protocol")).alias("protocol"),
-        F.when(no_time, as_of).otherwise(V.parse_time(raw("timestamp"))).alias("__ts"),
-        V.clean_number(raw("duration")).alias("duration"),
-        *[
-            V.clean_count(raw(f)).alias(f"__{f}")
-            for f in ("src_bytes", "dest_bytes", "total_bytes", "src_pkts", "dest_pkts", "packet_count")
-        ],
-        V.strip(raw("label")).alias("ground_truth_label"),
-        F.when(raw("info") != "", V.strip(raw("info"))).alias("info"),
-        *[shown(f).alias(f"__raw_{f}") for f in ("src_ip", "dest_ip", "src_port", "dest_port", "timestamp")],
+    # Step by step, so that a value used more than once is computed once: raw text, trimmed text and
+    # number, checked value.
+    names = ("src_ip", "dest_ip", "src_port", "dest_port", "protocol", "timestamp", "duration", "label", "info")
+    counts = ("src_bytes", "dest_bytes", "total_bytes", "src_pkts", "dest_pkts", "packet_count")
+    step = df.select(*keep, *[raw(f).alias(f"__raw_{f}") for f in (*names, *counts)])
+    texts = ("src_ip", "dest_ip", "src_port", "dest_port", "timestamp")
+    step = step.select(
+        "*",
+        *[V.strip(F.col(f"__raw_{f}")).alias(f"__t_{f}") for f in texts],
+        *[V.to_number(F.col(f"__raw_{f}")).alias(f"__n_{f}") for f in ("timestamp", "duration", *counts)],
+        *[V.to_number(F.col(f"__raw_{f}")).try_cast("int").alias(f"__n_{f}") for f in ("src_port", "dest_port")],
+    )
+    no_time = F.col("__raw_timestamp").isNull() | (F.col("__raw_timestamp") == "")
+    step = step.select(
+        "*",
+        *[V.valid_ip(F.col(f"__t_{f}")).alias(f"__{f}") for f in ("src_ip", "dest_ip")],
+        *[V.valid_port(F.col(f"__t_{f}"), F.col(f"__n_{f}")).alias(f"__{f}") for f in ("src_port", "dest_port")],
+        V.protocol_name(F.col("__raw_protocol")).alias("__protocol"),
+        F.when(no_time, as_of).otherwise(V.time_of(F.col("__t_timestamp"), F.col("__n_timestamp"))).alias("__ts"),
+        V.at_least(F.col("__n_duration")).alias("__duration"),
+        *[V.whole_of(F.col(f"__n_{f}")).alias(f"__{f}") for f in counts],
     )
     total = F.when(F.col("__total_bytes") > 0, F.col("__total_bytes")).otherwise(
         F.col("__src_bytes") + F.col("__dest_bytes")
@@ -196,15 +196,21 @@ def normalize(
     packets = F.when(F.col("__packet_count") > 0, F.col("__packet_count")).otherwise(
         F.greatest(F.lit(1), F.col("__src_pkts") + F.col("__dest_pkts"))
     )
+    step = step.select("*", total.alias("__total"), packets.alias("__packets"))
+    total, packets = F.col("__total"), F.col("__packets")
+
+    def shown(field: str) -> Column:
+        return F.coalesce(F.col(f"__raw_{field}"), F.lit("None"))
+
     return step.select(
         *keep,
         F.coalesce("__ts", as_of).alias("timestamp"),
-        "src_ip",
-        "dest_ip",
-        F.coalesce("__sport", F.lit(0)).alias("src_port"),
-        F.coalesce("__dport", F.lit(0)).alias("dest_port"),
-        "protocol",
-        "duration",
+        F.col("__src_ip").alias("src_ip"),
+        F.col("__dest_ip").alias("dest_ip"),
+        F.coalesce("__src_port", F.lit(0)).alias("src_port"),
+        F.coalesce("__dest_port", F.lit(0)).alias("dest_port"),
+        F.col("__protocol").alias("protocol"),
+        F.col("__duration").alias("duration"),
         F.col("__src_bytes").alias("src_bytes"),
         F.col("__dest_bytes").alias("dest_bytes"),
         total.alias("total_bytes"),
@@ -212,26 +218,26 @@ def normalize(
         F.col("__dest_pkts").alias("dest_pkts"),
         packets.alias("packet_count"),
         (total / packets).alias("avg_pkt_size"),
-        V.protocol_id(F.col("protocol")).alias("proto_num"),
+        V.protocol_id(F.col("__protocol")).alias("proto_num"),
         F.lit(0.0).alias("splt_mean"),
         F.lit(0.0).alias("dplt_mean"),
-        "ground_truth_label",
-        "info",
+        V.strip(F.col("__raw_label")).alias("ground_truth_label"),
+        F.when(F.col("__raw_info") != "", V.strip(F.col("__raw_info"))).alias("info"),
         F.lit("import").alias("source"),
         F.lit(fmt).alias("source_format"),
         F.lit(batch_id).cast("long").alias("import_batch_id"),
         F.lit(filename).alias("original_filename"),
         F.lit("N/A").alias("connection_state"),
         listed(
-            message(F.col("src_ip").isNull(), "Invalid source IP: '", F.col("__raw_src_ip"), "'"),
-            message(F.col("dest_ip").isNull(), "Invalid destination IP: '", F.col("__raw_dest_ip"), "'"),
+            message(F.col("__src_ip").isNull(), "Invalid source IP: '", shown("src_ip"), "'"),
+            message(F.col("__dest_ip").isNull(), "Invalid destination IP: '", shown("dest_ip"), "'"),
         ).alias("errors"),
         listed(
-            message(F.col("__sport").isNull(), "Malformed source port '", F.col("__raw_src_port"), "' defaulted to 0"),
+            message(F.col("__src_port").isNull(), "Malformed source port '", shown("src_port"), "' defaulted to 0"),
             message(
-                F.col("__dport").isNull(), "Malformed destination port '", F.col("__raw_dest_port"), "' defaulted to 0"
+                F.col("__dest_port").isNull(), "Malformed destination port '", shown("dest_port"), "' defaulted to 0"
             ),
-            message(F.col("__ts").isNull(), "Unparseable timestamp '", F.col("__raw_timestamp"), "' defaulted to UTC now"),
+            message(F.col("__ts").isNull(), "Unparseable timestamp '", shown("timestamp"), "' defaulted to UTC now"),
         ).alias("warnings"),
     )
 

@@ -96,7 +96,7 @@ def read_zeek(spark, sf):
     cells = [F.when(F.trim(F.col(f"`{c}`")) == "", "-").otherwise(F.col(f"`{c}`")) for c in _ZEEK.values()]
     names = list(_ZEEK)
     line = F.concat_ws("\t", *cells).alias("#fields\t" + "\t".join(_ZEEK))
-    raw.select(line).write.csv(path, header=True, sep="\u0001", quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    raw.select(line).write.option("comment", "\u0002").csv(path, header=True, sep="\u0001", quote="\u0003", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     flows = valid_rows(files.read_flows(spark, path, as_of(), fmt="zeek"))
     return _shown(flows).drop("ground_truth_label", "errors", "warnings")
 

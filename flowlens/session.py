@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # HotSpot does not compile methods above this size: very wide steps run faster as split projections.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Rows handed to Python at once; feature rows are narrow, capture files are not
     # (the capture reader sets its own limit on the byte column).
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",

@@ -18,7 +18,10 @@ def indicators_of_lines(lines: DataFrame) -> DataFrame:
     Comment lines are skipped; each value counts once, at its first line.
     """
     text = strip(F.col("text"))
-    lines = lines.select("feed", "line", text.alias("text")).where((F.col("text") != "") & ~F.col("text").startswith("#"))
+    lines = lines.select("feed", "line", text.alias("text")).where(
+        # Every indicator has a dot between two letters or digits; this check is far cheaper.
+        F.col("text").rlike(r"[a-zA-Z0-9]\.[a-zA-Z0-9]") & ~F.col("text").startswith("#")
+    )
 
     def found(pattern: str, kind: str):
         values = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
