@@ -216,10 +216,12 @@ def round_places(value: Column, places: int) -> Column:
     unit = 1 << 52
     scale = F.lit(10**places).cast("decimal(8,0)")
     whole = F.floor(value).cast("decimal(18,0)")
-    parts = ((value - F.floor(value)) * F.lit(float(unit))).cast("decimal(16,0)") * scale
+    fine = (value - F.floor(value)) * F.lit(float(unit))
+    below = (fine - F.floor(fine)) * F.lit(float(10**places))  # what a value below 1 has beyond 2**-52
+    parts = F.floor(fine).cast("decimal(16,0)") * scale + F.floor(below).cast("decimal(8,0)")
     steps = F.floor(parts / F.lit(unit).cast("decimal(16,0)")).cast("decimal(8,0)")
     rest = parts - steps * F.lit(unit).cast("decimal(16,0)")
     half = F.lit(unit // 2).cast("decimal(16,0)")
     odd = (steps % 2) == 1
-    up = F.when((rest > half) | ((rest == half) & odd), 1).otherwise(0).cast("decimal(1,0)")
+    up = F.when((rest > half) | ((rest == half) & (odd | (below > F.floor(below)))), 1).otherwise(0).cast("decimal(1,0)")
     return (whole * scale + steps + up).cast("double") / F.lit(float(10**places))

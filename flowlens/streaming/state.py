@@ -2,7 +2,9 @@
 
 One small state per key. Rows of a key are put in time order within a micro-batch; between
 micro-batches the order is that of arrival. A state that is not touched for ``ttl_hours`` may be
-dropped (this bounds the number of devices and signatures kept).
+dropped (this bounds the number of devices and signatures kept). A state that expires needs the clock,
+so Spark keeps starting micro-batches for it: use ``ttl_hours`` with a running trigger only, never with
+``availableNow``, which would not come to an end.
 """
 
 from __future__ import annotations

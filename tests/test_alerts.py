@@ -134,7 +134,7 @@ def test_rate_limit_stream(spark, tmp_path):
     for n in range(3):
         spark.createDataFrame(rows[n * 100 : (n + 1) * 100], EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    sent = drain(spark, state.rate_limit_stream(stream, 2.0, ttl_hours=24), "sent")
+    sent = drain(spark, state.rate_limit_stream(stream, 2.0), "sent")
     assert sorted(r.id for r in sent.collect()) == greedy(rows, 2.0)
 
 
