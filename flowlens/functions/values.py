@@ -206,6 +206,11 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def round_places(value: Column, places: int) -> Column:
     """A number >= 0 rounded to ``places`` decimals by its exact binary value, ties to even.
 
@@ -213,15 +218,28 @@ def round_places(value: Column, places: int) -> Column:
     into 2889.3 and 0.35 into 0.4. Reports need 2889.2 and 0.3 (0.35 is stored just below).
     The fraction is taken as a whole number of 2**-52 and divided exactly.
     """
-    unit = 1 << 52
-    scale = F.lit(10**places).cast("decimal(8,0)")
-    whole = F.floor(value).cast("decimal(18,0)")
-    fine = (value - F.floor(value)) * F.lit(float(unit))
-    below = (fine - F.floor(fine)) * F.lit(float(10**places))  # what a value below 1 has beyond 2**-52
-    parts = F.floor(fine).cast("decimal(16,0)") * scale + F.floor(below).cast("decimal(8,0)")
-    steps = F.floor(parts / F.lit(unit).cast("decimal(16,0)")).cast("decimal(8,0)")
-    rest = parts - steps * F.lit(unit).cast("decimal(16,0)")
-    half = F.lit(unit // 2).cast("decimal(16,0)")
-    odd = (steps % 2) == 1
-    up = F.when((rest > half) | ((rest == half) & (odd | (below > F.floor(below)))), 1).otherwise(0).cast("decimal(1,0)")
-    return (whole * scale + steps + up).cast("double") / F.lit(float(10**places))
+    unit, scale = 1 << 52, 10**places
+    one = F.lit(unit).cast("decimal(16,0)")
+
+    def with_steps(parts: Column, rest_below: Column, whole: Column) -> Column:
+        def finish(steps: Column) -> Column:
+            rest = parts - steps * one
+            half = F.lit(unit // 2).cast("decimal(16,0)")
+            tie = (rest == half) & (((steps % 2) == 1) | (rest_below > F.floor(rest_below)))
+            up = F.when((rest > half) | tie, 1).otherwise(0).cast("decimal(1,0)")
+            return (whole * F.lit(scale).cast("decimal(8,0)") + steps + up).cast("double") / F.lit(float(scale))
+
+        return let(F.floor(parts / one).cast("decimal(8,0)"), finish)
+
+    def of_value(v: Column) -> Column:
+        whole = F.floor(v).cast("decimal(18,0)")
+
+        def of_fine(fine: Column) -> Column:
+            # What a value below 1 has beyond 2**-52.
+            below = (fine - F.floor(fine)) * F.lit(float(scale))
+            parts = F.floor(fine).cast("decimal(16,0)") * F.lit(scale).cast("decimal(8,0)")
+            return let(parts + F.floor(below).cast("decimal(8,0)"), lambda p: with_steps(p, below, whole))
+
+        return let((v - F.floor(v)) * F.lit(float(unit)), of_fine)
+
+    return let(value.cast("double"), of_value)

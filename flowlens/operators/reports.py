@@ -242,7 +242,8 @@ def protocol_shares(logs: DataFrame, as_of: Column, hours: int = 1) -> DataFrame
     """Percent of the flows of the last ``hours`` per protocol."""
     counted = logs.where(since(as_of, f"{hours} HOURS")).groupBy("protocol").agg(F.count(F.lit(1)).alias("flows"))
     total = counted.agg(F.sum("flows")).scalar()
-    return counted.select("protocol", "flows", round_places(F.col("flows") / total * 100, 1).alias("share_pct"))
+    shares = counted.select("protocol", "flows", (F.col("flows") / total * 100).alias("share"))
+    return shares.select("protocol", "flows", round_places(F.col("share"), 1).alias("share_pct"))
 
 
 def common_ports(logs: DataFrame, as_of: Column, hours: int = 1, n: int = 5) -> DataFrame:
@@ -356,7 +357,10 @@ def protocol_telemetry(logs: DataFrame, as_of: Column, hours: int = 1, match: st
     )
     joined = protocol_directory(logs.sparkSession).join(F.broadcast(per_reference), "reference", "left")  # <= 7 rows
     count = F.coalesce("count_1h", F.lit(0))
-    pct = F.when(total > 0, round_places(count / total * 100, 1)).otherwise(0.0)
+    joined = joined.withColumn("__n", count).withColumn("__total", total)
+    count, total = F.col("__n"), F.col("__total")
+    joined = joined.withColumn("__pct", F.when(total > 0, round_places(count / total * 100, 1)).otherwise(0.0))
+    pct = F.col("__pct")
     return joined.select(
         F.col("reference").alias("protocol"),
         "name",

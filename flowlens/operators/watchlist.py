@@ -104,11 +104,11 @@ def attach_entry(matched: DataFrame, watchlist: DataFrame, broadcast_rows: int =
     )
 
 
-def new_indicators(feed: DataFrame, watchlist: DataFrame) -> DataFrame:
-    """Feed values that are not on the watchlist yet, each once, first line kept."""
+def new_indicators(feed: DataFrame, watchlist: DataFrame | None = None) -> DataFrame:
+    """Feed values that are not on the watchlist yet (if there is one), each once, first line kept."""
     once = feed.groupBy("value").agg(F.min(F.struct("line", "entry_type")).alias("first"))
     once = once.select("value", F.col("first.entry_type").alias("entry_type"), F.col("first.line").alias("line"))
-    return once.join(watchlist.select("value"), "value", "left_anti")
+    return once if watchlist is None else once.join(watchlist.select("value"), "value", "left_anti")
 
 
 def watchlist_rows(new: DataFrame, feed_name: str, as_of: Column, label: str = "Imported Threat Feed") -> DataFrame:

@@ -91,9 +91,8 @@ def replace(df: DataFrame, name: str) -> None:
 def add_to_watchlist(feed: DataFrame, feed_name: str, as_of: Column, label: str = "Imported Threat Feed", name: str = WATCHLIST) -> None:
     """Append the feed's indicators ``(value, entry_type, line)`` that the list lacks."""
     spark = feed.sparkSession
-    if exists(spark, name):
-        feed = new_indicators(feed, spark.table(name))
-    append(watchlist_rows(feed, feed_name, as_of, label), name)
+    new = new_indicators(feed, spark.table(name) if exists(spark, name) else None)
+    append(watchlist_rows(new, feed_name, as_of, label), name)
 
 
 def remove_from_watchlist(spark: SparkSession, entry_id: int, name: str = WATCHLIST) -> None:
