@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import ground_truth, round_places
 from ..schemas import LABELS
+from ..session import literal_rows
 from .ordering import DAY, running_totals
 
 
@@ -18,7 +19,8 @@ def evaluated(rows: DataFrame, truth: str = "truth", predicted: str = "predicted
 
 def confusion(rows: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
     """Rows per (truth, predicted), all nine cells."""
-    frame = rows.sparkSession.createDataFrame([(t, p, 0) for t in LABELS for p in LABELS], "truth string, predicted string, n long")
+    cells = [(t, p, 0) for t in LABELS for p in LABELS]
+    frame = literal_rows(rows.sparkSession, ["truth", "predicted", "n"], cells)
     counted = evaluated(rows, truth, predicted).groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted"))
     counted = counted.agg(F.count(F.lit(1)).alias("n"))
     return counted.unionByName(frame).groupBy("truth", "predicted").agg(F.sum("n").alias("n"))

@@ -77,7 +77,7 @@ def gap_sessions(
        the shuffle.
     2. Cells are strung together per (key, chunk of cells).
     3. Only the first and the last run of a chunk can go on in another chunk; those few rows are
-       strung together per key, the others are final already.
+       strung together per key, the others only per chunk.
     """
     us = micros(F.col(ts))
     names = list(measures)
@@ -108,9 +108,10 @@ def gap_sessions(
     in_chunk = [*keys, "__chunk"]
     runs = merge(string_together(cells, in_chunk), in_chunk)
     last_run = F.max("__run").over(Window.partitionBy(*in_chunk))
-    runs = runs.withColumn("__edge", (F.col("__run") == 1) | (F.col("__run") == last_run))
-    # One row per finished session either way; edges get merged, inner runs pass.
+    edge = (F.col("__run") == 1) | (F.col("__run") == last_run)
+    # Edges of all chunks of a key meet in the null slot; inner runs stay among those of their chunk, where
+    # they are a gap apart from each other and pass unchanged.
     shape = [*keys, "__first", "__last", *names]
-    inner = runs.where(~F.col("__edge")).select(*shape)
-    edges = merge(string_together(runs.where("__edge").select(*shape), list(keys)), list(keys)).select(*shape)
-    return inner.unionByName(edges)
+    runs = runs.select(*shape, F.when(~edge, F.col("__chunk")).alias("__slot"))
+    in_slot = [*keys, "__slot"]
+    return merge(string_together(runs, in_slot), in_slot).select(*shape)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import verdicts
 from ..functions.values import iso_text, micros, round_places
 from ..schemas import PROTOCOL_NAMES, STATUS_PROTOCOLS
+from ..session import literal_rows
 
 THREAT_WEIGHTS = {"Critical": 25, "High": 15, "Medium": 5, "Low": 2}  # fixed values
 
@@ -43,8 +44,7 @@ def top_by_flows(logs: DataFrame, key: str, n: int = 5, name: str | None = None)
 
 def protocol_counts(logs: DataFrame) -> DataFrame:
     """Flows per protocol; the six usual names appear even without flows."""
-    spark = logs.sparkSession
-    usual = spark.createDataFrame([(p, 0) for p in STATUS_PROTOCOLS], "protocol string, flows long")
+    usual = literal_rows(logs.sparkSession, ["protocol", "flows"], [(p, 0) for p in STATUS_PROTOCOLS])
     counted = logs.groupBy("protocol").agg(F.count(F.lit(1)).alias("flows"))
     return counted.unionByName(usual).groupBy("protocol").agg(F.sum("flows").alias("flows"))
 
@@ -327,7 +327,7 @@ def profile_status(logs: DataFrame, as_of: Column, packets_per_sec: int = 0, hou
 
 
 def protocol_directory(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(PROTOCOL_NAMES.items()), "reference string, name string")
+    return literal_rows(spark, ["reference", "name"], list(PROTOCOL_NAMES.items()))
 
 
 def protocol_telemetry(logs: DataFrame, as_of: Column, hours: int = 1, match: str = "contains") -> DataFrame:
