@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import verdicts
 from ..functions.values import iso_text, micros, round_places
-from .ordering import DAY, gap_sessions, running_totals
+from .ordering import HOUR, gap_sessions, running_totals
 
 SIGNATURE = ["threat_level", "alert_type", "device"]
 SECOND = 1_000_000
@@ -56,7 +57,7 @@ def event_notes(events: DataFrame) -> DataFrame:
     return events.withColumn("notes", verdicts.note(*[F.col(n) for n in names]))
 
 
-def incidents(events: DataFrame, actions: DataFrame, *, chunk_us: int = DAY) -> DataFrame:
+def incidents(events: DataFrame, actions: DataFrame, *, chunk_us: int = HOUR) -> DataFrame:
     """Deduplicated alerts: one row per signature and incident.
 
     An incident collects all events of a signature up to the next resolve. Status: Resolved if one
@@ -178,7 +179,8 @@ def rate_limit(
     ending in one task, a chunk of time is first reduced to what it does to the state: for every
     time that can be the first one sent in it, the last one sent. Only times within ``seconds`` of
     the chunk's start can be first, plus the next one, so a chunk shrinks by chunk/seconds. These
-    small tables are walked per key; then all chunks are finished side by side.
+    small tables are walked in order of key and time, one row at a time; then all chunks are finished
+    side by side.
     """
     keys = keys or NOTIFY_KEY
     gap = round(seconds * 1e6)
@@ -202,18 +204,19 @@ def rate_limit(
             out.append((times[:n][keep], last[keep]))
         return pd.DataFrame(out, columns=["first", "last"])
 
-    @F.pandas_udf("array<long>")
-    def walk(firsts: pd.Series, lasts: pd.Series) -> pd.Series:
-        out = []
-        for first_lists, last_lists in zip(firsts, lasts):
-            entries, sent = [], None
-            for first, last in zip(first_lists, last_lists):
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Chunk after chunk of each key, with the last time sent as the only state."""
+        key, sent = None, None
+        for pdf in batches:
+            entries = []
+            for *k, first, last in pdf[[*keys, "first", "last"]].itertuples(index=False):
+                if k != key:
+                    key, sent = k, None
                 entries.append(sent)
                 at = 0 if sent is None else int(np.searchsorted(first, sent + gap, side="left"))
                 if at < len(first):
                     sent = int(last[at])
-            out.append(entries)
-        return pd.Series(out)
+            yield pdf[[*keys, "chunk"]].assign(entry=pd.array(entries, dtype="Int64"))
 
     @F.pandas_udf("us array<long>, id array<long>")
     def finish(us: pd.Series, ids: pd.Series, entry: pd.Series) -> pd.DataFrame:
@@ -227,11 +230,11 @@ def rate_limit(
             out.append((times[picks], names[picks]))
         return pd.DataFrame(out, columns=["us", "id"])
 
-    tables = chunks.select(*keys, "chunk", effect("chunk", "us").alias("e"))
-    per_key = tables.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk", "e.first", "e.last"))).alias("t"))
-    entries = per_key.select(
-        *keys, F.explode(F.arrays_zip(F.col("t.chunk").alias("chunk"), walk("t.first", "t.last").alias("entry"))).alias("z")
-    ).select(*keys, "z.chunk", "z.entry")
+    tables = chunks.select(*keys, "chunk", effect("chunk", "us").alias("e")).select(*keys, "chunk", "e.first", "e.last")
+    in_order = tables.repartition(*keys).sortWithinPartitions(*keys, "chunk")
+    types = {f.name: f.dataType.simpleString() for f in chunks.schema}
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "chunk long, entry long"])
+    entries = in_order.mapInPandas(walk, schema)
     sent = chunks.join(entries, [*keys, "chunk"]).select(*keys, finish("us", "id", "entry").alias("s"))
     return sent.select(*keys, F.explode(F.arrays_zip("s.us", "s.id")).alias("z")).select(
         *keys, F.timestamp_micros("z.us").alias("ts"), F.col("z.id").alias("id")

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions import verdicts
 from ..functions.values import device_protocol_id, round_places
-from .ordering import DAY, running_totals
+from .ordering import HOUR, running_totals
 
 # Upper end of each feature's range; all start at 0.
 FEATURE_LIMITS = {"bytes": 1e8, "duration": 3600.0, "proto_id": 255.0, "hour": 24.0, "pkt_count": 5e4}
@@ -120,7 +120,7 @@ def device_anomaly(
     window: int = 20,
     threshold: float = THRESHOLD,
     seed: int = 42,
-    chunk_us: int = DAY,
+    chunk_us: int = HOUR,
 ) -> DataFrame:
     """Score of every flow (columns id, timestamp, src_ip, total_bytes, duration, protocol,
     packet_count) against the device's previous ``window`` flows; the first block scores 0.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.values import ground_truth, round_places
 from ..schemas import LABELS
 from ..session import literal_rows
-from .ordering import DAY, running_totals
+from .ordering import HOUR, running_totals
 
 
 def evaluated(rows: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
@@ -59,7 +59,7 @@ def model_metrics(rows: DataFrame, correct: Column) -> DataFrame:
 
 
 def running_accuracy(
-    rows: DataFrame, key: str, ts: str, order: list[str], correct: Column, chunk_us: int = DAY
+    rows: DataFrame, key: str, ts: str, order: list[str], correct: Column, chunk_us: int = HOUR
 ) -> DataFrame:
     """Accuracy of each stream up to and including each row."""
     totals = running_totals(

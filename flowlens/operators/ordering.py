@@ -24,7 +24,7 @@ def running_totals(
     order: Sequence[str],
     totals: dict[str, Column],
     *,
-    chunk_us: int = DAY,
+    chunk_us: int = HOUR,
     inclusive: bool = True,
 ) -> DataFrame:
     """Add, per key, the running sum of each expression in ``totals`` in the given order.

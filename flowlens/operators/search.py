@@ -132,3 +132,8 @@ def filter_logs(logs: DataFrame, ip: str = "", source: str = "all", protocol: st
     if label != "all":
         out = out.where(F.lower("prediction_label") == label.lower())
     return out
+
+
+def recent_batches(batches: DataFrame, n: int = 100) -> DataFrame:
+    """Import history: the batches uploaded last."""
+    return batches.orderBy(F.col("uploaded_at").desc(), F.col("id").desc()).limit(n)

@@ -160,7 +160,13 @@ def run_batch(
         out.metrics = evaluate.eval_metrics(logs, "ground_truth_label", "prediction_label")
     if mode != "analyze_only":
         tables.append_batch(
-            out.summary.withColumn("dataset_name", F.lit(name)).withColumn("analysis_mode", F.lit(mode)).withColumn("status", F.lit("completed"))
+            out.summary.select(
+                "*",
+                F.lit(name).alias("dataset_name"),
+                F.lit(mode).alias("analysis_mode"),
+                F.lit("completed").alias("status"),
+                F.current_timestamp().alias("uploaded_at"),
+            )
         )
     return out
 

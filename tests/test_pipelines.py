@@ -8,7 +8,8 @@ from datetime import date, datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.operators import model, normalize
+from flowlens.operators import model, normalize, search
+from flowlens.operators.watchlist import newest_first
 from flowlens.plans import importer, live
 from flowlens.schemas import FEATURES, PACKETS, WATCHLIST
 from flowlens.sinks import exports, tables
@@ -63,6 +64,7 @@ def test_watchlist_table(spark):
     assert rows["a.example"].description == "Imported from feed.txt (line 4)" and rows["new.example"].source == "txt_import:two.txt"
     tables.remove_from_watchlist(spark, rows["1.2.3.4"].id, "t_list")
     assert spark.table("t_list").count() == 2
+    assert newest_first(spark.table("t_list")).count() == 2
     assert set(WATCHLIST.fieldNames()) == set(spark.table("t_list").columns)
 
 
@@ -127,6 +129,7 @@ def test_import_stores_what_it_counts(spark, tmp_path, fitted):
     assert {(r.truth, r.predicted): r.n for r in done.confusion.collect()}["Malicious", "Malicious"] >= 9
     assert done.rejections.head().errors == ["Invalid source IP: 'nowhere'"]
     assert spark.table(tables.BATCHES).where("id = 11").head().analysis_mode == "label_eval"
+    assert search.recent_batches(spark.table(tables.BATCHES), 1).head().id == 11
     tables.delete_batch(spark, 11)
     assert spark.table(tables.LOGS).where("import_batch_id = 11").count() == 0
 
