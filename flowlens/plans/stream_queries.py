@@ -14,7 +14,7 @@ from ..session import shared_dir
 from ..sources.streams import stream_table
 from ..streaming import state
 from ..streaming.flows import build_flows_stream
-from ..streaming.run import drain
+from ..streaming.run import drain, local_partitions
 from . import live
 from . import pipeline_queries as P
 from .oracle_views import iso, with_views
@@ -90,9 +90,8 @@ def stream_labels(spark, sf):
     """Packet stream to labelled logs: flows, classifier, watchlist, alerts."""
     out = shared_dir(spark, "stream-labels")
     packets = A.packets_of(_stream(spark, sf))
-    running = live.run_stream(
-        packets, model.train_baseline(spark), A.watchlist(spark, sf), out, timeout=P._GAP, decode="http", availableNow=True
-    )
-    running.awaitTermination()
+    fitted, entries = model.train_baseline(spark), A.watchlist(spark, sf)
+    with local_partitions(spark):
+        live.run_stream(packets, fitted, entries, out, timeout=P._GAP, decode="http", availableNow=True).awaitTermination()
     logs = spark.read.parquet(f"{out}/logs")
     return logs.select("src_ip", "dest_ip", "protocol", "total_bytes", "prediction_label", "confidence_score", "watch_id", "connection_state")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,10 +18,28 @@ def to_folder(stream: DataFrame, out: str, checkpoint: str, available_now: bool
     return writer.trigger(**trigger).foreachBatch(lambda df, epoch: write_epoch(df, out, epoch)).start()
 
 
+@contextmanager
+def local_partitions(spark: SparkSession) -> Iterator[None]:
+    """On a single machine, no more state stores per stream than cores.
+
+    Spark fixes the number of state partitions when a stream first starts; on a cluster the setting is
+    the user's and stays as it is.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before, local = spark.conf.get(key), spark.conf.get("spark.master", "").startswith("local")
+    if local:
+        spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over everything that is there now; its output as a table in the shared folder."""
     out = shared_dir(spark, name)
-    to_folder(stream, f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    with local_partitions(spark):
+        to_folder(stream, f"{out}/data", f"{out}/checkpoint").awaitTermination()
     return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{out}/data")
 
 
