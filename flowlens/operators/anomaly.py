@@ -9,7 +9,6 @@ high means odd.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -215,13 +214,3 @@ def device_events(scored: DataFrame) -> DataFrame:
         F.lit("Audit device connection history and inspect local host services.").alias("action"),
         F.lit(None).cast("string").alias("context"),
     )
-
-
-def score_partitions(forest: Forest):
-    """Plain function for streaming state: leaves of new rows and a reference block to scores."""
-
-    def run(leaves: Iterator[bytes], reference: list[bytes]) -> np.ndarray:
-        rows = unpack(leaves)
-        return forest.scores(rows, unpack(reference)) if reference else np.zeros(len(rows))
-
-    return run
