@@ -1,0 +1,168 @@
+"""Main text of web pages by the line-block distribution: markup is stripped to lines, lengths are summed over
+sliding windows of lines, and the text between a surge and the next dive is kept."""
+
+from __future__ import annotations
+
+import html as references
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Lines per window, and the least sum at which text surges when a page names no article.
+WINDOW, SURGE = 3, 86
+
+#: Elements whose content is never text of a page, read up to their end tag.
+RAW = "script|style|title|textarea|noscript|iframe|template|xmp|noembed|noframes|svg|math|select|object"
+TOKEN = re.compile(
+    rf"<!--.*?(?:--!?>|\Z)|<({RAW})(?=[\s/>])[^>]*(?:>.*?(?:</\1(?=[\s/>])[^>]*>?|\Z)|\Z)|<[!?][^>]*>?"
+    r"|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>|[^>]*>?)",
+    re.S | re.I,
+)
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s"
+    " samp small span strike strong sub sup time tt u var wbr img".split()
+)
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+CUT = frozenset("nav footer aside form menu dialog button fieldset".split())
+CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+CUT_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr"
+    " notice notices alert popup modal overlay newsletter subscribe subscription sidebar side widget widgets related"
+    " recommended recommendations share sharing social comment comments commentlist disqus reply replies respond"
+    " discussion menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar pagination pager"
+    " login signin signup search skip".split()
+)
+#: Words that a class of the article itself may hold.
+KEEP_NAMES = frozenset("article content post entry story body main text".split())
+ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+FILLER = re.compile(r"©|\(c\) ?\d{4}|copyright|all rights reserved|cookie|subscribe|sign up|log in|privacy policy|terms of", re.I)
+
+
+def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
+    """Blocks of a page in order: text, characters inside links, whether cut as boilerplate, whether in an article.
+
+    A cut element ends with its end tag. One that never ends is given up where an article begins.
+    """
+    text: list[str] = []
+    linked = in_link = article = 0
+    cut, depth, cut_inside = "", 0, False
+    at = 0
+
+    def block() -> tuple[str, int, bool, bool] | None:
+        nonlocal linked
+        whole = " ".join(references.unescape("".join(text)).split())
+        chars, linked = linked, 0
+        text.clear()
+        return (whole, chars, bool(cut), article > 0) if whole else None
+
+    for m in TOKEN.finditer(page):
+        if m.start() > at:
+            piece = page[at : m.start()]
+            text.append(piece)
+            if in_link:
+                linked += len(piece.strip())
+        at = m.end()
+        name = (m[3] or "").lower()
+        if not name:
+            continue
+        end = m[2] == "/"
+        if name == "a":
+            in_link = 0 if end else 1
+        if name in INLINE and (end or not cut_by(name, m[4] or "", article)):
+            continue
+        if name == "br":
+            text.append(" ")
+            continue
+        if name in VOID:
+            continue
+        if line := block():
+            yield line
+        holds = name in ("article", "main")
+        if cut and holds and not end and not cut_inside and not named_cut(m[4] or ""):
+            cut, depth = "", 0
+        if cut:
+            if name == cut:
+                depth += -1 if end else 1
+            elif cut in ("p", "li", "dt", "dd") and not end and name in ("p", "div", "section", "article", "ul", "li", "dt", "dd", "h1", "h2", "h3"):
+                depth = 0
+            if depth <= 0:
+                cut = ""
+            else:
+                continue
+        if not end and not (m[4] or "").endswith("/>") and cut_by(name, m[4] or "", article):
+            cut, depth, cut_inside = name, 1, article > 0
+        elif holds:
+            article = max(0, article - 1) if end else article + 1
+    text.append(page[at:])
+    if line := block():
+        yield line
+
+
+def named_cut(attributes: str) -> bool:
+    if "=" not in attributes:
+        return False
+    for key, value in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), value.strip("\"'").lower()
+        if key == "role" and value in CUT_ROLES or key == "aria-hidden" and value == "true":
+            return True
+        if key in ("class", "id"):
+            parts = set(re.split(r"[^a-z]+", value))
+            if parts & CUT_NAMES and not (key == "class" and parts & KEEP_NAMES and not parts & {"comment", "comments", "ad", "ads", "related"}):
+                return True
+    return False
+
+
+def cut_by(name: str, attributes: str, article: int) -> bool:
+    """Whether an element is a menu, footer, sidebar, notice, advert, form or comment. A header inside the
+    article holds its title and stays."""
+    return name in CUT or name == "header" and not article or name not in ("html", "body") and named_cut(attributes)
+
+
+def kept(weights: list[int], window: int, surge: int) -> list[bool]:
+    """Which lines lie between a surge (the window that begins there reaches ``surge``) and the next dive (a window of 0)."""
+    sums, total = [0] * len(weights), 0
+    for i in range(len(weights) - 1, -1, -1):
+        total += weights[i] - (weights[i + window] if i + window < len(weights) else 0)
+        sums[i] = total
+    inside, out = False, []
+    for w, s in zip(weights, sums, strict=True):
+        if inside and s == 0:
+            inside = False
+        elif not inside and w > 0 and s >= surge:
+            inside = True
+        out.append(inside)
+    return out
+
+
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+    """The main text of one page; empty if there is none.
+
+    Cut lines and, on a page with an article, lines outside it weigh nothing; other lines weigh their characters
+    outside links. Inside an article any text surges.
+    """
+    found = list(lines(page or ""))
+    has_article = any(inside and not cut for _, _, cut, inside in found)
+    off = [cut or has_article and not inside for _, _, cut, inside in found]
+    if has_article:
+        weights = [0 if o else len(t) for o, (t, *_) in zip(off, found, strict=True)]
+    else:
+        weights = [0 if o or len(t) < surge and FILLER.search(t) else max(0, len(t) - n) for o, (t, n, *_) in zip(off, found, strict=True)]
+    keep = kept(weights, window, 1 if has_article else surge)
+    return " ".join(t for (t, *_), k, w, o in zip(found, keep, weights, off, strict=True) if k and not o and (w or has_article))
+
+
+def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:
+    """page_id, url, text, n_chars of every page.
+
+    Null or empty html gives an empty text; broken markup, missing end tags and very long pages are read to their
+    end; repeated rows give repeated results; an empty table gives none; other columns are not read.
+    """
+
+    def texts(html: pd.Series) -> pd.Series:
+        return html.map(lambda page: main_text(page, window, surge))
+
+    text = F.pandas_udf(texts, "string")(F.col("html"))
+    return pages.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
