@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, mixing, topk, urls
+from . import html, jaccard, licences, mixing, quality, sharding, topk, urls
 from .common import ready, table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.query(table(ready(spark), sf_dir, "embeddings"))
 
@@ -20,15 +25,37 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(table(ready(spark), sf_dir, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(ready(spark), sf_dir, "documents"))
+
+
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(ready(spark), sf_dir, "documents"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(ready(spark), sf_dir, "pages"))
 
 
-SQL = {"op2_topk_search": topk.SQL, "op4_mixing": mixing.SQL}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.query(table(ready(spark), sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_quality_classifier,
+    op2_topk_search,
+    op3_url_filter,
+    op4_mixing,
+    op5_sharding,
+    op7_licence_scan,
+    op8_html_extraction,
+    op10_jaccard_join,
+)
+SQL = {"op2_topk_search": topk.SQL, "op4_mixing": mixing.SQL, "op7_licence_scan": licences.SQL}
 
 
 def queries():
-    return {f.__name__: f for n, f in sorted(globals().items()) if n.startswith("op")}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

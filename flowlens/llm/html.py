@@ -122,11 +122,13 @@ def cut_by(name: str, attributes: str, article: int) -> bool:
 
 
 def kept(weights: list[int], window: int, surge: int) -> list[bool]:
-    """Which lines lie between a surge (the window that begins there reaches ``surge``) and the next dive (a window of 0)."""
+    """Which lines lie between a surge (the window that begins there reaches ``surge``, or the largest sum of a
+    page that stays below it) and the next dive (a window of 0)."""
     sums, total = [0] * len(weights), 0
     for i in range(len(weights) - 1, -1, -1):
         total += weights[i] - (weights[i + window] if i + window < len(weights) else 0)
         sums[i] = total
+    surge = min(surge, max(sums, default=0)) or 1
     inside, out = False, []
     for w, s in zip(weights, sums, strict=True):
         if inside and s == 0:
