@@ -4,24 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import mixing
+from flowlens.llm import bpe, jaccard, mixing, quality
+from flowlens.llm.catalog import tokenizer_path
 from flowlens.llm.common import ready, stored, table
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject (operator 1)."""
+    ready(spark)
+    return quality.stage(docs, table(spark, sf_dir, "labels"))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, by five words and a similarity of 0.8 (operator 10)."""
+    ready(spark)
+    return jaccard.one_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the mix of their sources: repeated for each epoch, gone where the budget ends before them."""
+    """Documents in the mix of their sources: repeated for each epoch, gone where the budget ends before them (operator 4)."""
     ready(spark)
     return mixing.stage(docs)
 
 
-STAGES = [("mixing", mix_sources)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the encoded and decoded texts (operator 6)."""
+    ready(spark)
+    return bpe.encode(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", without_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("BPE encoding and decoding", tokens),
+]
 
-#: Fitted models and hashes are not SQL; tests hold run() against the operators one by one.
+#: A fitted model is not SQL; tests hold run() against brute-force versions of the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ready(spark), sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = stored(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, jaccard, licences, mixing, quality, sharding, topk, urls
+from . import ann, bpe, html, jaccard, licences, mixing, quality, sharding, topk, urls
 from .common import ready, table
 
+#: The tokenizer of the registered query.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
@@ -29,6 +38,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(ready(spark), sf_dir, "documents"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(ready(spark), sf_dir, "documents"), tokenizer_path())
+
+
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(ready(spark), sf_dir, "documents"))
 
@@ -37,6 +50,10 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(ready(spark), sf_dir, "pages"))
 
 
+def op9_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.query(table(ready(spark), sf_dir, "embeddings"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.query(table(ready(spark), sf_dir, "documents"))
 
@@ -47,8 +64,10 @@ QUERIES = (
     op3_url_filter,
     op4_mixing,
     op5_sharding,
+    op6_bpe,
     op7_licence_scan,
     op8_html_extraction,
+    op9_ann_search,
     op10_jaccard_join,
 )
 SQL = {"op2_topk_search": topk.SQL, "op4_mixing": mixing.SQL, "op7_licence_scan": licences.SQL}

@@ -80,7 +80,11 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, tile: int = TILE,
         return pd.DataFrame(found, columns=["query_id", "tile", "score", "vec_id"])
 
     lists = asked.groupBy("tile", "block").cogroup(shards.groupBy("tile", "block")).applyInPandas(one_tile, "query_id long, tile int, score long, vec_id long")
-    # Highest score first, then the smallest id; sorting orders the exact scores and ids themselves.
+    return merged(lists, tiles, k)
+
+
+def merged(lists: DataFrame, tiles: int, k: int) -> DataFrame:
+    """Merge the candidates (query_id, tile, score, vec_id) of every query as a tree, FAN tiles a step."""
     better = "(a, b) -> case when a.score > b.score then -1 when a.score < b.score then 1 when a.vec_id < b.vec_id then -1 when a.vec_id > b.vec_id then 1 else 0 end"
     short = lambda c: F.expr(f"slice(array_sort({c}, {better}), 1, {k})")
     tops = lists.groupBy("query_id", "tile").agg(F.collect_list(F.struct("score", "vec_id")).alias("top"))
