@@ -238,6 +238,23 @@ def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ips.unionByName(domains)
 
 
+def iso_spelling(which: Column) -> Column:
+    """Column ``ts`` as ISO text in eight spellings."""
+    ahead, behind = F.expr("ts + interval 330 minutes"), F.expr("ts - interval 5 hours")
+    year, week = F.extract(F.lit("YEAROFWEEK"), "ts"), F.weekofyear("ts")
+    weekday = F.concat(year.cast("string"), F.lit("-W"), F.lpad(week.cast("string"), 2, "0"), F.lit("-"), F.weekday("ts") + 1)
+    return (
+        F.when(which == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(which == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+0000'"))
+        .when(which == 2, F.date_format(ahead, "yyyy-MM-dd'T'HH:mm:ss'+0530'"))
+        .when(which == 3, F.date_format(behind, "yyyy-MM-dd'T'HH:mm:ss'-05'"))
+        .when(which == 4, F.date_format("ts", "yyyy-MM-dd'T'HH"))
+        .when(which == 5, F.date_format("ts", "yyyy-MM-dd'T'HHmm"))
+        .when(which == 6, F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'"))
+        .otherwise(weekday)
+    )
+
+
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foreign records with the usual faults, all strings, under alias headers."""
     base = event_base(table(spark, sf_dir, "events"))
@@ -247,7 +264,7 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     when = (
         F.when(k % 8 == 0, secs.cast("string"))
         .when(k % 8 == 1, F.unix_millis("ts").cast("string"))
-        .when(k % 8 == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .when(k % 8 == 2, iso_spelling(ident % 8))
         .when(k % 8 == 3, F.date_format("ts", "dd/MM/yyyy HH:mm:ss"))
         .when(k % 8 == 4, F.date_format("ts", "yyyy/MM/dd HH:mm:ss"))
         .when(k % 8 == 5, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
@@ -275,8 +292,8 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         _by_type("443", "80", "53", "8443", "22").alias("dport"),
         proto.alias("proto"),
         when.alias("ts"),
-        F.when(k == 31, "-3").when(k == 32, "abc").when(k == 33, "inf").otherwise(F.concat(text, F.lit(".5"))).alias("dur"),
-        F.when(k == 41, "").when(k == 42, "NaN").otherwise(sbytes).alias("sbytes"),
+        F.when(k == 31, "-3").when(k == 32, "abc").when(k == 33, "inf").when(k == 34, "1.5e+005").when(k == 35, "2.5E-003").when(k == 36, "1e100").otherwise(F.concat(text, F.lit(".5"))).alias("dur"),
+        F.when(k == 41, "").when(k == 42, "NaN").when(k == 43, "1.5e+003").otherwise(sbytes).alias("sbytes"),
         dbytes.alias("dbytes"),
         F.when(k % 3 == 0, "0").when(k % 3 == 1, "9999").otherwise("").alias("bytes"),
         (k % 7).cast("string").alias("spkts"),

@@ -10,16 +10,21 @@ from pyspark.sql import functions as F
 
 # What counts as blank around a value, and the characters of a decimal number.
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
-# A decimal number as people write it; underscores may stand between digits. The lengths keep the value
-# finite: a number too large for a double is no number here.
-_DIGITS = "[0-9]{1,100}+(?:_[0-9]{1,100}+)*+"
-NUMBER = rf"^[+-]?+(?:{_DIGITS}\.?+(?:{_DIGITS})?+|\.{_DIGITS})(?:[eE][+-]?+[0-9]{{1,2}})?+$"
+# A decimal number as people write it; underscores may stand between digits.
+_DIGITS = "[0-9]++(?:_[0-9]++)*+"
+NUMBER = rf"^[+-]?+(?:{_DIGITS}\.?+(?:{_DIGITS})?+|\.{_DIGITS})(?:[eE][+-]?+{_DIGITS})?+$"
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"({_OCTET}\.){{3}}{_OCTET}"
+# Extended and basic dates, week dates, any one character before the time, cut-off times, zones without a colon.
 ISO_TIME = (
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
-    r"([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6}[0-9]*)?)?([+-][0-9]{2}:[0-9]{2})?)?$"
+    r"^(?:([0-9]{4})-([0-9]{2})-([0-9]{2})|([0-9]{4})([0-9]{2})([0-9]{2})"  # 1-6: calendar
+    r"|([0-9]{4})-W([0-9]{2})(?:-([1-7]))?|([0-9]{4})W([0-9]{2})([1-7])?)"  # 7-12: week
+    r"(?:.([0-9]{2})(?::([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]+))?)?|([0-9]{2})(?:([0-9]{2})(?:[.,]([0-9]+))?)?)?"  # 13-19: clock
+    r"(?:([+-])([0-9]{2})(?::([0-9]{2})(?::([0-9]{2})(?:[.][0-9]+)?)?|([0-9]{2})(?:([0-9]{2})(?:[.][0-9]+)?)?)?)?)?$"  # 20-25: zone
 )
+# The same groups side by side: year, month, day, week year, week, weekday, hour, minute, second, fraction, sign,
+# hours, minutes, seconds of the zone. Of two spellings one is empty.
+ISO_PARTS = "$1$4|$2$5|$3$6|$7$10|$8$11|$9$12|$13|$14$17|$15$18|$16$19|$20|$21|$22$24|$23$25"
 
 
 def _ipv6_pattern() -> str:
@@ -63,14 +68,15 @@ def valid_ip(text: Column) -> Column:
 
 
 def to_number(value: Column) -> Column:
-    """The value as a double if it is written as a finite decimal number, else null.
+    """The value as a double if it is written as a finite decimal number, else null (also when it is too large).
 
     The pattern keeps out what only Java reads as a number (``1d``, ``0x1p3``, ``Infinity``), and text
     that would fail in the cast, which costs an exception per value.
     """
     text = strip(value)
     written = F.when(text.rlike(NUMBER), F.replace(text, F.lit("_"), F.lit("")))
-    return written.try_cast("double")
+    number = written.try_cast("double")
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
 def clean_port(value: Column) -> Column:
@@ -126,8 +132,6 @@ _CLOCK = "[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"
 # Shape of the text -> layouts tried on it. A layout is only tried on text of its shape:
 # a failed attempt costs an exception.
 LAYOUTS = {
-    r"^[0-9]{8}$": ("yyyyMMdd",),
-    r"^[0-9]{8}T[0-9]{6}$": ("yyyyMMdd'T'HHmmss",),
     rf"^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}} {_CLOCK}$": ("yyyy-M-d H:m:s",),
     rf"^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}} {_CLOCK}\.[0-9]{{1,6}}$": (
         "yyyy-M-d H:m:s[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]",
@@ -152,18 +156,43 @@ def time_of(text: Column, number: Column) -> Column:
         F.when((number > 1e11) & (number < 253402300800e3), number / 1000.0)
         .when((number > 1e8) & (number <= 1e11), number)
     )
-    iso = F.replace(F.replace(text, F.lit("Z"), F.lit("+00:00")), F.lit(","), F.lit("."))
     tried = [
         F.when(text.rlike(shape), F.coalesce(*[F.try_to_timestamp(text, F.lit(x)) for x in layouts]))
         for shape, layouts in LAYOUTS.items()
     ]
     return F.coalesce(
         F.timestamp_micros(F.rint(seconds * 1e6).cast("long")),
-        F.when(iso.rlike(ISO_TIME), iso).try_cast("timestamp"),
+        iso_time(text),
         *tried,
     )
 
 
+def iso_time(text: Column) -> Column:
+    """ISO 8601 text as a time, null for other text and dates that do not exist. Digits beyond microseconds are cut."""
+    plain = F.replace(text, F.lit("Z"), F.lit("+00:00"))
+
+    def of(p: Column) -> Column:
+        year, week, day = p[3].try_cast("int"), p[4].try_cast("int"), F.coalesce(p[5].try_cast("int"), F.lit(1))
+        fourth = F.make_date(year, F.lit(1), F.lit(4))  # always in the first week
+        weeks = F.weekofyear(F.make_date(year, F.lit(12), F.lit(28)))
+        by_week = F.when(week.between(1, weeks), F.date_add(F.trunc(fourth, "week"), (week - 1) * 7 + day - 1))
+        date = F.when(p[3] == "", F.concat_ws("-", p[0], p[1], p[2])).otherwise(by_week.cast("string"))
+
+        def or_zero(x: Column) -> Column:
+            return F.when(x == "", "00").otherwise(x)
+
+        fraction = F.rpad(F.substring(p[9], 1, 6), 6, "0")
+        clock = F.concat(or_zero(p[6]), F.lit(":"), or_zero(p[7]), F.lit(":"), or_zero(p[8]), F.lit("."), fraction)
+        zoned = p[10] != ""
+        local = F.concat(date, F.lit(" "), clock, F.when(zoned, "+00:00").otherwise("")).try_cast("timestamp")
+        apart = or_zero(p[11]).cast("int") * 3600 + or_zero(p[12]).cast("int") * 60 + or_zero(p[13]).cast("int")
+        shift = F.when(p[10] == "-", -apart).otherwise(apart) * F.lit(1_000_000).cast("long")
+        return F.when(~zoned, local).when(apart < 86_400, F.timestamp_micros(F.unix_micros(local) - shift))
+
+    parts = F.split(F.regexp_replace(plain, ISO_TIME, ISO_PARTS), r"\|")
+    return F.when(plain.rlike(ISO_TIME), let(parts, of))
+
+
 def at_least(number: Column, default: float = 0.0, floor: float = 0.0) -> Column:
     return F.greatest(F.coalesce(number, F.lit(default)), F.lit(floor))
 

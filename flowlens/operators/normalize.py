@@ -269,10 +269,12 @@ def to_features(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     )
 
 
-def validation_counts(df: DataFrame, order: str | None = None, n: int | None = 200) -> DataFrame:
-    """Valid, invalid and warning rows among the first ``n`` rows (``None``: all rows)."""
+def validation_counts(df: DataFrame, order: str | None = None, n: int | None = None) -> DataFrame:
+    """Valid, invalid and warning rows among all rows, or among the first ``n`` rows by ``order``."""
     if n is not None:
-        df = df.orderBy(order).limit(n) if order else df.limit(n)
+        if order is None:
+            raise ValueError("the first rows need an order")
+        df = df.orderBy(order).limit(n)
     return df.agg(
         F.count(F.lit(1)).alias("sample_validated"),
         F.count_if(F.size("errors") == 0).alias("valid_count"),

@@ -5,16 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A watchlist is sent to every task only below this many entries; beyond it Spark joins by shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def _sized(entries: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Broadcast hint only after counting (stops one row past the bound)."""
-    few = entries.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return F.broadcast(entries) if few else entries
-
-
 def address_entries(watchlist: DataFrame) -> DataFrame:
     """One entry per address; of repeated values the last one counts."""
     return (
@@ -33,7 +23,7 @@ def domain_entries(watchlist: DataFrame) -> DataFrame:
     )
 
 
-def text_hits(texts: DataFrame, column: str, entries: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def text_hits(texts: DataFrame, column: str, entries: DataFrame) -> DataFrame:
     """``(column, entry_id)``: for each text the first entry whose key occurs in it.
 
     Substring search as an equality join: every stretch of the text that is as long as some key is
@@ -51,27 +41,27 @@ def text_hits(texts: DataFrame, column: str, entries: DataFrame, broadcast_rows:
     parts = F.array_distinct(F.flatten(F.transform(F.col("__sizes"), stretches)))
     lookups = texts.select(column, sizes.alias("__sizes")).select(column, F.explode(parts).alias("key"))
     return (
-        lookups.join(_sized(entries, broadcast_rows), "key")
+        lookups.join(entries, "key")
         .groupBy(column)
         .agg(F.min(F.struct("place", "entry_id")).alias("hit"))
         .select(column, F.col("hit.entry_id").alias("entry_id"))
     )
 
 
-def match_watchlist(flows: DataFrame, watchlist: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def match_watchlist(flows: DataFrame, watchlist: DataFrame) -> DataFrame:
     """Flows with ``watch_id`` and ``watch_side`` (src, dest, info), null if nothing matches.
 
     The source address goes before the destination, addresses before domains; of several domains
     the first of the list counts.
     """
-    ips = _sized(address_entries(watchlist), broadcast_rows)
+    ips = address_entries(watchlist)
     by_src = ips.select(F.col("key").alias("src_ip"), F.col("entry_id").alias("__src"))
     by_dest = ips.select(F.col("key").alias("dest_ip"), F.col("entry_id").alias("__dest"))
     joined = flows.join(by_src, "src_ip", "left").join(by_dest, "dest_ip", "left")
 
     # Each distinct text is searched once, however many flows carry it.
     texts = flows.where(F.col("info") != "").select("info").distinct()
-    by_info = text_hits(texts, "info", domain_entries(watchlist), broadcast_rows)
+    by_info = text_hits(texts, "info", domain_entries(watchlist))
     # Flows without a text must not meet in one task: spread them over keys that match nothing.
     spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("src_ip", "dest_ip", "timestamp"), F.lit(4096)).cast("string"))
     joined = joined.withColumn("__text", F.coalesce(F.nullif(F.col("info"), F.lit("")), spread))
@@ -90,7 +80,7 @@ def match_watchlist(flows: DataFrame, watchlist: DataFrame, broadcast_rows: int
     )
 
 
-def attach_entry(matched: DataFrame, watchlist: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def attach_entry(matched: DataFrame, watchlist: DataFrame) -> DataFrame:
     """Value and label of the matched entry."""
     entries = watchlist.select(
         F.col("id").alias("__id"), F.col("value").alias("watch_value"), F.col("label").alias("watch_label")
@@ -99,7 +89,7 @@ def attach_entry(matched: DataFrame, watchlist: DataFrame, broadcast_rows: int =
     key = F.coalesce("watch_id", -1 - F.pmod(F.xxhash64("src_ip", "dest_ip", "timestamp"), F.lit(4096)))
     return (
         matched.withColumn("__key", key)
-        .join(_sized(entries, broadcast_rows), F.col("__key") == F.col("__id"), "left")
+        .join(entries, F.col("__key") == F.col("__id"), "left")
         .drop("__key", "__id")
     )
 

@@ -140,7 +140,7 @@ def read_eve(spark, sf):
 FROM logs WHERE protocol ILIKE '%http%' ORDER BY timestamp DESC, logs.id DESC LIMIT 5000""",
 )
 def export_research(spark, sf):
-    return exports.research_rows(A.logs(spark, sf), protocol="http")
+    return exports.research_rows(A.logs(spark, sf), protocol="http", limit=5000)
 
 
 @query(
@@ -151,7 +151,7 @@ def export_research(spark, sf):
   connection_state AS "TCP State" FROM logs ORDER BY logs.timestamp DESC, logs.id DESC LIMIT 1000""",
 )
 def export_report(spark, sf):
-    return exports.report_rows(A.logs(spark, sf))
+    return exports.report_rows(A.logs(spark, sf), limit=1000)
 
 
 @query(

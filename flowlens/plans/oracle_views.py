@@ -115,13 +115,19 @@ VIEWS = {
               ELSE CASE WHEN k < 50 THEN '' ELSE '1' END END AS proto,
          CASE k % 8 WHEN 0 THEN CAST(epoch_us(ts) // 1000000 AS VARCHAR)
                     WHEN 1 THEN CAST(epoch_us(ts) // 1000 AS VARCHAR)
-                    WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ')
+                    WHEN 2 THEN CASE event_id % 8 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ')
+                         WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+0000')
+                         WHEN 2 THEN strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%dT%H:%M:%S+0530')
+                         WHEN 3 THEN strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%dT%H:%M:%S-05')
+                         WHEN 4 THEN strftime(ts, '%Y-%m-%dT%H') WHEN 5 THEN strftime(ts, '%Y-%m-%dT%H%M')
+                         WHEN 6 THEN strftime(ts, '%Y%m%dT%H%M%SZ') ELSE strftime(ts, '%G-W%V-%u') END
                     WHEN 3 THEN strftime(ts, '%d/%m/%Y %H:%M:%S')
                     WHEN 4 THEN strftime(ts, '%Y/%m/%d %H:%M:%S')
                     WHEN 5 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
                     WHEN 6 THEN 'soon' ELSE '' END AS time,
-         CASE k WHEN 31 THEN '-3' WHEN 32 THEN 'abc' WHEN 33 THEN 'inf' ELSE CAST(k AS VARCHAR) || '.5' END AS dur,
-         CASE k WHEN 41 THEN '' WHEN 42 THEN 'NaN' ELSE CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR) END AS sbytes,
+         CASE k WHEN 31 THEN '-3' WHEN 32 THEN 'abc' WHEN 33 THEN 'inf' WHEN 34 THEN '1.5e+005' WHEN 35 THEN '2.5E-003'
+                WHEN 36 THEN '1e100' ELSE CAST(k AS VARCHAR) || '.5' END AS dur,
+         CASE k WHEN 41 THEN '' WHEN 42 THEN 'NaN' WHEN 43 THEN '1.5e+003' ELSE CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR) END AS sbytes,
          CAST(CAST(floor(value * 37) AS BIGINT) AS VARCHAR) AS dbytes,
          CASE k % 3 WHEN 0 THEN '0' WHEN 1 THEN '9999' ELSE '' END AS bytes,
          CAST(k % 7 AS VARCHAR) AS spkts, CAST(event_id % 5 AS VARCHAR) AS dpkts,
@@ -147,14 +153,18 @@ VIEWS = {
          CASE WHEN time = '' THEN TIMESTAMP '2024-01-31 00:00:00'
               WHEN k % 8 = 0 THEN make_timestamp(CAST(time AS BIGINT) * 1000000)
               WHEN k % 8 = 1 THEN make_timestamp(CAST(time AS BIGINT) * 1000)
+              WHEN k % 8 = 2 AND row_id % 8 = 1 THEN seen
+              WHEN k % 8 = 2 AND row_id % 8 = 4 THEN date_trunc('hour', seen)
+              WHEN k % 8 = 2 AND row_id % 8 = 5 THEN date_trunc('minute', seen)
+              WHEN k % 8 = 2 AND row_id % 8 = 7 THEN date_trunc('day', seen)
               WHEN time <> 'soon' THEN date_trunc('second', seen) END AS ts,
          time, sport AS raw_sport, src AS raw_src, dest AS raw_dest,
          CASE WHEN dur = 'inf' OR try_cast(dur AS DOUBLE) IS NULL THEN 0.0 ELSE greatest(CAST(dur AS DOUBLE), 0.0) END
            AS duration,
-         coalesce(CASE WHEN sbytes <> 'NaN' THEN try_cast(sbytes AS BIGINT) END, 0) AS src_bytes,
+         coalesce(CASE WHEN sbytes <> 'NaN' THEN CAST(trunc(try_cast(sbytes AS DOUBLE)) AS BIGINT) END, 0) AS src_bytes,
          CAST(dbytes AS BIGINT) AS dest_bytes,
          CASE WHEN bytes = '9999' THEN 9999
-              ELSE coalesce(CASE WHEN sbytes <> 'NaN' THEN try_cast(sbytes AS BIGINT) END, 0) + CAST(dbytes AS BIGINT) END
+              ELSE coalesce(CASE WHEN sbytes <> 'NaN' THEN CAST(trunc(try_cast(sbytes AS DOUBLE)) AS BIGINT) END, 0) + CAST(dbytes AS BIGINT) END
            AS total_bytes,
          CAST(spkts AS BIGINT) AS src_pkts, CAST(dpkts AS BIGINT) AS dest_pkts,
          CASE WHEN packets = '12' THEN 12 ELSE greatest(1, CAST(spkts AS BIGINT) + CAST(dpkts AS BIGINT)) END AS packet_count,

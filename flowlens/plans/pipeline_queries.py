@@ -137,7 +137,7 @@ def normalize_features(spark, sf):
   count(*) FILTER (len(errors) > 0) AS invalid_count, count(*) FILTER (len(warnings) > 0) AS warning_count FROM checked""",
 )
 def validation_counts(spark, sf):
-    return normalize.validation_counts(_normalized(spark, sf), n=None)
+    return normalize.validation_counts(_normalized(spark, sf))
 
 
 @query(
@@ -292,8 +292,8 @@ _IOC = r"""lines AS (SELECT doc_id, generate_subscripts(l, 1) AS line, trim(unne
     UNION ALL
     SELECT doc_id, line, 'domain', unnest(regexp_extract_all(text, '\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}\b'))
       FROM lines WHERE text <> '' AND text NOT LIKE '#%'),
-  good AS (SELECT * FROM found WHERE entry_type = 'domain' OR len(list_filter(string_split(value, '.'),
-      lambda o: regexp_full_match(o, '0|[1-9][0-9]{0,2}') AND CAST(o AS INTEGER) <= 255)) = 4),
+  good AS (SELECT * FROM found WHERE CASE WHEN entry_type = 'domain' THEN NOT regexp_matches(value, '^([0-9]{1,3}\.){3}[0-9]{1,3}\b') ELSE len(list_filter(string_split(value, '.'),
+      lambda o: regexp_full_match(o, '0|[1-9][0-9]{0,2}') AND CAST(o AS INTEGER) <= 255)) = 4 END),
   feed AS (SELECT value, min({'f': doc_id, 'l': line}) AS place, min(entry_type) AS entry_type FROM good GROUP BY value)"""
 
 

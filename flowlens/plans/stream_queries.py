@@ -14,13 +14,19 @@ from ..session import shared_dir
 from ..sources.streams import stream_table
 from ..streaming import state
 from ..streaming.flows import build_flows_stream
-from ..streaming.run import drain, local_partitions
+from ..streaming.run import drain as drain_stream
+from ..streaming.run import state_partitions
 from . import live
 from . import pipeline_queries as P
 from .oracle_views import iso, with_views
 from .registry import query
 
 
+def drain(spark, stream, name):
+    """As many state stores as the session has cores: the test tables are small."""
+    return drain_stream(spark, stream, name, spark.sparkContext.defaultParallelism)
+
+
 def _stream(spark, sf):
     """The events file as a stream."""
     schema = A.table(spark, sf, "events").schema
@@ -91,7 +97,7 @@ def stream_labels(spark, sf):
     out = shared_dir(spark, "stream-labels")
     packets = A.packets_of(_stream(spark, sf))
     fitted, entries = model.train_baseline(spark), A.watchlist(spark, sf)
-    with local_partitions(spark):
+    with state_partitions(spark, spark.sparkContext.defaultParallelism):
         live.run_stream(packets, fitted, entries, out, timeout=P._GAP, decode="http", availableNow=True).awaitTermination()
     logs = spark.read.parquet(f"{out}/logs")
     return logs.select("src_ip", "dest_ip", "protocol", "total_bytes", "prediction_label", "confidence_score", "watch_id", "connection_state")

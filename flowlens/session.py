@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,14 +55,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the one the cluster names in ``spark.checkpoint.dir``.
 
     Executors can be lost, so anything written between two steps has to live where every
-    executor can read it again. Only a local session may fall back to a local folder.
+    executor can read it again. Without that setting a folder of the warehouse is used, which is shared as well.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="flowlens-")
-        spark.conf.set(CHECKPOINT_KEY, root)
+    root = spark.conf.get(CHECKPOINT_KEY, None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -82,15 +82,22 @@ def shaped(logs: DataFrame, columns: dict[str, str]) -> DataFrame:
     return logs.select(*[value(c).alias(name) for name, c in columns.items()])
 
 
-def research_rows(logs: DataFrame, protocol: str | None = None, prediction_label: str | None = None, search_ip: str | None = None) -> DataFrame:
-    """Filtered rows, newest first, at most 5000 (the size of this export)."""
+def newest_first(logs: DataFrame, limit: int | None) -> DataFrame:
+    """All rows, or a page of them, in the order of the lists."""
+    return logs.orderBy(F.col("timestamp").desc(), F.col("id").desc()) if limit is None else page(logs, limit)
+
+
+def research_rows(
+    logs: DataFrame, protocol: str | None = None, prediction_label: str | None = None, search_ip: str | None = None, limit: int | None = None
+) -> DataFrame:
+    """Filtered rows, newest first."""
     found = search(logs, protocol=protocol, prediction_label=prediction_label, search_ip=search_ip)
-    return shaped(page(found, 5000), RESEARCH_COLUMNS)
+    return shaped(newest_first(found, limit), RESEARCH_COLUMNS)
 
 
-def report_rows(logs: DataFrame) -> DataFrame:
-    """The newest 1000 logs (the size of this export)."""
-    return shaped(page(logs, 1000), REPORT_COLUMNS)
+def report_rows(logs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Logs, newest first."""
+    return shaped(newest_first(logs, limit), REPORT_COLUMNS)
 
 
 def batch_rows(logs: DataFrame, batch_id: int, columns: dict[str, str] = BATCH_COLUMNS) -> DataFrame:

@@ -28,7 +28,9 @@ def indicators_of_lines(lines: DataFrame) -> DataFrame:
         return F.transform(values, lambda v: F.struct(v.alias("value"), F.lit(kind).alias("entry_type")))
 
     hits = lines.select("feed", "line", F.inline(F.concat(found(IPV4_TEXT, "ipv4"), found(DOMAIN_TEXT, "domain"))))
-    hits = hits.where((F.col("entry_type") == "domain") | F.col("value").rlike(f"^{IPV4}$"))
+    # A domain that begins with something like an address is left out, an address must be a real one.
+    domain = ~F.col("value").rlike(f"^{IPV4_TEXT}")
+    hits = hits.where(F.when(F.col("entry_type") == "domain", domain).otherwise(F.col("value").rlike(f"^{IPV4}$")))
     first = hits.groupBy("value").agg(F.min(F.struct("feed", "line", "entry_type")).alias("at"))
     return first.select("value", "at.entry_type", "at.feed", "at.line")
 

@@ -19,26 +19,25 @@ def to_folder(stream: DataFrame, out: str, checkpoint: str, available_now: bool
 
 
 @contextmanager
-def local_partitions(spark: SparkSession) -> Iterator[None]:
-    """On a single machine, no more state stores per stream than cores.
+def state_partitions(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    """Streams started inside have this many state stores (None: as the session says).
 
-    Spark fixes the number of state partitions when a stream first starts; on a cluster the setting is
-    the user's and stays as it is.
+    Spark fixes the number of state partitions when a stream first starts.
     """
     key = "spark.sql.shuffle.partitions"
-    before, local = spark.conf.get(key), spark.conf.get("spark.master", "").startswith("local")
-    if local:
-        spark.conf.set(key, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    before = spark.conf.get(key)
+    if partitions is not None:
+        spark.conf.set(key, str(partitions))
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
-def drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+def drain(spark: SparkSession, stream: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Run a stream over everything that is there now; its output as a table in the shared folder."""
     out = shared_dir(spark, name)
-    with local_partitions(spark):
+    with state_partitions(spark, partitions):
         to_folder(stream, f"{out}/data", f"{out}/checkpoint").awaitTermination()
     return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{out}/data")
 

@@ -147,8 +147,7 @@ WATCH = [
 ]
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 1000])
-def test_watchlist(spark, broadcast_rows):
+def test_watchlist(spark):
     flows = [
         (1, "10.0.0.66", "1.1.1.1", "x"), (2, "1.1.1.1", "2001:db8::1", "evil"), (3, "1.1.1.1", "2.2.2.2", "DNS Query: sub.EVIL.example"),
         (4, "1.1.1.1", "2.2.2.2", "devil"), (5, "1.1.1.1", "2.2.2.2", None), (6, "1.1.1.1", "2.2.2.2", ""), (7, "1.1.1.1", "2.2.2.2", "bad.example.or"),
@@ -156,7 +155,7 @@ def test_watchlist(spark, broadcast_rows):
     ]
     df = spark.createDataFrame([(*f, START) for f in flows], "id int, src_ip string, dest_ip string, info string, timestamp timestamp")
     entries = spark.createDataFrame(WATCH, "id long, value string, entry_type string, label string")
-    got = watchlist.attach_entry(watchlist.match_watchlist(df, entries, broadcast_rows), entries, broadcast_rows)
+    got = watchlist.attach_entry(watchlist.match_watchlist(df, entries), entries)
     assert {r.id: (r.watch_id, r.watch_side, r.watch_label) for r in got.collect()} == {
         1: (6, "src", "again"), 2: (2, "dest", "b"), 3: (3, "info", "c"), 4: (4, "info", "d"), 5: (None, None, None),
         6: (None, None, None), 7: (None, None, None), 8: (6, "src", "again"), 9: (5, "info", "e"),

@@ -83,7 +83,7 @@ def test_records(spark):
 
 def test_counts_and_rejections(spark):
     df = normalized(spark)
-    assert df.transform(N.validation_counts, n=None).head().asDict() == {
+    assert df.transform(N.validation_counts).head().asDict() == {
         "sample_validated": 4, "valid_count": 2, "invalid_count": 2, "warning_count": 1,
     }
     assert N.validation_counts(df, ROW_ID, 1).head().sample_validated == 1
