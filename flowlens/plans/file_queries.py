@@ -37,10 +37,12 @@ def _raw(spark, sf):
     return A.raw_records(spark, sf).drop("row_id")
 
 
-@query("read_csv", _RECORDS)
+@query("read_csv", _RECORDS.replace(" info,", " replace(info, 'evil46.', 'evil46' || chr(10) || '.') AS info,"))
 def read_csv(spark, sf):
+    """A quoted cell with a line break is one cell."""
     path = shared_dir(spark, "csv")
-    _raw(spark, sf).write.csv(path, header=True, sep=";", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    raw = _raw(spark, sf).withColumn("host", F.replace(F.col("host"), F.lit("evil46."), F.lit("evil46\n.")))
+    raw.write.csv(path, header=True, sep=";", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return _shown(files.read_flows(spark, path, as_of(), fmt="csv"))
 
 
@@ -53,27 +55,19 @@ def read_jsonl(spark, sf):
 
 @query("read_json_documents", _RECORDS)
 def read_json_documents(spark, sf):
-    """Documents of 64 records each, under a key next to other fields."""
+    """Files of up to 512 records each, under a key next to other fields."""
     path = shared_dir(spark, "json")
     raw = _raw(spark, sf)
     record = F.struct(*[F.col(f"`{c}`") for c in raw.columns])
     docs = (
         A.raw_records(spark, sf)
-        .select(F.floor(F.col("row_id") / 64).alias("part"), record.alias("r"))
+        .select(F.floor(F.col("row_id") / 512).alias("part"), record.alias("r"))
         .groupBy("part")
         .agg(F.collect_list("r").alias("flows"))
-        .select(F.to_json(F.struct(F.lit("export").alias("kind"), "flows")).alias("value"))
+        .select("part", F.to_json(F.struct(F.lit("export").alias("kind"), "flows")).alias("value"))
     )
-    return _shown(_documents(spark, docs, path))
-
-
-def _documents(spark, docs, path):
-    """Documents as rows of a table instead of one tiny file each; the reader's steps after the scan."""
-    docs.write.parquet(path)
-    records = files.document_records(spark.read.parquet(path))
-    raw = files.json_rows(records).withColumn(files.ROW_ID, F.monotonically_increasing_id())
-    mapping = files.auto_mapping(files.headers(raw), "json")
-    return files.normalize(raw, mapping, as_of(), fmt="json", keep=[files.ROW_ID])
+    docs.write.partitionBy("part").text(path)
+    return _shown(files.read_flows(spark, path, as_of(), fmt="json"))
 
 
 _ZEEK = {
@@ -90,13 +84,21 @@ _ZEEK = {
   greatest(1, src_pkts + dest_pkts) AS packet_count, info FROM checked WHERE len(errors) = 0""",
 )
 def read_zeek(spark, sf):
-    """Connection logs, one column of whole lines whose name is the header; ``-`` stands for nothing."""
+    """Connection logs whose layout changes inside the file; ``-`` stands for nothing."""
     path = shared_dir(spark, "zeek")
     raw = A.raw_records(spark, sf)
-    cells = [F.when(F.trim(F.col(f"`{c}`")) == "", "-").otherwise(F.col(f"`{c}`")) for c in _ZEEK.values()]
-    names = list(_ZEEK)
-    line = F.concat_ws("\t", *cells).alias("#fields\t" + "\t".join(_ZEEK))
-    raw.select(line).write.option("comment", "\u0002").csv(path, header=True, sep="\u0001", quote="\u0003", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+    def line(names):
+        cells = [F.when(F.trim(F.col(f"`{c}`")) == "", "-").otherwise(F.col(f"`{c}`")) for c in names.values()]
+        return F.concat_ws("\t", *cells)
+
+    turned = dict(reversed(_ZEEK.items()))
+    other, run = F.col("row_id") % 1000 >= 500, F.floor(F.col("row_id") / 1000).alias("run")
+    lines = raw.select(run, F.col("row_id").alias("at"), F.lit(1).alias("kind"), F.when(other, line(turned)).otherwise(line(_ZEEK)).alias("value"))
+    head = F.when(other, "#fields\t" + "\t".join(turned)).otherwise("#fields\t" + "\t".join(_ZEEK))
+    heads = raw.where("row_id % 500 = 0").select(run, F.col("row_id").alias("at"), F.lit(0).alias("kind"), head.alias("value"))
+    ordered = lines.unionByName(heads).repartition("run").sortWithinPartitions("run", "at", "kind")
+    ordered.select("run", "value").write.partitionBy("run").text(path)
     flows = valid_rows(files.read_flows(spark, path, as_of(), fmt="zeek"))
     return _shown(flows).drop("ground_truth_label", "errors", "warnings")
 

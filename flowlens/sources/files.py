@@ -99,10 +99,11 @@ def delimiter(first_line: str) -> str:
     return ","
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], sep: str | None = None, multiline: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | Sequence[str], sep: str | None = None, multiline: bool = True) -> DataFrame:
     """CSV files of one layout, all columns strings, header names trimmed, nameless columns dropped.
 
-    ``multiline`` allows line breaks inside quotes and costs the splitting of large files.
+    A quoted cell may hold line breaks, so a file is read by one task. ``multiline=False`` splits large files; it is
+    only right for files without such cells.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if sep is None:
@@ -150,44 +151,47 @@ def document_records(docs: DataFrame, value: str = "value") -> DataFrame:
 
 def read_json(spark: SparkSession, path: str | Sequence[str], keys: Sequence[str] | None = None) -> DataFrame:
     """JSON documents, one file per row; a malformed document is an error."""
-    docs = spark.read.text(path, wholetext=True)
+    docs = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     broken = F.raise_error(F.concat(F.lit("malformed JSON document "), F.input_file_name()))
     checked = docs.select(F.when(F.try_parse_json("value").isNotNull(), F.col("value")).otherwise(broken).alias("value"))
     return json_rows(_numbered(document_records(checked)), keys=keys)
 
 
-def zeek_rows(lines: DataFrame, header: Sequence[str], value: str = "value") -> DataFrame:
-    """Data lines of a Zeek log by its field names; ``-`` and missing values are empty."""
-    body = strip(F.col(value))
-    others = [c for c in lines.columns if c != value]
-    cells = lines.where((body != "") & ~body.startswith("#")).select(*others, F.split(body, "\t").alias("__v"))
-
-    def cell(i: int) -> Column:
-        raw = F.get("__v", F.lit(i))
-        return F.when(raw.isNull() | (raw == "-"), "").otherwise(raw)
-
-    return cells.select(*others, *[cell(i).alias(name) for i, name in enumerate(header)])
-
+def zeek_rows(lines: DataFrame, place: Column, file: Column, value: str = "value") -> DataFrame:
+    """Data lines of Zeek logs as string columns, one per field name; ``-`` and missing values are empty.
 
-def read_zeek(spark: SparkSession, path: str) -> DataFrame:
-    """Zeek TSV logs. Files are grouped by their ``#fields`` line, so layouts may differ."""
-    lines = spark.read.text(path)
-    heads = (
-        lines.where(F.col("value").startswith("#fields"))
-        .groupBy(F.col("_metadata.file_path").alias("file"))
-        .agg(F.max("value").alias("head"))  # one line per file, like the file listing itself
-        .collect()
-    )
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for row in heads:
-        layouts.setdefault(tuple(row.head.split()[1:]), []).append(row.file)
-    if not layouts:
-        raise ValueError(f"{path}: no #fields line")
-    out = None
-    for header, files in layouts.items():
-        part = zeek_rows(_numbered(spark.read.text(files)), header)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    A line has the fields of the last ``#fields`` line above it in its file, so layouts may differ between files and
+    change inside one. ``place`` orders the lines of a file. Lines before any header are skipped; a field that the
+    layout of a line lacks is null.
+    """
+    others = [c for c in lines.columns if c != value]
+    body = strip(F.col(value))
+    placed = lines.select(*others, body.alias("__body"), place.alias("__place"), file.alias("__file")).where(F.col("__body") != "")
+    fields = F.filter(F.split("__body", r"\s+"), lambda x: x != "")
+    heads = placed.where(F.col("__body").startswith("#fields")).select("__file", "__place", F.slice(fields, 2, F.greatest(F.size(fields), F.lit(1))).alias("names"))
+    names = sorted(r.n for r in heads.select(F.explode("names").alias("n")).distinct().collect())  # field names only
+    if not names:
+        raise ValueError("no #fields line")
+    # A file has few layouts; the last one above a line is picked from them.
+    layouts = heads.groupBy("__file").agg(F.array_sort(F.collect_list(F.struct(F.col("__place").alias("at"), "names"))).alias("__layouts"))
+    above = F.filter("__layouts", lambda h: h["at"] < F.col("__place"))
+    cells = placed.where(~F.col("__body").startswith("#")).join(layouts, "__file")
+    cells = cells.select(*others, F.split("__body", "\t").alias("__v"), F.try_element_at(above, F.lit(-1))["names"].alias("__names"))
+    cells = cells.where(F.col("__names").isNotNull())
+
+    def cell(name: str) -> Column:
+        at = F.array_position("__names", name)
+        raw = F.get("__v", (at - 1).cast("int"))
+        return F.when(at > 0, F.when(raw.isNull() | (raw == "-"), "").otherwise(raw))
+
+    return cells.select(*others, *[cell(name).alias(name) for name in names])
+
+
+def read_zeek(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Zeek TSV logs of any layouts."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    place = F.struct("file_block_start", F.col(ROW_ID))
+    return zeek_rows(_numbered(lines), place, F.col("file_path")).drop("file_path", "file_block_start")
 
 
 def flatten(df: DataFrame) -> DataFrame:
