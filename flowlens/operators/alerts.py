@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions import verdicts
 from ..functions.values import iso_text, micros, round_places
-from .ordering import HOUR, gap_sessions, running_totals
+from ..session import shared_dir
+from .ordering import gap_sessions, running_totals, same_keys
 
 SIGNATURE = ["threat_level", "alert_type", "device"]
 SECOND = 1_000_000
+# A page of up to so many rows may be sent to every task.
+MOST_PAGE_ROWS = 10_000
 EVENT_COLUMNS = [
     "id", "ts", "threat_level", "alert_type", "device", "src_ip", "dest_ip", "protocol",
     "is_simulated", "threat_type", "reason", "action", "context",
@@ -57,7 +60,7 @@ def event_notes(events: DataFrame) -> DataFrame:
     return events.withColumn("notes", verdicts.note(*[F.col(n) for n in names]))
 
 
-def incidents(events: DataFrame, actions: DataFrame, *, chunk_us: int = HOUR) -> DataFrame:
+def incidents(events: DataFrame, actions: DataFrame) -> DataFrame:
     """Deduplicated alerts: one row per signature and incident.
 
     An incident collects all events of a signature up to the next resolve. Status: Resolved if one
@@ -66,7 +69,7 @@ def incidents(events: DataFrame, actions: DataFrame, *, chunk_us: int = HOUR) ->
 
     Seconds without any action collapse to one row before anything is ordered, so an alert storm
     of one signature shrinks in the map-side aggregate. The incident number is a running count of
-    resolves over chunks of time.
+    resolves over parts of bounded size.
     """
     event_rows = events.select(
         *SIGNATURE, "ts", F.lit(0).alias("kind"), "id", F.lit(None).cast("string").alias("action"), "is_simulated"
@@ -103,10 +106,8 @@ def incidents(events: DataFrame, actions: DataFrame, *, chunk_us: int = HOUR) ->
     numbered = running_totals(
         points,
         SIGNATURE,
-        "ts",
         ["ts", "kind", "first_id"],
         {"incident": F.coalesce(F.col("action") == "resolve", F.lit(False)).cast("long")},
-        chunk_us=chunk_us,
         inclusive=False,
     )
     is_event = F.col("kind") == 0
@@ -162,12 +163,16 @@ def _after(times: np.ndarray, gap: int) -> np.ndarray:
 
 
 def _exits(times: np.ndarray, gap: int) -> np.ndarray:
-    """For each time, taken as sent, the last time sent in the same chunk."""
-    following, last = _after(times, gap), times.copy()
-    for i in range(len(times) - 1, -1, -1):
-        if following[i] < len(times):
-            last[i] = last[following[i]]
-    return last
+    """For each time, taken as sent, the last time sent in the same chunk: steps of 1, 2, 4 ... sendings."""
+    n = len(times)
+    steps = [np.append(_after(times, gap), n)]
+    while (steps[-1][:n] < n).any():
+        steps.append(steps[-1][steps[-1]])
+    at = np.arange(n)
+    for step in reversed(steps):
+        ahead = step[at]
+        at = np.where(ahead < n, ahead, at)
+    return times[at]
 
 
 def rate_limit(
@@ -192,6 +197,9 @@ def rate_limit(
         .agg(F.array_sort(F.collect_list(F.struct("us", "id"))).alias("p"))
         .select(*keys, "chunk", F.col("p.us").alias("us"), F.col("p.id").alias("id"))
     )
+    path = shared_dir(events.sparkSession, "rate-limit")  # read twice, computed once
+    chunks.write.parquet(path)
+    chunks = events.sparkSession.read.schema(chunks.schema).parquet(path)
 
     @F.pandas_udf("first array<long>, last array<long>")
     def effect(chunk: pd.Series, us: pd.Series) -> pd.DataFrame:
@@ -210,6 +218,7 @@ def rate_limit(
         for pdf in batches:
             entries = []
             for *k, first, last in pdf[[*keys, "first", "last"]].itertuples(index=False):
+                k = [None if x is None or x != x else x for x in k]  # a null in a number column arrives as NaN
                 if k != key:
                     key, sent = k, None
                 entries.append(sent)
@@ -235,7 +244,7 @@ def rate_limit(
     types = {f.name: f.dataType.simpleString() for f in chunks.schema}
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "chunk long, entry long"])
     entries = in_order.mapInPandas(walk, schema)
-    sent = chunks.join(entries, [*keys, "chunk"]).select(*keys, finish("us", "id", "entry").alias("s"))
+    sent = same_keys(chunks, entries, [*keys, "chunk"]).select(*keys, finish("us", "id", "entry").alias("s"))
     return sent.select(*keys, F.explode(F.arrays_zip("s.us", "s.id")).alias("z")).select(
         *keys, F.timestamp_micros("z.us").alias("ts"), F.col("z.id").alias("id")
     )
@@ -302,7 +311,8 @@ def with_context(alerts: DataFrame, logs: DataFrame, devices: DataFrame) -> Data
 def list_alerts(
     alerts: DataFrame, logs: DataFrame, devices: DataFrame, status: str = "all", limit: int = 150, offset: int = 0
 ) -> DataFrame:
-    """A page of alerts, last seen first. The page is cut before anything is joined."""
+    """A page of alerts, last seen first. The page is cut before anything is joined, and only its logs and devices
+    are looked up: the keys of a page, at most ``limit`` of them, go to the tables, which stay where they are."""
     page = (
         with_status(alerts, status)
         .orderBy(F.coalesce("last_seen", "alert_time").desc(), F.col("id").desc())
@@ -310,20 +320,29 @@ def list_alerts(
         .limit(limit)
     )
     return (
-        with_context(page, logs, devices)
+        with_context(page, looked_up(logs, page, "traffic_log_id", limit), looked_up(devices, page, "device_id", limit))
         .withColumn("first_seen", iso_text(F.col("alert_time")))
         .withColumn("last_seen", iso_text(F.col("last_seen")))
         .drop("alert_time", "has_log")
     )
 
 
+def looked_up(table: DataFrame, page: DataFrame, key: str, limit: int) -> DataFrame:
+    """Rows of a large table whose id a page of at most ``limit`` rows names; at most that many."""
+    keys = page.where(F.col(key).isNotNull()).select(F.col(key).alias("__key")).distinct()
+    keys = F.broadcast(keys) if limit <= MOST_PAGE_ROWS else keys
+    return table.join(keys, F.col("id") == F.col("__key"), "left_semi")
+
+
 def report_threats(alerts: DataFrame, logs: DataFrame, limit: int = 8) -> DataFrame:
     """Newest open Critical and High alerts with their flow, and the report line."""
     wanted = alerts.where(~F.col("is_resolved") & F.col("threat_level").isin("Critical", "High"))
+    # Deleting a log deletes its alerts, so an alert with a log id has its log.
+    newest = wanted.where(F.col("traffic_log_id").isNotNull()).orderBy(F.col("alert_time").desc(), F.col("id").desc()).limit(limit)
     log = logs.select(
         F.col("id").alias("traffic_log_id"), "src_ip", "src_port", "dest_ip", "dest_port", "protocol"
     )
-    top = wanted.join(log, "traffic_log_id").orderBy(F.col("alert_time").desc(), F.col("id").desc()).limit(limit)
+    top = log.join(F.broadcast(newest) if limit <= MOST_PAGE_ROWS else newest, "traffic_log_id")
     line = F.format_string(
         "[%s] Severity: %s | Src: %s:%d -> Dst: %s:%d | Proto: %s | Count: %d\nNotes: %s",
         F.date_format("alert_time", "yyyy-MM-dd HH:mm:ss"),

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import verdicts
 from ..functions.values import device_protocol_id, round_places
-from .ordering import HOUR, running_totals
+from .ordering import running_totals
 
 # Upper end of each feature's range; all start at 0.
 FEATURE_LIMITS = {"bytes": 1e8, "duration": 3600.0, "proto_id": 255.0, "hour": 24.0, "pkt_count": 5e4}
@@ -119,12 +119,11 @@ def device_anomaly(
     window: int = 20,
     threshold: float = THRESHOLD,
     seed: int = 42,
-    chunk_us: int = HOUR,
 ) -> DataFrame:
     """Score of every flow (columns id, timestamp, src_ip, total_bytes, duration, protocol,
     packet_count) against the device's previous ``window`` flows; the first block scores 0.
 
-    A device's flows are numbered in chunks of time and cut into blocks of ``window``. A block goes
+    A device's flows are numbered in parts of bounded size and cut into blocks of ``window``. A block goes
     out twice, as rows to score and as reference of the next block, so one shuffle by
     (device, block) brings together at most 2 x ``window`` rows, however busy the device is.
     """
@@ -133,9 +132,7 @@ def device_anomaly(
     marked = flows.select(
         "id", "timestamp", "src_ip", "total_bytes", "duration", "protocol", leaf_bytes(forest)(*features).alias("leaf")
     )
-    numbered = running_totals(
-        marked, ["src_ip"], "timestamp", ["timestamp", "id"], {"sample_no": F.lit(1)}, chunk_us=chunk_us
-    )
+    numbered = running_totals(marked, ["src_ip"], ["timestamp", "id"], {"sample_no": F.lit(1)})
     block = F.floor((F.col("sample_no") - 1) / F.lit(window))
     row = F.struct("id", "timestamp", "total_bytes", "duration", "protocol", "sample_no", "leaf")
     blocks = (

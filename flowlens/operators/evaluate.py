@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.values import ground_truth, round_places
 from ..schemas import LABELS
 from ..session import literal_rows
-from .ordering import HOUR, running_totals
+from .ordering import running_totals
 
 
 def evaluated(rows: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
@@ -58,12 +58,7 @@ def model_metrics(rows: DataFrame, correct: Column) -> DataFrame:
     return sums.select("samples_processed", round_places(rate, 4).alias("rolling_accuracy"))
 
 
-def running_accuracy(
-    rows: DataFrame, key: str, ts: str, order: list[str], correct: Column, chunk_us: int = HOUR
-) -> DataFrame:
+def running_accuracy(rows: DataFrame, key: str, order: list[str], correct: Column) -> DataFrame:
     """Accuracy of each stream up to and including each row."""
-    totals = running_totals(
-        rows, [key], ts, order, {"samples": F.lit(1), "right": F.coalesce(correct, F.lit(False)).cast("long")},
-        chunk_us=chunk_us,
-    )
+    totals = running_totals(rows, [key], order, {"samples": F.lit(1), "right": F.coalesce(correct, F.lit(False)).cast("long")})
     return totals.withColumn("accuracy", F.col("right") / F.col("samples"))

@@ -1,58 +1,65 @@
 """Running totals and gap sessions that survive one key holding most of the rows.
 
-A plain window puts all rows of a key into one task. Here the rows of a key are cut into time
-chunks first; only one small row per chunk is ever ordered per key.
+A plain window puts all rows of a key into one task. Here the rows of a key are cut into parts first; only one
+small row per part is ever ordered per key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import micros
+from ..session import shared_dir
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
 
 
+def in_parts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """The rows, stored once in the shared folder, with ``__part``: their place in a range partitioning by keys and order.
+
+    Parts hold about equally many rows whatever the keys and times are, because the ranges are cut by sampled rows;
+    the parts of a key follow each other in the order. Rows equal in keys and order stay in one part.
+    """
+    path = shared_dir(rows.sparkSession, name)
+    ranged = rows.repartitionByRange(*[F.col(c) for c in (*keys, *order)]).withColumn("__part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    return rows.sparkSession.read.schema(ranged.schema).parquet(path)
+
+
+def same_keys(a: DataFrame, b: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of equal names, nulls being equal; the columns of ``a`` stay."""
+    marked = b.withColumnsRenamed({n: f"__b_{n}" for n in names})
+    rule = reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"__b_{n}")) for n in names])
+    return a.join(marked, rule, how).drop(*[f"__b_{n}" for n in names])
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
-    ts: str,
     order: Sequence[str],
     totals: dict[str, Column],
     *,
-    chunk_us: int = HOUR,
     inclusive: bool = True,
 ) -> DataFrame:
     """Add, per key, the running sum of each expression in ``totals`` in the given order.
 
-    ``order`` must start with the time column. The sum over earlier chunks comes from one row per
-    (key, chunk); only rows of one chunk are sorted together. Both sides of the join are laid out by
-    (keys, chunk), so the rows are shuffled once. A null key is an error: it would get lost there.
+    The rows are stored in parts of bounded size (`in_parts`), so the input is read once. The sum over earlier parts
+    comes from one row per (key, part); only rows of one part are sorted together. Null keys are keys.
     """
     columns = df.columns
-    for k in keys:
-        df = df.withColumn(k, F.coalesce(F.col(k), F.raise_error(F.lit(f"null in key column {k}"))))
-    chunk = F.floor(micros(F.col(ts)) / F.lit(chunk_us)).alias("__chunk")
-    rows = df.select("*", chunk, *[expr.cast("long").alias(f"__v_{n}") for n, expr in totals.items()])
-    in_chunk = Window.partitionBy(*keys, "__chunk").orderBy(*order)
-    frame = in_chunk.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    rows = rows.select(
-        "*", *[F.coalesce(F.sum(f"__v_{n}").over(frame), F.lit(0)).alias(f"__in_{n}") for n in totals]
-    )
-
-    per_chunk = df.select(*keys, chunk, *[e.cast("long").alias(f"__v_{n}") for n, e in totals.items()])
-    per_chunk = per_chunk.groupBy(*keys, "__chunk").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in totals])
-    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    per_chunk = per_chunk.select(
-        *keys,
-        "__chunk",
-        *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__pre_{n}") for n in totals],
-    )
-    return rows.join(per_chunk, [*keys, "__chunk"]).select(
+    rows = in_parts(df.select("*", *[expr.cast("long").alias(f"__v_{n}") for n, expr in totals.items()]), keys, order, "totals")
+    in_part = [*keys, "__part"]
+    frame = Window.partitionBy(*in_part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    per_part = rows.groupBy(*in_part).agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in totals])
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    per_part = per_part.select(*in_part, *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__pre_{n}") for n in totals])
+    rows = rows.select("*", *[F.coalesce(F.sum(f"__v_{n}").over(frame), F.lit(0)).alias(f"__in_{n}") for n in totals])
+    return same_keys(rows, per_part, in_part).select(
         *columns,
         *[(F.col(f"__in_{n}") + F.col(f"__pre_{n}")).alias(n) for n in totals],
     )

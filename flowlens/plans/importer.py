@@ -50,11 +50,24 @@ def label_flows(flows: DataFrame, entries: DataFrame, classifier: Model, can_cla
     return told.select("*", *rule).drop("__label", "__conf", *names)
 
 
+def log_id(batch_id: int, place: Column) -> Column:
+    """Id of a log, unique over all batches: batch, read partition and row of an import side by side (19, 20, 24 bits).
+
+    ``place`` is the row number of a read (`files.ROW_ID`): partition and row inside it. Beyond these sizes it fails.
+    """
+    if not 0 <= batch_id < 1 << 19:
+        raise ValueError("batch ids go up to 2**19")
+    part, row = F.shiftrightunsigned(place, 33), place.bitwiseAND(F.lit((1 << 33) - 1))
+    fits = (part < 1 << 20) & (row < 1 << 24)
+    number = F.lit(batch_id << 44) + part * F.lit(1 << 24) + row
+    return F.when(fits, number).otherwise(F.raise_error(F.lit("an import partition is too large for log ids")).cast("long"))
+
+
 def log_rows(labelled: DataFrame, batch_id: int, source: str) -> DataFrame:
     """Traffic-log rows; a watchlist hit without any info text becomes the info."""
     hit_text = F.when(F.col("watch_id").isNotNull(), F.concat(F.lit("Watchlist Match: "), F.col("watch_value")))
     return labelled.select(
-        F.col(files.ROW_ID).alias("id"),
+        log_id(batch_id, F.col(files.ROW_ID)).alias("id"),
         "timestamp",
         "src_ip",
         "dest_ip",

@@ -10,7 +10,7 @@ from ..functions import values as V
 from ..functions.values import iso_text
 from ..operators import alerts as al
 from ..operators import anomaly, arp, devices, drift, evaluate, flows, model, normalize, watchlist
-from ..operators.ordering import DAY, HOUR
+from ..operators.ordering import HOUR
 from ..sources.indicators import extract_indicators
 from .oracle_views import iso, with_views
 from .registry import as_of, query
@@ -606,7 +606,7 @@ FROM predictions WINDOW w AS (PARTITION BY stream ORDER BY ts, event_id)""",
 def running_accuracy(spark, sf):
     rows = A.predictions(spark, sf)
     correct = V.ground_truth(F.col("truth")) == F.col("predicted")
-    out = evaluate.running_accuracy(rows, "stream", "ts", ["ts", "event_id"], correct, chunk_us=DAY)
+    out = evaluate.running_accuracy(rows, "stream", ["ts", "event_id"], correct)
     return out.select("event_id", "stream", "samples", "right", "accuracy")
 
 

@@ -74,7 +74,7 @@ def random_line(seed, n=2000, span=600):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_incidents_equal_a_walk(spark, seed):
     events, actions = random_line(seed)
-    df = al.incidents(spark.createDataFrame(events, EVENT), spark.createDataFrame(actions, ACTION), chunk_us=7_000_000)
+    df = al.incidents(spark.createDataFrame(events, EVENT), spark.createDataFrame(actions, ACTION))
     assert shown(df) == walk(events, actions)
 
 
@@ -127,6 +127,13 @@ def test_rate_limit_equals_greedy(spark, chunk):
     assert got == greedy(rows, 2.0)
 
 
+def test_rate_limit_keeps_null_keys(spark):
+    df = spark.createDataFrame([(1, 5, "a", None), (2, 5, "a", None), (3, None, None, "x")], "id long, n long, src string, dest string")
+    df = df.withColumn("ts", F.col("id").cast("timestamp"))
+    got = al.rate_limit(df, 2.0, ["n", "src", "dest"], chunk_seconds=2)
+    assert sorted((r.id, r.n, r.src, r.dest) for r in got.collect()) == [(1, 5, "a", None), (3, None, None, "x")]
+
+
 def test_rate_limit_stream(spark, tmp_path):
     rng = random.Random(9)
     rows = sorted((event(i, rng.random() * 100, rng.choice("ab")) for i in range(300)), key=lambda r: r[1])

@@ -65,7 +65,7 @@ def plain_scores(rows, forest, window=20):
 
 def test_scores_equal_plain_trees(spark):
     rows = random_flows()
-    got = anomaly.device_anomaly(spark.createDataFrame(rows, FLOW), chunk_us=50_000_000_000)
+    got = anomaly.device_anomaly(spark.createDataFrame(rows, FLOW))
     want = plain_scores(rows, anomaly.build_forest())
     assert {r.id: r.score for r in got.collect()} == pytest.approx(want)
     assert got.where("is_anomalous and sample_no <= 20").count() == 0

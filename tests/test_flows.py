@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowlens.operators import flows as FL
-from flowlens.operators.ordering import gap_sessions, running_totals
+from flowlens.operators.ordering import gap_sessions, in_parts, running_totals
 from flowlens.schemas import PACKETS
 from flowlens.sources.streams import stream_packets
 from flowlens.streaming.flows import build_flows_stream
@@ -155,7 +155,7 @@ def test_running_totals_across_chunks(spark):
     rng = random.Random(6)
     rows = [(rng.choice("ab"), at(rng.random() * 100), i, rng.randrange(5)) for i in range(400)]
     df = spark.createDataFrame(rows, "key string, ts timestamp, id int, v int")
-    got = running_totals(df, ["key"], "ts", ["ts", "id"], {"s": F.col("v"), "n": F.lit(1)}, chunk_us=3_000_000)
+    got = running_totals(df, ["key"], ["ts", "id"], {"s": F.col("v"), "n": F.lit(1)})
     sums, want = {}, {}
     for key, _, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
         s, n = sums.get(key, (0, 0))
@@ -163,10 +163,22 @@ def test_running_totals_across_chunks(spark):
     assert {r.id: (r.s, r.n) for r in got.collect()} == want
 
 
-def test_running_totals_refuse_null_keys(spark):
-    df = spark.createDataFrame([(None, at(0), 1)], "key string, ts timestamp, id int")
-    with pytest.raises(Exception, match="null in key column"):
-        running_totals(df, ["key"], "ts", ["ts"], {"n": F.lit(1)}).collect()
+def test_running_totals_of_null_keys(spark):
+    df = spark.createDataFrame([(None, at(i), i) for i in range(5)] + [("a", at(0), 9)], "key string, ts timestamp, id int")
+    got = running_totals(df, ["key"], ["ts", "id"], {"n": F.lit(1)})
+    assert {r.id: r.n for r in got.collect()} == {0: 1, 1: 2, 2: 3, 3: 4, 4: 5, 9: 1}
+
+
+def test_hot_key_is_spread(spark):
+    """One key with all rows: no part holds more than a bounded share of them."""
+    rows = spark.range(40_000).select(F.lit("hot").alias("key"), (F.col("id") % 100).cast("timestamp").alias("ts"), "id")
+    size = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(size, "false")  # else Spark joins small parts
+    try:
+        parts = in_parts(rows, ["key"], ["ts", "id"], "hot").groupBy("__part").count().collect()
+    finally:
+        spark.conf.set(size, "true")
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 20_000
 
 
 def test_stream_equals_batch(spark, tmp_path):
