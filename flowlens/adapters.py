@@ -122,6 +122,38 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets_of(table(spark, sf_dir, "events"))
 
 
+def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets as one capture per user: ``(path, content)``. Every 50th user's file is cut in its last packet."""
+    p = packets(spark, sf_dir)
+
+    def number(value: Column, size: int, little: bool = False) -> Column:
+        digits = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+        parts = [F.substring(digits, 2 * i + 1, 2) for i in range(size)]
+        return F.concat(*(reversed(parts) if little else parts))
+
+    def address(ip: Column) -> Column:
+        return F.concat(*[number(F.split(ip, r"\.")[i], 1) for i in range(4)])
+
+    flags = sum((F.when(F.col("tcp_flags").contains(c), 1 << i).otherwise(0) for i, c in enumerate("FSRPA")), F.lit(0))
+    payload = F.coalesce(F.hex("payload"), F.lit(""))
+    size = F.length(payload) / 2 + 40
+    ip = F.concat(F.lit("4500"), number(size, 2), F.lit("0000000040060000"), address(F.col("src_ip")), address(F.col("dest_ip")))
+    tcp = F.concat(number(F.col("src_port"), 2), number(F.col("dest_port"), 2), F.lit("0000000000000000"), F.lit("50"), number(flags, 1), F.lit("000000000000"))
+    frame = F.concat(F.lit("020000000001020000000002" + "0800"), ip, tcp, payload)
+    us = F.unix_micros("ts")
+    head = F.concat(
+        number(F.floor(us / 1_000_000), 4, True), number(us % 1_000_000, 4, True), number(size + 14, 4, True), number(size + 14, 4, True)
+    )
+    user = F.when(F.col("src_port") == 443, F.col("dest_ip")).otherwise(F.col("src_ip"))
+    rows = p.select(user.alias("client"), F.struct("ts", "pkt_id", F.concat(head, frame).alias("hex")).alias("r"))
+    files = rows.groupBy("client").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    start = F.lit("D4C3B2A1" + "02000400" + "00000000" * 2 + "FFFF0000" + "01000000")
+    whole = F.concat(start, F.array_join("r.hex", ""))
+    broken = F.split("client", r"\.")[3].cast("int") % 50 == 7
+    content = F.when(broken, F.expr("substring(_h, 1, length(_h) - 20)")).otherwise(F.col("_h"))
+    return files.withColumn("_h", whole).select(F.concat(F.lit("/captures/"), "client", F.lit(".pcap")).alias("path"), F.unhex(content).alias("content"))
+
+
 def arp_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views are ARP replies, signups ARP requests; the claimed MAC changes with ``k``."""
     base = event_base(table(spark, sf_dir, "events"))

@@ -11,7 +11,7 @@ from ..operators import evaluate, model
 from ..operators.normalize import valid_rows
 from ..session import shared_dir
 from ..sinks import exports
-from ..sources import files
+from ..sources import captures, files
 from . import importer
 from . import pipeline_queries as P
 from .oracle_views import iso, with_views
@@ -135,6 +135,39 @@ def read_eve(spark, sf):
     return _shown(flows).drop("info", "errors", "warnings")
 
 
+_BROKEN = "CAST(split_part(client, '.', 4) AS INTEGER) % 50 = 7"
+
+
+@query(
+    "read_captures",
+    W("packets", extra=f"""placed AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY us, pkt_id) - 1 AS n,
+    count(*) OVER (PARTITION BY client) AS total FROM packets)""") + f"""SELECT 'pcap:' || client || '.pcap' AS source, n AS pkt_id,
+  {iso("ts")} AS ts, CASE WHEN back THEN server ELSE client END AS src_ip, CASE WHEN back THEN client ELSE server END AS dest_ip,
+  CASE WHEN back THEN 443 ELSE cport END AS src_port, CASE WHEN back THEN cport ELSE 443 END AS dest_port,
+  flags AS tcp_flags, coalesce(len(request), 0) AS payload_bytes
+FROM (SELECT *, CASE WHEN info IS NOT NULL THEN 'GET /' || substr(info, 16, len(info) - 27) || ' HTTP/1.1__Host: ' || substr(info, 12) || '____' END AS request
+  FROM placed) WHERE NOT ({_BROKEN} AND n = total - 1)""",
+)
+def read_captures(spark, sf):
+    """Captures made of the packets, one per client, read back packet by packet."""
+    rows = captures.packets_of(A.capture_files(spark, sf))
+    return rows.select(
+        "source", "pkt_id", iso_text(F.col("ts")).alias("ts"), "src_ip", "dest_ip", "src_port", "dest_port", "tcp_flags",
+        F.coalesce(F.length("payload"), F.lit(0)).cast("long").alias("payload_bytes"),
+    )
+
+
+@query(
+    "capture_errors",
+    W("packets") + f"""SELECT 'pcap:' || client || '.pcap' AS source, count(*) - 1 AS packets, 'broken packet record' AS error
+FROM packets WHERE {_BROKEN} GROUP BY client""",
+)
+def capture_errors(spark, sf):
+    """The captures that are cut off, with the packets that could be read."""
+    found = captures.errors_of(A.capture_files(spark, sf))
+    return found.withColumn("error", F.regexp_replace("error", " at byte [0-9]+$", ""))
+
+
 @query(
     "export_research",
     W("logs") + f"""SELECT id, {iso("timestamp")} AS timestamp, src_ip, dest_ip, src_port, dest_port, protocol, duration AS duration_sec,

@@ -1,7 +1,8 @@
 """Packet captures (classic pcap and pcapng) as packet rows.
 
 A capture can only be read from its start, so a file is the unit of work: many files per job, each
-decoded by one task. Rows leave the decoder in small batches.
+decoded by one task. Rows leave the decoder in small batches. What a file holds beyond readable packets is
+never dropped without a word: `capture_errors` lists it.
 """
 
 from __future__ import annotations
@@ -19,37 +20,43 @@ _PACKETS = (
     "pkt_id long, us long, src_ip string, dest_ip string, src_port int, dest_port int, protocol string, "
     "length int, tcp_flags string, payload binary, source string"
 )
+_ERRORS = "source string, packets long, error string"
 _ARP = "id long, us long, op int, ip string, mac string, source string"
 _FLAGS = "FSRPAUEC"  # lowest bit first
 ETHERNET, RAW_IP, NULL_LOOP, LINUX_COOKED = 1, 101, 0, 113  # link types
 
 
-def frames(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """``(microseconds, link type, bytes)`` of the packets; a cut-off tail ends the iteration."""
-    yield from _pcapng(data) if data[:4] == b"\x0a\x0d\x0d\x0a" else _pcap(data)
+def frames(data: bytes, errors: list[str] | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """``(microseconds, link type, bytes)`` of the packets. What cannot be read ends up in ``errors``; a broken record
+    ends the iteration, because nothing tells where the next one begins."""
+    errors = [] if errors is None else errors
+    yield from _pcapng(data, errors) if data[:4] == b"\x0a\x0d\x0d\x0a" else _pcap(data, errors)
 
 
-def _pcap(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+def _pcap(data: bytes, errors: list[str]) -> Iterator[tuple[int, int, bytes]]:
     magics = {0xA1B2C3D4: 1, 0xA1B23C4D: 1000}
     for order in "<>":
         if len(data) >= 24 and struct.unpack_from(order + "I", data)[0] in magics:
             break
     else:
+        errors.append("not a capture: unknown header")
         return
     per_us = magics[struct.unpack_from(order + "I", data)[0]]
     link = struct.unpack_from(order + "I", data, 20)[0] & 0xFFFF
     at = 24
     while at + 16 <= len(data):
         sec, part, size, _ = struct.unpack_from(order + "IIII", data, at)
-        at += 16
-        if at + size > len(data):
+        if at + 16 + size > len(data):
+            errors.append(f"broken packet record at byte {at}")
             return
-        yield sec * 1_000_000 + part // per_us, link, data[at : at + size]
-        at += size
+        yield sec * 1_000_000 + part // per_us, link, data[at + 16 : at + 16 + size]
+        at += 16 + size
+    if at < len(data):
+        errors.append(f"broken packet record at byte {at}")
 
 
-def _pcapng(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    order, links, at = "<", [], 0
+def _pcapng(data: bytes, errors: list[str]) -> Iterator[tuple[int, int, bytes]]:
+    order, links, at, timeless, homeless = "<", [], 0, 0, 0
     while at + 12 <= len(data):
         kind = data[at : at + 4]
         if kind == b"\x0a\x0d\x0d\x0a":  # section header tells the byte order
@@ -57,16 +64,28 @@ def _pcapng(data: bytes) -> Iterator[tuple[int, int, bytes]]:
             links = []
         number, size = struct.unpack_from(order + "II", data, at)
         if size < 12 or at + size > len(data):
-            return
+            errors.append(f"broken block at byte {at}")
+            break
         body = data[at + 8 : at + size - 4]
         if number == 1:  # interface description
             links.append((struct.unpack_from(order + "H", body)[0], _tick(body[8:], order)))
-        elif number == 6 and len(body) >= 20:  # enhanced packet
-            face, high, low, caught, _ = struct.unpack_from(order + "IIIII", body)
+        elif number in (2, 6) and len(body) >= 20:  # enhanced packet, or its old form with a shorter interface number
+            face, high, low, caught, _ = struct.unpack_from(order + ("IIIII" if number == 6 else "HxxIIII"), body)
             if face < len(links):
                 link, tick = links[face]
                 yield ((high << 32) + low) * 1_000_000 // tick, link, body[20 : 20 + caught]
+            else:
+                homeless += 1
+        elif number == 3:  # simple packet: has no time, so it cannot belong to a flow
+            timeless += 1
         at += size
+    else:
+        if at < len(data):
+            errors.append(f"broken block at byte {at}")
+    if timeless:
+        errors.append(f"{timeless} packets without a time")
+    if homeless:
+        errors.append(f"{homeless} packets of an unknown interface")
 
 
 def _tick(options: bytes, order: str) -> int:
@@ -148,22 +167,50 @@ def _decode(rows, columns: list[str]):
     return run
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def _errors(data: bytes, source: str) -> Iterator[tuple]:
+    errors: list[str] = []
+    packets = sum(1 for _ in frames(data, errors))
+    for error in errors:
+        yield source, packets, error
+
+
+def capture_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, content)`` of the captures below a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.where(F.lower("path").rlike(r"\.(pcap|pcapng|cap)$")).select("path", "content")
 
 
+def packets_of(files: DataFrame) -> DataFrame:
+    """IPv4 packets of captures ``(path, content)``, in the packet schema."""
+    rows = files.mapInPandas(_decode(_packet_rows, _names(_PACKETS)), _PACKETS)
+    return rows.withColumn("ts", F.timestamp_micros("us")).drop("us")
+
+
+def arp_of(files: DataFrame) -> DataFrame:
+    """ARP messages of captures ``(path, content)``."""
+    rows = files.mapInPandas(_decode(_arp_rows, _names(_ARP)), _ARP)
+    return rows.withColumn("ts", F.timestamp_micros("us")).drop("us")
+
+
+def errors_of(files: DataFrame) -> DataFrame:
+    """``(source, packets, error)``: what could not be read of captures, with the packets that could. Whole files give no row."""
+    return files.mapInPandas(_decode(_errors, _names(_ERRORS)), _ERRORS)
+
+
 def _names(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.split(", ")]
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
     """IPv4 packets of all captures below a path, in the packet schema."""
-    rows = _files(spark, path).mapInPandas(_decode(_packet_rows, _names(_PACKETS)), _PACKETS)
-    return rows.withColumn("ts", F.timestamp_micros("us")).drop("us")
+    return packets_of(capture_files(spark, path))
 
 
 def read_arp(spark: SparkSession, path: str) -> DataFrame:
     """ARP messages of all captures below a path."""
-    rows = _files(spark, path).mapInPandas(_decode(_arp_rows, _names(_ARP)), _ARP)
-    return rows.withColumn("ts", F.timestamp_micros("us")).drop("us")
+    return arp_of(capture_files(spark, path))
+
+
+def capture_errors(spark: SparkSession, path: str) -> DataFrame:
+    """What could not be read of the captures below a path."""
+    return errors_of(capture_files(spark, path))
