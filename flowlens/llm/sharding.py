@@ -10,6 +10,8 @@ All copies of a text in one shard are one row (a cell) of the iteration, so a te
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +35,18 @@ def deal(groups: DataFrame, shards: int, count: int) -> DataFrame:
     )
 
 
-def requests(cells: DataFrame, free: DataFrame) -> DataFrame:
-    """Moves (grp, i, j, n, gain) asked for by the linked cells: to the cell of the text with the most copies, shards
-    with exchangeable documents first; a document moves only if it gains neighbours."""
+def requests(cells: DataFrame, free: DataFrame, room: int, turn: int) -> DataFrame:
+    """Moves (grp, i, j, n, gain) asked for by the linked cells: to the cells of the text with the most copies, shards
+    with exchangeable documents first, another of equals each turn. A text larger than a shard (``room`` rows) has
+    as many such homes as it fills. A document moves only if it gains neighbours."""
     seen = cells.join(F.broadcast(free), "shard")  # one row per shard
-    order = F.struct(F.col("free") > 0, F.col("n"), F.xxhash64("grp", "shard"))
-    best = seen.groupBy("grp").agg(F.max_by(F.struct("shard", "n"), order).alias("best"))
-    asked = cells.join(best, "grp").where("shard <> best.shard and best.n - n + 1 > 0")
+    order = F.struct(F.col("free") > 0, F.col("n"), F.xxhash64("grp", "shard", F.lit(turn)), F.col("shard"))
+    sorted_cells = F.sort_array(F.collect_list(order), asc=False)  # at most one per shard
+    filled = F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("free") > 0, F.col("n")).otherwise(0)) / F.lit(room)))
+    homes = seen.groupBy("grp").agg(F.slice(sorted_cells, 1, filled.cast("int")).alias("h"))
+    asked = cells.join(homes.select("grp", F.transform("h", lambda x: F.struct(x["shard"].alias("shard"), x["n"].alias("n"))).alias("h")), "grp")
+    asked = asked.where(~F.exists("h", lambda x: x["shard"] == F.col("shard")))
+    asked = asked.withColumn("best", F.expr(f"h[cast(pmod(xxhash64(grp, shard, {turn}), size(h)) as int)]")).where("best.n - n + 1 > 0")
     return asked.select("grp", F.col("shard").alias("i"), F.col("best.shard").alias("j"), "n", F.expr("best.n - n + 1").alias("gain"))
 
 
@@ -54,8 +61,11 @@ def quotas(asked: DataFrame, free: DataFrame) -> DataFrame:
     pairs = pairs.withColumn("more", F.greatest(F.col("r") - F.col("s"), F.lit(0)))
     wanted = pairs.groupBy("j").agg(F.sum("more").alias("wanted"))
     pairs = pairs.join(F.broadcast(wanted), "j").join(F.broadcast(free.withColumnRenamed("shard", "j")), "j")
-    fill = F.expr("case when wanted <= free then more else cast(floor(cast(more as decimal(38, 0)) * free / wanted) as bigint) end")
-    return pairs.withColumn("fill", fill).select("i", "j", "fill", F.expr("least(r, s) + fill").alias("take"))
+    # Shares of whole documents: differences of the rounded running share, so that none of them is lost.
+    run = "sum(more) over (partition by j order by i)"
+    upto = "cast(floor(cast({} as decimal(30, 0)) * least(free, wanted) / greatest(wanted, 1)) as bigint)"
+    pairs = pairs.withColumn("fill", F.expr(f"{upto.format(run)} - {upto.format(f'({run} - more)')}"))
+    return pairs.select("i", "j", "fill", F.expr("least(r, s) + fill").alias("take"))
 
 
 def moved(asked: DataFrame, pairs: DataFrame, count: int) -> DataFrame:
@@ -67,10 +77,10 @@ def moved(asked: DataFrame, pairs: DataFrame, count: int) -> DataFrame:
     return kept.withColumn("n", F.expr("least(n, greatest(0L, take - before))")).where("n > 0").select("grp", "i", "j", "n")
 
 
-def propagate(cells: DataFrame, free: DataFrame, count: int, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def propagate(cells: DataFrame, free: DataFrame, room: int, count: int, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Rounds of moves until none is accepted, at most ``rounds``; every round is stored."""
-    for _ in range(rounds):
-        asked = stored(requests(cells, free), "shard-asked")
+    for turn in range(rounds):
+        asked = stored(requests(cells, free, room, turn), "shard-asked")
         pairs = stored(quotas(asked, free), "shard-quotas")
         if not pairs.where("take > 0").limit(1).count():
             break
@@ -111,7 +121,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     free = spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.lit(0).cast("long").alias("free"))
     free = free.unionByName(cells.where(F.col("grp") == FREE).select("shard", F.col("n").alias("free")))
     free = stored(free.groupBy("shard").agg(F.sum("free").alias("free")), "shard-free")
-    cells, free = propagate(cells.where(F.col("grp") != FREE), free, count, rounds)
+    room = max(1, math.ceil(rows.count() / shards))
+    cells, free = propagate(cells.where(F.col("grp") != FREE), free, room, count, rounds)
 
     cells = cells.unionByName(free.select(F.lit(FREE).alias("grp"), "shard", F.col("free").alias("n")).where("n > 0"))
     bases = prefix_sums(cells, range_starts(cells, ["shard"], "grp", "n", count), ["shard"], "grp", [], "n", count)
