@@ -74,12 +74,10 @@ def query(docs: DataFrame) -> DataFrame:
 
 def stage(docs: DataFrame) -> DataFrame:
     """The mixed documents: a row for each epoch in which any word of the document is taken; texts stay whole."""
-    columns = docs.columns
-    named = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], "doc_id", "source", "text")
-    rows = sized(named).drop("text")
+    rows = sized(docs.select(F.struct("*").alias("_row"), "doc_id", "source", "text")).drop("text")
     rows = mix(rows, stored(rows.select("size", "_source", "_key"), "mix-sizes"))
     copies = rows.where("taken > 0").withColumn("_copy", F.explode(F.expr("sequence(1, cast(ceil(taken / size) as int))")))
-    return copies.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+    return copies.select("_row.*")
 
 
 SQL = r"""

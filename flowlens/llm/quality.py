@@ -186,7 +186,7 @@ def scorer(docs: DataFrame, labels: DataFrame):
             else:
                 yield pd.Series([], dtype=float)
 
-    return F.pandas_udf(scores, "double", F.PandasUDFType.SCALAR_ITER)
+    return F.pandas_udf(scores, "double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -209,6 +209,5 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
     score = scorer(docs, labels)
-    columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("_row"), score("text").alias("_score")).where("_score >= 0.5")
+    rows = docs.select(F.struct("*").alias("_row"), score("text").alias("_score")).where("_score >= 0.5")
     return rows.select("_row.*")
