@@ -196,6 +196,12 @@ def note(
     return with_context(text, context)
 
 
+def simulated_note(simulated: Column, notes: Column) -> Column:
+    """A note with the mark of simulated traffic, which it may have already."""
+    mark = simulated & ~notes.contains("[SIMULATION]")
+    return F.when(mark, F.concat(F.lit("[SIMULATION] "), notes)).otherwise(notes)
+
+
 def import_note(batch_id: Column, threat_type: Column, src_ip: Column, dest_ip: Column, protocol: Column, context: Column) -> Column:
     """Note of an alert raised by an imported flow."""
     text = F.concat(

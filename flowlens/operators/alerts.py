@@ -40,6 +40,7 @@ def flow_events(labelled: DataFrame) -> DataFrame:
     )
     return told.select(
         "id",
+        F.col("id").alias("log_id"),
         F.col("timestamp").alias("ts"),
         verdicts.live_level(F.col("prediction_label"), F.col("confidence_score")).alias("threat_level"),
         F.lit("flow_classification").alias("alert_type"),
@@ -70,13 +71,23 @@ def incidents(events: DataFrame, actions: DataFrame) -> DataFrame:
     Seconds without any action collapse to one row before anything is ordered, so an alert storm
     of one signature shrinks in the map-side aggregate. The incident number is a running count of
     resolves over parts of bounded size.
+
+    If the events have ``notes``, ``log_id`` and ``device_id``, an alert has the note of its first event (marked
+    once an event was simulated), the log of its last event with one, and that event's device.
     """
+    none = {"notes": "string", "log_id": "long", "device_id": "long"}
+
+    def extra(rows: DataFrame) -> list[Column]:
+        return [F.col(c).cast(t) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()]
+
     event_rows = events.select(
-        *SIGNATURE, "ts", F.lit(0).alias("kind"), "id", F.lit(None).cast("string").alias("action"), "is_simulated"
+        *SIGNATURE, "ts", F.lit(0).alias("kind"), "id", F.lit(None).cast("string").alias("action"), "is_simulated", *extra(events)
     )
     action_rows = actions.select(
-        *SIGNATURE, "ts", F.lit(1).alias("kind"), "id", "action", F.lit(False).alias("is_simulated")
-    )
+        *SIGNATURE, "ts", F.lit(1).alias("kind"), "id", "action", F.lit(False).alias("is_simulated"),
+        *[F.lit(None).cast(t).alias(c) for c, t in none.items()],
+    )
+    logged = F.when(F.col("log_id").isNotNull(), F.struct("ts", "id", "log_id", "device_id"))
     second = F.floor(micros(F.col("ts")) / F.lit(SECOND))
     # Per second and signature: a quiet second has no action and needs no order inside.
     cells = (
@@ -86,8 +97,8 @@ def incidents(events: DataFrame, actions: DataFrame) -> DataFrame:
         .groupBy(*SIGNATURE, "__sec", "ts", "kind", "action")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.min("id").alias("first_id"),
-            F.max("id").alias("last_id"),
+            F.min(F.struct("id", "notes")).alias("first"),
+            F.max(logged).alias("logged"),
             F.max(F.col("is_simulated").cast("int")).alias("sim"),
         )
     )
@@ -98,7 +109,8 @@ def incidents(events: DataFrame, actions: DataFrame) -> DataFrame:
     point = F.when(F.col("__busy"), micros(F.col("ts")))  # null: the whole second is one point
     points = cells.groupBy(*SIGNATURE, "__sec", point.alias("__point"), "kind", "action").agg(
         F.sum("n").alias("n"),
-        F.min(F.struct("ts", "first_id")).alias("first"),
+        F.min(F.struct("ts", F.col("first.id").alias("first_id"), F.col("first.notes").alias("notes"))).alias("first"),
+        F.max("logged").alias("logged"),
         F.max("ts").alias("last_seen"),
         F.max("sim").alias("sim"),
     )
@@ -115,6 +127,7 @@ def incidents(events: DataFrame, actions: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(is_event, F.col("n"))), F.lit(0)).alias("count"),
         F.min(F.when(is_event, F.col("first"))).alias("opening"),
         F.max(F.when(is_event, F.col("last_seen"))).alias("last_seen"),
+        F.max(F.when(is_event, F.col("logged"))).alias("logged"),
         F.max(F.when(is_event, F.col("sim"))).alias("sim"),
         F.max(F.when(F.col("action") == "resolve", F.col("ts"))).alias("resolved_at"),
         # Acknowledging needs an open alert, that is one opened before.
@@ -136,9 +149,54 @@ def incidents(events: DataFrame, actions: DataFrame) -> DataFrame:
         .alias("status"),
         resolved.alias("is_resolved"),
         (F.col("sim") == 1).alias("is_simulated"),
+        verdicts.simulated_note(F.col("sim") == 1, F.col("opening.notes")).alias("notes"),
+        F.col("logged.log_id").alias("log_id"),
+        F.col("logged.device_id").alias("device_id"),
     )
 
 
+def alert_rows(found: DataFrame, batch_id: int | None = None) -> DataFrame:
+    """Incidents in the shape of the alerts table."""
+    return found.select(
+        F.col("alert_id").alias("id"),
+        F.col("log_id").alias("traffic_log_id"),
+        "device_id",
+        F.lit(batch_id).cast("long").alias("import_batch_id"),
+        "alert_type",
+        "alert_time",
+        "last_seen",
+        "threat_level",
+        "status",
+        "is_simulated",
+        "notes",
+        "is_resolved",
+        F.col("count").cast("long").alias("count"),
+    )
+
+
+def no_actions(events: DataFrame) -> DataFrame:
+    """An empty table of actions, for events that nobody has acted on yet."""
+    return events.where(F.lit(False)).select(*SIGNATURE, "ts", "id", F.lit(None).cast("string").alias("action"))
+
+
+def apply_actions(alerts: DataFrame, actions: DataFrame) -> DataFrame:
+    """Stored alerts after actions ``(alert_id, ts, action)``: the last one gives the status, a resolve stays.
+
+    Actions on unknown alerts do nothing. Actions are few per alert and become one row before the join.
+    """
+    status = F.when(F.col("action") == "resolve", "Resolved").when(F.col("action") == "acknowledge", "Acknowledged")
+    last = actions.where(F.col("action").isin("acknowledge", "resolve")).groupBy(F.col("alert_id").alias("id")).agg(
+        F.max(F.struct("ts", status.alias("status"))).alias("__last"), F.bool_or(F.col("action") == "resolve").alias("__resolved")
+    )
+    joined = alerts.join(last, "id", "left")
+    return joined.withColumns(
+        {
+            "status": F.coalesce("__last.status", "status"),
+            "is_resolved": F.col("is_resolved") | F.coalesce("__resolved", F.lit(False)),
+        }
+    ).select(*alerts.columns)
+
+
 def alert_windows(events: DataFrame, seconds: int = 30) -> DataFrame:
     """Alerts of a signature that follow each other within ``seconds`` become one row."""
     sessions = gap_sessions(

@@ -198,6 +198,7 @@ def device_events(scored: DataFrame) -> DataFrame:
     """Alert events of anomalous flows."""
     return scored.where("is_anomalous").select(
         "id",
+        F.col("id").alias("log_id"),
         F.col("timestamp").alias("ts"),
         "threat_level",
         F.lit("device_behaviour").alias("alert_type"),

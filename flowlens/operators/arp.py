@@ -45,6 +45,7 @@ def arp_events(conflicts: DataFrame) -> DataFrame:
     """Alert events of the conflicts."""
     return conflicts.select(
         "id",
+        F.col("id").alias("log_id"),
         "ts",
         F.lit("Critical").alias("threat_level"),
         F.lit("arp_spoofing").alias("alert_type"),

@@ -3,14 +3,17 @@ format to the shared folder and read back by the readers, whole."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..functions.values import iso_text
+from ..operators import alerts as al
 from ..operators import evaluate, model
 from ..operators.normalize import valid_rows
 from ..session import shared_dir
-from ..sinks import exports
+from ..sinks import exports, tables
 from ..sources import captures, files
 from . import importer
 from . import pipeline_queries as P
@@ -222,6 +225,32 @@ def batch_summary(spark, sf):
     return done.summary
 
 
+_HIT = """s.value IS NOT NULL OR d.value IS NOT NULL OR EXISTS (SELECT 1 FROM watch w WHERE w.entry_type = 'domain'
+      AND contains(lower(c.info), lower(w.value)))"""
+_HITS = f"""v AS (SELECT c.*, {_HIT} AS hit FROM checked c LEFT JOIN (SELECT DISTINCT value FROM watch WHERE entry_type = 'ipv4') s ON s.value = c.src_ip
+    LEFT JOIN (SELECT DISTINCT value FROM watch WHERE entry_type = 'ipv4') d ON d.value = c.dest_ip WHERE len(errors) = 0)"""
+
+
+@query(
+    "import_two_batches",
+    W("norm", "watch", extra=P._CHECKED + f""",
+  {_HITS}""") + """SELECT 1 + row_id % 2 AS batch, (1 + row_id % 2) * 17592186044416 + row_id // 2 AS id, src_ip, dest_ip,
+  coalesce(sport, 0) AS src_port, dport AS dest_port, 'Suspicious' AS label, 'High' AS threat_level, true AS has_log FROM v WHERE hit""",
+)
+def import_two_batches(spark, sf):
+    """Two imports with the same row numbers, stored, and their alerts with the logs they belong to."""
+    store = tables.Tables().prefixed(f"two_{uuid.uuid4().hex[:8]}_")
+    entries = A.watchlist(spark, sf)
+    for batch in (1, 2):
+        normalized = P._normalized(spark, sf).where(F.col("row_id") % 2 == batch - 1)
+        normalized = normalized.withColumn(files.ROW_ID, F.floor(F.col("row_id") / 2)).drop("row_id")
+        importer.run_batch(normalized, entries, None, batch_id=batch, mode="historical", can_classify=False, can_profile=False, store=store)
+    alerts = spark.table(store.alerts)
+    listed = al.with_context(alerts, spark.table(store.logs), A.device_directory(spark, sf))
+    batch = alerts.select("id", F.col("import_batch_id").alias("batch"))
+    return listed.join(batch, "id").select("batch", "id", "src_ip", "dest_ip", "src_port", "dest_port", "label", "threat_level", "has_log")
+
+
 @query("import_evaluation")
 def import_evaluation(spark, sf):
     """An import labelled by the classifier and compared with its ground truth."""

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.ml import Model
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import verdicts
-from ..operators import anomaly, evaluate, model, normalize, watchlist
+from ..operators import alerts as al
+from ..operators import anomaly, evaluate, flows, model, normalize, watchlist
 from ..sinks import tables
-from ..sources import files
+from ..sources import captures, files, indicators
+from . import live
 
 MODES = ("analyze_only", "historical", "replay", "label_eval")
 
@@ -150,9 +154,12 @@ def run_batch(
     can_classify: bool = True,
     can_profile: bool = True,
     isolate_profile: bool = False,
+    record: DataFrame | None = None,
+    store: tables.Tables = tables.Tables(),
 ) -> Import:
     """Label normalised rows. ``analyze_only`` stores nothing; the other modes store logs and alerts
-    and then count what was stored, so the work is done once."""
+    and then count what was stored, so the work is done once. ``record`` has one row with what is known
+    of the file (`file_record`) for the batch table."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     spark = normalized.sparkSession
@@ -162,28 +169,130 @@ def run_batch(
     logs = log_rows(label_flows(valid, entries, classifier, can_classify), batch_id, source)
     alerts = alert_rows(logs)
     if mode != "analyze_only":
-        tables.append_logs(logs)
-        logs = spark.table(tables.LOGS).where(F.col("import_batch_id") == batch_id).drop("log_date")
-        tables.append_alerts(alert_rows(logs))
-        alerts = spark.table(tables.ALERTS).where(F.col("import_batch_id") == batch_id).drop("log_date")
+        logs, alerts = store_batch(spark, logs, alert_rows, batch_id, store)
     scored = anomaly.device_anomaly(logs) if can_profile and not isolate_profile else None
     out = Import(logs, alerts, batch_summary(logs, rejected, scored, batch_id), normalize.rejections(normalized, files.ROW_ID))
     if mode == "label_eval":
         out.confusion = evaluate.confusion(logs, "ground_truth_label", "prediction_label")
         out.metrics = evaluate.eval_metrics(logs, "ground_truth_label", "prediction_label")
     if mode != "analyze_only":
-        tables.append_batch(
-            out.summary.select(
-                "*",
-                F.lit(name).alias("dataset_name"),
-                F.lit(mode).alias("analysis_mode"),
-                F.lit("completed").alias("status"),
-                F.current_timestamp().alias("uploaded_at"),
-            )
-        )
+        tables.append_batch(batch_record(out, name, mode, record), store.batches)
     return out
 
 
+def store_batch(spark: SparkSession, logs: DataFrame, alerts_of, batch_id: int, store: tables.Tables) -> tuple[DataFrame, DataFrame]:
+    """Store the logs, then the alerts made of the stored logs; both as read back."""
+
+    def own(name: str) -> DataFrame:
+        return spark.table(name).where(F.col("import_batch_id") == batch_id).drop("log_date")
+
+    tables.append_logs(logs, store.logs)
+    tables.append_alerts(alerts_of(own(store.logs)), store.alerts)
+    return own(store.logs), own(store.alerts)
+
+
+def batch_record(done: Import, name: str, mode: str, record: DataFrame | None) -> DataFrame:
+    """The row of the batch table: counters, file, mapping, capabilities, evaluation and times."""
+    none = F.lit(None).cast("string")
+    evaluation = none
+    if done.metrics is not None:
+        cells = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws("/", "truth", "predicted"), "n"))))
+        matrix = done.confusion.agg(F.to_json(cells)).scalar()
+        body = done.metrics.select(F.to_json(F.struct("*", matrix.alias("confusion_matrix"))).alias("j"))
+        evaluation = body.agg(F.max("j")).scalar()
+    known = {f: t for f, t in FILE_RECORD.items()}
+
+    def of_file(column: str) -> Column:
+        value = F.lit(None) if record is None else record.agg(F.max(column)).scalar()
+        return value.cast(known[column]).alias(column)
+
+    started = F.lit(None).cast("timestamp") if record is None else record.agg(F.max("started_at")).scalar()
+    return done.summary.select(
+        "*",
+        F.lit(0).cast("long").alias("drift_count"),
+        F.lit(name).alias("dataset_name"),
+        F.lit(mode).alias("analysis_mode"),
+        F.lit("completed").alias("status"),
+        *[of_file(c) for c in FILE_RECORD],
+        evaluation.alias("eval_metrics_json"),
+        F.current_timestamp().alias("completed_at"),
+        F.round((F.unix_millis(F.current_timestamp()) - F.unix_millis(started)) / 1000.0, 2).alias("duration_sec"),
+    )
+
+
+#: What the batch table keeps of a file.
+FILE_RECORD = {
+    "filename": "string", "file_type": "string", "file_size": "long", "file_hash": "string", "duplicate_of": "long",
+    "mapping_json": "string", "capabilities_json": "string", "uploaded_at": "timestamp", "started_at": "timestamp",
+}
+
+
+def file_record(spark: SparkSession, path: str, fmt: str, mapping: Mapping[str, str], store: tables.Tables) -> DataFrame:
+    """One row about the file or folder of an import: name, size, hash, the first batch with the same hash, mapping and
+    capabilities. The hash of a folder is that of its files' hashes in order."""
+    hashes = files.file_hashes(spark, path)
+    one = hashes.agg(F.sum("length").alias("file_size"), F.sort_array(F.collect_list("file_hash")).alias("h"))
+    one = one.withColumn("file_hash", F.when(F.size("h") == 1, F.col("h")[0]).otherwise(F.sha2(F.array_join("h", ""), 256)))
+    before = F.lit(None).cast("long")
+    if tables.exists(spark, store.batches):
+        earlier = spark.table(store.batches).groupBy("file_hash").agg(F.min("id").alias("duplicate_of"))
+        one, before = one.join(earlier, "file_hash", "left"), F.col("duplicate_of")
+    able = normalize.capabilities(mapping)
+    return one.select(
+        F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("filename"),
+        F.lit(fmt).alias("file_type"),
+        "file_size",
+        "file_hash",
+        before.alias("duplicate_of"),
+        F.lit(json.dumps(dict(mapping), sort_keys=True)).alias("mapping_json"),
+        F.lit(json.dumps(able, sort_keys=True, default=str)).alias("capabilities_json"),
+        F.current_timestamp().alias("uploaded_at"),
+        F.lit(datetime.now(timezone.utc)).cast("timestamp").alias("started_at"),
+    )
+
+
+def import_capture(
+    spark: SparkSession, path: str, entries: DataFrame, *, batch_id: int, mode: str = "analyze_only", classifier: Model | None = None,
+    timeout: float = 2.0, packets: DataFrame | None = None, errors: DataFrame | None = None, store: tables.Tables = tables.Tables(),
+) -> Import:
+    """Captures to flows, labels, logs and alerts, as on the live path. What could not be read are the rejections.
+
+    Alerts of the same signature are one alert. ``packets`` and ``errors`` may be given instead of a path.
+    """
+    packets = captures.read_captures(spark, path) if packets is None else packets
+    errors = captures.capture_errors(spark, path) if errors is None else errors
+    built = flows.build_flows(packets, timeout=timeout)
+    logs, _ = live.enrich(built, classifier or model.train_baseline(spark), entries, keep_features=True)
+    batch = F.lit(batch_id).cast("long").alias("import_batch_id")
+    logs = logs.select("*", batch, F.lit(None).cast("string").alias("ground_truth_label"), F.lit(False).alias("has_warning"))
+
+    def alerts_of(rows: DataFrame) -> DataFrame:
+        events = al.event_notes(al.flow_events(rows))
+        return al.alert_rows(al.incidents(events, al.no_actions(events)), batch_id)
+
+    alerts = alerts_of(logs)
+    if mode != "analyze_only":
+        logs, alerts = store_batch(spark, logs, alerts_of, batch_id, store)
+    summary = batch_summary(logs, errors, None, batch_id)
+    summary = summary.withColumn("alerts_count", alerts.agg(F.count(F.lit(1))).scalar())
+    out = Import(logs, alerts, summary, errors)
+    if mode != "analyze_only":
+        name = path.rstrip("/").rsplit("/", 1)[-1]
+        record = file_record(spark, path, "pcap", {}, store) if path else None
+        tables.append_batch(batch_record(out, name, mode, record), store.batches)
+    return out
+
+
+def import_feed(spark: SparkSession, path: str, as_of: Column, *, label: str = "Imported Threat Feed", store: tables.Tables = tables.Tables()) -> DataFrame:
+    """The indicators of a feed that the stored watchlist lacks, added to it; one row with both counts."""
+    found = indicators.read_indicators(spark, path)
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    before = spark.table(store.watchlist).count() if tables.exists(spark, store.watchlist) else 0
+    tables.add_to_watchlist(found, name, as_of, label, store.watchlist)
+    total = found.agg(F.count(F.lit(1))).scalar()
+    return spark.table(store.watchlist).agg((F.count(F.lit(1)) - before).alias("imported_count"), total.alias("total_found"))
+
+
 def import_dataset(
     spark: SparkSession,
     path: str,
@@ -196,9 +305,17 @@ def import_dataset(
     mapping: Mapping[str, str] | None = None,
     classifier: Model | None = None,
     isolate_profile: bool = False,
-) -> Import:
-    """Import a file or folder: detect the format, map the columns, normalise, label, store."""
+    store: tables.Tables = tables.Tables(),
+) -> Import | DataFrame:
+    """Import a file or folder: detect the format, map the columns, normalise, label, store.
+
+    Captures go through the flows; a threat feed goes to the watchlist and gives the counts of `import_feed`.
+    """
     fmt = fmt or files.detect_format(spark, path)
+    if fmt == "pcap":
+        return import_capture(spark, path, entries, batch_id=batch_id, mode=mode, classifier=classifier, store=store)
+    if fmt == "txt_ioc":
+        return import_feed(spark, path, as_of, store=store)
     raw = files.read_raw(spark, path, fmt)
     mapping = mapping if mapping is not None else normalize.auto_mapping(files.headers(raw), fmt)
     name = path.rstrip("/").rsplit("/", 1)[-1]
@@ -213,4 +330,6 @@ def import_dataset(
         can_classify=normalize.supports(mapping, "arf_classification"),
         can_profile=normalize.supports(mapping, "behaviour_profiling"),
         isolate_profile=isolate_profile,
+        record=None if mode == "analyze_only" else file_record(spark, path, fmt, mapping, store),
+        store=store,
     )

@@ -13,8 +13,8 @@ from ..streaming.flows import build_flows_stream
 from ..streaming.run import for_each_epoch
 
 
-def enrich(flows: DataFrame, classifier: Model, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Log rows and alert events of closed flows."""
+def enrich(flows: DataFrame, classifier: Model, entries: DataFrame, keep_features: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Log rows and alert events of closed flows. ``keep_features``: the logs also hold what explains their alerts."""
     labelled = model.classify(flows, classifier)
     logs = labelled.withColumn("timestamp", F.col("last_seen")).withColumn(
         "protocol", F.coalesce("protocol_l7", "protocol")
@@ -25,7 +25,7 @@ def enrich(flows: DataFrame, classifier: Model, entries: DataFrame) -> tuple[Dat
     rows = logs.select(
         "id", "timestamp", "src_ip", "dest_ip", "src_port", "dest_port", "protocol",
         F.floor("duration").alias("duration"), "total_bytes", "packet_count", "prediction_label", "confidence_score",
-        "info", "source", "connection_state", "watch_id",
+        "info", "source", "connection_state", "watch_id", *(["sbytes", "splt_mean", "avg_pkt_size"] if keep_features else []),
     )
     return rows, events
 
@@ -41,10 +41,12 @@ def run_stream(
 
     def work(flows: DataFrame, epoch: int) -> None:
         flows.persist()  # two outputs from one micro-batch
-        logs, events = enrich(flows, classifier, entries)
-        write_epoch(logs, f"{out}/logs", epoch)
-        write_epoch(events, f"{out}/alert_events", epoch)
-        flows.unpersist()
+        try:
+            logs, events = enrich(flows, classifier, entries)
+            write_epoch(logs, f"{out}/logs", epoch)
+            write_epoch(events, f"{out}/alert_events", epoch)
+        finally:
+            flows.unpersist()
 
     return for_each_epoch(build_flows_stream(packets, timeout, delay, decode), f"{out}/checkpoint", work, **trigger)
 

@@ -388,10 +388,65 @@ ALERT_INCIDENTS_SQL = (
 
 @query("alert_incidents", ALERT_INCIDENTS_SQL)
 def alert_incidents(spark, sf):
-    out = al.incidents(A.alert_events(spark, sf), A.alert_actions(spark, sf))
+    out = al.incidents(A.alert_events(spark, sf), A.alert_actions(spark, sf)).drop("notes", "log_id", "device_id")
     return out.withColumn("alert_time", iso_text(F.col("alert_time"))).withColumn("last_seen", iso_text(F.col("last_seen")))
 
 
+_NOTED = """'[' || device || ' -> ' || dest_ip || ' | ' || protocol || '] Diagnosis: Odd flow | Reason: Value ' || id || ' | Action: Look'"""
+_STORED = _ARP + f""",
+  united AS (SELECT id, ts, threat_level, 'flow_classification' AS alert_type, device, is_simulated,
+      CASE WHEN is_simulated THEN '[SIMULATION] ' ELSE '' END || {_NOTED} AS note FROM alert_events
+    UNION ALL SELECT id, ts, 'Critical', 'arp_spoofing', ip, false, '[' || ip || ' -> Broadcast | ARP] Diagnosis: ARP Spoofing / MITM | Reason: '
+      || 'Duplicate MAC bindings detected for IP ' || ip || ': ' || mac || ' vs ' || old_mac || ' | Action: Audit active MAC tables and isolate '
+      || 'device matching MAC ' || mac || '. | Context: Prior MAC: ' || old_mac || ' -> Infiltrating MAC: ' || mac FROM firsts WHERE mac <> old_mac),
+  opened AS (SELECT arg_min(id, {{'t': ts, 'i': id}}) AS id, arg_max(id, {{'t': ts, 'i': id}}) AS traffic_log_id, alert_type, threat_level,
+      min(ts) AS alert_time, max(ts) AS last_seen, count(*) AS count, bool_or(is_simulated) AS is_simulated, arg_min(note, {{'t': ts, 'i': id}}) AS note
+    FROM united GROUP BY threat_level, alert_type, device)"""
+_STORED_COLUMNS = f"""id, traffic_log_id, alert_type, threat_level, {iso('alert_time')} AS alert_time, {iso('last_seen')} AS last_seen, count, is_simulated,
+  CASE WHEN is_simulated AND NOT contains(note, '[SIMULATION]') THEN '[SIMULATION] ' || note ELSE note END AS notes"""
+
+
+def _stored_alerts(spark, sf):
+    """Events of two detectors as stored alerts."""
+    odd = A.alert_events(spark, sf).select(
+        "*", F.lit("Odd flow").alias("threat_type"), F.concat(F.lit("Value "), "id").alias("reason"), F.lit("Look").alias("action"),
+        F.lit(None).cast("string").alias("context"), F.col("id").alias("log_id"),
+    )
+    events = al.event_notes(al.union_events(odd, arp.arp_events(arp.arp_conflicts(A.arp_replies(spark, sf)))))
+    return al.alert_rows(al.incidents(events, al.no_actions(events)))
+
+
+def _alert_columns(alerts):
+    shown = alerts.withColumn("alert_time", iso_text(F.col("alert_time"))).withColumn("last_seen", iso_text(F.col("last_seen")))
+    return shown.select(
+        "id", "traffic_log_id", "alert_type", "threat_level", "alert_time", "last_seen", "count", "is_simulated", "notes", "status", "is_resolved"
+    )
+
+
+@query(
+    "incident_alerts",
+    W("alert_events", "arp", extra=_STORED) + f"""SELECT {_STORED_COLUMNS}, CASE WHEN count > 1 THEN 'Active' ELSE 'New' END AS status,
+  false AS is_resolved FROM opened""",
+)
+def incident_alerts(spark, sf):
+    return _alert_columns(_stored_alerts(spark, sf))
+
+
+@query(
+    "alerts_acted_on",
+    W("alert_events", "alert_actions", "arp", extra=_STORED + """,
+  acts AS (SELECT id - 1 AS alert_id, ts, action, id FROM alert_actions),
+  done AS (SELECT alert_id, arg_max(action, {'t': ts, 'a': action}) AS last, bool_or(action = 'resolve') AS resolved FROM acts GROUP BY 1)""")
+    + f"""SELECT {_STORED_COLUMNS}, CASE last WHEN 'resolve' THEN 'Resolved' WHEN 'acknowledge' THEN 'Acknowledged'
+  ELSE CASE WHEN count > 1 THEN 'Active' ELSE 'New' END END AS status, coalesce(resolved, false) AS is_resolved
+FROM opened LEFT JOIN done ON alert_id = opened.id""",
+)
+def alerts_acted_on(spark, sf):
+    """An action on the event before it, which is an alert or not."""
+    actions = A.alert_actions(spark, sf).select((F.col("id") - 1).alias("alert_id"), "ts", "action")
+    return _alert_columns(al.apply_actions(_stored_alerts(spark, sf), actions))
+
+
 _WINDOW_HOURS = 12
 
 

@@ -8,6 +8,7 @@ overwritten while it is read.
 from __future__ import annotations
 
 from datetime import date
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,20 @@ DEVICES, METRICS, BATCHES = "device_profiles", "model_metrics", "import_batches"
 LIVE = 0  # partition of rows that belong to no import batch
 
 
+class Tables(NamedTuple):
+    """Names of the stored tables; another set of them is a prefix away."""
+
+    logs: str = LOGS
+    alerts: str = ALERTS
+    watchlist: str = WATCHLIST
+    devices: str = DEVICES
+    metrics: str = METRICS
+    batches: str = BATCHES
+
+    def prefixed(self, prefix: str) -> Tables:
+        return Tables(*[prefix + name for name in self])
+
+
 def exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
 
