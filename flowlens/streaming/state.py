@@ -229,7 +229,7 @@ class DriftState(_Keyed):
         self.delta = delta
 
     def step(self, key, rows, state):
-        sums = rows.groupby("block")["wrong"].agg(["size", "sum"]).sort_index()
+        sums = rows.groupby("block")[["n", "wrong"]].sum().sort_index()
         window, out = drift.AdaptiveWindow(self.delta, buckets=state["buckets"]), []
         for block, n, errors in sums.itertuples():
             if state["block"] is not None and block != state["block"]:
@@ -248,9 +248,15 @@ class DriftState(_Keyed):
 
 
 def drift_stream(rows: DataFrame, key: str, ts: str, error, *, block_us: int = 300_000_000, delta: float = drift.DELTA, ttl_hours: float | None = None) -> DataFrame:
-    """Cuts of the adaptive window as blocks of time complete."""
+    """Cuts of the adaptive window as blocks of time complete. Rows become sums per block before they are shuffled."""
     blocks = rows.select(key, F.floor(micros(F.col(ts)) / F.lit(block_us)).alias("block"), error.cast("int").alias("wrong"))
     key_type = blocks.schema[key].dataType.simpleString()
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.groupby([key, "block"], as_index=False, dropna=False)["wrong"].agg(["size", "sum"]).set_axis([key, "block", "n", "wrong"], axis=1)
+
+    blocks = blocks.mapInPandas(summed, f"{key} {key_type}, block long, n long, wrong long")
     schema = f"{key} {key_type}, block long, samples_processed long, accuracy double, width long, estimation double"
     found = _run(blocks, [key], DriftState(_names(schema), delta, ttl_hours), schema)
     return found.select(
