@@ -155,8 +155,12 @@ def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arp_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arp_replies_of(table(spark, sf_dir, "events"))
+
+
+def arp_replies_of(events: DataFrame) -> DataFrame:
     """Views are ARP replies, signups ARP requests; the claimed MAC changes with ``k``."""
-    base = event_base(table(spark, sf_dir, "events"))
+    base = event_base(events)
     return base.where(F.col("event_type").isin("view", "signup")).select(
         F.col("event_id").alias("id"),
         "ts",

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml import Model, PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import alerts as al
-from ..operators import model, watchlist
-from ..sinks.tables import write_epoch
+from ..operators import anomaly, arp, devices, model, watchlist
+from ..sinks.tables import upsert_devices, write_epoch
+from ..streaming import state
 from ..streaming.flows import build_flows_stream
 from ..streaming.run import for_each_epoch
 
@@ -51,6 +52,60 @@ def run_stream(
     return for_each_epoch(build_flows_stream(packets, timeout, delay, decode), f"{out}/checkpoint", work, **trigger)
 
 
+def run_devices(logs: DataFrame, out: str, *, trees: int = 25, **trigger):
+    """Score every log of a stream against its device's past: ``device_events`` and ``device_profiles`` grow below ``out``.
+
+    Profiles are snapshots of the devices that an epoch saw; readers take the newest per device.
+    """
+
+    def work(scored: DataFrame, epoch: int) -> None:
+        scored.persist()
+        try:
+            write_epoch(al.event_notes(anomaly.device_events(scored)), f"{out}/device_events", epoch)
+            upsert_devices(devices.device_summary(scored), f"{out}/device_profiles", epoch)
+        finally:
+            scored.unpersist()
+
+    return for_each_epoch(state.device_anomaly_stream(logs, trees=trees), f"{out}/device_checkpoint", work, **trigger)
+
+
+def run_arp(replies: DataFrame, out: str, **trigger):
+    """ARP conflicts of a stream: ``arp_logs`` and ``arp_events`` grow below ``out``."""
+
+    def work(conflicts: DataFrame, epoch: int) -> None:
+        conflicts.persist()
+        try:
+            write_epoch(arp.arp_logs(conflicts), f"{out}/arp_logs", epoch)
+            write_epoch(al.event_notes(arp.arp_events(conflicts)), f"{out}/arp_events", epoch)
+        finally:
+            conflicts.unpersist()
+
+    return for_each_epoch(state.arp_conflicts_stream(replies), f"{out}/arp_checkpoint", work, **trigger)
+
+
+def run_alerts(events: DataFrame, out: str, *, seconds: float = 2.0, **trigger) -> list:
+    """Events of all detectors to alerts and notifications, both below ``out``.
+
+    ``alert_changes`` holds every change of an alert (`state.present_incidents` gives their present form, fit for the
+    alerts table through `alerts.alert_rows`), ``notifications`` the events that are sent out.
+    """
+    changes = state.incidents_stream(state.event_timeline(events))
+    sent = state.rate_limit_stream(events, seconds)
+    return [
+        for_each_epoch(changes, f"{out}/alerts_checkpoint", lambda df, epoch: write_epoch(df, f"{out}/alert_changes", epoch), **trigger),
+        for_each_epoch(sent, f"{out}/notify_checkpoint", lambda df, epoch: write_epoch(df, f"{out}/notifications", epoch), **trigger),
+    ]
+
+
+def stored_events(spark: SparkSession, out: str, names: tuple[str, ...] = ("alert_events", "device_events", "arp_events"), **options) -> DataFrame:
+    """What the detectors have written below ``out`` as one stream of events."""
+    parts = []
+    for name in names:
+        schema = spark.read.parquet(f"{out}/{name}").drop("epoch").schema
+        parts.append(spark.readStream.schema(schema).option("recursiveFileLookup", True).options(**options).parquet(f"{out}/{name}"))
+    return al.union_events(*parts)
+
+
 def refit_stream(labelled: DataFrame, out: str, *, keep_epochs: int = 20, trees: int = 3, **trigger):
     """Predict, then learn: each micro-batch is labelled by the current model and joins the training
     window of the last ``keep_epochs`` micro-batches, on which the model is fitted anew.

@@ -406,30 +406,38 @@ _STORED_COLUMNS = f"""id, traffic_log_id, alert_type, threat_level, {iso('alert_
   CASE WHEN is_simulated AND NOT contains(note, '[SIMULATION]') THEN '[SIMULATION] ' || note ELSE note END AS notes"""
 
 
-def _stored_alerts(spark, sf):
-    """Events of two detectors as stored alerts."""
-    odd = A.alert_events(spark, sf).select(
+def explained(events):
+    """Alert events of the test tables with what their notes say."""
+    odd = events.select(
         "*", F.lit("Odd flow").alias("threat_type"), F.concat(F.lit("Value "), "id").alias("reason"), F.lit("Look").alias("action"),
         F.lit(None).cast("string").alias("context"), F.col("id").alias("log_id"),
     )
-    events = al.event_notes(al.union_events(odd, arp.arp_events(arp.arp_conflicts(A.arp_replies(spark, sf)))))
+    return al.event_notes(odd)
+
+
+def _stored_alerts(spark, sf):
+    """Events of two detectors as stored alerts."""
+    conflicts = al.event_notes(arp.arp_events(arp.arp_conflicts(A.arp_replies(spark, sf))))
+    events = al.union_events(explained(A.alert_events(spark, sf)), conflicts)
     return al.alert_rows(al.incidents(events, al.no_actions(events)))
 
 
-def _alert_columns(alerts):
+def alert_columns(alerts):
     shown = alerts.withColumn("alert_time", iso_text(F.col("alert_time"))).withColumn("last_seen", iso_text(F.col("last_seen")))
     return shown.select(
         "id", "traffic_log_id", "alert_type", "threat_level", "alert_time", "last_seen", "count", "is_simulated", "notes", "status", "is_resolved"
     )
 
 
-@query(
-    "incident_alerts",
-    W("alert_events", "arp", extra=_STORED) + f"""SELECT {_STORED_COLUMNS}, CASE WHEN count > 1 THEN 'Active' ELSE 'New' END AS status,
-  false AS is_resolved FROM opened""",
+STORED_ALERTS_SQL = (
+    W("alert_events", "arp", extra=_STORED)
+    + f"""SELECT {_STORED_COLUMNS}, CASE WHEN count > 1 THEN 'Active' ELSE 'New' END AS status, false AS is_resolved FROM opened"""
 )
+
+
+@query("incident_alerts", STORED_ALERTS_SQL)
 def incident_alerts(spark, sf):
-    return _alert_columns(_stored_alerts(spark, sf))
+    return alert_columns(_stored_alerts(spark, sf))
 
 
 @query(
@@ -444,7 +452,7 @@ FROM opened LEFT JOIN done ON alert_id = opened.id""",
 def alerts_acted_on(spark, sf):
     """An action on the event before it, which is an alert or not."""
     actions = A.alert_actions(spark, sf).select((F.col("id") - 1).alias("alert_id"), "ts", "action")
-    return _alert_columns(al.apply_actions(_stored_alerts(spark, sf), actions))
+    return alert_columns(al.apply_actions(_stored_alerts(spark, sf), actions))
 
 
 _WINDOW_HOURS = 12

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..functions.values import iso_text, micros
+from ..operators import alerts as al
 from ..operators import model
 from ..session import shared_dir
 from ..sources.streams import stream_table
 from ..streaming import state
 from ..streaming.flows import build_flows_stream
 from ..streaming.run import drain as drain_stream
-from ..streaming.run import state_partitions
+from ..streaming.run import state_partitions, to_folder
 from . import live
 from . import pipeline_queries as P
 from .oracle_views import iso, with_views
@@ -60,10 +61,29 @@ def stream_flows(spark, sf):
 def stream_incidents(spark, sf):
     rows = state.timeline(A.alert_events_of(_stream(spark, sf)), A.alert_actions_of(_stream(spark, sf)))
     changes = drain(spark, state.incidents_stream(rows), "stream-incidents")
-    out = state.present_incidents(changes)
+    out = state.present_incidents(changes).drop("notes", "log_id", "device_id")
     return out.withColumn("alert_time", iso_text(F.col("alert_time"))).withColumn("last_seen", iso_text(F.col("last_seen")))
 
 
+@query("stream_alerts", P.STORED_ALERTS_SQL)
+def stream_alerts(spark, sf):
+    """Two detectors to stored events, and these to alerts with notes and logs, micro-batch by micro-batch."""
+    out = shared_dir(spark, "stream-alerts")
+    events = P.explained(A.alert_events_of(_stream(spark, sf)))
+    with state_partitions(spark, spark.sparkContext.defaultParallelism):
+        detectors = [
+            live.run_arp(A.arp_replies_of(_stream(spark, sf)), out, availableNow=True),
+            to_folder(events, f"{out}/alert_events", f"{out}/events_checkpoint"),
+        ]
+        for running in detectors:
+            running.awaitTermination()
+        stored = live.stored_events(spark, out, ("alert_events", "arp_events"), maxFilesPerTrigger=64)
+        for running in live.run_alerts(stored, out, availableNow=True):
+            running.awaitTermination()
+    changes = spark.read.parquet(f"{out}/alert_changes")
+    return P.alert_columns(al.alert_rows(state.present_incidents(changes)))
+
+
 @query("stream_notifications", P.NOTIFICATION_SQL)
 def stream_notifications(spark, sf):
     events = A.alert_events_of(_stream(spark, sf))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions import verdicts
 from ..functions.values import micros
 from ..operators import anomaly, drift
 from ..operators.alerts import NOTIFY_KEY, SIGNATURE
@@ -63,7 +64,7 @@ def _names(schema: str) -> list[str]:
 
 _INCIDENT = (
     "threat_level string, alert_type string, device string, incident long, alert_id long, opened_us long, "
-    "seen_us long, count long, status string, is_simulated boolean, version long"
+    "seen_us long, count long, status string, is_simulated boolean, notes string, log_id long, version long"
 )
 
 
@@ -73,14 +74,17 @@ class Incidents(_Keyed):
     def step(self, key, rows, state):
         rows = rows.sort_values(["us", "kind", "id"])
         changed = {}
-        for us, kind, ident, action, sim in rows[["us", "kind", "id", "action", "is_simulated"]].itertuples(index=False):
-            alert = state["open"]
+        columns = ["us", "kind", "id", "action", "is_simulated", "notes", "log_id"]
+        for us, kind, ident, action, sim, note, log in rows[columns].itertuples(index=False):
+            alert, log = state["open"], None if pd.isna(log) else int(log)
             if kind == 0 and alert is None:
                 alert = state["open"] = {"id": int(ident), "first": int(us), "last": int(us), "n": 1, "status": "New", "sim": bool(sim)}
+                alert |= {"note": note, "log": log}
             elif kind == 0:
                 alert["n"] += 1
                 alert["last"] = max(alert["last"], int(us))
                 alert["sim"] |= bool(sim)
+                alert["log"] = alert["log"] if log is None else log
                 if alert["status"] == "New":
                     alert["status"] = "Active"
             elif action == "acknowledge" and alert is not None:
@@ -96,21 +100,31 @@ class Incidents(_Keyed):
                 changed[state["incident"]] = alert
         state["version"] += 1
         return [
-            (*key, number, a["id"], a["first"], a["last"], a["n"], a["status"], a["sim"], state["version"])
+            (*key, number, a["id"], a["first"], a["last"], a["n"], a["status"], a["sim"], a["note"], a["log"], state["version"])
             for number, a in changed.items()
         ]
 
 
 def timeline(events: DataFrame, actions: DataFrame) -> DataFrame:
     """Events and actions of one stream, ready for ``incidents_stream``."""
-    common = [*SIGNATURE, "id"]
-    event_rows = events.select(
-        *common, micros(F.col("ts")).alias("us"), F.lit(0).alias("kind"), F.lit("").alias("action"), "is_simulated"
-    )
-    action_rows = actions.select(
-        *common, micros(F.col("ts")).alias("us"), F.lit(1).alias("kind"), "action", F.lit(False).alias("is_simulated")
-    )
-    return event_rows.unionByName(action_rows)
+    return event_timeline(events).unionByName(
+        actions.select(
+            *SIGNATURE, "id", micros(F.col("ts")).alias("us"), F.lit(1).alias("kind"), "action", F.lit(False).alias("is_simulated"),
+            F.lit(None).cast("string").alias("notes"), F.lit(None).cast("long").alias("log_id"),
+        )
+    )
+
+
+def event_timeline(events: DataFrame) -> DataFrame:
+    """The same without actions; ``notes`` and ``log_id`` of the events are kept if they have them."""
+
+    def extra(name: str, kind: str):
+        return F.col(name) if name in events.columns else F.lit(None).cast(kind).alias(name)
+
+    return events.select(
+        *SIGNATURE, "id", micros(F.col("ts")).alias("us"), F.lit(0).alias("kind"), F.lit("").alias("action"), "is_simulated",
+        extra("notes", "string"), extra("log_id", "long"),
+    )
 
 
 def incidents_stream(rows: DataFrame, ttl_hours: float | None = None) -> DataFrame:
@@ -120,7 +134,7 @@ def incidents_stream(rows: DataFrame, ttl_hours: float | None = None) -> DataFra
 
 def present_incidents(changes: DataFrame) -> DataFrame:
     """The present form of every alert from the stored changes."""
-    body = F.struct("alert_id", "opened_us", "seen_us", "count", "status", "is_simulated")
+    body = F.struct("alert_id", "opened_us", "seen_us", "count", "status", "is_simulated", "notes", "log_id")
     newest = changes.groupBy(*SIGNATURE, "incident").agg(F.max_by(body, "version").alias("a"))
     return newest.select(
         "a.alert_id",
@@ -132,9 +146,36 @@ def present_incidents(changes: DataFrame) -> DataFrame:
         "a.status",
         (F.col("a.status") == "Resolved").alias("is_resolved"),
         "a.is_simulated",
+        verdicts.simulated_note(F.col("a.is_simulated"), F.col("a.notes")).alias("notes"),
+        "a.log_id",
+        F.lit(None).cast("long").alias("device_id"),
     )
 
 
+# --- ARP ----------------------------------------------------------------------------------------
+
+_CONFLICT = "ip string, id long, us long, old_mac string, new_mac string"
+
+
+class FirstMac(_Keyed):
+    empty = {"mac": None}
+
+    def step(self, key, rows, state):
+        out = []
+        for us, ident, mac in rows.sort_values(["us", "id"])[["us", "id", "mac"]].itertuples(index=False):
+            state["mac"] = state["mac"] or mac
+            if mac != state["mac"]:
+                out.append((*key, int(ident), int(us), state["mac"], mac))
+        return out
+
+
+def arp_conflicts_stream(replies: DataFrame, ttl_hours: float | None = None) -> DataFrame:
+    """Replies whose MAC is not the first one seen for their address, as in the batch form."""
+    answers = replies.where((F.col("op") == 2) & F.col("ip").isNotNull() & F.col("mac").isNotNull())
+    found = _run(answers.select("ip", "id", micros(F.col("ts")).alias("us"), "mac"), ["ip"], FirstMac(_names(_CONFLICT), ttl_hours), _CONFLICT)
+    return found.select("id", F.timestamp_micros("us").alias("ts"), "ip", "old_mac", "new_mac")
+
+
 # --- notification limit -------------------------------------------------------------------------
 
 
