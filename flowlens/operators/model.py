@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +51,32 @@ def train_baseline(spark: SparkSession) -> Model:
     return train(baseline_rows(spark))
 
 
-def classify(flows: DataFrame, model: Model) -> DataFrame:
+class FixedForest:
+    """A forest written down by hand, used like a fitted model; its score is an expression, no model file is needed.
+
+    A tree is ``(feature, bound, below, otherwise)`` or, as a leaf, the chances of the three labels. The trees' chances
+    are averaged and the first label with the largest one wins.
+    """
+
+    def __init__(self, trees: list):
+        self.trees = trees
+
+    def chances(self, label: int) -> Column:
+        def of(tree) -> Column:
+            if len(tree) == len(LABELS):
+                return F.lit(float(tree[label]))
+            feature, bound, below, rest = tree
+            return F.when(F.col(feature) < bound, of(below)).otherwise(of(rest))
+
+        return sum((of(t) for t in self.trees[1:]), of(self.trees[0])) / F.lit(float(len(self.trees)))
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        scored = rows.withColumn("__a", F.array(*[self.chances(i) for i in range(len(LABELS))]))
+        best = F.array_position("__a", F.array_max("__a")) - 1
+        return scored.select(*rows.columns, best.cast("double").alias("__k"), array_to_vector("__a").alias("__p"))
+
+
+def classify(flows: DataFrame, model: Model | FixedForest) -> DataFrame:
     """Add ``prediction_label`` and ``confidence_score`` (largest class probability)."""
     names = F.array(*[F.lit(x) for x in LABELS])
     scored = model.transform(flows)

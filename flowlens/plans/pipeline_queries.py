@@ -716,6 +716,49 @@ def classify(spark, sf):
     return out.withColumn("start_time", iso_text(F.col("start_time")))
 
 
+# A forest that knows all three labels on the test tables, and the same trees in SQL.
+FOREST = model.FixedForest(
+    [
+        ("sbytes", 80.0, (0.2, 0.7, 0.1), ("packet_count", 3.0, (0.8, 0.15, 0.05), (0.1, 0.2, 0.7))),
+        ("dbytes", 1.0, ("splt_mean", 1.0, (0.3, 0.6, 0.1), (0.5, 0.3, 0.2)), ("avg_pkt_size", 90.0, (0.7, 0.2, 0.1), (0.2, 0.1, 0.7))),
+        ("packet_count", 2.0, (0.4, 0.5, 0.1), (0.3, 0.1, 0.6)),
+    ]
+)
+FOREST_SQL = """SELECT *, CASE WHEN sbytes < 80 THEN [0.2e0, 0.7e0, 0.1e0] WHEN packet_count < 3 THEN [0.8e0, 0.15e0, 0.05e0] ELSE [0.1e0, 0.2e0, 0.7e0] END AS t1,
+  CASE WHEN dbytes < 1 THEN CASE WHEN splt_mean < 1 THEN [0.3e0, 0.6e0, 0.1e0] ELSE [0.5e0, 0.3e0, 0.2e0] END
+    WHEN avg_pkt_size < 90 THEN [0.7e0, 0.2e0, 0.1e0] ELSE [0.2e0, 0.1e0, 0.7e0] END AS t2,
+  CASE WHEN packet_count < 2 THEN [0.4e0, 0.5e0, 0.1e0] ELSE [0.3e0, 0.1e0, 0.6e0] END AS t3"""
+VOTED_SQL = """voted AS (SELECT *, [(t1[1] + t2[1] + t3[1]) / 3, (t1[2] + t2[2] + t3[2]) / 3, (t1[3] + t2[3] + t3[3]) / 3] AS c FROM trees),
+  named AS (SELECT *, list_max(c) AS confidence_score, ['Normal', 'Suspicious', 'Malicious'][list_position(c, list_max(c))] AS prediction_label FROM voted)"""
+_FEATURES = """f AS (SELECT *, CASE WHEN sn > 1 THEN sspan / 1000000.0e0 / (sn - 1) ELSE 0 END AS splt_mean,
+    CAST(sbytes + dbytes AS DOUBLE) / packet_count AS avg_pkt_size FROM summed)"""
+
+
+@query(
+    "classify_fixed",
+    W("packets", extra=f"{_FLOWS},\n  {_FEATURES},\n  trees AS ({FOREST_SQL} FROM f),\n  {VOTED_SQL}")
+    + f"SELECT {_FLOW_COLUMNS}, prediction_label, confidence_score FROM named",
+)
+def classify_fixed(spark, sf):
+    """All flows built from the packets, labelled by a forest that SQL can state."""
+    features = flows.feature_vector(_built(spark, sf), ["src_ip", "dest_ip", "src_port", "dest_port", "start_time"])
+    out = model.classify(features, FOREST).withColumn("start_time", iso_text(F.col("start_time")))
+    return out.select("src_ip", "dest_ip", "src_port", "dest_port", "start_time", "prediction_label", "confidence_score")
+
+
+IMPORTED_SQL = f"""f AS (SELECT row_id, label, CAST(src_bytes AS DOUBLE) AS sbytes, CAST(dest_bytes AS DOUBLE) AS dbytes, 0.0e0 AS splt_mean,
+    CAST(packet_count AS DOUBLE) AS packet_count, CAST(total_bytes AS DOUBLE) / packet_count AS avg_pkt_size FROM checked WHERE len(errors) = 0),
+  trees AS ({FOREST_SQL} FROM f),
+  {VOTED_SQL}"""
+
+
+@query("import_labels_fixed", W("norm", extra=f"{_CHECKED},\n  {IMPORTED_SQL}") + "SELECT row_id, prediction_label, confidence_score FROM named")
+def import_labels_fixed(spark, sf):
+    valid = normalize.valid_rows(_normalized(spark, sf))
+    out = model.classify(normalize.to_features(valid, ["row_id"]), FOREST)
+    return out.select("row_id", "prediction_label", "confidence_score")
+
+
 @query("import_labels")
 def import_labels(spark, sf):
     """Imported rows labelled by the model if their volume is known."""

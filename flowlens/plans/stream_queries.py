@@ -122,6 +122,23 @@ def stream_rate_bins(spark, sf):
     return out.withColumn("start", iso_text(F.col("start")))
 
 
+@query(
+    "stream_labels_fixed",
+    with_views("packets", extra=f"{P._FLOWS},\n  {P._FEATURES},\n  trees AS ({P.FOREST_SQL} FROM f),\n  {P.VOTED_SQL}")
+    + f"""SELECT CASE WHEN opened_back THEN server ELSE client END AS src_ip, CASE WHEN opened_back THEN client ELSE server END AS dest_ip,
+  CASE WHEN info IS NULL THEN 'TCP' ELSE 'HTTP' END AS protocol, sbytes + dbytes AS total_bytes, prediction_label, confidence_score
+FROM named WHERE {_CLOSED}""",
+)
+def stream_labels_fixed(spark, sf):
+    """Packet stream to labelled logs with a forest that SQL can state."""
+    out = shared_dir(spark, "stream-labels")
+    packets = A.packets_of(_stream(spark, sf))
+    with state_partitions(spark, spark.sparkContext.defaultParallelism):
+        live.run_stream(packets, P.FOREST, A.watchlist(spark, sf), out, timeout=P._GAP, decode="http", availableNow=True).awaitTermination()
+    logs = spark.read.parquet(f"{out}/logs")
+    return logs.select("src_ip", "dest_ip", "protocol", "total_bytes", "prediction_label", "confidence_score")
+
+
 @query("stream_labels")
 def stream_labels(spark, sf):
     """Packet stream to labelled logs: flows, classifier, watchlist, alerts."""
