@@ -510,8 +510,25 @@ def open_alert_lookup(spark, sf):
 # --- device anomaly -----------------------------------------------------------------------------
 
 
+def loud(logs):
+    """Now and then a flow far beyond what its device does otherwise."""
+    odd = F.col("id") % 97 == 5
+    return logs.withColumns(
+        {
+            "total_bytes": F.when(odd, F.col("total_bytes") + 40_000_000 + F.col("id") % 7 * 9_000_000).otherwise(F.col("total_bytes")),
+            "duration": F.when(odd, F.col("duration") + 1500 + F.col("id") % 5 * 500).otherwise(F.col("duration")),
+            "src_pkts": F.when(odd, F.col("src_pkts") + F.col("id") % 3 * 20_000).otherwise(F.col("src_pkts")),
+        }
+    )
+
+
+_LOUD = """loud AS (SELECT * REPLACE (CASE WHEN id % 97 = 5 THEN total_bytes + 40000000 + id % 7 * 9000000 ELSE total_bytes END AS total_bytes,
+    CASE WHEN id % 97 = 5 THEN duration + 1500 + id % 5 * 500 ELSE duration END AS duration,
+    CASE WHEN id % 97 = 5 THEN src_pkts + id % 3 * 20000 ELSE src_pkts END AS src_pkts) FROM logs)"""
+
+
 def scored_flows(spark, sf):
-    logs = A.logs(spark, sf).withColumn("packet_count", F.col("src_pkts") + F.col("dest_pkts"))
+    logs = loud(A.logs(spark, sf)).withColumn("packet_count", F.col("src_pkts") + F.col("dest_pkts"))
     return logs.select("id", "timestamp", "src_ip", "total_bytes", "duration", "protocol", "packet_count")
 
 
@@ -534,10 +551,11 @@ def _hst_sql(trees: int = 25, height: int = 8, window: int = 20) -> str:
         walk = f"{term} + CASE WHEN m{d} < {0.1 * window} THEN 0 ELSE {walk} END" if d < height else term
     total = trees * window * (2 ** (height + 1) - 1)
     return f"""forest(tree, dims, cuts) AS (VALUES {rows}),
-  numbered AS (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY timestamp, id) AS sample_no FROM logs),
+  {_LOUD},
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY timestamp, id) AS sample_no FROM loud),
   feats AS (SELECT id, [least(CAST(total_bytes AS DOUBLE), 1e8) / 1e8, least(CAST(duration AS DOUBLE), 3600e0) / 3600e0,
     CASE protocol WHEN 'TCP' THEN 6e0 WHEN 'UDP' THEN 17e0 ELSE 0e0 END / 255e0, CAST(hour(timestamp) AS DOUBLE) / 24e0,
-    least(CAST(src_pkts + dest_pkts AS DOUBLE), 5e4) / 5e4] AS x FROM logs),
+    least(CAST(src_pkts + dest_pkts AS DOUBLE), 5e4) / 5e4] AS x FROM loud),
   leaves AS (SELECT l.id, l.tree, l.node, n.src_ip, (n.sample_no - 1) // {window} AS blk FROM ({steps}) l JOIN numbered n ON n.id = l.id),
   mass AS (SELECT a.id, a.tree, {masses} FROM leaves a JOIN leaves r ON r.src_ip = a.src_ip AND r.tree = a.tree AND r.blk = a.blk - 1
     GROUP BY a.id, a.tree),

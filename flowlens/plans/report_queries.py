@@ -358,8 +358,7 @@ def baseline_ports(spark, sf):
     return R.common_ports(A.logs(spark, sf), as_of(), _HOURS)
 
 
-@query(
-    "deviations",
+DEVIATIONS_SQL = (
     W("logs", extra=_RECENT + f""",
   s AS (SELECT CAST(printf('%.2f', count(*) / {_HOURS * 60}.0e0) AS DOUBLE) AS br, coalesce(CAST(printf('%.1f', CAST(sum(total_bytes) AS DOUBLE) / count(*)) AS DOUBLE), 0) AS bb,
     CAST(printf('%.2f', count(*) FILTER (timestamp >= {AS_OF} - INTERVAL 5 MINUTE) / 5.0e0) AS DOUBLE) AS r,
@@ -375,14 +374,16 @@ UNION ALL SELECT 'Packet Velocity (PPS)', 'Elevated', 'Packet velocity currently
 UNION ALL SELECT 'Payload Volume per Flow', 'Notice',
   'Average flow payload surged to ' || CAST(round_even(b, 0) AS BIGINT) || ' B (baseline: ' || CAST(round_even(bb, 0) AS BIGINT) || ' B).',
   'Large file transfers, streaming video initialization, or potential data staging in progress.'
-FROM s WHERE bb > 0 AND b > 4 * bb AND n > 10""",
+FROM s WHERE bb > 0 AND b > 4 * bb AND n > 10"""
 )
+
+
+@query("deviations", DEVIATIONS_SQL)
 def deviations(spark, sf):
     return R.deviations(A.logs(spark, sf), as_of(), 400, _HOURS)
 
 
-@query(
-    "profile_status",
+STATUS_SQL = (
     W("logs", extra=_RECENT + f", r AS (SELECT * FROM logs WHERE timestamp >= {AS_OF} - INTERVAL 5 MINUTE)")
     + f"""SELECT 'Deviation Detected' AS profile_status, true AS is_deviating,
   (SELECT CAST(printf('%.2f', count(*) / {_HOURS * 60}.0e0) AS DOUBLE) FROM w) AS flow_rate_per_min,
@@ -390,12 +391,50 @@ def deviations(spark, sf):
   (SELECT coalesce(CAST(printf('%.2f', CAST(sum(duration) AS DOUBLE) / count(*)) AS DOUBLE), 0) FROM w) AS avg_duration_sec,
   (SELECT count(*) FROM w) AS total_flows,
   (SELECT CAST(printf('%.2f', count(*) / 5.0e0) AS DOUBLE) FROM r) AS recent_rate_per_min,
-  (SELECT CASE WHEN count(*) > 0 THEN CAST(printf('%.1f', CAST(sum(total_bytes) AS DOUBLE) / count(*)) AS DOUBLE) ELSE 0 END FROM r) AS recent_avg_bytes""",
+  (SELECT CASE WHEN count(*) > 0 THEN CAST(printf('%.1f', CAST(sum(total_bytes) AS DOUBLE) / count(*)) AS DOUBLE) ELSE 0 END FROM r) AS recent_avg_bytes"""
 )
+
+
+@query("profile_status", STATUS_SQL)
 def profile_status(spark, sf):
     return R.profile_status(A.logs(spark, sf), as_of(), 400, _HOURS)
 
 
+def surge(logs):
+    """All logs in the last hours, a part of them in the last five minutes with a thousand times the bytes."""
+    late = F.col("id") % 100 < 22
+    back = F.when(late, F.col("id") % 280).otherwise(301 + F.col("id") % 3200)
+    shifted = F.timestamp_seconds(F.unix_seconds(as_of()) - back)
+    return logs.withColumns({"timestamp": shifted, "total_bytes": F.when(late, F.col("total_bytes") * 1000).otherwise(F.col("total_bytes"))})
+
+
+def _surging(sql: str) -> str:
+    """The SQL over the shifted logs and one hour."""
+    late = "logs.id % 100 < 22"
+    view = f"""surge AS (SELECT * REPLACE ({AS_OF} - to_seconds(CASE WHEN {late} THEN logs.id % 280 ELSE 301 + logs.id % 3200 END) AS timestamp,
+    CASE WHEN {late} THEN total_bytes * 1000 ELSE total_bytes END AS total_bytes) FROM logs),
+  w AS ("""
+    sql = sql.replace("FROM logs WHERE timestamp >=", "FROM surge WHERE timestamp >=").replace("w AS (", view, 1)
+    return sql.replace(f"INTERVAL {_HOURS} HOUR", "INTERVAL 1 HOUR").replace(f"{_HOURS * 60}.0e0", "60.0e0")
+
+
+@query("deviations_surge", _surging(DEVIATIONS_SQL))
+def deviations_surge(spark, sf):
+    """Every rule fires."""
+    return R.deviations(surge(A.logs(spark, sf)), as_of(), 400, 1)
+
+
+@query("profile_status_surge", _surging(STATUS_SQL))
+def profile_status_surge(spark, sf):
+    return R.profile_status(surge(A.logs(spark, sf)), as_of(), 0, 1)
+
+
+@query("profile_status_stable", STATUS_SQL.replace("'Deviation Detected' AS profile_status, true AS", "'Baseline Stable' AS profile_status, false AS"))
+def profile_status_stable(spark, sf):
+    """No rule fires on the logs as they are."""
+    return R.profile_status(A.logs(spark, sf), as_of(), 0, _HOURS)
+
+
 _NAMES = {
     "TCP": "Transmission Control Protocol", "UDP": "User Datagram Protocol", "DNS": "Domain Name System",
     "HTTP": "Hypertext Transfer Protocol", "HTTPS": "Hypertext Transfer Protocol Secure",

@@ -94,7 +94,7 @@ def stream_notifications(spark, sf):
 
 @query("stream_device_anomaly", P.DEVICE_ANOMALY_SQL)
 def stream_device_anomaly(spark, sf):
-    logs = A.logs_of(_stream(spark, sf)).withColumn("packet_count", F.col("src_pkts") + F.col("dest_pkts"))
+    logs = P.loud(A.logs_of(_stream(spark, sf))).withColumn("packet_count", F.col("src_pkts") + F.col("dest_pkts"))
     out = drain(spark, state.device_anomaly_stream(logs), "stream-anomaly")
     return out.select("id", "src_ip", "sample_no", "score", "is_anomalous", "status", "threat_level", "reason")
 
