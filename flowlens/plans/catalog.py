@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import file_queries, pipeline_queries, report_queries, stream_queries  # noqa: F401
+from . import file_queries, io_queries, pipeline_queries, report_queries, stream_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
