@@ -17,8 +17,8 @@ from .topk import merged
 
 #: Vectors that the tree is built on (about) and most numbers in them, children of a node, vectors wanted in a leaf,
 #: least sample in a leaf, queries that calibrate, and the share of their neighbours that must be found.
-SAMPLE, SAMPLE_NUMBERS, FANOUT, LEAF, LEAST, CALIBRATE, RECALL = 20_000, 4_000_000, 8, 256, 8, 256, 0.96
-#: Rows of a leaf and queries in one product, rows of a product held at once.
+SAMPLE, SAMPLE_NUMBERS, FANOUT, LEAF, LEAST, CALIBRATE, RECALL = 20_000, 4_000_000, 8, 32, 4, 512, 0.94
+#: Vectors of the leaves that go to one task together, queries in one product, rows of a product held at once.
 PART, BLOCK, SLICE = 16384, 2048, 128
 
 
@@ -44,7 +44,9 @@ class Tree:
 
     dims: int
     centres: list[np.ndarray] = field(default_factory=list)
-    children: list[np.ndarray] = field(default_factory=list)
+    children: list[list[int]] = field(default_factory=list)
+    matrix: np.ndarray | None = None  # all centres and their squared lengths, once the tree is built
+    squares: np.ndarray | None = None
 
     @classmethod
     def build(cls, rows: np.ndarray, leaf: int, seed: int = 1) -> Tree:
@@ -59,42 +61,39 @@ class Tree:
             if len(names) < 2:  # equal vectors cannot be told apart
                 continue
             parts = [members[label == x] for x in names]
-            tree.children[node] = np.array([tree._add(rows[p].mean(axis=0)) for p in parts])
+            tree.children[node] = [tree._add(rows[p].mean(axis=0)) for p in parts]
             todo += list(zip(tree.children[node], parts, strict=True))
+        tree.matrix = np.stack(tree.centres)
+        tree.squares = (tree.matrix * tree.matrix).sum(axis=1)
         return tree
 
     def _add(self, centre: np.ndarray) -> int:
         self.centres.append(centre)
-        self.children.append(np.zeros(0, dtype=np.int64))
+        self.children.append([])
         return len(self.centres) - 1
 
-    def near(self, node: int, rows: np.ndarray) -> np.ndarray:
-        """Squared distances, up to a term that the children share, of rows to the children of a node."""
-        c = np.stack([self.centres[x] for x in self.children[node]])
-        return (c * c).sum(axis=1) - 2 * rows @ c.T
-
     def leaf_of(self, rows: np.ndarray) -> np.ndarray:
         out, todo = np.zeros(len(rows), dtype=np.int64), [(0, np.arange(len(rows)))]
         while todo:
             node, members = todo.pop()
-            if not len(self.children[node]):
+            below = self.children[node]
+            if not below:
                 out[members] = node
             elif len(members):
-                nearest = self.near(node, rows[members]).argmin(axis=1)
-                todo += [(int(x), members[nearest == i]) for i, x in enumerate(self.children[node])]
+                closest = (self.squares[below] - 2 * rows[members] @ self.matrix[below].T).argmin(axis=1)
+                todo += [(x, members[closest == i]) for i, x in enumerate(below)]
         return out
 
     def best_bins(self, row: np.ndarray) -> Iterator[int]:
-        """Leaves, best bin first: the closest node that is not yet open comes next."""
+        """Leaves, best bin first: of the nodes seen so far the one with the closest centre comes next."""
+        apart = (self.squares - 2 * self.matrix @ row).tolist()  # squared distances up to a term that all share
         queue = [(0.0, 0)]
         while queue:
             _, node = heapq.heappop(queue)
-            if not len(self.children[node]):
+            if not self.children[node]:
                 yield node
-                continue
-            apart = self.near(node, row[None, :])[0]
-            for d, x in zip(apart, self.children[node], strict=True):
-                heapq.heappush(queue, (float(d), int(x)))
+            for x in self.children[node]:
+                heapq.heappush(queue, (apart[x], x))
 
 
 def clusters(rows: np.ndarray, k: int, rng: np.random.Generator, steps: int = 8) -> np.ndarray:
@@ -105,28 +104,37 @@ def clusters(rows: np.ndarray, k: int, rng: np.random.Generator, steps: int = 8)
     return ((centres * centres).sum(axis=1) - 2 * rows @ centres.T).argmin(axis=1)
 
 
-def nearest(ids: np.ndarray, rows: np.ndarray, norms: np.ndarray, units: np.ndarray, own: int, q: np.ndarray, close: np.ndarray, k: int):
-    """The k nearest rows of one query given their approximate cosines; exact scores decide."""
-    keep = np.flatnonzero(ids != own)
+def nearest(rows: np.ndarray, ids: np.ndarray, m: np.ndarray, norms: np.ndarray, own: int, q: np.ndarray, close: np.ndarray, k: int):
+    """Scores and ids of the k nearest of some rows to one query, given their approximate cosines; exact scores decide."""
+    keep = np.flatnonzero(ids[rows] != own)
     if len(keep) > k:
         cut = np.partition(close[keep], len(keep) - k)[len(keep) - k]
         keep = keep[close[keep] >= cut - 1e-9]
-    exact = (rows[keep] * q).sum(axis=1) / (norms[keep] * math.sqrt((q * q).sum()))
+    keep = rows[keep]
+    exact = (m[keep] * q).sum(axis=1) / (norms[keep] * math.sqrt((q * q).sum()))
     order = np.lexsort((ids[keep], -exact))[:k]
     return exact[order], ids[keep][order]
 
 
 def products(ask: pd.DataFrame, rows: pd.DataFrame, k: int) -> list[tuple[int, float, int]]:
-    """query_id, score, vec_id of the k nearest rows of each query, for vectors of one length."""
+    """query_id, score, vec_id of the k nearest rows of each query among the leaves that it opens (all rows without
+    ``leaves``), for vectors of one length."""
     dims = len(ask["v"].iloc[0])
     m, ids = matrix(rows["v"], dims), rows["vec_id"].to_numpy()
     norms, units, found = np.sqrt((m * m).sum(axis=1)), unit(m), []
+    names, leaf = np.unique(rows["leaf"].to_numpy(), return_inverse=True)
+    if "leaves" in ask:  # queries that open the same leaves stand together
+        ask = ask.iloc[np.argsort([x[0] for x in ask["leaves"]], kind="stable")]
     for at in range(0, len(ask), SLICE):
         part = ask.iloc[at : at + SLICE]
         q = matrix(part["v"], dims)
-        close = unit(q) @ units.T
-        for own, v, c in zip(part["vec_id"].to_numpy(), q, close, strict=True):
-            scores, hits = nearest(ids, m, norms, units, own, v, c, k)
+        opened = np.ones((len(part), len(names)), dtype=bool)
+        if "leaves" in ask:
+            opened = np.stack([np.isin(names, x) for x in part["leaves"]])
+        columns = np.flatnonzero(opened.any(axis=0)[leaf])
+        close = unit(q) @ units[columns].T
+        for own, v, c, seen in zip(part["vec_id"].to_numpy(), q, close, opened[:, leaf[columns]], strict=True):
+            scores, hits = nearest(columns[seen], ids, m, norms, own, v, c[seen], k)
             found += [(int(own), float(s), int(i)) for s, i in zip(scores, hits, strict=True)]
     return found
 
@@ -136,7 +144,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, recall: float = R
 
     The tree is fitted on a bounded sample; every vector is put in the leaf that it descends to. A query opens
     leaves best bin first: as many as ``recall`` of the true neighbours of a few calibrating queries took, found by
-    brute force over all vectors, and more until it has seen k others. Leaves of any size are dealt into parts.
+    brute force over all vectors, and more until it has seen k others. Leaves go to tasks in bins of bounded size;
+    a leaf of any size is dealt into several.
     Rows with the id of the query are its own. Repeated ids: each row is a candidate, one query (the smallest
     vector) is asked. Equal scores go to the smaller id. Vectors of another length than the sample's commonest
     share one leaf per length and are searched whole. No queries or candidates give no rows.
@@ -152,14 +161,13 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, recall: float = R
     picked = picked.select("v").toPandas()["v"]
     leaf = max(LEAST, round(LEAF * len(picked) / max(1, total)))
     tree = Tree.build(unit(matrix(picked, dims)) if len(picked) else np.zeros((0, dims)), leaf)
-    held = spark.sparkContext.broadcast(tree)
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fits = (batch["v"].map(len) == dims).to_numpy()
             out = -batch["v"].map(len).to_numpy().astype(np.int64)
             if fits.any():
-                out[fits] = held.value.leaf_of(unit(matrix(batch["v"][fits], dims)))
+                out[fits] = tree.leaf_of(unit(matrix(batch["v"][fits], dims)))
             yield batch.assign(leaf=out)
 
     index = stored(vectors.mapInPandas(leaves, "vec_id long, v array<double>, leaf long"), "ann-index")
@@ -167,40 +175,46 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 5, recall: float = R
     counts = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}
     visits = calibrated(queries.where(F.size("v") == dims), index.where(F.col("leaf") >= 0), tree, k, recall)
 
+    # Neighbouring leaves share a bin up to PART vectors; a larger leaf has bins of its own, dealt by a hash of the id.
+    bins, first, room = [], 0, 0
+    for x in sorted(counts):
+        if counts[x] > room:
+            first, room = (bins[-1][1] + bins[-1][2] if bins else 0), PART
+        bins.append((x, first, max(1, math.ceil(counts[x] / PART))))
+        room = room - counts[x] if counts[x] <= PART else 0
+    of = {x: (bin_, n) for x, bin_, n in bins}
+    blocks = max(1, math.ceil(queries.count() / BLOCK))
+    dealt = F.broadcast(spark.createDataFrame(bins or [(0, 0, 1)], "leaf long, first int, parts int"))
+    block = F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(blocks)).cast("int")
+
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            lists = []
-            for v in batch["v"]:
-                if len(v) != dims:
-                    lists.append([-len(v)])
-                    continue
-                seen, bins = 0, []
-                for x in held.value.best_bins(unit(np.asarray(v, dtype=float)[None, :])[0]):
-                    if len(bins) >= visits and seen > k:
+            out = []
+            for i, v in zip(batch["vec_id"], batch["v"], strict=True):
+                wanted, seen = {}, 0
+                leaves = tree.best_bins(unit(np.asarray(v, dtype=float)[None, :])[0]) if len(v) == dims else [-len(v)]
+                for n, x in enumerate(leaves):
+                    if n >= visits and seen > k:
                         break
-                    bins.append(x)
                     seen += counts.get(x, 0)
-                lists.append(bins)
-            yield pd.DataFrame({"vec_id": batch["vec_id"], "v": batch["v"], "leaf": lists})
+                    for bin_ in range(of[x][0], of[x][0] + of[x][1]) if x in of else ():
+                        wanted.setdefault(bin_, []).append(x)
+                out += [(i, v, bin_, xs) for bin_, xs in wanted.items()]
+            yield pd.DataFrame(out, columns=["vec_id", "v", "bin", "leaves"])
 
-    asked = queries.mapInPandas(opened, "vec_id long, v array<double>, leaf array<long>").withColumn("leaf", F.explode("leaf"))
-    asked = stored(asked, "ann-asked")
-    blocks = {r["leaf"]: math.ceil(r["count"] / BLOCK) for r in asked.groupBy("leaf").count().collect()}
-    sizes = [(x, math.ceil(n / PART), blocks[x]) for x, n in counts.items() if x in blocks] or [(0, 1, 1)]
-    dealt = F.broadcast(spark.createDataFrame(sizes, "leaf long, parts int, blocks int"))
-    of = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    shown = index.join(dealt, "leaf").select("leaf", of("parts", 1).alias("part"), every("blocks").alias("block"), "vec_id", "v")
-    asked = asked.join(dealt, "leaf").select("leaf", every("parts").alias("part"), of("blocks", 2).alias("block"), "vec_id", "v")
+    asked = queries.mapInPandas(opened, "vec_id long, v array<double>, bin int, leaves array<long>")
+    asked = asked.select("bin", block.alias("block"), "vec_id", "v", "leaves")
+    shown = index.join(dealt, "leaf").withColumn("bin", F.col("first") + F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("parts")).cast("int"))
+    shown = shown.select("bin", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v", "leaf")
 
-    def one_part(key, ask: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        found = products(ask, rows, k) if len(ask) and len(rows) else []
-        out = pd.DataFrame(found, columns=["query_id", "score", "vec_id"])
-        return out.assign(tile=int((key[0] * 31 + key[1]) % 256))
+    def one_bin(key, ask: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        found, ask_dims, row_dims = [], ask["v"].map(len), rows["v"].map(len)
+        for n in set(ask_dims) & set(row_dims):
+            found += products(ask[ask_dims == n], rows[row_dims == n], k)
+        return pd.DataFrame(found, columns=["query_id", "score", "vec_id"]).assign(tile=int(key[0]))
 
-    keys = ["leaf", "part", "block"]
-    lists = asked.groupBy(*keys).cogroup(shown.groupBy(*keys)).applyInPandas(one_part, "query_id long, score double, vec_id long, tile int")
-    return merged(lists, 256, k)
+    lists = asked.groupBy("bin", "block").cogroup(shown.groupBy("bin", "block")).applyInPandas(one_bin, "query_id long, score double, vec_id long, tile int")
+    return merged(lists, 1 + max((bin_ + n for _, bin_, n in bins), default=0), k)
 
 
 def calibrated(queries: DataFrame, index: DataFrame, tree: Tree, k: int, recall: float) -> int:
@@ -211,11 +225,19 @@ def calibrated(queries: DataFrame, index: DataFrame, tree: Tree, k: int, recall:
         return 1
 
     def brute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def lists(rows: pd.DataFrame) -> pd.DataFrame:
+            at = dict(zip(rows["vec_id"], rows["leaf"], strict=True))
+            return pd.DataFrame([(q, s, i, at[i]) for q, s, i in products(few, rows, k)], columns=["query_id", "score", "vec_id", "leaf"])
+
+        held, n = [], 0
         for batch in batches:
-            if len(batch):
-                at = dict(zip(batch["vec_id"], batch["leaf"], strict=True))
-                found = products(few, batch, k)
-                yield pd.DataFrame([(q, s, i, at[i]) for q, s, i in found], columns=["query_id", "score", "vec_id", "leaf"])
+            held.append(batch)
+            n += len(batch)
+            if n >= PART:
+                yield lists(pd.concat(held, ignore_index=True))
+                held, n = [], 0
+        if n:
+            yield lists(pd.concat(held, ignore_index=True))
 
     best = index.mapInPandas(brute, "query_id long, score double, vec_id long, leaf long")
     top = best.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id", "leaf")), asc=False), 1, k).alias("top"))
