@@ -26,20 +26,21 @@ def domain_entries(watchlist: DataFrame) -> DataFrame:
 def text_hits(texts: DataFrame, column: str, entries: DataFrame) -> DataFrame:
     """``(column, entry_id)``: for each text the first entry whose key occurs in it.
 
-    Substring search as an equality join: every stretch of the text that is as long as some key is
-    looked up. A key equals at most one entry, so a text yields no more rows than it has matches,
-    whatever the list looks like. Repeated stretches of a text are dropped before the join.
+    Substring search as two equality joins. Every stretch of the text as long as the shortest key is looked up among the
+    beginnings of the keys; only where one begins, the stretches of the other key lengths are looked up among the keys.
+    A key equals at most one entry, so a text yields no more rows than it has matches, whatever the list looks like.
     """
     sizes = entries.agg(F.array_sort(F.collect_set(F.length("key")))).scalar()  # distinct sizes only
+    least = entries.agg(F.min(F.length("key"))).scalar()
     low = F.lower(F.col(column))
-
-    def stretches(size: Column) -> Column:
-        last = F.length(low) - size + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda at: F.substring(low, at, size))
-
-    parts = F.array_distinct(F.flatten(F.transform(F.col("__sizes"), stretches)))
-    lookups = texts.select(column, sizes.alias("__sizes")).select(column, F.explode(parts).alias("key"))
+    last = F.length("__low") - F.col("__least") + 1
+    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    placed = texts.select(column, low.alias("__low"), least.alias("__least")).withColumn("__at", F.explode(starts))
+    placed = placed.withColumn("__begin", F.substring("__low", F.col("__at"), F.col("__least")))
+    begins = entries.select(F.substring("key", F.lit(1), least).alias("__begin")).distinct()
+    hits = placed.select(column, "__at", "__begin").join(begins, "__begin", "left_semi").select(column, "__at", sizes.alias("__sizes"))
+    parts = F.transform("__sizes", lambda n: F.substring(low, F.col("__at"), n))
+    lookups = hits.select(column, F.explode(F.array_distinct(parts)).alias("key"))
     return (
         lookups.join(entries, "key")
         .groupBy(column)
