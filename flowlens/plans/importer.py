@@ -200,11 +200,10 @@ def batch_record(done: Import, name: str, mode: str, record: DataFrame | None) -
         matrix = done.confusion.agg(F.to_json(cells)).scalar()
         body = done.metrics.select(F.to_json(F.struct("*", matrix.alias("confusion_matrix"))).alias("j"))
         evaluation = body.agg(F.max("j")).scalar()
-    known = {f: t for f, t in FILE_RECORD.items()}
 
     def of_file(column: str) -> Column:
         value = F.lit(None) if record is None else record.agg(F.max(column)).scalar()
-        return value.cast(known[column]).alias(column)
+        return value.cast(FILE_RECORD[column]).alias(column)
 
     started = F.lit(None).cast("timestamp") if record is None else record.agg(F.max("started_at")).scalar()
     return done.summary.select(
@@ -237,7 +236,8 @@ def file_record(spark: SparkSession, path: str, fmt: str, mapping: Mapping[str,
     if tables.exists(spark, store.batches):
         earlier = spark.table(store.batches).groupBy("file_hash").agg(F.min("id").alias("duplicate_of"))
         one, before = one.join(earlier, "file_hash", "left"), F.col("duplicate_of")
-    able = normalize.capabilities(mapping)
+    rows = normalize.CAPTURE_CAPABILITIES if fmt == "pcap" else normalize.capability_rows(mapping)
+    able = {name: {"supported": supported, "status": status, "reason": reason} for name, supported, status, reason in rows}
     return one.select(
         F.lit(path.rstrip("/").rsplit("/", 1)[-1]).alias("filename"),
         F.lit(fmt).alias("file_type"),
@@ -245,7 +245,7 @@ def file_record(spark: SparkSession, path: str, fmt: str, mapping: Mapping[str,
         "file_hash",
         before.alias("duplicate_of"),
         F.lit(json.dumps(dict(mapping), sort_keys=True)).alias("mapping_json"),
-        F.lit(json.dumps(able, sort_keys=True, default=str)).alias("capabilities_json"),
+        F.lit(json.dumps(able, sort_keys=True)).alias("capabilities_json"),
         F.current_timestamp().alias("uploaded_at"),
         F.lit(datetime.now(timezone.utc)).cast("timestamp").alias("started_at"),
     )

@@ -8,11 +8,13 @@ from datetime import date, datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from flowlens.operators import alerts as al
 from flowlens.operators import model, normalize, search
 from flowlens.operators.watchlist import newest_first
 from flowlens.plans import importer, live
 from flowlens.schemas import FEATURES, PACKETS, WATCHLIST
 from flowlens.sinks import exports, tables
+from flowlens.streaming import state
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 LOG = (
@@ -130,6 +132,15 @@ def test_import_stores_what_it_counts(spark, tmp_path, fitted):
     assert done.rejections.head().errors == ["Invalid source IP: 'nowhere'"]
     assert spark.table(tables.BATCHES).where("id = 11").head().analysis_mode == "label_eval"
     assert search.recent_batches(spark.table(tables.BATCHES), 1).head().id == 11
+    batch = spark.table(tables.BATCHES).where("id = 11").head()
+    assert batch.filename == "data.csv" and batch.file_type == "csv" and batch.duplicate_of is None and len(batch.file_hash) == 64
+    assert json.loads(batch.mapping_json)["src_ip"] == "src_ip" and json.loads(batch.capabilities_json)
+    assert json.loads(batch.eval_metrics_json)["total_evaluated"] == 30 and batch.duration_sec >= 0
+    importer.import_dataset(spark, data_file(tmp_path), entries(spark), as_of(), batch_id=12, mode="historical", classifier=fitted)
+    again = spark.table(tables.BATCHES).where("id = 12").head()
+    assert again.duplicate_of == 11 and again.eval_metrics_json is None
+    assert spark.table(tables.LOGS).where("import_batch_id in (11, 12)").select("id").distinct().count() == 62
+    tables.delete_batch(spark, 12)
     tables.delete_batch(spark, 11)
     assert spark.table(tables.LOGS).where("import_batch_id = 11").count() == 0
 
@@ -164,6 +175,45 @@ def test_live_pipeline(spark, tmp_path, fitted):
     assert event.is_simulated and event.notes.startswith("[SIMULATION] [10.0.0.3 -> 10.0.0.9 | TCP] Diagnosis: ")
 
 
+def test_import_of_captures_and_feeds(spark, tmp_path, fitted):
+    from test_sources import FRAMES, pcap
+
+    path = tmp_path / "office.pcap"
+    path.write_bytes(pcap(FRAMES) + b"cut off")
+    store = tables.Tables().prefixed("cap_")
+    done = importer.import_dataset(spark, str(path), entries(spark), as_of(), batch_id=3, mode="historical", classifier=fitted, store=store)
+    logs = spark.table(store.logs).collect()
+    assert logs and {r.import_batch_id for r in logs} == {3} and {r.source for r in logs} == {"pcap:office.pcap"}
+    assert done.summary.head().valid_count == len(logs) and done.summary.head().invalid_count == 1  # the broken end
+    assert spark.table(store.batches).head().file_type == "pcap"
+    feed = tmp_path / "feed.txt"
+    feed.write_text("# feed\n10.9.8.7 and bad.example.org\n1.2.3.4.example.com\n")
+    counts = [importer.import_dataset(spark, str(feed), entries(spark), as_of(), batch_id=4, store=store).head() for _ in range(2)]
+    assert [(c.imported_count, c.total_found) for c in counts] == [(3, 3), (0, 3)]
+    assert {r.value for r in spark.table(store.watchlist).collect()} == {"10.9.8.7", "bad.example.org", "1.2.3.4"}
+
+
+def test_live_detectors_to_alerts(spark, tmp_path):
+    """Flows, devices and ARP end in one table of alerts."""
+    out, at = str(tmp_path / "out"), START
+    odd = [(i, at + timedelta(minutes=i), "10.0.0.1", 90_000_000 if i in (30, 35) else 100, 3000.0 if i in (30, 35) else 1.0, "TCP", 5) for i in range(40)]
+    schema = "id long, timestamp timestamp, src_ip string, total_bytes long, duration double, protocol string, packet_count long"
+    spark.createDataFrame(odd, schema).write.parquet(str(tmp_path / "logs"))
+    arp = [(i, at + timedelta(seconds=i), 2, "10.0.0.9", "aa" if i < 2 else "bb") for i in range(5)]
+    spark.createDataFrame(arp, "id long, ts timestamp, op int, ip string, mac string").write.parquet(str(tmp_path / "arp"))
+    read = lambda name: spark.readStream.schema(spark.read.parquet(str(tmp_path / name)).schema).parquet(str(tmp_path / name))
+    live.run_devices(read("logs"), out, availableNow=True).awaitTermination()
+    live.run_arp(read("arp"), out, availableNow=True).awaitTermination()
+    events = live.stored_events(spark, out, ("device_events", "arp_events"))
+    for running in live.run_alerts(events, out, availableNow=True):
+        running.awaitTermination()
+    alerts = {r.alert_type: r for r in al.alert_rows(state.present_incidents(spark.read.parquet(f"{out}/alert_changes"))).collect()}
+    assert alerts["arp_spoofing"]["count"] == 3 and alerts["arp_spoofing"].traffic_log_id == 4 and alerts["arp_spoofing"].status == "Active"
+    assert alerts["device_behaviour"].traffic_log_id in (30, 35) and "Device Behaviour Anomaly" in alerts["device_behaviour"].notes
+    assert spark.read.parquet(f"{out}/device_profiles").head().sample_count == 40
+    assert spark.read.parquet(f"{out}/notifications").count() >= 2
+
+
 def test_refit_takes_over_once_two_classes_are_known(spark, tmp_path):
     base = model.baseline_rows(spark)
     calm = base.where("label = 'Normal'")

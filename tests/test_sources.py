@@ -215,6 +215,39 @@ def test_capture_to_flows(spark, tmp_path):
     assert flows["10.0.0.3"].info == "DNS Query: www.example.com" and flows["10.0.0.3"].connection_state == "STATELESS"
 
 
+def test_capture_errors(spark, tmp_path):
+    """What is not read is listed: no header, a broken record, packets without a time."""
+    good = pcap(FRAMES)
+    second = 24 + 16 + len(FRAMES[0])
+    simple = struct.pack("<III", 3, 20, 4) + b"abcd" + struct.pack("<I", 20)
+    old = struct.pack("<IIHHIIII", 2, 32 + 12, 0, 0, 0, 5, 12, 12) + b"x" * 12 + struct.pack("<I", 44)
+    for name, content in {
+        "good": good, "garbage": b"no capture", "broken": good[: second + 8] + b"\xff" * 4 + good[second + 12 :], "tail": good[:-3],
+        "timeless": pcapng(FRAMES) + simple, "old": pcapng(FRAMES) + old, "homeless": pcapng([])[:28] + old,
+    }.items():
+        put(tmp_path / "c", f"{name}.pcap", content)
+    got = {r.source[5:-5]: (r.packets, r.error.split(" at ")[0]) for r in captures.capture_errors(spark, str(tmp_path / "c")).collect()}
+    assert got == {
+        "garbage": (0, "not a capture: unknown header"), "broken": (1, "broken packet record"), "tail": (8, "broken packet record"),
+        "timeless": (9, "1 packets without a time"), "homeless": (0, "1 packets of an unknown interface"),
+    }
+
+
+def test_csv_line_break_in_quotes(spark, tmp_path):
+    path = put(tmp_path, "a.csv", 'src,note\n1,"one\ntwo"\n2,three\n')
+    assert rows(files.read_csv(spark, path)) == [{"src": "1", "note": "one\ntwo"}, {"src": "2", "note": "three"}]
+
+
+def test_zeek_layouts(spark, tmp_path):
+    """Layouts differ between files and change inside one; lines above any header are no records."""
+    put(tmp_path / "z", "a.log", "early\tline\n#fields a b\n1\t2\n#close\n#fields b c\n3\t-\n4\n")
+    put(tmp_path / "z", "b.log", "#fields\tc\ta\n5\t6\n")
+    got = files.read_zeek(spark, str(tmp_path / "z"))
+    found = sorted((r.a or "", r.b or "", r.c or "", r.a is None, r.c is None) for r in got.collect())
+    assert found == [("", "3", "", True, False), ("", "4", "", True, False), ("1", "2", "", False, True), ("6", "", "5", False, False)]
+    assert got.select(files.ROW_ID).distinct().count() == 4
+
+
 def test_payload_parsers_survive_any_bytes():
     whole = client_hello("a.example")
     assert payloads.server_name(whole) == "a.example"
