@@ -1 +1,8 @@
-"""Network-flow analytics as lazy PySpark operators."""
+"""Network telemetry on PySpark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so workers need not have it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -54,3 +54,17 @@ def test_report_reads_only_its_columns_and_pushes_the_time(spark):
 def test_top_k_does_not_sort_everything(spark):
     text = plan(reports.top_by_bytes(A.logs(spark, SMALL), "src_ip"))
     assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text
+
+
+def test_list_reports_leave_the_logs_where_they_are(spark):
+    """Also with broadcasting by size switched off: only the rows of a page are looked up and moved."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        listed, threats = plan(QUERIES["alerts_listed"](spark, SMALL)), plan(QUERIES["report_threats"](spark, SMALL))
+    finally:
+        spark.conf.set(key, before)
+    semi = [line for line in listed.splitlines() if "LeftSemi" in line]
+    assert len(semi) == 2 and all("BroadcastHashJoin" in line for line in semi)
+    assert "BroadcastHashJoin" in threats and "SortMergeJoin" not in threats and "hashpartitioning" not in threats
