@@ -5,8 +5,8 @@ must occur in at least T = ceil(num / den * n) of the n inverted lists of a docu
 longest of these lists aside: a partner occurs in one of the remaining short lists. The steps are
 
 1. equal sets become one class (a hot group of copies is one row from here on);
-2. the shingles frequent in a bounded sample count as long lists, the others as short ones; any fixed order gives
-   the same pairs. Each class enters its n - T + 1 shortest lists (the inverted index, dealt by shingle);
+2. lists are taken as long by how often the shingle and its words occur in a bounded sample; any fixed order of the
+   lists gives the same pairs. Each class enters its n - T + 1 shortest lists (the inverted index, dealt by shingle);
 3. in each list, members whose sketches allow a link are gathered by asking one member after the other, never all
    pairs: members joined already are not asked again. What hangs together is a block;
 4. in each block the search runs on whole sets: short lists are merged, long lists are probed by binary search,
@@ -26,56 +26,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, stored
-from .shingles import Shingler, signature, sketch
+from .shingles import Shingler, looked_up, signature, sketch
 
-#: Documents sampled for frequent shingles, from how many of them a shingle is frequent, most frequent shingles kept.
-SAMPLE, FREQUENT, MOST_FREQUENT = 8_000, 4, 100_000
+#: Documents sampled for frequent shingles and words, from how many occurrences one is frequent, most frequent ones kept.
+SAMPLE, FREQUENT, MOST_FREQUENT = 8_000, 4, 50_000
 #: Members of a part of a list; documents and shingles of a part of a block.
 LIST_PART, BLOCK_DOCS, BLOCK_SHINGLES = 512, 2048, 4_000_000
 
 
-def frequent(docs: DataFrame, size: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles frequent in about ``sample`` documents and their counts, sorted by shingle. Only sets an order."""
+def frequent(docs: DataFrame, size: int, sample: int = SAMPLE) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """Frequent words and shingles of about ``sample`` documents, sorted, with weights from their counts. Only sets an order."""
     share = min(1.0, sample / max(1, docs.count()))
     picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("text")
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Shingler(size)
         for batch in batches:
-            sets = [hasher.shingles(t) for t in batch["text"]]
-            found, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-            yield pd.DataFrame({"token": found.view(np.int64), "n": counts})
+            words = [hasher.lowered(t) for t in batch["text"]]
+            for kind, found in (("word", words), ("shingle", [np.unique(hasher.rolled(w)) for w in words])):
+                names, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+                yield pd.DataFrame({"kind": kind, "token": names.view(np.int64), "n": counts})
 
-    counted = picked.mapInPandas(tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    rows = counted.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).collect()
-    found = np.array([r["token"] for r in rows], dtype=np.int64).view(np.uint64)
-    order = np.argsort(found)
-    return found[order], np.array([r["n"] for r in rows], dtype=np.int64)[order]
+    counted = picked.mapInPandas(tokens, "kind string, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
+    out = []
+    for kind in ("word", "shingle"):
+        rows = counted.where((F.col("kind") == kind) & (F.col("n") >= FREQUENT)).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).collect()
+        found = np.array([r["token"] for r in rows], dtype=np.int64).view(np.uint64)
+        order, n = np.argsort(found), np.array([r["n"] for r in rows], dtype=np.int64)
+        out.append((found[order], np.round(4 * np.log2(n + 1)).astype(np.int64)[order]))
+    return tuple(out)
 
 
 def sets(docs: DataFrame, size: int, num: int, den: int, sample: int) -> DataFrame:
     """doc_id, fp and per text: n (size of the set), sig, tokens (its short lists) and sketch; null where n is 0."""
-    known, counts = frequent(docs, size, sample)
-    held = docs.sparkSession.sparkContext.broadcast((known, counts))
+    held = docs.sparkSession.sparkContext.broadcast(frequent(docs, size, sample))
+    load = 16 if 10 * num >= 9 * den else 8
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Shingler(size)
-        known, counts = held.value
+        words, known = held.value
         for batch in batches:
             out = []
             for text in batch["text"]:
-                s = hasher.shingles(text)
+                s, weight = hasher.weighed(text, *words)
                 if not len(s):
                     out.append((0, None, None, None))
                     continue
                 short = len(s) - -(-num * len(s) // den) + 1
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    often = np.where(known[at] == s, counts[at], 0)
-                    tokens = s[np.argsort(often, kind="stable")[:short]]
-                else:
-                    tokens = s[:short]
-                out.append((len(s), signature(s), tokens.view(np.int64), sketch(s).tobytes()))
+                # Shingles known as frequent come last, and of the others those of frequent words.
+                order = np.argsort((looked_up(s, *known) << 16) + weight, kind="stable")
+                out.append((len(s), signature(s), s[order[:short]].view(np.int64), sketch(s, load).tobytes()))
             columns = pd.DataFrame(out, columns=["n", "sig", "tokens", "sketch"], dtype=object)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": batch["fp"], "n": columns["n"].astype("int64"), **{c: columns[c] for c in ("sig", "tokens", "sketch")}})
 
@@ -130,25 +130,19 @@ def gather(ids: np.ndarray, near: Near, forest: Forest, asks: np.ndarray | None
     return found
 
 
-def folded(m: np.ndarray, width: int) -> np.ndarray:
-    return m.reshape(len(m), width, -1).sum(axis=2, dtype=np.int32)
-
-
 def by_sketch(n: np.ndarray, marks: list[bytes], num: int, den: int) -> Near:
     """Members that may link by their sizes and sketches; never misses a link."""
+    sketches = [np.frombuffer(m, np.uint8).astype(np.int16) for m in marks]
     widths = np.array([len(m) for m in marks])
-    rows = {w: (np.flatnonzero(widths == w), np.frombuffer(b"".join(m for m in marks if len(m) == w), np.uint8).reshape(-1, w)) for w in np.unique(widths)}
-    place = np.empty(len(n), dtype=np.int64)
-    for where, _ in rows.values():
-        place[where] = np.arange(len(where))
 
     def near(i: int, others: np.ndarray) -> np.ndarray:
-        others = others[(den * np.minimum(n[i], n[others]) >= num * np.maximum(n[i], n[others]))]
-        mine, out = rows[widths[i]][1][place[i]][None, :], []
-        for w in np.unique(widths[others]):
+        others = others[den * np.minimum(n[i], n[others]) >= num * np.maximum(n[i], n[others])]
+        out = []
+        for w in np.unique(widths[others]) if len(others) > 1 else widths[others]:
             them = others[widths[others] == w]
             width = min(w, widths[i])
-            apart = np.abs(folded(mine, width) - folded(rows[w][1][place[them]], width)).sum(axis=1)
+            mine = sketches[i].reshape(width, -1).sum(axis=1)
+            apart = np.abs(np.stack([sketches[j] for j in them]).reshape(len(them), width, -1).sum(axis=2) - mine).sum(axis=1)
             out.append(them[apart * (den + num) <= (n[i] + n[them]) * (den - num)])
         return np.concatenate(out) if out else others
 
@@ -195,31 +189,32 @@ def search(rows: DataFrame, kind: Callable[[np.ndarray, list[bytes], int, int],
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forest, rest = Forest(), None
 
-        def part(rows: pd.DataFrame) -> list[tuple[int, int]]:
-            rows = rows.drop_duplicates("id", keep="first") if rows["id"].duplicated().any() else rows
-            ids = rows["id"].to_numpy()
-            if len(ids) < 2 or len(ids) == 2 and forest.find(ids[0]) == forest.find(ids[1]):
+        def part(ids: np.ndarray, n: np.ndarray, data: np.ndarray, ask: np.ndarray) -> list[tuple[int, int]]:
+            roots = {forest.find(x) for x in ids.tolist()}
+            if len(roots) < 2:
                 return []
-            ask = rows["ask"].to_numpy()
-            near = kind(rows["n"].to_numpy(), rows["data"].tolist(), num, den)
-            return gather(ids, near, forest, None if (ask < 0).all() else ask > 0)
+            if len(set(ids.tolist())) < len(ids):
+                first = np.sort(np.unique(ids, return_index=True)[1])
+                ids, n, data, ask = ids[first], n[first], data[first], ask[first]
+            return gather(ids, kind(n, data.tolist(), num, den), forest, None if (ask < 0).all() else ask > 0)
 
         def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-            keys, parts = rows["key"].to_numpy(), rows["part"].to_numpy()
+            keys, parts, *columns = (rows[c].to_numpy() for c in ("key", "part", "id", "n", "data", "ask"))
             cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])) + 1
             found = []
-            for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True):
                 if b - a > 1:
-                    found += part(rows.iloc[a:b])
+                    found += part(*[c[a:b] for c in columns])
             return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
         for batch in batches:
             rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            last = (rest["key"] == rest["key"].iloc[-1]) & (rest["part"] == rest["part"].iloc[-1])
-            if not last.all():
-                yield pairs(rest[~last])
-                rest = rest[last]
-        if rest is not None:
+            keys, parts = rest["key"].to_numpy(), rest["part"].to_numpy()
+            done = np.flatnonzero((keys != keys[-1]) | (parts != parts[-1])) if len(rest) else []
+            if len(done):
+                yield pairs(rest.iloc[: done[-1] + 1])
+                rest = rest.iloc[done[-1] + 1 :]
+        if rest is not None and len(rest):
             yield pairs(rest)
 
     order = rows.select("key", "part", "id", "n", "data", "ask").repartition("key", "part")
@@ -295,10 +290,10 @@ def classes(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, sampl
     pairs = linked(members, whole_sets, by_overlap, num, den, "jaccard-links")
 
     found = components(pairs, "jaccard-components").withColumnRenamed("node", "id")
-    reached = found.join(one.select("id", "doc_id", "sig"), "id")
+    reached = found.join(one.select("id", "doc_id"), "id")
     smallest = reached.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    reached = reached.select("sig", "component").join(smallest, "component")
-    named = one.select("sig", "id", "doc_id").join(reached, "sig", "left")
+    reached = reached.select("id", "component").join(smallest, "component")
+    named = one.select("sig", "id", "doc_id").join(reached, "id", "left")
     named = named.select("sig", F.coalesce("component", "id").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out = rows.select("doc_id", "fp", "n", "sig").join(named, "sig", "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -315,8 +310,7 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -
     found = classes(docs, size, num, den).where("n_shingles > 0")
     stay = found.groupBy("component").agg(F.min_by(F.struct("doc_id", "fp"), F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("k"))
     stay = stored(stay.select(F.col("k.doc_id").alias("_d"), F.col("k.fp").alias("_f")), "jaccard-stay")
-    columns = docs.columns
-    marked = docs.select(F.struct(*columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_fp"), "text")
+    marked = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_fp"), "text")
     wordless = marked.where(F.coalesce(F.regexp_replace("text", r"[\x20\x09-\x0D]+", ""), F.lit("")) == "")
     rest = marked.where(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "") != "")
     kept = rest.join(stay, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_fp") == F.col("_f")))
@@ -324,5 +318,3 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -
     return kept.select("_row").union(wordless.select("_row")).select("_row.*")
 
 
-#: The rule itself in SQL: all pairs of sets that share a shingle, then the smallest doc_id that links reach.
-SQL = None

@@ -49,16 +49,38 @@ class Shingler:
         np.cumsum(self.bytes[a] * self.powers[: len(a)], out=sums[1:])
         return starts, ends, mixed((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(U))
 
-    def shingles(self, text: str | None) -> np.ndarray:
-        """The set of hashed shingles, sorted; A-Z count as a-z. A text with fewer words is one shingle, without words none."""
-        _, _, words = self.words((text or "").encode("utf-8", "surrogatepass").lower())
+    def lowered(self, text: str | None) -> np.ndarray:
+        """Hashes of the words in their order; A-Z count as a-z."""
+        return self.words((text or "").encode("utf-8", "surrogatepass").lower())[2]
+
+    def rolled(self, words: np.ndarray) -> np.ndarray:
+        """Hashes of the shingles in their order. Fewer words are one shingle, no words none."""
         if not len(words):
             return np.zeros(0, dtype=U)
         k = min(self.size, len(words))
         hashes = np.full(len(words) - k + 1, k, dtype=U)
         for i in range(k):
             hashes = hashes * U(0x100000001B3) + words[i : len(words) - k + 1 + i]
-        return np.unique(mixed(hashes))
+        return mixed(hashes)
+
+    def shingles(self, text: str | None) -> np.ndarray:
+        """The set of hashed shingles, sorted."""
+        return np.unique(self.rolled(self.lowered(text)))
+
+    def weighed(self, text: str | None, known: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The set of hashed shingles, sorted, and the sum of the weights of each one's words (``known`` ones, sorted)."""
+        words = self.lowered(text)
+        hashes, first = np.unique(self.rolled(words), return_index=True)
+        sums = np.concatenate(([0], np.cumsum(looked_up(words, known, weights))))
+        return hashes, sums[np.minimum(first + self.size, len(words))] - sums[first]
+
+
+def looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values of keys in a sorted table, 0 for others."""
+    if not len(known):
+        return np.zeros(len(keys), dtype=np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return np.where(known[at] == keys, values[at], 0)
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -66,10 +88,10 @@ def signature(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """How many shingles fall in each of 2**b equal hash ranges (b from the size; counts stop at 255).
+def sketch(shingles: np.ndarray, load: int) -> np.ndarray:
+    """How many shingles fall in each of 2**b equal hash ranges, ``load`` / 2 to ``load`` on average (counts stop at 255).
 
     The sum of differences of two sketches is never more than the size of the symmetric difference of the sets.
     """
-    bits = max(4, int(len(shingles) // 6).bit_length())
+    bits = max(3, int(len(shingles) // load).bit_length())
     return np.minimum(np.bincount((shingles >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
