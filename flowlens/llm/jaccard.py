@@ -31,7 +31,9 @@ from .shingles import Shingler, looked_up, signature, sketch
 #: Documents sampled for frequent shingles and words, from how many occurrences one is frequent, most frequent ones kept.
 SAMPLE, FREQUENT, MOST_FREQUENT = 8_000, 4, 50_000
 #: Members of a part of a list; documents and shingles of a part of a block.
-LIST_PART, BLOCK_DOCS, BLOCK_SHINGLES = 512, 2048, 4_000_000
+LIST_PART, BLOCK_DOCS, BLOCK_SHINGLES = 512, 2048, 1_000_000
+#: Binary probes made at once.
+PROBES = 1_000_000
 
 
 def frequent(docs: DataFrame, size: int, sample: int = SAMPLE) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
@@ -172,9 +174,12 @@ def by_overlap(n: np.ndarray, shingle_sets: list[bytes], num: int, den: int) ->
         others, merged = others[merged > 0], merged[merged > 0]
         if not len(others):
             return others
-        probes = long[None, :] * len(n) + others[:, None]
-        at = np.minimum(np.searchsorted(index, probes), len(index) - 1)
-        overlap = merged + (index[at] == probes).sum(axis=1)
+        overlap = merged.copy()
+        step = max(1, PROBES // max(1, len(long)))
+        for a in range(0, len(others), step):
+            probes = long[None, :] * len(n) + others[a : a + step, None]
+            at = np.minimum(np.searchsorted(index, probes), len(index) - 1)
+            overlap[a : a + step] += (index[at] == probes).sum(axis=1)
         return others[overlap * (den + num) >= num * (n[i] + n[others])]
 
     return near
