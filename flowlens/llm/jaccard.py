@@ -290,7 +290,9 @@ def classes(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, sampl
                     found.append((i, len(s), s.tobytes()))
             yield pd.DataFrame(found, columns=["id", "n", "data"])
 
-    texts = source.select("doc_id", "text").join(blocks.select("id", "doc_id", "sig").withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")))
+    # The members of blocks grow with the corpus: both sides are shuffled at any size.
+    wanted = blocks.select("id", F.col("doc_id").alias("d"), "sig").hint("merge")
+    texts = source.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("d")))
     whole_sets = texts.select("id", "sig", "text").mapInPandas(whole, "id long, n long, data binary").dropDuplicates(["id"])
     pairs = linked(members, whole_sets, by_overlap, num, den, "jaccard-links")
 
