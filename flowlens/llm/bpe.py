@@ -29,7 +29,7 @@ BITS = 10
 #: Shared chunks are marked in a bitmap of fixed size; a chunk marked by chance only takes the longer way.
 MARK_BITS, BUCKET = 26, 32768
 #: Words that a task remembers at once.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Words beyond these letters are given to the tokenizer one by one.
 PLAIN = re.compile(r"[\x21-\x7e¡-ɏ]+\Z")
