@@ -30,7 +30,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the encoded and decoded texts (operator 6)."""
     ready(spark)
-    return bpe.encode(docs, tokenizer_path())
+    # The workers also hold what the stages before left them: fewer words are remembered than in a job of its own.
+    return bpe.encode(docs, tokenizer_path(), remembered=100_000)
 
 
 STAGES = [

@@ -29,7 +29,7 @@ BITS = 10
 #: Shared chunks are marked in a bitmap of fixed size; a chunk marked by chance only takes the longer way.
 MARK_BITS, BUCKET = 26, 32768
 #: Words that a task remembers at once.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Words beyond these letters are given to the tokenizer one by one.
 PLAIN = re.compile(r"[\x21-\x7e¡-ɏ]+\Z")
@@ -69,7 +69,8 @@ def as_bytes(texts: pd.Series) -> list[bytes]:
 class Encoder:
     """Tokens of whole words, remembered; one object per task."""
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -84,7 +85,7 @@ class Encoder:
         return " ".join([self.tokens[i] for i in ids])
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known.clear()
         texts = [w.decode("utf-8", "surrogatepass") for w in words]
         plain = [i for i, t in enumerate(texts) if PLAIN.match(t) and "<|" not in t]
@@ -188,9 +189,10 @@ def marked(bits: np.ndarray, key: bytes) -> bool:
     return bool(bits[at >> 3] >> (at & 7) & 1)
 
 
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, for the tokenizer definition at that path.
 
+    ``remembered`` words are kept per task; fewer take less memory and more time, with the same result.
     The definition (a file of a few MB, read by the driver) goes to the tasks as a broadcast. Null texts count as
     empty ones and have no tokens; texts of any length are encoded whole; repeated rows give repeated results; an
     empty table gives none; other columns are not read.
@@ -215,7 +217,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield pd.DataFrame(found, columns=["key", "chunk"])
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(definition.value)
+        encoder = Encoder(definition.value, remembered)
         for batch in batches:
             yield pd.DataFrame({"key": batch["key"], "data": [packed(c, encoder) for c in batch["chunk"]]})
 
@@ -237,7 +239,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     used = used.select("fp", F.col("u.at").alias("at"), F.col("u.data").alias("data"))
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(definition.value)
+        encoder = Encoder(definition.value, remembered)
         for batch in batches:
             found = []
             for fp, chunks, at, data in zip(batch["fp"], cuts(as_bytes(batch["text"])), batch["at"], batch["data"], strict=True):
@@ -259,7 +261,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     whole = sharing.join(used, "fp").mapInPandas(assemble, "fp string, n long, i string, d string")
 
     def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(definition.value)
+        encoder = Encoder(definition.value, remembered)
         for batch in batches:
             found = []
             for raw, chunks in zip(raws := as_bytes(batch["text"]), cuts(raws), strict=True):
