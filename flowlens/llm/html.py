@@ -44,13 +44,38 @@ FILLER = re.compile(r"©|\(c\) ?\d{4}|copyright|all rights reserved|cookie|subsc
 def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
     """Blocks of a page in order: text, characters inside links, whether cut as boilerplate, whether in an article.
 
-    A cut element ends with its end tag. One that never ends is given up where an article begins.
+    A cut element ends with its end tag, and one inside an article at the latest with the article. One that never
+    ends is given up where an article begins. A cut inline element takes its text out of the line and does not break
+    it; without an end tag it ends with the block that holds it, or before the next block if no such end tag follows.
     """
     text: list[str] = []
     linked = in_link = article = 0
-    cut, depth, cut_inside = "", 0, False
+    cut, depth, cut_inside, held = "", 0, False, 0
+    hidden, deep, hidden_inside, holder = "", 0, False, ""
+    inner: list[str] = []
+    last: dict[str, int] = {}
     at = 0
 
+    def ends_later(name: str) -> bool:
+        if name not in last:
+            last[name] = max((e.start() for e in re.finditer(rf"</{name}(?=[\s/>])", page, re.I)), default=-1)
+        return last[name] >= at
+
+    def shown(name: str, end: bool, attributes: str) -> bool:
+        """Whether a block tag ends the hidden inline element around it."""
+        if end:
+            while inner:
+                if inner.pop() == name:
+                    return False
+            return True
+        if not ends_later(hidden) or name in ("article", "main") and not hidden_inside and not named_cut(attributes):
+            return True
+        if not inner and holder == name and name in ("p", "li", "dt", "dd", "td", "th", "tr"):
+            return True
+        if not attributes.endswith("/>"):
+            inner.append(name)
+        return False
+
     def block() -> tuple[str, int, bool, bool] | None:
         nonlocal linked
         whole = " ".join(references.unescape("".join(text)).split())
@@ -59,7 +84,7 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
         return (whole, chars, bool(cut), article > 0) if whole else None
 
     for m in TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not hidden:
             piece = page[at : m.start()]
             text.append(piece)
             if in_link:
@@ -68,21 +93,37 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
         name = (m[3] or "").lower()
         if not name:
             continue
-        end = m[2] == "/"
+        end, attributes = m[2] == "/", m[4] or ""
         if name == "a":
             in_link = 0 if end else 1
-        if name in INLINE and (end or not cut_by(name, m[4] or "", article)):
+        if name in INLINE:
+            if hidden:
+                deep += (-1 if end else 1) if name == hidden and name not in VOID else 0
+                hidden = hidden if deep > 0 else ""
+            elif not (cut or end or name in VOID or attributes.endswith("/>")) and cut_by(name, attributes, article):
+                hidden, deep, hidden_inside = name, 1, article > 0
+                inner.clear()
             continue
         if name == "br":
             text.append(" ")
             continue
         if name in VOID:
             continue
+        if hidden:
+            if not shown(name, end, attributes):
+                continue
+            in_link = 0 if hidden == "a" else in_link
+            hidden = ""
+        holder = "" if end else name
         if line := block():
             yield line
         holds = name in ("article", "main")
-        if cut and holds and not end and not cut_inside and not named_cut(m[4] or ""):
+        if cut and holds and not end and not cut_inside and not named_cut(attributes):
             cut, depth = "", 0
+        if cut and cut_inside and holds and name != cut:
+            held += -1 if end else 1
+            if held < 0:
+                cut = ""
         if cut:
             if name == cut:
                 depth += -1 if end else 1
@@ -92,11 +133,12 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
                 cut = ""
             else:
                 continue
-        if not end and not (m[4] or "").endswith("/>") and cut_by(name, m[4] or "", article):
-            cut, depth, cut_inside = name, 1, article > 0
+        if not end and not attributes.endswith("/>") and cut_by(name, attributes, article):
+            cut, depth, cut_inside, held = name, 1, article > 0, 0
         elif holds:
             article = max(0, article - 1) if end else article + 1
-    text.append(page[at:])
+    if not hidden:
+        text.append(page[at:])
     if line := block():
         yield line
 

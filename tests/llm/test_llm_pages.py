@@ -43,6 +43,25 @@ def test_html(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><p>a <i aria-hidden="true"></i> b</p><p>c</p></article>', "a b c"),
+        ('<article><p>a <a class="share" href=x>Share</a> b</p><p>c</p></article>', "a b c"),
+        ('<article><p>a <span class="ad">buy <span>more</span> now</span> b</p><p>c</p></article>', "a b c"),
+        ('<article><p>a<span class="comments-link">3 comments</span>b</p><p>c</p></article><p>d</p>', "ab c"),
+        ('<article><p>a <a class="share"><div>Share <p>it</div></a> b</p><p>c</p></article>', "a b c"),
+        ('<article><p>a <span class="ad">buy</p><p>b <span>c</span></p></article>', "a b c"),
+        ('<article><p>a <span class="ad">buy<p>b</article>', "a b"),
+        ('<article><p>a</p><div class="ad">buy<p>more</article>' + "<article><p>b</p></article>", "a b"),
+        ('<span class="ad">buy <article><p>a</p></article>', "a"),
+        ("<div>" + "word " * 60 + '<i aria-hidden="true"></i> on</div><div>end</div>', " ".join(["word"] * 60 + ["on", "end"])),
+    ],
+)
+def test_html_cut_inline_elements(page, text):
+    assert html.main_text(page) == text
+
+
 def test_html_articles(spark):
     """The article of every test page, cut out by its tags."""
     import html as references
