@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Lines per window, and the least sum at which text surges when a page names no article.
+#: Lines per window, and the least sum at which text surges.
 WINDOW, SURGE = 3, 86
 
 #: Elements whose content is never text of a page, read up to their end tag.
@@ -41,15 +41,15 @@ ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 FILLER = re.compile(r"©|\(c\) ?\d{4}|copyright|all rights reserved|cookie|subscribe|sign up|log in|privacy policy|terms of", re.I)
 
 
-def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
-    """Blocks of a page in order: text, characters inside links, whether cut as boilerplate, whether in an article.
+def lines(page: str) -> Iterator[tuple[str, int, bool, int]]:
+    """Blocks of a page in order: text, characters inside links, whether cut as boilerplate, in which article (0: none).
 
     A cut element ends with its end tag, and one inside an article at the latest with the article. One that never
     ends is given up where an article begins. A cut inline element takes its text out of the line and does not break
     it; without an end tag it ends with the block that holds it, or before the next block if no such end tag follows.
     """
     text: list[str] = []
-    linked = in_link = article = 0
+    linked = in_link = article = articles = 0
     cut, depth, cut_inside, held = "", 0, False, 0
     hidden, deep, hidden_inside, holder = "", 0, False, ""
     inner: list[str] = []
@@ -76,12 +76,12 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
             inner.append(name)
         return False
 
-    def block() -> tuple[str, int, bool, bool] | None:
+    def block() -> tuple[str, int, bool, int] | None:
         nonlocal linked
         whole = " ".join(references.unescape("".join(text)).split())
         chars, linked = linked, 0
         text.clear()
-        return (whole, chars, bool(cut), article > 0) if whole else None
+        return (whole, chars, bool(cut), articles if article else 0) if whole else None
 
     for m in TOKEN.finditer(page):
         if m.start() > at and not hidden:
@@ -136,6 +136,7 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
         if not end and not attributes.endswith("/>") and cut_by(name, attributes, article):
             cut, depth, cut_inside, held = name, 1, article > 0, 0
         elif holds:
+            articles += not end and not article
             article = max(0, article - 1) if end else article + 1
     if not hidden:
         text.append(page[at:])
@@ -163,16 +164,49 @@ def cut_by(name: str, attributes: str, article: int) -> bool:
     return name in CUT or name == "header" and not article or name not in ("html", "body") and named_cut(attributes)
 
 
+def sums(weights: list[int], window: int) -> list[int]:
+    """Sum of the window that begins at each line."""
+    out, total = [0] * len(weights), 0
+    for i in range(len(weights) - 1, -1, -1):
+        total += weights[i] - (weights[i + window] if i + window < len(weights) else 0)
+        out[i] = total
+    return out
+
+
+def weigh(found: list[tuple[str, int, bool, int]], window: int, surge: int) -> list[int]:
+    """Weights of the lines: characters outside links; cut lines and short fillers weigh nothing.
+
+    The article tag is one more weight. Where the largest article holds at least as much text as all lines outside, or
+    nothing outside surges, lines of articles weigh ``surge`` more and lines outside ``surge`` less. Elsewhere articles
+    that do not reach the surge (teasers) weigh ``surge`` less.
+    """
+    filler = [len(t) < surge and FILLER.search(t) is not None for t, *_ in found]
+    own = [0 if cut else max(0, len(t) - n) for t, n, cut, _ in found]
+    mass: dict[int, int] = {}
+    for (t, _, cut, article), w in zip(found, own, strict=True):
+        if article and not cut:
+            mass[article] = mass.get(article, 0) + max(1, w)
+    plain = [0 if article or f else w for (*_, article), w, f in zip(found, own, filler, strict=True)]
+    largest = max(mass.values(), default=0)
+    named = largest > 0 and (largest >= sum(plain) or max(sums(plain, window)) < surge)
+    weights = []
+    for (_, _, cut, article), w, f in zip(found, own, filler, strict=True):
+        if cut or f and not (article and named):
+            weights.append(0)
+        elif named:
+            weights.append(w + surge if article else max(0, w - surge))
+        else:
+            weights.append(max(0, w - surge) if article and mass[article] < surge else w)
+    return weights
+
+
 def kept(weights: list[int], window: int, surge: int) -> list[bool]:
     """Which lines lie between a surge (the window that begins there reaches ``surge``, or the largest sum of a
     page that stays below it) and the next dive (a window of 0)."""
-    sums, total = [0] * len(weights), 0
-    for i in range(len(weights) - 1, -1, -1):
-        total += weights[i] - (weights[i + window] if i + window < len(weights) else 0)
-        sums[i] = total
-    surge = min(surge, max(sums, default=0)) or 1
+    ahead = sums(weights, window)
+    surge = min(surge, max(ahead, default=0)) or 1
     inside, out = False, []
-    for w, s in zip(weights, sums, strict=True):
+    for w, s in zip(weights, ahead, strict=True):
         if inside and s == 0:
             inside = False
         elif not inside and w > 0 and s >= surge:
@@ -182,20 +216,12 @@ def kept(weights: list[int], window: int, surge: int) -> list[bool]:
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The main text of one page; empty if there is none.
-
-    Cut lines and, on a page with an article, lines outside it weigh nothing; other lines weigh their characters
-    outside links. Inside an article any text surges.
-    """
+    """The main text of one page: the lines between a surge and the next dive that are not cut and weigh anything;
+    empty if there is none."""
     found = list(lines(page or ""))
-    has_article = any(inside and not cut for _, _, cut, inside in found)
-    off = [cut or has_article and not inside for _, _, cut, inside in found]
-    if has_article:
-        weights = [0 if o else len(t) for o, (t, *_) in zip(off, found, strict=True)]
-    else:
-        weights = [0 if o or len(t) < surge and FILLER.search(t) else max(0, len(t) - n) for o, (t, n, *_) in zip(off, found, strict=True)]
-    keep = kept(weights, window, 1 if has_article else surge)
-    return " ".join(t for (t, *_), k, w, o in zip(found, keep, weights, off, strict=True) if k and not o and (w or has_article))
+    weights = weigh(found, window, surge)
+    keep = kept(weights, window, surge)
+    return " ".join(t for (t, *_), k, w in zip(found, keep, weights, strict=True) if k and w)
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:

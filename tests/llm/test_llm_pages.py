@@ -62,6 +62,23 @@ def test_html_cut_inline_elements(page, text):
     assert html.main_text(page) == text
 
 
+CARD = '<article class="card"><h3><a href=x>Another story</a></h3><p>Short line.</p></article>'
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div>" + "<p>" + "main " * 30 + "</p>" + "</div><div>" + CARD * 3 + "</div>", " ".join(["main"] * 30)),
+        (CARD * 2 + "<div><p>" + "main " * 30 + "</p><p>end</p></div>", " ".join(["main"] * 30 + ["end"])),
+        ("<p>" + "intro " * 40 + "</p><article><p>" + "main " * 60 + "</p></article><p>tags</p>", " ".join(["intro"] * 40 + ["main"] * 60)),
+        ("<div>tagline of the site</div><article><p>hi</p></article><div>tags: x</div>", "hi"),
+        ("<article><p>" + "one " * 40 + "</p></article><div>" + "two " * 90 + "</div><div>three</div>", " ".join(["one"] * 40 + ["two"] * 90 + ["three"])),
+    ],
+)
+def test_html_window_sums_decide_on_pages_with_articles(page, text):
+    assert html.main_text(page) == text
+
+
 def test_html_articles(spark):
     """The article of every test page, cut out by its tags."""
     import html as references
