@@ -35,14 +35,32 @@ CUT_NAMES = frozenset(
     " discussion menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar pagination pager"
     " login signin signup search skip".split()
 )
+#: Names that headings, notes and figures of a text bear too: alone they cut nothing; the second line as ids.
+VAGUE = frozenset("alert cookie cookies discussion header notice notices promotion replies reply respond search side subscription".split())
+VAGUE_IDS = VAGUE | frozenset(
+    "advertising banner login menu navigation overlay pagination sharing signin signup social sponsor subscribe widget widgets".split()
+)
+#: What a clear compound of a cut name may hold besides; with one of the controls a vague name is clear, too.
+CONTROLS = frozenset("bar btn button buttons form toggle".split())
+FRAME = CONTROLS | frozenset(
+    "area article articles block body bottom box center column container content count group holder icon icons inner label"
+    " left link links list main module outer page panel post posts right section site slot title tools top unit wrap"
+    " wrapper x zone".split()
+)
 #: Words that a class of the article itself may hold.
 KEEP_NAMES = frozenset("article content post entry story body main text".split())
 ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-FILLER = re.compile(r"©|\(c\) ?\d{4}|copyright|all rights reserved|cookie|subscribe|sign up|log in|privacy policy|terms of", re.I)
+FILLER = re.compile(r"copyright|cookie|subscribe|sign up|log in|privacy policy|terms of", re.I)
+RIGHTS = re.compile(r"©|\(c\) ?\d{4}|^copyright (?:\d|by )|all rights reserved", re.I)
+SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)]*$")
+#: Elements whose end tag may be missing, and elements that begin after them.
+LOOSE_ENDS = ("p", "li", "dt", "dd")
+BEGINS = ("p", "div", "section", "article", "ul", "li", "dt", "dd", "h1", "h2", "h3")
 
 
-def lines(page: str) -> Iterator[tuple[str, int, bool, int]]:
-    """Blocks of a page in order: text, characters inside links, whether cut as boilerplate, in which article (0: none).
+def lines(page: str) -> Iterator[tuple[str, int, bool, int, bool]]:
+    """Blocks of a page in order: text, characters inside links, whether cut as boilerplate, in which article (0: none),
+    whether in an element that is vaguely named as boilerplate.
 
     A cut element ends with its end tag, and one inside an article at the latest with the article. One that never
     ends is given up where an article begins. A cut inline element takes its text out of the line and does not break
@@ -52,6 +70,8 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, int]]:
     linked = in_link = article = articles = 0
     cut, depth, cut_inside, held = "", 0, False, 0
     hidden, deep, hidden_inside, holder = "", 0, False, ""
+    vague, vague_depth = "", 0
+    form_at, all_chars = re.compile(r"</?form(?=[\s/>])", re.I), -1
     inner: list[str] = []
     last: dict[str, int] = {}
     at = 0
@@ -76,12 +96,20 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, int]]:
             inner.append(name)
         return False
 
-    def block() -> tuple[str, int, bool, int] | None:
+    def is_page() -> bool:
+        """Whether the form that begins here holds more than half of the characters of the page."""
+        nonlocal all_chars
+        if all_chars < 0:
+            all_chars = len("".join(TOKEN.sub("", page).split()))
+        close = form_at.search(page, at)
+        return 2 * len("".join(TOKEN.sub("", page[at : close.start() if close else len(page)]).split())) > all_chars
+
+    def block() -> tuple[str, int, bool, int, bool] | None:
         nonlocal linked
         whole = " ".join(references.unescape("".join(text)).split())
         chars, linked = linked, 0
         text.clear()
-        return (whole, chars, bool(cut), articles if article else 0) if whole else None
+        return (whole, chars, bool(cut), articles if article else 0, bool(vague)) if whole else None
 
     for m in TOKEN.finditer(page):
         if m.start() > at and not hidden:
@@ -127,13 +155,19 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, int]]:
         if cut:
             if name == cut:
                 depth += -1 if end else 1
-            elif cut in ("p", "li", "dt", "dd") and not end and name in ("p", "div", "section", "article", "ul", "li", "dt", "dd", "h1", "h2", "h3"):
+            elif cut in LOOSE_ENDS and not end and name in BEGINS:
                 depth = 0
             if depth <= 0:
                 cut = ""
             else:
                 continue
-        if not end and not attributes.endswith("/>") and cut_by(name, attributes, article):
+        opens = not end and not attributes.endswith("/>")
+        if vague and (name == vague or vague in LOOSE_ENDS and opens and name in BEGINS):
+            vague_depth += -1 if end or vague in LOOSE_ENDS else 1
+            vague = vague if vague_depth > 0 else ""
+        if opens and not vague and not holds and named_vaguely(name, attributes):
+            vague, vague_depth = name, 1
+        if opens and cut_by(name, attributes, article) and not (name == "form" and not named_cut(attributes) and is_page()):
             cut, depth, cut_inside, held = name, 1, article > 0, 0
         elif holds:
             articles += not end and not article
@@ -144,24 +178,52 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, int]]:
         yield line
 
 
-def named_cut(attributes: str) -> bool:
+def named_cut(attributes: str, ids: bool = True) -> bool:
+    """Whether a role, a whole class or id, or a clear compound names boilerplate."""
     if "=" not in attributes:
         return False
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "role" and value in CUT_ROLES or key == "aria-hidden" and value == "true":
             return True
-        if key in ("class", "id"):
-            parts = set(re.split(r"[^a-z]+", value))
-            if parts & CUT_NAMES and not (key == "class" and parts & KEEP_NAMES and not parts & {"comment", "comments", "ad", "ads", "related"}):
-                return True
+        if key == "class" or key == "id" and ids:
+            for name in value.split():
+                parts = set(re.split(r"[^a-z]+", name)) - {""}
+                names = parts & CUT_NAMES
+                if not names or not parts <= CUT_NAMES | FRAME:
+                    continue
+                if len(parts) == 1:
+                    clear = not names <= (VAGUE if key == "class" else VAGUE_IDS)
+                else:
+                    clear = not names <= VAGUE or len(names) > 1 or not parts.isdisjoint(CONTROLS)
+                if clear and not own_class(key, value):
+                    return True
+    return False
+
+
+def own_class(key: str, value: str) -> bool:
+    """Whether a class is one of the article itself."""
+    parts = set(re.split(r"[^a-z]+", value))
+    return key == "class" and bool(parts & KEEP_NAMES) and not parts & {"comment", "comments", "ad", "ads", "related"}
+
+
+def named_vaguely(name: str, attributes: str) -> bool:
+    """Whether any part of a class or id is a name of boilerplate: its lines weigh less."""
+    if "=" not in attributes or name in ("html", "body"):
+        return False
+    for key, value in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), value.strip("\"'").lower()
+        if key in ("class", "id") and not CUT_NAMES.isdisjoint(re.split(r"[^a-z]+", value)) and not own_class(key, value):
+            return True
     return False
 
 
 def cut_by(name: str, attributes: str, article: int) -> bool:
     """Whether an element is a menu, footer, sidebar, notice, advert, form or comment. A header inside the
-    article holds its title and stays."""
-    return name in CUT or name == "header" and not article or name not in ("html", "body") and named_cut(attributes)
+    article holds its title and stays; the id of a heading is its anchor."""
+    if name in CUT or name == "header" and not article:
+        return True
+    return name not in ("html", "body") and named_cut(attributes, name not in ("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 def sums(weights: list[int], window: int) -> list[int]:
@@ -173,30 +235,36 @@ def sums(weights: list[int], window: int) -> list[int]:
     return out
 
 
-def weigh(found: list[tuple[str, int, bool, int]], window: int, surge: int) -> list[int]:
-    """Weights of the lines: characters outside links; cut lines and short fillers weigh nothing.
+def weigh(found: list[tuple[str, int, bool, int, bool]], window: int, surge: int) -> list[int]:
+    """Weights of the lines: characters outside links. Cut lines weigh nothing; of short lines with filler words,
+    sentences weigh half and others nothing; lines in vaguely named elements outside articles weigh ``surge`` less.
 
     The article tag is one more weight. Where the largest article holds at least as much text as all lines outside, or
     nothing outside surges, lines of articles weigh ``surge`` more and lines outside ``surge`` less. Elsewhere articles
     that do not reach the surge (teasers) weigh ``surge`` less.
     """
-    filler = [len(t) < surge and FILLER.search(t) is not None for t, *_ in found]
-    own = [0 if cut else max(0, len(t) - n) for t, n, cut, _ in found]
+    own = [0 if cut else max(0, len(t) - n) for t, n, cut, *_ in found]
+    plain = []
     mass: dict[int, int] = {}
-    for (t, _, cut, article), w in zip(found, own, strict=True):
+    for (t, _, cut, article, vague), w in zip(found, own, strict=True):
         if article and not cut:
             mass[article] = mass.get(article, 0) + max(1, w)
-    plain = [0 if article or f else w for (*_, article), w, f in zip(found, own, filler, strict=True)]
+        if len(t) < surge and RIGHTS.search(t):
+            w = 0
+        elif len(t) < surge and FILLER.search(t):
+            w = w // 2 if SENTENCE.search(t) else 0
+        plain.append(max(0, w - surge) if vague and not article else w)
+    outside = [0 if article else w for (*_, article, _), w in zip(found, plain, strict=True)]
     largest = max(mass.values(), default=0)
-    named = largest > 0 and (largest >= sum(plain) or max(sums(plain, window)) < surge)
+    named = largest > 0 and (largest >= sum(outside) or max(sums(outside, window)) < surge)
     weights = []
-    for (_, _, cut, article), w, f in zip(found, own, filler, strict=True):
-        if cut or f and not (article and named):
+    for (_, _, cut, article, _), w, p in zip(found, own, plain, strict=True):
+        if cut:
             weights.append(0)
         elif named:
-            weights.append(w + surge if article else max(0, w - surge))
+            weights.append(w + surge if article else max(0, p - surge))
         else:
-            weights.append(max(0, w - surge) if article and mass[article] < surge else w)
+            weights.append(max(0, p - surge) if article and mass[article] < surge else p)
     return weights
 
 
@@ -216,12 +284,12 @@ def kept(weights: list[int], window: int, surge: int) -> list[bool]:
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The main text of one page: the lines between a surge and the next dive that are not cut and weigh anything;
-    empty if there is none."""
+    """The main text of one page: the lines between a surge and the next dive that are not cut; empty if there is
+    none."""
     found = list(lines(page or ""))
     weights = weigh(found, window, surge)
     keep = kept(weights, window, surge)
-    return " ".join(t for (t, *_), k, w in zip(found, keep, weights, strict=True) if k and w)
+    return " ".join(t for (t, _, cut, *_), k in zip(found, keep, strict=True) if k and not cut)
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:

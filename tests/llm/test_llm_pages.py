@@ -62,6 +62,29 @@ def test_html_cut_inline_elements(page, text):
     assert html.main_text(page) == text
 
 
+LONG, WORDS = "<p>" + "word " * 40 + "</p>", " ".join(["word"] * 40)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        *((f"<article><p>a</p><{tag}><p>b</p></{tag.split()[0]}><p>c</p></article>", "a b c") for tag in (
+            'section id="discussion"', 'section id="related-work"', 'div class="side-effects"', 'section id="search-algorithms"', 'p class="notice-period"', 'h2 id="comments"')),
+        *((f"<article><p>a</p><{tag}><p>b</p></{tag.split()[0]}><p>c</p></article>", "a c") for tag in (
+            'div class="related-posts"', 'div id="sidebar-right"', 'div class="search-form"', 'div class="ad-300x250"', "div class='x share'", 'div class="cookie-notice"')),
+        (f'{LONG}<section id="discussion">{LONG}<p>b</p></section>{LONG}', f"{WORDS} {WORDS} b {WORDS}"),
+        (f'{LONG}<div class="notice-strip">closed on Monday</div>', WORDS),
+        (f"{LONG}<p>Bake each cookie for ten minutes.</p><p><a href=x>All of it</a></p><p>Copyright law</p>{LONG}", f"{WORDS} Bake each cookie for ten minutes. All of it Copyright law {WORDS}"),
+        (f"{LONG}<p>Bake each cookie for ten minutes.</p><p>Cool the cookies.</p><p>Serve.</p><p>Copyright 2024 X</p><p>Log in</p>", f"{WORDS} Bake each cookie for ten minutes. Cool the cookies. Serve."),
+        (f'<form action=x><input type=hidden value="{"v" * 999}"><nav>menu</nav><div>{LONG}<p>b</p></div></form>', f"{WORDS} b"),
+        (f"<article><form>{LONG}<p>b</p></form></article>", f"{WORDS} b"),
+        (f"{LONG}<form><p>Your name</p></form><p>b</p>", f"{WORDS} b"),
+    ],
+)
+def test_html_loose_words_take_no_text(page, text):
+    assert html.main_text(page) == text
+
+
 CARD = '<article class="card"><h3><a href=x>Another story</a></h3><p>Short line.</p></article>'
 
 
