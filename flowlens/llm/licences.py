@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from functools import cache
+from itertools import product
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +51,41 @@ SPELLINGS = (
     ("noncommercial", "non commercial"), ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"),
     ("copyright owners", "copyright holders"), ("https", "http"), ("organisation", "organization"), ("favour", "favor"),
 )
+#: Copyright lines of the table's SQL, and those without a year at once: a sign, a blank to fill in, a firm or group.
 COPYRIGHT = r"^(copyright|c|©)( c| ©)?( copyright)?( \d{4}| ©|$)"
+MORE_COPYRIGHT = (
+    r"^(portions )?(copyright (c|©|\d{4}|y{2,4}|x{4}|years?)|(c|©) copyright|©)( |$)"
+    r"|^(portions )?copyright (?!(holders?|owners?|notices?|licenses?|laws?|and|or) )(\S+ ){1,8}"
+    r"(authors|contributors|corp|corporation|developers|foundation|gmbh|inc|incorporated|limited|llc|ltd|team)( all rights reserved)?$"
+)
+#: Titles that BSD texts bear.
+BSD_TITLES = ("", "BSD {n}-Clause License", "The BSD {n}-Clause License", "The {n}-Clause BSD License", "{n}-Clause BSD License")
+THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission.\n\n"
+)
+
+
+@cache
+def whole_texts() -> tuple[tuple[str, str], ...]:
+    """Whole licences from the folder ``licence_texts`` (name up to a ~), also without the appendix on how to apply
+    them; BSD texts with and without title, numbers and the line on rights."""
+    out, bsd = [], []
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        licence, text = path.stem.split("~")[0], path.read_text(encoding="utf-8")
+        if licence.startswith("BSD"):
+            body = text[text.index("Redistribution and use") :]
+            bsd.append((licence, body))
+            if licence == "BSD-2-Clause":
+                bsd.append(("BSD-3-Clause", body.replace("THIS SOFTWARE IS", THIRD + "THIS SOFTWARE IS", 1)))
+            continue
+        out.append((licence, text))
+        out += [(licence, text[: m.start()]) for m in [re.search(r"(?im)^\W*(appendix: )?how to apply (the|these) ", text)] if m]
+    for (licence, body), title, rights, numbers, many in product(bsd, BSD_TITLES, ("", "All rights reserved.\n"), (True, False), (True, False)):
+        body = body if numbers else re.sub(r"(?m)^\d\. ", "", body)
+        body = body.replace("COPYRIGHT HOLDER OR", "COPYRIGHT HOLDERS OR") if many else body
+        out.append((licence, title.format(n=licence[4]) + "\n" + rights + body))
+    return tuple(out)
 
 
 def canonical_lines(text: Column) -> Column:
@@ -60,17 +99,18 @@ def canonical_lines(text: Column) -> Column:
         return F.trim(out)
 
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), line)
-    return F.filter(lines, lambda x: (x != "") & ~x.rlike(COPYRIGHT))
+    return F.filter(lines, lambda x: (x != "") & ~x.rlike(COPYRIGHT) & ~x.rlike(MORE_COPYRIGHT))
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """digest, licence: one row per known text, from the same normalisation."""
-    rows = literal_rows(spark, ["licence", "text"], [tuple(k) for k in known])
+def known_digests(spark: SparkSession, known=None) -> DataFrame:
+    """digest, licence: one row per known text (``KNOWN`` and the whole texts, or given ones), from the same
+    normalisation."""
+    rows = literal_rows(spark, ["licence", "text"], [tuple(k) for k in known or KNOWN + whole_texts()])
     digest = F.md5(F.concat_ws(" ", canonical_lines(F.col("text"))))
     return rows.select(digest.alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
-def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
+def scan(docs: DataFrame, known=None) -> DataFrame:
     """doc_id, digest, licence (the whole text is a known one, else null), notice (licence of the first line that is a
     known text, else null) and n_notices of every document.
 
@@ -78,12 +118,11 @@ def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
     digest of the empty text and no licence; repeated rows give repeated results; other columns are not read. The
     known texts are an argument of the caller, so their digests may be broadcast.
     """
-    digests = known_digests(docs.sparkSession, known)
-    listed = digests.agg(F.collect_set("digest").alias("_known"))
+    found = known_digests(docs.sparkSession, known).collect()
+    digests = literal_rows(docs.sparkSession, ["digest", "licence"], [tuple(r) for r in sorted(found)])
     lines = docs.select("doc_id", canonical_lines(F.col("text")).alias("_lines"))
     marked = lines.select("doc_id", F.md5(F.concat_ws(" ", "_lines")).alias("digest"), F.transform("_lines", F.md5).alias("_digests"))
-    known_set = F.lit(sorted(r["_known"] for r in listed.select(F.explode("_known").alias("_known")).collect()))
-    marked = marked.withColumn("_found", F.filter("_digests", lambda d: F.array_contains(known_set, d)))
+    marked = marked.withColumn("_found", F.filter("_digests", lambda d: d.isin([r["digest"] for r in found])))
     marked = marked.select("doc_id", "digest", F.size("_found").cast("long").alias("n_notices"), F.try_element_at("_found", F.lit(1)).alias("_first"))
     marked = marked.join(F.broadcast(digests), "digest", "left")
     first = digests.select(F.col("digest").alias("_first"), F.col("licence").alias("notice"))

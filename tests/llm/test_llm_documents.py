@@ -220,6 +220,21 @@ def test_licences(spark, odd, none):
     assert licences.scan(odd).count() == odd.count() and licences.scan(none).collect() == []
 
 
+def test_whole_licences_and_copyright_lines(spark):
+    texts = dict(licences.whole_texts()[::-1])
+    names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"]
+    assert set(names) <= set(texts)
+    rows = [(i, texts[n].upper().replace("COPYRIGHT [YYYY] [NAME OF COPYRIGHT OWNER]", "Copyright 2020 Somebody")) for i, n in enumerate(names)]
+    heads = ["Copyright (c) Microsoft Corporation", "Copyright (c) [year] [fullname]", "Copyright <YEAR> <HOLDER>", "Portions Copyright 2020 X", "Copyright The Kubernetes Authors", "Copyright (c) 2020 X"]
+    rows += [(100 + i, f"MIT License\n\n{head}\n\n{licences.PERMIT}") for i, head in enumerate(heads)]
+    rows += [(200, "copyright notice and the rest"), (201, "copyright holders and contributors"), (202, "BSD 3-Clause License\n\nCopyright (c) 2020, X Inc.\nAll rights reserved.\n\n" + texts["BSD-3-Clause"].strip())]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].licence for i in range(len(names))] == names
+    assert {got[100 + i].licence for i in range(len(heads))} == {"MIT"}
+    assert got[200].digest == hashlib.md5(b"copyright notice and the rest").hexdigest()
+    assert got[201].digest == hashlib.md5(b"copyright holders and contributors").hexdigest() and got[202].licence == "BSD-3-Clause"
+
+
 # --- near copies ---------------------------------------------------------------------------------
 
 
