@@ -10,6 +10,7 @@ All copies of a text in one shard are one row (a cell) of the iteration, so a te
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.sql import DataFrame
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 from .common import prefix_sums, range_starts, ranges, stored
 
-SHARDS, ROUNDS = 40, 8
+#: Shards, and rounds without a fall of the cut links after which the iteration ends (each asks other homes).
+SHARDS, IDLE = 40, 2
+LOG = logging.getLogger(__name__)
 #: The group of the documents without links; sorts after the hashes of texts.
 FREE = "ffffffff-free"
 
@@ -77,23 +80,37 @@ def moved(asked: DataFrame, pairs: DataFrame, count: int) -> DataFrame:
     return kept.withColumn("n", F.expr("least(n, greatest(0L, take - before))")).where("n > 0").select("grp", "i", "j", "n")
 
 
-def propagate(cells: DataFrame, free: DataFrame, room: int, count: int, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Rounds of moves until none is accepted, at most ``rounds``; every round is stored."""
-    for turn in range(rounds):
+def cut_links(cells: DataFrame) -> int:
+    """Pairs of equal texts that stand in different shards."""
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    sizes = cells.groupBy("grp").agg(F.sum("n").alias("all"), F.sum(whole("n") * whole("n")).alias("kept"))
+    return int(sizes.agg(F.sum(whole("all") * whole("all") - F.col("kept"))).first()[0] or 0) // 2
+
+
+def propagate(cells: DataFrame, free: DataFrame, room: int, count: int, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rounds of moves until the cut links are no longer falling (``IDLE`` rounds accept no move or cut no less), at most
+    ``rounds`` if given; every round is stored, the one with the fewest cut links is kept and their number logged."""
+    turn = idle = 0
+    best, least = (cells, free), cut_links(cells)
+    while least and idle < IDLE and (rounds is None or turn < rounds):
         asked = stored(requests(cells, free, room, turn), "shard-asked")
         pairs = stored(quotas(asked, free), "shard-quotas")
+        turn, idle = turn + 1, idle + 1
         if not pairs.where("take > 0").limit(1).count():
-            break
+            continue
         moves = moved(asked, pairs, count)
         flows = moves.select("grp", F.inline(F.expr("array(struct(i as shard, -n as n), struct(j as shard, n as n))")))
         cells = cells.unionByName(flows).groupBy("grp", "shard").agg(F.sum("n").alias("n")).where("n > 0")
         cells = stored(cells, "shard-cells")
         fills = pairs.select(F.inline(F.expr("array(struct(j as shard, -fill as free), struct(i as shard, fill as free))")))
         free = stored(free.unionByName(fills).groupBy("shard").agg(F.sum("free").alias("free")), "shard-free")
-    return cells, free
+        if (links := cut_links(cells)) < least:
+            best, least, idle = (cells, free), links, 0
+    LOG.info("%d rounds, %d links are left cut", turn, least)
+    return best
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document.
 
     Law ``rows``: the numbers of documents differ by at most one. Equal texts are linked; null texts are linked

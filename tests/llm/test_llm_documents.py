@@ -160,6 +160,20 @@ def test_shards_keep_copies_together(spark):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_shards_go_on_while_cut_links_fall(spark, caplog):
+    """Few unlinked documents: more rounds than eight still join copies."""
+    caplog.set_level("INFO", sharding.__name__)
+    rows = [(i, f"text {i // 7}") for i in range(1400)] + [(10_000 + i, "hot") for i in range(700)] + [(20_000 + i, f"one {i}") for i in range(20)]
+    left = {}
+    for rounds in (8, None):
+        placed = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 40, rounds).collect()
+        text, cells = dict(rows), {}
+        for r in placed:
+            cells[text[r.doc_id], r.shard] = cells.get((text[r.doc_id], r.shard), 0) + 1
+        left[rounds] = (200 * 49 + 700**2 - sum(n * n for (t, _), n in cells.items() if not t.startswith("one"))) // 2
+    assert [int(r.args[1]) for r in caplog.records] == list(left.values()) and left[None] < left[8]
+
+
 # --- BPE -----------------------------------------------------------------------------------------
 
 
