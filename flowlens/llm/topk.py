@@ -48,19 +48,22 @@ def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndar
 def search(queries: DataFrame, vectors: DataFrame, k: int = 5, tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of every query (vec_id, v) with all vectors.
 
-    Vectors are dealt into tiles and queries into blocks by a hash of the id; each pair of a tile and a block is
-    one matrix product in one task of bounded size. Every tile keeps k candidates per query, and the lists are
+    Vectors are dealt into tiles by a hash of id and vector and queries into blocks by a hash of the id; each pair of a
+    tile and a block is one matrix product in one task of bounded size. Equal rows (id and vector) have equal scores, so
+    no list can hold more than k of them, and k of them are dealt. Every tile keeps k candidates per query, and the lists are
     merged 16 at a time. Rows with the id of the query are its own and no candidates, vectors of another length
     have no product with it. Repeated ids: each row is a candidate, one query (the smallest vector) is asked.
     Equal scores go to the smaller id. No queries or no candidates give no rows.
     """
     spark = vectors.sparkSession
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    copies = vectors.groupBy("vec_id", "v").agg(F.count("*").alias("n"))
+    vectors = copies.select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int"))).alias("copy"))
     tiles = max(1, math.ceil(vectors.count() / tile))
     blocks = max(1, math.ceil(queries.count() / block))
-    dealt = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
-    shards = vectors.select(dealt(tiles, 1).alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), dealt(blocks, 2).alias("block"), "vec_id", "v")
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    shards = vectors.select(dealt(tiles, F.lit(1), "vec_id", "v", "copy").alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), dealt(blocks, F.lit(2), "vec_id").alias("block"), "vec_id", "v")
 
     def one_tile(key, ask: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         found = []

@@ -196,6 +196,28 @@ def test_topk_equals_brute_force(spark):
     assert topk.query(frame.limit(0)).collect() == []
 
 
+def test_topk_deals_rows_of_one_id(spark, monkeypatch):
+    """A third of the rows under one id, half of them equal: tiles stay bounded and each row is a candidate."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [int(x) for x in rng.integers(-99, 99, 4)]) for i in range(400)] + [(7, [int(x) for x in rng.integers(-99, 99, 4)]) for _ in range(100)] + [(7, [5, 5, 5, 5])] * 100
+    frame = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    asked, sizes = frame.where("vec_id % 50 = 0"), []
+    kind = type(frame.groupBy("vec_id"))
+    grouped = kind.cogroup
+
+    def counted(self, other):
+        sizes.extend(r["count"] for r in other.count().collect())
+        return grouped(self, other)
+
+    monkeypatch.setattr(kind, "cogroup", counted)
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(asked, frame, 5, 50, 1000).collect()}
+    want = set()
+    for q, v in {i: v for i, v in rows if i % 50 == 0}.items():
+        scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q)[:5]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)}
+    assert got == want and max(sizes) < 100, sizes
+
+
 def nearest(rows, k=5):
     out = {}
     for q, v in {r[0]: min(x[1] for x in rows if x[0] == r[0]) for r in rows if r[0] % 50 == 0}.items():
