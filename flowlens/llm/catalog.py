@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html, jaccard, licences, mixing, quality, sharding, topk, urls
+from . import ann, bpe, fingerprints, html, jaccard, licences, mixing, quality, runs, sharding, topk, tries, urls
 from .common import ready, table
 
 #: The tokenizer of the registered query.
@@ -58,6 +58,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.query(table(ready(spark), sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.query(table(ready(spark), sf_dir, "conversations"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.query(table(ready(spark), sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.query(table(ready(spark), sf_dir, "documents"))
+
+
 QUERIES = (
     op1_quality_classifier,
     op2_topk_search,
@@ -69,8 +81,11 @@ QUERIES = (
     op8_html_extraction,
     op9_ann_search,
     op10_jaccard_join,
+    op11_prefix_trie,
+    op12_fingerprints,
+    op13_periodic_runs,
 )
-SQL = {"op2_topk_search": topk.SQL, "op4_mixing": mixing.SQL, "op7_licence_scan": licences.SQL}
+SQL = {"op2_topk_search": topk.SQL, "op4_mixing": mixing.SQL, "op7_licence_scan": licences.SQL, "op11_prefix_trie": tries.SQL, "op12_fingerprints": fingerprints.SQL}
 
 
 def queries():
