@@ -65,6 +65,24 @@ def running_totals(
     )
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str = "number") -> DataFrame:
+    """Add a number from 0 without gaps, in the given order. The rows are stored, so their numbers stay when a task is redone."""
+    return running_totals(df, [], order, {name: F.lit(1)}, inclusive=False)
+
+
+def dense_places(df: DataFrame, place: str, name: str = "number") -> DataFrame:
+    """Add a number from 0 made of ``place``, the part and the row in it (33 bits) of a read: parts follow each other.
+
+    Only ``place`` is read for the sizes of the parts. There is one row per part of a read, so these are broadcast.
+    """
+    part, row = F.shiftrightunsigned(place, 33), F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = df.groupBy(part.alias("__read")).agg((F.max(row) + 1).alias("__size"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("__read").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("__read", F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__first"))
+    joined = df.withColumn("__read", part).join(F.broadcast(firsts), "__read", "left")
+    return joined.withColumn(name, F.col("__first") + row).drop("__read", "__first")
+
+
 def gap_sessions(
     df: DataFrame,
     keys: Sequence[str],

@@ -251,6 +251,27 @@ def import_two_batches(spark, sf):
     return listed.join(batch, "id").select("batch", "id", "src_ip", "dest_ip", "src_port", "dest_port", "label", "threat_level", "has_log")
 
 
+@query(
+    "import_two_captures",
+    f"""SELECT b AS batch, src_ip, dest_ip, src_port, dest_port, last_seen, 1 AS logs_of_id, b AS batch_of_id
+FROM ({P.FLOW_SESSIONS_SQL}) f, (VALUES (1), (2)) t(b)""",
+)
+def import_two_captures(spark, sf):
+    """The same packets imported twice and stored: every id stands for one log of one batch."""
+    store = tables.Tables().prefixed(f"cap_{uuid.uuid4().hex[:8]}_")
+    packets, none = A.packets(spark, sf), spark.createDataFrame([], "source string, packets long, error string")
+    for batch in (1, 2):
+        importer.import_capture(
+            spark, "", A.watchlist(spark, sf), batch_id=batch, mode="historical", classifier=P.FOREST, timeout=P._GAP, packets=packets, errors=none, store=store
+        )
+    logs = spark.table(store.logs)
+    ids = logs.groupBy("id").agg(F.count(F.lit(1)).alias("logs_of_id"), F.shiftright(F.min("id"), importer.NUMBER_BITS).alias("batch_of_id"))
+    return logs.join(ids, "id").select(
+        F.col("import_batch_id").alias("batch"), "src_ip", "dest_ip", "src_port", "dest_port",
+        iso_text(F.col("timestamp")).alias("last_seen"), "logs_of_id", "batch_of_id",
+    )
+
+
 _TRUTH = """CASE WHEN label IN ('BENIGN', '0') THEN 'Normal' WHEN label IN ('PortScan', 'ddos') THEN 'Malicious' WHEN label = 'Probe' THEN 'Suspicious' END"""
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import verdicts
 from ..operators import alerts as al
-from ..operators import anomaly, evaluate, flows, model, normalize, watchlist
+from ..operators import anomaly, evaluate, flows, model, normalize, ordering, watchlist
 from ..sinks import tables
 from ..sources import captures, files, indicators
 from . import live
@@ -54,24 +54,22 @@ def label_flows(flows: DataFrame, entries: DataFrame, classifier: Model, can_cla
     return told.select("*", *rule).drop("__label", "__conf", *names)
 
 
-def log_id(batch_id: int, place: Column) -> Column:
-    """Id of a log, unique over all batches: batch, read partition and row of an import side by side (19, 20, 24 bits).
+#: Ids of logs: the import batch and a number of up to 44 bits within it, or bit 62, the epoch and a number within it.
+NUMBER_BITS, LOG_NUMBER = 44, "__log_number"
 
-    ``place`` is the row number of a read (`files.ROW_ID`): partition and row inside it. Beyond these sizes it fails.
-    """
-    if not 0 <= batch_id < 1 << 19:
-        raise ValueError("batch ids go up to 2**19")
-    part, row = F.shiftrightunsigned(place, 33), place.bitwiseAND(F.lit((1 << 33) - 1))
-    fits = (part < 1 << 20) & (row < 1 << 24)
-    number = F.lit(batch_id << 44) + part * F.lit(1 << 24) + row
-    return F.when(fits, number).otherwise(F.raise_error(F.lit("an import partition is too large for log ids")).cast("long"))
+
+def log_id(batch_id: int, number: Column) -> Column:
+    """Id of a log, unique over all batches: batch and number within the batch (`ordering.dense_places`, `ordering.numbered`)."""
+    if not 0 <= batch_id < 1 << (62 - NUMBER_BITS):
+        raise ValueError(f"batch ids go up to 2**{62 - NUMBER_BITS}")
+    return F.lit(batch_id << NUMBER_BITS) + number
 
 
 def log_rows(labelled: DataFrame, batch_id: int, source: str) -> DataFrame:
     """Traffic-log rows; a watchlist hit without any info text becomes the info."""
     hit_text = F.when(F.col("watch_id").isNotNull(), F.concat(F.lit("Watchlist Match: "), F.col("watch_value")))
     return labelled.select(
-        log_id(batch_id, F.col(files.ROW_ID)).alias("id"),
+        log_id(batch_id, F.col(LOG_NUMBER)).alias("id"),
         "timestamp",
         "src_ip",
         "dest_ip",
@@ -163,7 +161,7 @@ def run_batch(
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     spark = normalized.sparkSession
-    valid = normalize.valid_rows(normalized)
+    valid = normalize.valid_rows(ordering.dense_places(normalized, files.ROW_ID, LOG_NUMBER))
     rejected = normalize.rejected_rows(normalized)
     source = f"replay:{name}" if mode == "replay" else f"import:{batch_id}"
     logs = log_rows(label_flows(valid, entries, classifier, can_classify), batch_id, source)
@@ -261,7 +259,8 @@ def import_capture(
     """
     packets = captures.read_captures(spark, path) if packets is None else packets
     errors = captures.capture_errors(spark, path) if errors is None else errors
-    built = flows.build_flows(packets, timeout=timeout)
+    built = ordering.numbered(flows.build_flows(packets, timeout=timeout), live.FLOW_ORDER)
+    built = built.withColumn("id", log_id(batch_id, F.col("number"))).drop("number")
     logs, _ = live.enrich(built, classifier or model.train_baseline(spark), entries, keep_features=True)
     batch = F.lit(batch_id).cast("long").alias("import_batch_id")
     logs = logs.select("*", batch, F.lit(None).cast("string").alias("ground_truth_label"), F.lit(False).alias("has_warning"))

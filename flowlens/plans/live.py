@@ -3,25 +3,34 @@
 from __future__ import annotations
 
 from pyspark.ml import Model, PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import alerts as al
 from ..operators import anomaly, arp, devices, model, watchlist
+from ..operators.ordering import numbered
 from ..sinks.tables import upsert_devices, write_epoch
 from ..streaming import state
 from ..streaming.flows import build_flows_stream
 from ..streaming.run import for_each_epoch
 
 
+#: What tells the flows of a batch apart.
+FLOW_ORDER = ["start_time", "src_ip", "dest_ip", "src_port", "dest_port", "protocol"]
+
+
+def live_id(epoch: int, number: Column) -> Column:
+    """Id of a log of a micro-batch, above all ids of imports: the epoch (30 bits) and a number within it (32 bits)."""
+    return F.lit((1 << 62) + (epoch << 32)) + number
+
+
 def enrich(flows: DataFrame, classifier: Model, entries: DataFrame, keep_features: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Log rows and alert events of closed flows. ``keep_features``: the logs also hold what explains their alerts."""
+    """Log rows and alert events of closed flows with an ``id``. ``keep_features``: the logs also hold what explains their alerts."""
     labelled = model.classify(flows, classifier)
     logs = labelled.withColumn("timestamp", F.col("last_seen")).withColumn(
         "protocol", F.coalesce("protocol_l7", "protocol")
     )
-    key = F.abs(F.xxhash64("src_ip", "dest_ip", "src_port", "dest_port", "protocol", "start_time"))
-    logs = watchlist.match_watchlist(logs.withColumn("id", key), entries)
+    logs = watchlist.match_watchlist(logs, entries)
     events = al.event_notes(al.flow_events(logs))
     rows = logs.select(
         "id", "timestamp", "src_ip", "dest_ip", "src_port", "dest_port", "protocol",
@@ -41,13 +50,11 @@ def run_stream(
     """
 
     def work(flows: DataFrame, epoch: int) -> None:
-        flows.persist()  # two outputs from one micro-batch
-        try:
-            logs, events = enrich(flows, classifier, entries)
-            write_epoch(logs, f"{out}/logs", epoch)
-            write_epoch(events, f"{out}/alert_events", epoch)
-        finally:
-            flows.unpersist()
+        flows = numbered(flows, FLOW_ORDER)  # stored, as two outputs are made of it
+        flows = flows.withColumn("id", live_id(epoch, F.col("number"))).drop("number")
+        logs, events = enrich(flows, classifier, entries)
+        write_epoch(logs, f"{out}/logs", epoch)
+        write_epoch(events, f"{out}/alert_events", epoch)
 
     return for_each_epoch(build_flows_stream(packets, timeout, delay, decode), f"{out}/checkpoint", work, **trigger)
 
