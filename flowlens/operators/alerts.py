@@ -6,14 +6,13 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import verdicts
 from ..functions.values import iso_text, micros, round_places
-from ..session import shared_dir
-from .ordering import gap_sessions, running_totals, same_keys
+from .ordering import gap_sessions, in_parts, running_totals
 
 SIGNATURE = ["threat_level", "alert_type", "device"]
 SECOND = 1_000_000
@@ -233,79 +232,113 @@ def _exits(times: np.ndarray, gap: int) -> np.ndarray:
     return times[at]
 
 
-def rate_limit(
-    events: DataFrame, seconds: float = 2.0, keys: list[str] | None = None, chunk_seconds: int = 120
-) -> DataFrame:
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int]]:
+    """Key and part of the stretches of equal ones in a batch in order, with their first and last place."""
+    key, part = batch.column("__key").to_numpy(zero_copy_only=False), batch.column("__part").to_numpy()
+    turns = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
+    edges = [0, *turns.tolist(), len(part)]
+    for a, b in zip(edges[:-1], edges[1:]):
+        if b > a:
+            yield (key[a], int(part[a])), a, b
+
+
+def _effects(gap: int):
+    """Per (key, part) what it does to the last time sent, as lines (first, last): if the first time sent in the part is
+    ``first`` or, after the line before, an earlier one, the last one is ``last``. One part is held at a time."""
+
+    def lines(group: tuple, times: np.ndarray) -> pa.RecordBatch:
+        # An earlier part sends before this one begins, so no later start than this is possible.
+        starts = int(np.searchsorted(times, times[0] + gap, side="left")) + 1
+        last = _exits(times, gap)[:starts]
+        keep = np.append(np.diff(last) != 0, True)
+        n = int(keep.sum())
+        columns = [pa.array([group[0]] * n, pa.string()), pa.array([group[1]] * n, pa.int32()), pa.array(times[:starts][keep]), pa.array(last[keep])]
+        return pa.RecordBatch.from_arrays(columns, ["__key", "__part", "first", "last"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        for batch in batches:
+            us = batch.column("us").to_numpy()
+            for group, a, b in _groups(batch):
+                if group != current and held:
+                    yield lines(current, np.concatenate(held))
+                    held = []
+                current = group
+                held.append(us[a:b])
+        if held:
+            yield lines(current, np.concatenate(held))
+
+    return run
+
+
+def _entries(gap: int):
+    """Walk the lines of all parts of a key in order; the last time sent is the only state. Gives it as each part begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, sent, after, found = (None, None), None, None, True
+        for batch in batches:
+            first, last = batch.column("first").to_numpy(), batch.column("last").to_numpy()
+            out = []
+            for group, a, b in _groups(batch):
+                if group != current:
+                    sent = after if group[0] == current[0] else None
+                    current, after, found = group, sent, False
+                    out.append((*group, sent))
+                if not found:
+                    at = a if sent is None else a + int(np.searchsorted(first[a:b], sent + gap, side="left"))
+                    if at < b:
+                        after, found = int(last[at]), True
+            key, part, entry = zip(*out) if out else ((), (), ())
+            columns = [pa.array(key, pa.string()), pa.array(part, pa.int32()), pa.array(entry, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["__key", "__part", "__entry"])
+
+    return run
+
+
+def _picks(gap: int):
+    """The rows that are sent, part by part, from the last time sent before each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, sent = None, None
+        for batch in batches:
+            us, entry = batch.column("us").to_numpy(), batch.column("__entry")
+            picks = []
+            for group, a, b in _groups(batch):
+                if group != current:
+                    current, sent = group, entry[a].as_py()
+                times = us[a:b]
+                following = _after(times, gap)
+                at = 0 if sent is None else int(np.searchsorted(times, sent + gap, side="left"))
+                while at < b - a:
+                    picks.append(a + at)
+                    sent, at = int(times[at]), int(following[at])
+            yield batch.take(pa.array(picks, pa.int64()))
+
+    return run
+
+
+def rate_limit(events: DataFrame, seconds: float = 2.0, keys: list[str] | None = None) -> DataFrame:
     """Events that are sent out: per key none within ``seconds`` after the last one sent.
 
-    Which event is sent depends on the one sent before, all the way back. To keep a hot key from
-    ending in one task, a chunk of time is first reduced to what it does to the state: for every
-    time that can be the first one sent in it, the last one sent. Only times within ``seconds`` of
-    the chunk's start can be first, plus the next one, so a chunk shrinks by chunk/seconds. These
-    small tables are walked in order of key and time, one row at a time; then all chunks are finished
-    side by side.
+    Which event is sent depends on the one sent before, all the way back. What a stretch of time does to that state is
+    a map from the first time sent in it to the last one, and such maps can be strung together. So the instants are
+    cut into parts of bounded size by key and time (`in_parts`), wherever that falls in a hot key; every part gives its
+    map; these are walked in order of key and time; then all parts are finished side by side. Equal instants of a key
+    count once, with the smallest id. Null keys are keys; no events, no rows.
     """
     keys = keys or NOTIFY_KEY
     gap = round(seconds * 1e6)
-    width = max(chunk_seconds * SECOND, gap)
-    # Equal instants: only the first id can be sent.
     points = events.groupBy(*keys, micros(F.col("ts")).alias("us")).agg(F.min("id").alias("id"))
-    chunks = (
-        points.groupBy(*keys, F.floor(F.col("us") / F.lit(width)).alias("chunk"))
-        .agg(F.array_sort(F.collect_list(F.struct("us", "id"))).alias("p"))
-        .select(*keys, "chunk", F.col("p.us").alias("us"), F.col("p.id").alias("id"))
-    )
-    path = shared_dir(events.sparkSession, "rate-limit")  # read twice, computed once
-    chunks.write.parquet(path)
-    chunks = events.sparkSession.read.schema(chunks.schema).parquet(path)
-
-    @F.pandas_udf("first array<long>, last array<long>")
-    def effect(chunk: pd.Series, us: pd.Series) -> pd.DataFrame:
-        out = []
-        for c, times in zip(chunk, us):
-            n = int(np.searchsorted(times, c * width + gap, side="left")) + 1
-            last = _exits(times, gap)[:n]
-            # Neighbours with the same outcome need one line: any start up to the later one leads there.
-            keep = np.append(np.diff(last) != 0, True)
-            out.append((times[:n][keep], last[keep]))
-        return pd.DataFrame(out, columns=["first", "last"])
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Chunk after chunk of each key, with the last time sent as the only state."""
-        key, sent = None, None
-        for pdf in batches:
-            entries = []
-            for *k, first, last in pdf[[*keys, "first", "last"]].itertuples(index=False):
-                k = [None if x is None or x != x else x for x in k]  # a null in a number column arrives as NaN
-                if k != key:
-                    key, sent = k, None
-                entries.append(sent)
-                at = 0 if sent is None else int(np.searchsorted(first, sent + gap, side="left"))
-                if at < len(first):
-                    sent = int(last[at])
-            yield pdf[[*keys, "chunk"]].assign(entry=pd.array(entries, dtype="Int64"))
-
-    @F.pandas_udf("us array<long>, id array<long>")
-    def finish(us: pd.Series, ids: pd.Series, entry: pd.Series) -> pd.DataFrame:
-        out = []
-        for times, names, sent in zip(us, ids, entry):
-            at = 0 if pd.isna(sent) else int(np.searchsorted(times, int(sent) + gap, side="left"))
-            following, picks = _after(times, gap), []
-            while at < len(times):
-                picks.append(at)
-                at = int(following[at])
-            out.append((times[picks], names[picks]))
-        return pd.DataFrame(out, columns=["us", "id"])
-
-    tables = chunks.select(*keys, "chunk", effect("chunk", "us").alias("e")).select(*keys, "chunk", "e.first", "e.last")
-    in_order = tables.repartition(*keys).sortWithinPartitions(*keys, "chunk")
-    types = {f.name: f.dataType.simpleString() for f in chunks.schema}
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "chunk long, entry long"])
-    entries = in_order.mapInPandas(walk, schema)
-    sent = same_keys(chunks, entries, [*keys, "chunk"]).select(*keys, finish("us", "id", "entry").alias("s"))
-    return sent.select(*keys, F.explode(F.arrays_zip("s.us", "s.id")).alias("z")).select(
-        *keys, F.timestamp_micros("z.us").alias("ts"), F.col("z.id").alias("id")
-    )
+    # One text stands for the key, so that rows of a null key meet as well.
+    parts = in_parts(points.withColumn("__key", F.md5(F.to_json(F.struct(*keys)))), ["__key"], ["us"], "rate-limit")
+    by = ["__key", "__part"]
+    effects = parts.select(*by, "us").repartition(*by).sortWithinPartitions(*by, "us")
+    effects = effects.mapInArrow(_effects(gap), "__key string, __part int, first long, last long")
+    effects = effects.repartition("__key").sortWithinPartitions(*by, "first")
+    entries = effects.mapInArrow(_entries(gap), "__key string, __part int, __entry long")
+    ready = parts.join(entries, by).repartition(*by).sortWithinPartitions(*by, "us")
+    sent = ready.mapInArrow(_picks(gap), ready.schema)
+    return sent.select(*keys, F.timestamp_micros("us").alias("ts"), "id")
 
 
 # --- lists --------------------------------------------------------------------------------------

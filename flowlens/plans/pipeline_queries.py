@@ -492,9 +492,7 @@ JOIN ev e ON e.threat_level = p.threat_level AND e.device = p.device AND e.us =
 
 @query("notification_limit", NOTIFICATION_SQL)
 def notification_limit(spark, sf):
-    out = al.rate_limit(
-        A.alert_events(spark, sf), NOTIFY_SECONDS, ["threat_level", "device"], chunk_seconds=3 * NOTIFY_SECONDS
-    )
+    out = al.rate_limit(A.alert_events(spark, sf), NOTIFY_SECONDS, ["threat_level", "device"])
     return out.withColumn("ts", iso_text(F.col("ts")))
 
 

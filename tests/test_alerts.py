@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from flowlens.functions import verdicts
 from flowlens.operators import alerts as al
 from flowlens.operators import arp
+from flowlens.operators.ordering import in_parts
 from flowlens.streaming import state
-from flowlens.streaming.run import drain
+from flowlens.streaming.run import drain, state_partitions
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 EVENT = (
@@ -116,21 +117,42 @@ def greedy(rows, seconds):
     return sorted(picks)
 
 
-@pytest.mark.parametrize("chunk", [2, 5, 60])
-def test_rate_limit_equals_greedy(spark, chunk):
-    rng = random.Random(chunk)
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_rate_limit_equals_greedy(spark, parts):
+    rng = random.Random(parts)
     rows = [event(i, rng.random() * 300, rng.choice("aaaab")) for i in range(1500)]
     rows += [event(5000 + i, i * 0.5, "c") for i in range(200)]  # no pause anywhere: one long chain
     rows += [event(6000 + i, 400 + i * 2.0, "e") for i in range(20)]  # exactly the limit apart
+    rows += [event(7000 + i, 500 + i // 3, "f") for i in range(60)]  # equal instants
     df = spark.createDataFrame(rows, EVENT)
-    got = sorted(r.id for r in al.rate_limit(df, 2.0, chunk_seconds=chunk).collect())
+    with state_partitions(spark, parts):
+        got = sorted(r.id for r in al.rate_limit(df, 2.0).collect())
     assert got == greedy(rows, 2.0)
 
 
+def test_rate_limit_splits_a_hot_key(spark):
+    """A third of all events on one key: no task reads more than a few of its parts."""
+    rng = random.Random(3)
+    rows = [event(i, i * 0.01, "hot") for i in range(3000)] + [event(9000 + i, rng.random() * 900, f"k{i % 50}") for i in range(6000)]
+    df = spark.createDataFrame(rows, EVENT)
+    with state_partitions(spark, 30):
+        out = al.rate_limit(df, 2.0)
+        assert sorted(r.id for r in out.collect()) == greedy(rows, 2.0)
+        # Small shuffles are coalesced by default; uncoalesced, the hot key lies in many parts of like size.
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            assert sorted(r.id for r in al.rate_limit(df, 2.0).collect()) == greedy(rows, 2.0)
+            cut = in_parts(df, al.NOTIFY_KEY, ["ts"], "hot").groupBy("__part").count()
+            assert cut.agg(F.max("count")).head()[0] < 1200
+        finally:
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert al.rate_limit(df.limit(0), 2.0).collect() == []
+
+
 def test_rate_limit_keeps_null_keys(spark):
     df = spark.createDataFrame([(1, 5, "a", None), (2, 5, "a", None), (3, None, None, "x")], "id long, n long, src string, dest string")
     df = df.withColumn("ts", F.col("id").cast("timestamp"))
-    got = al.rate_limit(df, 2.0, ["n", "src", "dest"], chunk_seconds=2)
+    got = al.rate_limit(df, 2.0, ["n", "src", "dest"])
     assert sorted((r.id, r.n, r.src, r.dest) for r in got.collect()) == [(1, 5, "a", None), (3, None, None, "x")]
 
 
