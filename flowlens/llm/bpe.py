@@ -10,6 +10,7 @@ white space on both sides. The tokenizer never joins text across white space, so
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 from collections.abc import Iterator
@@ -33,6 +34,10 @@ REMEMBERED = 400_000
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Words beyond these letters are given to the tokenizer one by one.
 PLAIN = re.compile(r"[\x21-\x7e¡-ɏ]+\Z")
+#: The pattern of the tokenizer family this works for, and what it takes as one match or, with a stop, as two.
+WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+STOPS = ".,;:!?"
+SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?\Z")
 GEAR = (mixed(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -66,10 +71,33 @@ def as_bytes(texts: pd.Series) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
+def checked(definition: str) -> dict:
+    """The definition, if encoding word by word gives what encoding the whole text gives; an error otherwise.
+
+    It must be a BPE whose pre-tokenizer takes nothing but the matches of a pattern that matches no white space, whose
+    normalizer looks at one character or at its marks, and which has neither a decoder nor a post-processor.
+    """
+    told = json.loads(definition)
+    steps = lambda x, inner: [] if x is None else x[inner] if x["type"] == "Sequence" else [x]
+    splits = steps(told.get("pre_tokenizer"), "pretokenizers")
+    first = splits[0] if splits else {}
+    kept = first.get("type") == "Split" and first.get("pattern", {}).get("Regex") == WORD_PARTS
+    kept = kept and first.get("behavior") == "Removed" and first.get("invert") is True
+    kept = kept and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] for x in splits[1:])
+    plain = [
+        x["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " "
+        for x in steps(told.get("normalizer"), "normalizers")
+    ]
+    if not (told["model"]["type"] == "BPE" and kept and all(plain) and not told.get("decoder") and not told.get("post_processor")):
+        raise ValueError("this tokenizer may join text over white space or decode otherwise: it cannot be used word by word")
+    return told
+
+
 class Encoder:
     """Tokens of whole words, remembered; one object per task."""
 
     def __init__(self, definition: str, remembered: int = REMEMBERED):
+        told = checked(definition)
         self.remembered = remembered
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
@@ -78,37 +106,71 @@ class Encoder:
         self.tokens = [""] * (max(vocabulary.values(), default=-1) + 1)
         for token, i in vocabulary.items():
             self.tokens[i] = token
+        #: Tokens that end a match of the pattern, if the definition marks them.
+        suffix = told["model"].get("end_of_word_suffix")
+        self.last = np.array([bool(suffix) and t.endswith(suffix) for t in self.tokens], dtype=bool)
         self.known: dict[bytes, tuple[bytes, str]] = {}
 
     def decode(self, ids: list[int]) -> str:
         """As the library does without a decoder: the tokens, special ones too, with spaces between them."""
         return " ".join([self.tokens[i] for i in ids])
 
+    def _keep(self, words: list[bytes], ids: list[int], edges: list[int]) -> None:
+        tokens, data = [self.tokens[i] for i in ids], np.array(ids, dtype="<u4").tobytes()
+        start = 0
+        for word, end in zip(words, edges, strict=True):
+            self.known[word] = (data[4 * start : 4 * end], " ".join(tokens[start:end]))
+            start = end
+
+    def _learn_simple(self, words: list[bytes], texts: list[str]) -> bool:
+        """Letters with a stop at most: the tokens that end a match tell where words end. False if they do not."""
+        ids = self.tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids
+        ends = np.flatnonzero(self.last[ids]) + 1
+        matches = np.cumsum([1 + (t[-1] in STOPS) for t in texts])
+        if len(ends) != matches[-1]:
+            return False
+        self._keep(words, ids, ends[matches - 1].tolist())
+        return True
+
+    def _learn_plain(self, words: list[bytes], texts: list[str]) -> None:
+        whole = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        starts = np.cumsum([len(t) + 1 for t in texts])
+        self._keep(words, whole.ids, np.searchsorted(np.array([o[0] for o in whole.offsets], dtype=np.int64), starts).tolist())
+
     def learn(self, words: list[bytes]) -> None:
-        if len(self.known) > self.remembered:
+        simple, plain, others = ([], []), ([], []), []
+        for word in words:
+            text = word.decode("utf-8", "surrogatepass")
+            if SIMPLE.match(text):
+                kind = simple
+            elif PLAIN.match(text) and "<|" not in text:
+                kind = plain
+            else:
+                others.append((word, text))
+                continue
+            kind[0].append(word)
+            kind[1].append(text)
+        if simple[0] and not self._learn_simple(*simple):
+            self._learn_plain(*simple)
+        if plain[0]:
+            self._learn_plain(*plain)
+        for word, text in others:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            self.known[word] = (np.array(ids, dtype="<u4").tobytes(), self.decode(ids))
+
+    def reserve(self, words: set[bytes]) -> None:
+        """Know all these words; what was known before is forgotten if that is too much."""
+        new = words.difference(self.known)
+        if new and len(self.known) + len(new) > self.remembered:
             self.known.clear()
-        texts = [w.decode("utf-8", "surrogatepass") for w in words]
-        plain = [i for i, t in enumerate(texts) if PLAIN.match(t) and "<|" not in t]
-        if plain:
-            whole = self.tokenizer.encode(" ".join([texts[i] for i in plain]), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(texts[i]) + 1 for i in plain])
-            ids = np.array(whole.ids, dtype="<u4")
-            offsets = np.array([o[0] for o in whole.offsets], dtype=np.int64)
-            edges = np.searchsorted(offsets, starts)
-            for i, a, b in zip(plain, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                part = ids[a:b]
-                self.known[words[i]] = (part.tobytes(), self.decode(part.tolist()))
-        for i in set(range(len(words))).difference(plain):
-            ids = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
-            self.known[words[i]] = (np.array(ids, dtype="<u4").tobytes(), self.decode(ids))
+            new = words
+        if new:
+            self.learn(list(new))
 
     def words(self, words: list[bytes]) -> list[tuple[bytes, str]]:
         known = self.known
-        if new := [w for w in set(words) if w not in known]:
-            self.learn(new)
-            known = self.known
-            if len(new) < len(set(words)) and any(w not in known for w in words):  # forgotten meanwhile
-                self.learn([w for w in set(words) if w not in known])
+        if any(w not in known for w in words):
+            self.reserve(set(words))
         return [known[w] for w in words]
 
 
@@ -193,12 +255,15 @@ def encode(docs: DataFrame, tokenizer: str, remembered: int = REMEMBERED) -> Dat
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, for the tokenizer definition at that path.
 
     ``remembered`` words are kept per task; fewer take less memory and more time, with the same result.
-    The definition (a file of a few MB, read by the driver) goes to the tasks as a broadcast. Null texts count as
+    The definition (a file of a few MB, read by the driver) goes to the tasks as a broadcast; one that cannot be used word
+    by word is an error (`checked`). Null texts count as
     empty ones and have no tokens; texts of any length are encoded whole; repeated rows give repeated results; an
     empty table gives none; other columns are not read.
     """
     spark = docs.sparkSession
-    definition = spark.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))
+    told = Path(tokenizer).read_text(encoding="utf-8")
+    checked(told)
+    definition = spark.sparkContext.broadcast(told)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     bits = spark.sparkContext.broadcast(shared_marks(texts.select("text")))
 
@@ -263,13 +328,17 @@ def encode(docs: DataFrame, tokenizer: str, remembered: int = REMEMBERED) -> Dat
     def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(definition.value, remembered)
         for batch in batches:
+            raws = as_bytes(batch["text"])
+            own = [not any(marked(bits.value, name(c)) for c in chunks) for chunks in cuts(raws)]
+            split = [raw.split() if mine else None for raw, mine in zip(raws, own, strict=True)]
+            encoder.reserve({word for words in split if words for word in words})
             found = []
-            for raw, chunks in zip(raws := as_bytes(batch["text"]), cuts(raws), strict=True):
-                if any(marked(bits.value, name(c)) for c in chunks):
+            for words in split:
+                if words is None:
                     found.append((None, None, None))
                     continue
                 text = Assembly(encoder)
-                text.add_text(raw)
+                text.add_words(words)
                 found.append(text.result())
             out = pd.DataFrame(found, columns=["n_tokens", "ids_sha256", "decoded_sha256"], dtype=object)
             out["n_tokens"] = out["n_tokens"].astype("Int64")
