@@ -14,16 +14,22 @@ from pyspark.sql import functions as F
 #: Lines per window, and the least sum at which text surges.
 WINDOW, SURGE = 3, 86
 
-#: Elements whose content is never text of a page, read up to their end tag.
-RAW = "script|style|title|textarea|noscript|iframe|template|xmp|noembed|noframes|svg|math|select|object"
+#: Elements whose content is never text of a page. The first are read up to their end tag or the end of the page; the
+#: others only where their end tag follows, and an empty one (``<svg/>``) ends itself.
+RAW = "script|style|title|textarea|noscript|iframe|xmp|noembed|noframes"
+FOREIGN = "svg|select|template|annotation|annotation-xml"
 TOKEN = re.compile(
-    rf"<!--.*?(?:--!?>|\Z)|<({RAW})(?=[\s/>])[^>]*(?:>.*?(?:</\1(?=[\s/>])[^>]*>?|\Z)|\Z)|<[!?][^>]*>?"
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<({RAW})(?=[\s/>])[^>]*(?:>.*?(?:</\1(?=[\s/>])[^>]*>?|\Z)|\Z)"
+    rf"|<(?:{FOREIGN})(?=[\s/])[^>]*/>|<({FOREIGN})(?=[\s/>])[^>]*>.*?</\2(?=[\s/>])[^>]*>?|<[!?][^>]*>?"
     r"|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>|[^>]*>?)",
     re.S | re.I,
 )
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s"
-    " samp small span strike strong sub sup time tt u var wbr img".split()
+    " samp small span strike strong sub sup time tt u var wbr img object option optgroup svg"
+    # Formulas: their parts are words of the line.
+    " math merror mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr"
+    " munder munderover semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CUT = frozenset("nav footer aside form menu dialog button fieldset".split())
@@ -62,8 +68,8 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, int, bool]]:
     """Blocks of a page in order: text, characters inside links, whether cut as boilerplate, in which article (0: none),
     whether in an element that is vaguely named as boilerplate.
 
-    A cut element ends with its end tag, and one inside an article at the latest with the article. One that never
-    ends is given up where an article begins. A cut inline element takes its text out of the line and does not break
+    A cut element ends with its end tag; inside an article it ends at the latest with the article, elsewhere one without
+    an end tag of its own is not cut at all. One that an article begins in is given up there. A cut inline element takes its text out of the line and does not break
     it; without an end tag it ends with the block that holds it, or before the next block if no such end tag follows.
     """
     text: list[str] = []
@@ -74,6 +80,7 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, int, bool]]:
     form_at, all_chars = re.compile(r"</?form(?=[\s/>])", re.I), -1
     inner: list[str] = []
     last: dict[str, int] = {}
+    closed: dict[str, set[int]] = {}
     at = 0
 
     def ends_later(name: str) -> bool:
@@ -81,6 +88,20 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, int, bool]]:
             last[name] = max((e.start() for e in re.finditer(rf"</{name}(?=[\s/>])", page, re.I)), default=-1)
         return last[name] >= at
 
+    def closes(name: str, start: int) -> bool:
+        """Whether the element that begins there has an end tag of its own, or needs none."""
+        if name in LOOSE_ENDS:
+            return True
+        if name not in closed:
+            opened: list[int] = []
+            closed[name] = set()
+            for tag in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])", page, re.I):
+                if not tag[1]:
+                    opened.append(tag.start())
+                elif opened:
+                    closed[name].add(opened.pop())
+        return start in closed[name]
+
     def shown(name: str, end: bool, attributes: str) -> bool:
         """Whether a block tag ends the hidden inline element around it."""
         if end:
@@ -118,10 +139,10 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, int, bool]]:
             if in_link:
                 linked += len(piece.strip())
         at = m.end()
-        name = (m[3] or "").lower()
+        name = (m[4] or "").lower()
         if not name:
             continue
-        end, attributes = m[2] == "/", m[4] or ""
+        end, attributes = m[3] == "/", m[5] or ""
         if name == "a":
             in_link = 0 if end else 1
         if name in INLINE:
@@ -167,7 +188,7 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, int, bool]]:
             vague = vague if vague_depth > 0 else ""
         if opens and not vague and not holds and named_vaguely(name, attributes):
             vague, vague_depth = name, 1
-        if opens and cut_by(name, attributes, article) and not (name == "form" and not named_cut(attributes) and is_page()):
+        if opens and cut_by(name, attributes, article) and (article or closes(name, m.start())) and not (name == "form" and not named_cut(attributes) and is_page()):
             cut, depth, cut_inside, held = name, 1, article > 0, 0
         elif holds:
             articles += not end and not article

@@ -85,6 +85,28 @@ def test_html_loose_words_take_no_text(page, text):
     assert html.main_text(page) == text
 
 
+P, Q = (f"The river ran high that {x}, and the people of the town walked down to the bridge in the evening to look at it." for x in ("spring", "fall"))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<article><p>{P}</p><p>icon <svg class="i"/> after</p><p>{Q}</p></article>', f"{P} icon after {Q}"),
+        (f"<article><p>{P}</p><p>a <math/> b c</p></article>", f"{P} a b c"),
+        (f"<article><!--><p>{P}</p></article>", P),
+        (f"<article><!---><p>{P}</p><!-- gone --></article>", P),
+        (f'<article><p>{P}</p><object data="a"><p>{Q}</p></article>', f"{P} {Q}"),
+        (f"<article><p>{P}</p><p>x <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>", f"{P} x x=2 holds"),
+        (f"<nav><a>x</a><div><p>{P}</p><p>{Q}</p></div>", f"{P} {Q}"),
+        (f"<nav><a>menu</a></nav><nav><a>x</a><div><p>{P}</p><p>{Q}</p></div>", f"{P} {Q}"),
+        (f"<article><p>{P}</p><svg><text>no</text></svg><select><option>no</select><p>{Q}</p></article>", f"{P} {Q}"),
+        (f"<article><p>{P}</p><select><option>ten<p>{Q}</p></article>", f"{P} ten {Q}"),
+    ],
+)
+def test_html_loses_no_text_after_odd_markup(page, text):
+    assert html.main_text(page) == text
+
+
 CARD = '<article class="card"><h3><a href=x>Another story</a></h3><p>Short line.</p></article>'
 
 
