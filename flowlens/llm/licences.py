@@ -53,11 +53,12 @@ SPELLINGS = (
 )
 #: Copyright lines of the table's SQL, and those without a year at once: a sign, a blank to fill in, a firm or group.
 COPYRIGHT = r"^(copyright|c|©)( c| ©)?( copyright)?( \d{4}| ©|$)"
-MORE_COPYRIGHT = (
-    r"^(portions )?(copyright (c|©|\d{4}|y{2,4}|x{4}|years?)|(c|©) copyright|©)( |$)"
-    r"|^(portions )?copyright (?!(holders?|owners?|notices?|licenses?|laws?|and|or) )(\S+ ){1,8}"
+MORE_COPYRIGHT = r"^(portions )?(copyright (c|©|\d{4}|y{2,4}|x{4}|years?)|(c|©) copyright|©)( |$)"
+GROUP_COPYRIGHT = (
+    r"^(portions )?copyright (\S+ ){1,8}"
     r"(authors|contributors|corp|corporation|developers|foundation|gmbh|inc|incorporated|limited|llc|ltd|team)( all rights reserved)?$"
 )
+NO_GROUP = r"^(portions )?copyright (holders?|owners?|notices?|licenses?|laws?|and|or) "
 #: Titles that BSD texts bear.
 BSD_TITLES = ("", "BSD {n}-Clause License", "The BSD {n}-Clause License", "The {n}-Clause BSD License", "{n}-Clause BSD License")
 THIRD = (
@@ -88,25 +89,31 @@ def whole_texts() -> tuple[tuple[str, str], ...]:
     return tuple(out)
 
 
+def spelled(text: Column) -> Column:
+    """A text of words in one spelling."""
+    out = F.concat(F.lit(" "), text, F.lit(" "))
+    for old, new in SPELLINGS * 2:  # twice, as neighbours share the space between them
+        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
+    return F.trim(out)
+
+
 def canonical_lines(text: Column) -> Column:
     """Lines of a text without case, punctuation, equivalent spellings and copyright lines; empty lines are gone."""
+    line = lambda raw: spelled(F.trim(F.regexp_replace(F.lower(raw), r"[^\p{L}\p{N}©]+", " ")))
+    rights = lambda x: x.rlike(COPYRIGHT) | x.rlike(MORE_COPYRIGHT) | (x.rlike(GROUP_COPYRIGHT) & ~x.rlike(NO_GROUP))
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), line), lambda x: (x != "") & ~rights(x))
 
-    def line(raw: Column) -> Column:
-        out = F.trim(F.regexp_replace(F.lower(raw), r"[^\p{L}\p{N}©]+", " "))
-        out = F.concat(F.lit(" "), out, F.lit(" "))
-        for old, new in SPELLINGS:
-            out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
-        return F.trim(out)
 
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), line)
-    return F.filter(lines, lambda x: (x != "") & ~x.rlike(COPYRIGHT) & ~x.rlike(MORE_COPYRIGHT))
+def whole_digest(lines: Column) -> Column:
+    """Digest of a whole text from its canonical lines; spellings of several words may stand across their ends."""
+    return F.md5(spelled(F.concat_ws(" ", lines)))
 
 
 def known_digests(spark: SparkSession, known=None) -> DataFrame:
     """digest, licence: one row per known text (``KNOWN`` and the whole texts, or given ones), from the same
     normalisation."""
     rows = literal_rows(spark, ["licence", "text"], [tuple(k) for k in known or KNOWN + whole_texts()])
-    digest = F.md5(F.concat_ws(" ", canonical_lines(F.col("text"))))
+    digest = whole_digest(canonical_lines(F.col("text")))
     return rows.select(digest.alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
 
 
@@ -121,7 +128,7 @@ def scan(docs: DataFrame, known=None) -> DataFrame:
     found = known_digests(docs.sparkSession, known).collect()
     digests = literal_rows(docs.sparkSession, ["digest", "licence"], [tuple(r) for r in sorted(found)])
     lines = docs.select("doc_id", canonical_lines(F.col("text")).alias("_lines"))
-    marked = lines.select("doc_id", F.md5(F.concat_ws(" ", "_lines")).alias("digest"), F.transform("_lines", F.md5).alias("_digests"))
+    marked = lines.select("doc_id", whole_digest(F.col("_lines")).alias("digest"), F.transform("_lines", F.md5).alias("_digests"))
     marked = marked.withColumn("_found", F.filter("_digests", lambda d: d.isin([r["digest"] for r in found])))
     marked = marked.select("doc_id", "digest", F.size("_found").cast("long").alias("n_notices"), F.try_element_at("_found", F.lit(1)).alias("_first"))
     marked = marked.join(F.broadcast(digests), "digest", "left")
@@ -130,22 +137,30 @@ def scan(docs: DataFrame, known=None) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same in SQL; the known texts are normalised by it, too."""
+    """The same in SQL; all known texts are normalised by it, too."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    line = "' ' || trim(regexp_replace(lower(l), '[^\\p{L}\\p{N}©]+', ' ', 'g')) || ' '"
-    for old, new in SPELLINGS:
-        line = f"replace({line}, ' {old} ', ' {new} ')"
+
+    def spelled(text: str) -> str:
+        out = f"(' ' || {text} || ' ')"
+        for old, new in SPELLINGS * 2:
+            out = f"replace({out}, ' {old} ', ' {new} ')"
+        return f"trim({out})"
+
+    line = spelled("trim(regexp_replace(lower(l), '[^\\p{L}\\p{N}©]+', ' ', 'g'))")
+    matches = lambda pattern: f"regexp_matches(l, {quote(pattern)})"
     norm = (
-        f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: trim({line})),"
-        f" lambda l: l <> '' and not regexp_matches(l, {quote(COPYRIGHT)}))"
+        f"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: {line}), lambda l: l <> '' and not {matches(COPYRIGHT)}"
+        f" and not {matches(MORE_COPYRIGHT)} and not ({matches(GROUP_COPYRIGHT)} and not {matches(NO_GROUP)}))"
     )
-    values = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN)
+    whole = f"md5({spelled("array_to_string(lines, ' ')")})"
+    values = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN + whole_texts())
     return f"""
 with known(licence, text) as (values {values}),
-k as (select md5(array_to_string({norm}, ' ')) as digest, min(licence) as licence from known group by 1),
+n as (select licence, {norm} as lines from known),
+k as (select {whole} as digest, min(licence) as licence from n group by 1),
 d as (select doc_id, {norm} as lines from documents),
 m as (
-    select doc_id, md5(array_to_string(lines, ' ')) as digest,
+    select doc_id, {whole} as digest,
         list_filter(list_transform(lines, lambda l: md5(l)), lambda x: list_contains(known_digests, x)) as found
     from d, (select list(digest) as known_digests from k)
 )

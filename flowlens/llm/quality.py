@@ -8,13 +8,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shingles import Shingler
 
 #: Trusted positives and unlabelled texts that the model is fitted on (about, chosen by a hash of the id).
 POSITIVES, UNLABELLED = 8_000, 16_000
+#: The most different texts of one id that are learned from.
+ROWS_PER_ID = 4
 KNOTS = (0.05, 0.15, 0.3, 0.5, 0.7, 0.85, 0.95)
 STEPS, RATE, DECAY = 500, 0.05, 1e-3
 
@@ -151,7 +153,11 @@ def held_out() -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Measures of about POSITIVES trusted positives and UNLABELLED texts, neither of them held out."""
+    """Measures of about POSITIVES trusted positives and UNLABELLED texts, neither of them held out.
+
+    The shares go by id. Of an id at most ROWS_PER_ID different texts are taken, so what reaches the driver is bounded however
+    often an id is repeated.
+    """
     usable = ~held_out() & F.col("doc_id").isNotNull()
     good = labels.where(usable).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
@@ -164,9 +170,14 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def measures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = Measures()
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "good": batch["good"] == 1, "any": batch["any"], "x": [of.of(t) for t in batch["text"]]})
-
-    rows = marked.mapInPandas(measures, "doc_id long, good boolean, any boolean, x array<double>").collect()
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": batch["fp"], "good": batch["good"] == 1, "any": batch["any"], "x": [of.of(t) for t in batch["text"]]})
+
+    # An id may have many rows: each different text of it counts once, and the first ROWS_PER_ID of them by digest.
+    marked = marked.withColumn("fp", F.md5(F.coalesce("text", F.lit(""))))
+    firsts = marked.groupBy("doc_id", "fp").agg(F.count("*")).withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("fp")))
+    chosen = marked.join(firsts.where(F.col("place") <= ROWS_PER_ID).select("doc_id", "fp"), ["doc_id", "fp"], "left_semi")
+    chosen = chosen.mapInPandas(measures, "doc_id long, fp string, good boolean, any boolean, x array<double>")
+    rows = chosen.groupBy("doc_id", "fp").agg(*[F.first(c).alias(c) for c in ("good", "any", "x")]).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     part = lambda name: np.array([r["x"] for r in rows if r[name]], dtype=float)
     return part("good"), part("any")

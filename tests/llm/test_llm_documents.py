@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -220,6 +222,34 @@ def test_bpe_reuses_passages():
     assert len(set(one) & set(two)) > 0.8 * len(set(one))
 
 
+def test_bpe_refuses_other_tokenizers(spark, tmp_path):
+    import json
+
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="word by word"):
+        bpe.encode(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
+    told = json.loads(open(tokenizer_path(), encoding="utf-8").read())
+    for change in ({"decoder": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"pre_tokenizer": None}):
+        (tmp_path / "t.json").write_text(json.dumps(told | change))
+        with pytest.raises(ValueError, match="word by word"):
+            bpe.encode(docs, str(tmp_path / "t.json"))
+
+
+def test_bpe_words_are_forgotten_and_learned_again():
+    definition = open(tokenizer_path(), encoding="utf-8").read()
+    whole, small = bpe.Encoder(definition), bpe.Encoder(definition, remembered=3)
+    words = "Straße, don't İstanbul x1y2 (a) naïve! <|endoftext|> ... A b c; Été. ÿ× «q»".split()
+    raw = [w.encode() for w in words]
+    for at in range(len(raw)):
+        part = raw[at : at + 4]
+        assert small.words(part) == whole.words(part)
+    for word in words:
+        ids = whole.tokenizer.encode(word, add_special_tokens=False).ids
+        assert whole.known[word.encode()] == (np.array(ids, dtype="<u4").tobytes(), whole.tokenizer.decode(ids, skip_special_tokens=False))
+
+
 # --- licences ------------------------------------------------------------------------------------
 
 
@@ -234,6 +264,29 @@ def test_licences(spark, odd, none):
     assert licences.scan(odd).count() == odd.count() and licences.scan(none).collect() == []
 
 
+def wrapped(text, width):
+    """The text with other line breaks; paragraphs with a copyright line keep theirs."""
+    paragraphs = re.split(r"\n\s*\n", text)
+    own = re.compile(r"(?im)^\W*(copyright|\(c\)|©|portions)")
+    return "\n\n".join(p if own.search(p) else "\n".join(textwrap.wrap(p, width, break_long_words=False)) for p in paragraphs)
+
+
+def test_line_breaks_do_not_matter_and_sql_agrees(spark, tmp_path):
+    texts = sorted(set(licences.whole_texts()))
+    plain = [x for x in texts if not x[0].startswith("BSD")] + [x for x in texts if x[0].startswith("BSD")][::9]
+    rows = [(1000 * i + width, name, wrapped(text, width)) for i, (name, text) in enumerate(plain) for width in range(60, 101, 4)]
+    rows += [(-1 - i, None, head) for i, head in enumerate(["Copyright (c) Some Firm Inc.", "Copyright holders and contributors", "© X", None, ""])]
+    df = spark.createDataFrame(rows, "doc_id long, name string, text string").repartition(8)
+    got = {r.doc_id: r for r in licences.scan(df).collect()}
+    assert [(i, got[i].licence) for i, name, _ in rows if got[i].licence != name] == []
+    df.write.parquet(str(tmp_path / "d"))
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    cursor = duck.execute(licences.SQL)
+    names = [d[0] for d in cursor.description]
+    assert sorted(map(str, cursor.fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in got.values())
+
+
 def test_whole_licences_and_copyright_lines(spark):
     texts = dict(licences.whole_texts()[::-1])
     names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"]
