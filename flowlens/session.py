@@ -15,9 +15,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # HotSpot does not compile methods above this size: very wide steps run faster as split projections.
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    # Rows handed to Python at once; feature rows are narrow, capture files are not
-    # (the capture reader sets its own limit on the byte column).
+    # Rows handed to Python at once: many narrow ones, or few that hold whole texts.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20),
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),
