@@ -15,10 +15,8 @@ RANGES_PER_PARTITION, MOST_RANGES = 4, 4096
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Session settings: small Arrow batches, because one row holds a whole text."""
-    prepare(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    return spark
+    """Session settings. Arrow batches are bounded by bytes for all queries alike, because a row may hold a whole text."""
+    return prepare(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
