@@ -59,7 +59,7 @@ def run_stream(
     return for_each_epoch(build_flows_stream(packets, timeout, delay, decode), f"{out}/checkpoint", work, **trigger)
 
 
-def run_devices(logs: DataFrame, out: str, *, trees: int = 25, **trigger):
+def run_devices(logs: DataFrame, out: str, *, trees: int = 25, delay: str = state.DELAY, **trigger):
     """Score every log of a stream against its device's past: ``device_events`` and ``device_profiles`` grow below ``out``.
 
     Profiles are snapshots of the devices that an epoch saw; readers take the newest per device.
@@ -73,10 +73,10 @@ def run_devices(logs: DataFrame, out: str, *, trees: int = 25, **trigger):
         finally:
             scored.unpersist()
 
-    return for_each_epoch(state.device_anomaly_stream(logs, trees=trees), f"{out}/device_checkpoint", work, **trigger)
+    return for_each_epoch(state.device_anomaly_stream(logs, trees=trees, delay=delay), f"{out}/device_checkpoint", work, **trigger)
 
 
-def run_arp(replies: DataFrame, out: str, **trigger):
+def run_arp(replies: DataFrame, out: str, *, delay: str = state.DELAY, **trigger):
     """ARP conflicts of a stream: ``arp_logs`` and ``arp_events`` grow below ``out``."""
 
     def work(conflicts: DataFrame, epoch: int) -> None:
@@ -87,17 +87,18 @@ def run_arp(replies: DataFrame, out: str, **trigger):
         finally:
             conflicts.unpersist()
 
-    return for_each_epoch(state.arp_conflicts_stream(replies), f"{out}/arp_checkpoint", work, **trigger)
+    return for_each_epoch(state.arp_conflicts_stream(replies, delay), f"{out}/arp_checkpoint", work, **trigger)
 
 
-def run_alerts(events: DataFrame, out: str, *, seconds: float = 2.0, **trigger) -> list:
+def run_alerts(events: DataFrame, out: str, *, seconds: float = 2.0, delay: str = state.DELAY, **trigger) -> list:
     """Events of all detectors to alerts and notifications, both below ``out``.
 
     ``alert_changes`` holds every change of an alert (`state.present_incidents` gives their present form, fit for the
-    alerts table through `alerts.alert_rows`), ``notifications`` the events that are sent out.
+    alerts table through `alerts.alert_rows`), ``notifications`` the events that are sent out. ``delay`` has to cover
+    how far one detector lags behind another.
     """
-    changes = state.incidents_stream(state.event_timeline(events))
-    sent = state.rate_limit_stream(events, seconds)
+    changes = state.incidents_stream(state.event_timeline(events), delay)
+    sent = state.rate_limit_stream(events, seconds, delay=delay)
     return [
         for_each_epoch(changes, f"{out}/alerts_checkpoint", lambda df, epoch: write_epoch(df, f"{out}/alert_changes", epoch), **trigger),
         for_each_epoch(sent, f"{out}/notify_checkpoint", lambda df, epoch: write_epoch(df, f"{out}/notifications", epoch), **trigger),

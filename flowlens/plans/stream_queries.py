@@ -32,19 +32,40 @@ def drain(spark, stream, name):
 PARTS = 4
 
 
-def _stream(spark, sf):
-    """The events as a stream of several micro-batches: one after the other in time, their rows in any order."""
+#: Rows of the keyed streams arrive up to so many seconds late, so files overlap in time.
+LATE = 6 * 3600
+#: Nobody's events far behind all others: they only move the clock.
+CLOCK_USER, CLOCK_DAYS = 9_999, 3
+
+
+def _stream(spark, sf, late: int = 0):
+    """The events as a stream of several micro-batches, their rows in any order.
+
+    Rows arrive up to ``late`` seconds after their time. Then a last file moves the clock, with an event of each kind.
+    """
     events = A.table(spark, sf, "events")
     us = micros(F.col("ts"))
     low, high = events.agg(F.min(us), F.max(us)).head()
     out = shared_dir(spark, "events")
-    step = ((high or 0) - (low or 0)) // PARTS + 1
+    step = ((high or 0) - (low or 0) + late * 1_000_000) // PARTS + 1
+    arrival = us - F.lit(low) + F.pmod(F.xxhash64("event_id"), F.lit(max(1, late * 1_000_000)))
     for i in range(PARTS):
-        part = events.where(F.floor((us - F.lit(low)) / F.lit(step)) == i)
+        part = events.where(F.floor(arrival / F.lit(step)) == i)
         part.sortWithinPartitions(F.xxhash64("event_id")).write.mode("append").parquet(out)
+    if late:
+        kinds = events.groupBy("event_type").agg(F.max("event_id").alias("event_id"), F.first("value").alias("value"), F.first("props").alias("props"))
+        last = F.timestamp_micros(F.lit((high or 0) + CLOCK_DAYS * 86_400_000_000)).cast(events.schema["ts"].dataType)
+        clock = kinds.withColumn("ts", last).withColumn("user_id", F.lit(CLOCK_USER).cast("long"))
+        clock.select(*[F.col(f.name).cast(f.dataType) for f in events.schema]).coalesce(1).write.mode("append").parquet(out)
     return stream_table(spark, out, events.schema, files_per_trigger=1)
 
 
+def _told(rows, key):
+    """The rows of others than the clock."""
+    return rows.where(F.col(key) != A.host_ip(F.lit(CLOCK_USER)))
+
+
+_DELAY = f"{LATE} seconds"
 _DELAY_MS = 60_000
 _CLOSED = f"last_us + {P._GAP}000000 - 1 <= ((SELECT max(us) FROM packets) // 1000 - {_DELAY_MS}) * 1000"
 
@@ -59,8 +80,8 @@ def stream_flows(spark, sf):
 
 @query("stream_incidents", P.ALERT_INCIDENTS_SQL)
 def stream_incidents(spark, sf):
-    rows = state.timeline(A.alert_events_of(_stream(spark, sf)), A.alert_actions_of(_stream(spark, sf)))
-    changes = drain(spark, state.incidents_stream(rows), "stream-incidents")
+    rows = state.timeline(A.alert_events_of(_stream(spark, sf, LATE)), A.alert_actions_of(_stream(spark, sf, LATE)))
+    changes = _told(drain(spark, state.incidents_stream(rows, _DELAY), "stream-incidents"), "device")
     out = state.present_incidents(changes).drop("notes", "log_id", "device_id")
     return out.withColumn("alert_time", iso_text(F.col("alert_time"))).withColumn("last_seen", iso_text(F.col("last_seen")))
 
@@ -69,40 +90,41 @@ def stream_incidents(spark, sf):
 def stream_alerts(spark, sf):
     """Two detectors to stored events, and these to alerts with notes and logs, micro-batch by micro-batch."""
     out = shared_dir(spark, "stream-alerts")
-    events = P.explained(A.alert_events_of(_stream(spark, sf)))
+    events = P.explained(A.alert_events_of(_stream(spark, sf, LATE)))
     with state_partitions(spark, spark.sparkContext.defaultParallelism):
         detectors = [
-            live.run_arp(A.arp_replies_of(_stream(spark, sf)), out, availableNow=True),
+            live.run_arp(A.arp_replies_of(_stream(spark, sf, LATE)), out, delay=_DELAY, availableNow=True),
             to_folder(events, f"{out}/alert_events", f"{out}/events_checkpoint"),
         ]
         for running in detectors:
             running.awaitTermination()
-        stored = live.stored_events(spark, out, ("alert_events", "arp_events"), maxFilesPerTrigger=64)
-        for running in live.run_alerts(stored, out, availableNow=True):
+        # Both detectors are read to their ends at once, as neither waits for the other.
+        stored = live.stored_events(spark, out, ("alert_events", "arp_events"))
+        for running in live.run_alerts(stored, out, delay=_DELAY, availableNow=True):
             running.awaitTermination()
-    changes = spark.read.parquet(f"{out}/alert_changes")
+    changes = _told(spark.read.parquet(f"{out}/alert_changes"), "device")
     return P.alert_columns(al.alert_rows(state.present_incidents(changes)))
 
 
 @query("stream_notifications", P.NOTIFICATION_SQL)
 def stream_notifications(spark, sf):
-    events = A.alert_events_of(_stream(spark, sf))
-    sent = state.rate_limit_stream(events, P.NOTIFY_SECONDS, ["threat_level", "device"])
-    out = drain(spark, sent, "stream-notifications")
+    events = A.alert_events_of(_stream(spark, sf, LATE))
+    sent = state.rate_limit_stream(events, P.NOTIFY_SECONDS, ["threat_level", "device"], _DELAY)
+    out = _told(drain(spark, sent, "stream-notifications"), "device")
     return out.select("threat_level", "device", iso_text(F.timestamp_micros("us")).alias("ts"), "id")
 
 
 @query("stream_device_anomaly", P.DEVICE_ANOMALY_SQL)
 def stream_device_anomaly(spark, sf):
-    logs = P.loud(A.logs_of(_stream(spark, sf))).withColumn("packet_count", F.col("src_pkts") + F.col("dest_pkts"))
-    out = drain(spark, state.device_anomaly_stream(logs), "stream-anomaly")
+    logs = P.loud(A.logs_of(_stream(spark, sf, LATE))).withColumn("packet_count", F.col("src_pkts") + F.col("dest_pkts"))
+    out = _told(drain(spark, state.device_anomaly_stream(logs, delay=_DELAY), "stream-anomaly"), "src_ip")
     return out.select("id", "src_ip", "sample_no", "score", "is_anomalous", "status", "threat_level", "reason")
 
 
 @query("stream_drift")
 def stream_drift(spark, sf):
-    rows = P.shifting_errors_of(A.predictions_of(_stream(spark, sf)))
-    out = drain(spark, state.drift_stream(rows, "stream", "ts", F.col("wrong"), block_us=P.HOUR), "stream-drift")
+    rows = P.shifting_errors_of(A.predictions_of(_stream(spark, sf, LATE)))
+    out = drain(spark, state.drift_stream(rows, "stream", "ts", F.col("wrong"), block_us=P.HOUR, delay_seconds=LATE), "stream-drift")
     return out.withColumn("timestamp", iso_text(F.col("timestamp")))
 
 

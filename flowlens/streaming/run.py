@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from ..session import shared_dir
 from ..sinks.tables import write_epoch
@@ -42,6 +43,20 @@ def drain(spark: SparkSession, stream: DataFrame, name: str, partitions: int | N
     return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{out}/data")
 
 
+def late_rows(running: StreamingQuery) -> list[tuple[int, int]]:
+    """Epochs of a stream in which rows came later than the watermark allows, and how many were dropped in each.
+
+    Covers what Spark remembers of a running stream (``spark.sql.streaming.numRecentProgressUpdates`` epochs). Rows that are
+    summed up before the state, as packets of a flow are, count as one.
+    """
+    found = []
+    for progress in running.recentProgress:
+        dropped = sum(op["numRowsDroppedByWatermark"] for op in progress["stateOperators"])
+        if dropped:
+            found.append((progress["batchId"], dropped))
+    return found
+
+
 def for_each_epoch(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None], **trigger):
     return (
         stream.writeStream.outputMode("append")

@@ -1,15 +1,17 @@
-"""Keyed state: alert incidents, notification limit, device anomaly, drift.
+"""Keyed state in event time: alert incidents, ARP, notification limit, device anomaly, drift.
 
-One small state per key. Rows of a key are put in time order within a micro-batch; between
-micro-batches the order is that of arrival. A state that is not touched for ``ttl_hours`` may be
-dropped (this bounds the number of devices and signatures kept). A state that expires needs the clock,
-so Spark keeps starting micro-batches for it: use ``ttl_hours`` with a running trigger only, never with
-``availableNow``, which would not come to an end.
+Rows wait per key until the watermark has passed them, and then go through the rule of the key in the order of their
+times, whatever the micro-batches were. So a stream gives what the batch form gives, as long as no row is later than the
+``delay``; later ones are dropped and counted by Spark (`run.late_rows`). What waits is bounded by the delay and not by the
+size of a micro-batch; frames of rows are put away one by one. The end of the data within the delay is kept back until
+later rows move the clock.
+
+The state of a key is one typed cell. With ``idle_hours`` it is dropped when the key had no rows for that long in event
+time; this bounds the number of devices and signatures kept.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,41 +25,109 @@ from ..functions.values import micros
 from ..operators import anomaly, drift
 from ..operators.alerts import NOTIFY_KEY, SIGNATURE
 
-HOUR_MS = 3_600_000
+HOUR_US = 3_600_000_000
+DELAY = "1 minute"
+#: Times beyond these (about the year 2255) count as these for the watermark, as pandas knows none far beyond.
+LAST_US = 9_000_000_000_000_000
+#: Rows per frame that is handed back to Spark.
+FRAME = 10_000
+_PLAIN = {"long": int, "int": int, "double": float, "boolean": bool, "string": str, "binary": bytes}
+
+
+def _fields(schema: str) -> list[tuple[str, str]]:
+    return [tuple(part.split(" ", 1)) for part in schema.split(", ")]
+
+
+def _names(schema: str) -> list[str]:
+    return [name for name, _ in _fields(schema)]
 
 
 class _Keyed(StatefulProcessor):
-    """A processor whose state is one JSON text, plain Python in between."""
+    """Rows of a key in event time. A subclass says what waits (``row``: ``us`` and the order first), what is kept
+    (``kept``) and what a row does (``step``)."""
 
-    empty: dict = {}
+    row: str
+    kept: str
+    order: int = 2  # the first columns of a row that give its place
 
-    def __init__(self, columns: list[str], ttl_hours: float | None = None):
-        self.columns, self.ttl_hours = columns, ttl_hours
+    def __init__(self, columns: list[str], idle_hours: float | None = None):
+        self.columns, self.idle = columns, round(idle_hours * HOUR_US) if idle_hours else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = int(self.ttl_hours * HOUR_MS) if self.ttl_hours else None
-        self._cell = handle.getValueState("state", "json string", ttl)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row)
+        self.cell = handle.getValueState("kept", "last_us long, " + self.kept)
+        self.plain = [(name, _PLAIN[kind]) for name, kind in _fields(self.row)]
 
-    def step(self, key: tuple, rows: pd.DataFrame, state: dict) -> list[tuple]:
+    def start(self) -> dict:
         raise NotImplementedError
 
+    def step(self, key: tuple, rows: list[tuple], state: dict) -> Iterator[tuple]:
+        """What the rows, in order, give; changes the state."""
+        raise NotImplementedError
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(us // 1000 + 1)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = json.loads(self._cell.get()[0]) if self._cell.exists() else dict(self.empty)
-        out = self.step(key, pd.concat(list(rows), ignore_index=True), state)
-        self._cell.update((json.dumps(state),))
-        yield pd.DataFrame(out, columns=self.columns)
+        first = None
+        for frame in rows:
+            columns = [[None if pd.isna(x) else plain(x) for x in frame[name]] for name, plain in self.plain]
+            self.waiting.appendList(list(zip(*columns)))
+            first = min(columns[0]) if first is None else min(first, *columns[0])
+        if first is not None:
+            self._wake(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        due, rest = [], []
+        for row in self.waiting.get():
+            (due if row[0] <= now else rest).append(tuple(row))
+        if due:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+            if rest:
+                self._wake(min(r[0] for r in rest))
+            due.sort(key=lambda r: tuple((x is not None, x) for x in r[: self.order]))
+            names = ["last_us", *_names(self.kept)]
+            state = dict(zip(names, self.cell.get())) if self.cell.exists() else {"last_us": None} | self.start()
+            out = []
+            for rows in self._awake(due, state):
+                for line in self.step(key, rows, state):
+                    out.append(line)
+                    if len(out) == FRAME:
+                        yield pd.DataFrame(out, columns=self.columns)
+                        out = []
+            self.cell.update(tuple(state[n] for n in names))
+            if self.idle:
+                self._wake(state["last_us"] + self.idle)
+            if out:
+                yield pd.DataFrame(out, columns=self.columns)
+        elif self.idle and self.cell.exists():
+            over = self.cell.get()[0] + self.idle
+            if over <= now and all(r[0] > over for r in rest):
+                self.cell.clear()
+
+    def _awake(self, rows: list[tuple], state: dict) -> Iterator[list[tuple]]:
+        """The rows in stretches between which the key was idle for too long; the state starts anew after such a pause."""
+        times = [state["last_us"], *[r[0] for r in rows]]
+        turns = [i for i in range(len(rows)) if self.idle and times[i] is not None and times[i + 1] - times[i] > self.idle]
+        for a, b in zip([0, *turns], [*turns, len(rows)]):
+            if a in turns:
+                state |= self.start()
+            if b > a:
+                state["last_us"] = rows[b - 1][0]
+                yield rows[a:b]
 
     def close(self) -> None:
         pass
 
 
-def _run(df: DataFrame, keys: list[str], processor: _Keyed, schema: str) -> DataFrame:
-    time_mode = "ProcessingTime" if processor.ttl_hours else "None"
-    return df.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", time_mode)
-
-
-def _names(schema: str) -> list[str]:
-    return [part.split()[0] for part in schema.split(", ")]
+def _run(df: DataFrame, keys: list[str], processor: _Keyed, schema: str, delay: str) -> DataFrame:
+    """``us`` is the event time of the rows; rows without one take no part."""
+    within = F.least(F.greatest("us", F.lit(-LAST_US)), F.lit(LAST_US))
+    timed = df.where("us is not null").withColumn("__ts", F.timestamp_micros(within)).withWatermark("__ts", delay)
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 # --- alert incidents ----------------------------------------------------------------------------
@@ -69,47 +139,47 @@ _INCIDENT = (
 
 
 class Incidents(_Keyed):
-    empty = {"incident": 0, "open": None, "version": 0}
+    row = "us long, kind long, id long, action string, is_simulated boolean, notes string, log_id long"
+    order = 3
+    kept = "incident long, version long, alert_id long, first long, last long, n long, status string, sim boolean, note string, log long"
+
+    def start(self):
+        return dict.fromkeys(_names(self.kept)) | {"incident": 0, "version": 0}
 
     def step(self, key, rows, state):
-        rows = rows.sort_values(["us", "kind", "id"])
+        """``alert_id`` is null while no alert is open. Every alert that changed is given once."""
         changed = {}
-        columns = ["us", "kind", "id", "action", "is_simulated", "notes", "log_id"]
-        for us, kind, ident, action, sim, note, log in rows[columns].itertuples(index=False):
-            alert, log = state["open"], None if pd.isna(log) else int(log)
-            if kind == 0 and alert is None:
-                alert = state["open"] = {"id": int(ident), "first": int(us), "last": int(us), "n": 1, "status": "New", "sim": bool(sim)}
-                alert |= {"note": note, "log": log}
+
+        def change():
+            body = [state[c] for c in ("alert_id", "first", "last", "n", "status", "sim", "note", "log")]
+            changed[state["incident"]] = (*key, state["incident"], *body, state["version"])
+
+        state["version"] += 1
+        for us, kind, ident, action, sim, note, log in rows:
+            if kind == 0 and state["alert_id"] is None:
+                state |= {"alert_id": ident, "first": us, "last": us, "n": 1, "status": "New", "sim": bool(sim), "note": note, "log": log}
             elif kind == 0:
-                alert["n"] += 1
-                alert["last"] = max(alert["last"], int(us))
-                alert["sim"] |= bool(sim)
-                alert["log"] = alert["log"] if log is None else log
-                if alert["status"] == "New":
-                    alert["status"] = "Active"
-            elif action == "acknowledge" and alert is not None:
-                alert["status"] = "Acknowledged"
+                state |= {"n": state["n"] + 1, "last": max(state["last"], us), "sim": state["sim"] or bool(sim)}
+                state["log"] = state["log"] if log is None else log
+                if state["status"] == "New":
+                    state["status"] = "Active"
+            elif action == "acknowledge" and state["alert_id"] is not None:
+                state["status"] = "Acknowledged"
             elif action == "resolve":
-                if alert is not None:
-                    alert["status"] = "Resolved"
-                    changed[state["incident"]] = alert
-                state["incident"] += 1
-                state["open"] = None
-                continue
-            if alert is not None:
-                changed[state["incident"]] = alert
-        state["version"] += 1
-        return [
-            (*key, number, a["id"], a["first"], a["last"], a["n"], a["status"], a["sim"], a["note"], a["log"], state["version"])
-            for number, a in changed.items()
-        ]
+                if state["alert_id"] is not None:
+                    state["status"] = "Resolved"
+                    change()
+                state |= {"incident": state["incident"] + 1, "alert_id": None}
+            if state["alert_id"] is not None:
+                change()
+        yield from changed.values()
 
 
 def timeline(events: DataFrame, actions: DataFrame) -> DataFrame:
     """Events and actions of one stream, ready for ``incidents_stream``."""
     return event_timeline(events).unionByName(
         actions.select(
-            *SIGNATURE, "id", micros(F.col("ts")).alias("us"), F.lit(1).alias("kind"), "action", F.lit(False).alias("is_simulated"),
+            *SIGNATURE, "id", micros(F.col("ts")).alias("us"), F.lit(1).cast("long").alias("kind"), "action", F.lit(False).alias("is_simulated"),
             F.lit(None).cast("string").alias("notes"), F.lit(None).cast("long").alias("log_id"),
         )
     )
@@ -122,14 +192,17 @@ def event_timeline(events: DataFrame) -> DataFrame:
         return F.col(name) if name in events.columns else F.lit(None).cast(kind).alias(name)
 
     return events.select(
-        *SIGNATURE, "id", micros(F.col("ts")).alias("us"), F.lit(0).alias("kind"), F.lit("").alias("action"), "is_simulated",
+        *SIGNATURE, "id", micros(F.col("ts")).alias("us"), F.lit(0).cast("long").alias("kind"), F.lit("").alias("action"), "is_simulated",
         extra("notes", "string"), extra("log_id", "long"),
     )
 
 
-def incidents_stream(rows: DataFrame, ttl_hours: float | None = None) -> DataFrame:
-    """Changed alerts per micro-batch; the highest ``version`` of an incident is its present form."""
-    return _run(rows, SIGNATURE, Incidents(_names(_INCIDENT), ttl_hours), _INCIDENT)
+def incidents_stream(rows: DataFrame, delay: str = DELAY) -> DataFrame:
+    """Changed alerts as the watermark goes on; the highest ``version`` of an incident is its present form.
+
+    Signatures are kept for good, as alerts stay open until they are resolved and incidents are numbered on.
+    """
+    return _run(rows, SIGNATURE, Incidents(_names(_INCIDENT)), _INCIDENT, delay)
 
 
 def present_incidents(changes: DataFrame) -> DataFrame:
@@ -158,21 +231,23 @@ _CONFLICT = "ip string, id long, us long, old_mac string, new_mac string"
 
 
 class FirstMac(_Keyed):
-    empty = {"mac": None}
+    row, kept = "us long, id long, mac string", "mac string"
+
+    def start(self):
+        return {"mac": None}
 
     def step(self, key, rows, state):
-        out = []
-        for us, ident, mac in rows.sort_values(["us", "id"])[["us", "id", "mac"]].itertuples(index=False):
+        for us, ident, mac in rows:
             state["mac"] = state["mac"] or mac
             if mac != state["mac"]:
-                out.append((*key, int(ident), int(us), state["mac"], mac))
-        return out
+                yield (*key, ident, us, state["mac"], mac)
 
 
-def arp_conflicts_stream(replies: DataFrame, ttl_hours: float | None = None) -> DataFrame:
+def arp_conflicts_stream(replies: DataFrame, delay: str = DELAY, idle_hours: float | None = None) -> DataFrame:
     """Replies whose MAC is not the first one seen for their address, as in the batch form."""
     answers = replies.where((F.col("op") == 2) & F.col("ip").isNotNull() & F.col("mac").isNotNull())
-    found = _run(answers.select("ip", "id", micros(F.col("ts")).alias("us"), "mac"), ["ip"], FirstMac(_names(_CONFLICT), ttl_hours), _CONFLICT)
+    rows = answers.select("ip", "id", micros(F.col("ts")).alias("us"), "mac")
+    found = _run(rows, ["ip"], FirstMac(_names(_CONFLICT), idle_hours), _CONFLICT, delay)
     return found.select("id", F.timestamp_micros("us").alias("ts"), "ip", "old_mac", "new_mac")
 
 
@@ -180,28 +255,30 @@ def arp_conflicts_stream(replies: DataFrame, ttl_hours: float | None = None) ->
 
 
 class NotificationLimit(_Keyed):
-    empty = {"sent": None}
+    row, kept = "us long, id long", "sent long"
 
-    def __init__(self, columns, gap_us: int, ttl_hours=None):
-        super().__init__(columns, ttl_hours)
+    def __init__(self, columns, gap_us: int, idle_hours=None):
+        super().__init__(columns, idle_hours)
         self.gap_us = gap_us
 
+    def start(self):
+        return {"sent": None}
+
     def step(self, key, rows, state):
-        rows = rows.sort_values(["us", "id"])
-        out = []
-        for us, ident in rows[["us", "id"]].itertuples(index=False):
+        for us, ident in rows:
             if state["sent"] is None or us - state["sent"] >= self.gap_us:
-                state["sent"] = int(us)
-                out.append((*key, int(us), int(ident)))
-        return out
+                state["sent"] = us
+                yield (*key, us, ident)
 
 
-def rate_limit_stream(events: DataFrame, seconds: float = 2.0, keys: list[str] | None = None, ttl_hours: float | None = None) -> DataFrame:
+def rate_limit_stream(
+    events: DataFrame, seconds: float = 2.0, keys: list[str] | None = None, delay: str = DELAY, idle_hours: float | None = None
+) -> DataFrame:
     keys = keys or NOTIFY_KEY
     rows = events.select(*keys, micros(F.col("ts")).alias("us"), "id")
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "us long", "id long"])
-    return _run(rows, keys, NotificationLimit(_names(schema), round(seconds * 1e6), ttl_hours), schema)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "us long, id long"])
+    return _run(rows, keys, NotificationLimit(_names(schema), round(seconds * 1e6), idle_hours), schema, delay)
 
 
 # --- device anomaly -----------------------------------------------------------------------------
@@ -212,36 +289,40 @@ _SCORED = (
 
 
 class DeviceScores(_Keyed):
-    empty = {"n": 0, "block": [], "reference": []}
+    row = "us long, id long, total_bytes long, duration double, protocol string, leaf binary"
+    kept = "n long, block array<binary>, reference array<binary>"
 
-    def __init__(self, columns, forest: anomaly.Forest, ttl_hours=None):
-        super().__init__(columns, ttl_hours)
+    def __init__(self, columns, forest: anomaly.Forest, idle_hours=None):
+        super().__init__(columns, idle_hours)
         self.forest = forest
 
+    def start(self):
+        return {"n": 0, "block": [], "reference": []}
+
     def step(self, key, rows, state):
-        rows = rows.sort_values(["us", "id"]).reset_index(drop=True)
-        leaves = [b.hex() for b in rows["leaf"]]
-        scores, at = [], 0
-        while at < len(leaves):
-            part = leaves[at : at + self.forest.window - len(state["block"])]
-            fresh = anomaly.unpack([bytes.fromhex(x) for x in part])
-            if state["reference"]:
-                scores.extend(self.forest.scores(fresh, anomaly.unpack([bytes.fromhex(x) for x in state["reference"]])))
+        """Block after block: a window of flows is scored against the window before it."""
+        block, reference, at = [bytes(x) for x in state["block"]], [bytes(x) for x in state["reference"]], 0
+        while at < len(rows):
+            part = rows[at : at + self.forest.window - len(block)]
+            leaves = [r[-1] for r in part]
+            if reference:
+                scores = self.forest.scores(anomaly.unpack(leaves), anomaly.unpack(reference))
             else:
-                scores.extend(np.zeros(len(part)))
-            state["block"] = state["block"] + part
-            if len(state["block"]) == self.forest.window:
-                state["reference"], state["block"] = state["block"], []
+                scores = np.zeros(len(part))
+            for row, score in zip(part, scores):
+                state["n"] += 1
+                us, ident, *shown = row[:-1]
+                yield (*key, ident, us, *shown, state["n"], float(score))
+            block += leaves
+            if len(block) == self.forest.window:
+                reference, block = block, []
             at += len(part)
-        first = state["n"] + 1
-        state["n"] += len(leaves)
-        columns = rows[["id", "us", "total_bytes", "duration", "protocol"]].itertuples(index=False)
-        return [(*key, *row, first + i, float(scores[i])) for i, row in enumerate(columns)]
+        state |= {"block": block, "reference": reference}
 
 
 def device_anomaly_stream(
     flows: DataFrame, *, trees: int = 25, height: int = 8, window: int = 20, seed: int = 42,
-    threshold: float = anomaly.THRESHOLD, ttl_hours: float | None = None,
+    threshold: float = anomaly.THRESHOLD, delay: str = DELAY, idle_hours: float | None = None,
 ) -> DataFrame:
     """Same scores as the batch form, flow by flow."""
     forest = anomaly.build_forest(trees, height, window, seed)
@@ -255,7 +336,7 @@ def device_anomaly_stream(
         "protocol",
         anomaly.leaf_bytes(forest)(*features).alias("leaf"),
     )
-    scored = _run(rows, ["src_ip"], DeviceScores(_names(_SCORED), forest, ttl_hours), _SCORED)
+    scored = _run(rows, ["src_ip"], DeviceScores(_names(_SCORED), forest, idle_hours), _SCORED, delay)
     return anomaly.judge(scored.withColumn("timestamp", F.timestamp_micros("us")), threshold, window)
 
 
@@ -263,32 +344,35 @@ def device_anomaly_stream(
 
 
 class DriftState(_Keyed):
-    empty = {"buckets": [], "block": None, "n": 0, "errors": 0, "seen": 0, "wrong": 0}
+    row = "us long, block long, n long, wrong long"
+    kept = "levels array<long>, sizes array<long>, errors array<long>, seen long, wrong long"
 
-    def __init__(self, columns, delta: float, ttl_hours=None):
-        super().__init__(columns, ttl_hours)
+    def __init__(self, columns, delta: float, idle_hours=None):
+        super().__init__(columns, idle_hours)
         self.delta = delta
 
+    def start(self):
+        return {"levels": [], "sizes": [], "errors": [], "seen": 0, "wrong": 0}
+
     def step(self, key, rows, state):
-        sums = rows.groupby("block")[["n", "wrong"]].sum().sort_index()
-        window, out = drift.AdaptiveWindow(self.delta, buckets=state["buckets"]), []
-        for block, n, errors in sums.itertuples():
-            if state["block"] is not None and block != state["block"]:
-                # The block before is complete: test it.
-                state["seen"] += state["n"]
-                state["wrong"] += state["errors"]
-                if window.add(state["n"], state["errors"]):
-                    accuracy = 1 - state["wrong"] / state["seen"]
-                    out.append((*key, state["block"], state["seen"], accuracy, window.size, window.errors / window.size))
-                state["n"] = state["errors"] = 0
-            state["block"] = int(block)
-            state["n"] += int(n)
-            state["errors"] += int(errors)
-        state["buckets"] = window.buckets
-        return out
-
-
-def drift_stream(rows: DataFrame, key: str, ts: str, error, *, block_us: int = 300_000_000, delta: float = drift.DELTA, ttl_hours: float | None = None) -> DataFrame:
+        """The rows of a block come together, as the block is over when they are due."""
+        window = drift.AdaptiveWindow(self.delta, buckets=[list(b) for b in zip(state["levels"], state["sizes"], state["errors"])])
+        sums: dict[int, list[int]] = {}
+        for _, block, n, wrong in rows:
+            both = sums.setdefault(block, [0, 0])
+            both[0], both[1] = both[0] + n, both[1] + wrong
+        for block, (n, wrong) in sums.items():
+            state["seen"], state["wrong"] = state["seen"] + n, state["wrong"] + wrong
+            if window.add(n, wrong):
+                yield (*key, block, state["seen"], 1 - state["wrong"] / state["seen"], window.size, window.errors / window.size)
+        levels, sizes, errors = zip(*window.buckets) if window.buckets else ((), (), ())
+        state |= {"levels": [int(x) for x in levels], "sizes": [int(x) for x in sizes], "errors": [int(x) for x in errors]}
+
+
+def drift_stream(
+    rows: DataFrame, key: str, ts: str, error, *, block_us: int = 300_000_000, delta: float = drift.DELTA, delay_seconds: float = 60.0,
+    idle_hours: float | None = None,
+) -> DataFrame:
     """Cuts of the adaptive window as blocks of time complete. Rows become sums per block before they are shuffled."""
     blocks = rows.select(key, F.floor(micros(F.col(ts)) / F.lit(block_us)).alias("block"), error.cast("int").alias("wrong"))
     key_type = blocks.schema[key].dataType.simpleString()
@@ -299,7 +383,10 @@ def drift_stream(rows: DataFrame, key: str, ts: str, error, *, block_us: int = 3
 
     blocks = blocks.mapInPandas(summed, f"{key} {key_type}, block long, n long, wrong long")
     schema = f"{key} {key_type}, block long, samples_processed long, accuracy double, width long, estimation double"
-    found = _run(blocks, [key], DriftState(_names(schema), delta, ttl_hours), schema)
+    # The sums of a block bear the time of its end, which is up to a block ahead of their rows.
+    blocks = blocks.withColumn("us", (F.col("block") + 1) * F.lit(block_us) - 1)
+    delay = f"{round(delay_seconds * 1000) + block_us // 1000} milliseconds"
+    found = _run(blocks, [key], DriftState(_names(schema), delta, idle_hours), schema, delay)
     return found.select(
         key,
         F.timestamp_micros((F.col("block") + 1) * F.lit(block_us)).alias("timestamp"),

@@ -9,7 +9,7 @@ from flowlens.operators import alerts as al
 from flowlens.operators import arp
 from flowlens.operators.ordering import in_parts
 from flowlens.streaming import state
-from flowlens.streaming.run import drain, state_partitions
+from flowlens.streaming.run import drain, late_rows, state_partitions, to_folder
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 EVENT = (
@@ -27,6 +27,11 @@ def event(i, t, device="d", level="High", sim=False):
     return (i, at(t), level, "flow_classification", device, device, "x", "TCP", sim)
 
 
+def close_with(spark, rows, schema, path):
+    """A last file whose rows move the clock beyond all others."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
 def action(i, t, what, device="d", level="High"):
     return (i, at(t), level, "flow_classification", device, what)
 
@@ -92,12 +97,13 @@ def test_incident_stream_equals_batch(spark, tmp_path):
     events, actions = random_line(4, n=600)
     rows = state.timeline(spark.createDataFrame(events, EVENT), spark.createDataFrame(actions, ACTION))
     lines = rows.collect()
-    lines.sort(key=lambda r: (r.us, r.kind, r.id))
+    random.Random(5).shuffle(lines)  # files overlap in time wholly
     schema = rows.schema
     for n in range(3):
         spark.createDataFrame(lines[n * 200 : (n + 1) * 200], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    close_with(spark, [(*lines[0][:2], "clock", 10**9, 10**17, *lines[0][5:])], schema, f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    changes = drain(spark, state.incidents_stream(stream), "incidents")
+    changes = drain(spark, state.incidents_stream(stream, "30 days"), "incidents").where("device <> 'clock'")
     assert shown(state.present_incidents(changes)) == walk(events, actions)
 
 
@@ -158,13 +164,30 @@ def test_rate_limit_keeps_null_keys(spark):
 
 def test_rate_limit_stream(spark, tmp_path):
     rng = random.Random(9)
-    rows = sorted((event(i, rng.random() * 100, rng.choice("ab")) for i in range(300)), key=lambda r: r[1])
+    rows = [event(i, rng.random() * 100, rng.choice("ab")) for i in range(300)]
     schema = spark.createDataFrame(rows[:1], EVENT).schema
     for n in range(3):
         spark.createDataFrame(rows[n * 100 : (n + 1) * 100], EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    close_with(spark, [event(9999, 10**6, "clock")], EVENT, f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    sent = drain(spark, state.rate_limit_stream(stream, 2.0, delay="2 minutes"), "sent")
+    assert sorted(r.id for r in sent.collect() if r.src_ip != "clock") == greedy(rows, 2.0)
+
+
+def test_late_rows_are_dropped_and_counted_and_idle_keys_forgotten(spark, tmp_path):
+    """A row later than the delay changes nothing; a key that was idle for an hour starts anew."""
+    batches = [[event(1, 0.0, "a"), event(2, 100.0, "b")], [event(3, 200.0, "b")], [event(4, 1.0, "a"), event(5, 9000.0, "b")], [event(6, 9001.0, "a")]]
+    for rows in [*batches, [event(7, 10**5, "clock")], [event(8, 10**6, "clock")]]:
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    schema = spark.createDataFrame(batches[0], EVENT).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    sent = drain(spark, state.rate_limit_stream(stream, 2.0), "sent")
-    assert sorted(r.id for r in sent.collect()) == greedy(rows, 2.0)
+    # The gap is longer than an hour, so only a forgotten key may send again.
+    sent = state.rate_limit_stream(stream, 1e5, delay="10 seconds", idle_hours=1.0)
+    running = to_folder(sent, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    running.awaitTermination()
+    assert sum(n for _, n in late_rows(running)) == 1
+    got = spark.read.parquet(f"{tmp_path}/out").where("src_ip <> 'clock'")
+    assert sorted((r.src_ip, r.id) for r in got.collect()) == [("a", 1), ("a", 6), ("b", 2), ("b", 5)]
 
 
 def test_arp_conflicts(spark):

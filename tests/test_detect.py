@@ -74,10 +74,12 @@ def test_scores_equal_plain_trees(spark):
 def test_score_stream_equals_batch(spark, tmp_path):
     rows = random_flows(300, 2)
     schema = spark.createDataFrame(rows[:1], FLOW).schema
-    for n in range(3):
-        spark.createDataFrame(rows[n * 100 : (n + 1) * 100], FLOW).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    mixed = random.Random(1).sample(rows, 300)  # files overlap in time
+    mixed.append([START + timedelta(days=900) if isinstance(v, datetime) else "clock" if n == "src_ip" else v for n, v in zip(schema.names, rows[0])])
+    for n in range(4):
+        spark.createDataFrame(mixed[n * 100 : (n + 1) * 100], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    got = drain(spark, state.device_anomaly_stream(stream), "scores")
+    got = drain(spark, state.device_anomaly_stream(stream, delay="30 days"), "scores").where("src_ip <> 'clock'")
     assert {r.id: r.score for r in got.collect()} == pytest.approx(plain_scores(rows, anomaly.build_forest()))
 
 
@@ -125,12 +127,13 @@ def test_drift_found_where_it_is(spark):
 def test_drift_stream_equals_batch(spark, tmp_path):
     rows = drift_rows(spark)
     batch = {(r.stream, r.timestamp, r.width) for r in drift.drift_points(rows, "stream", "ts", F.col("wrong"), block_us=32_000_000).collect()}
-    ordered = rows.collect()
-    for n in range(4):
-        part = ordered[n * 2000 : (n + 1) * 2000]
+    mixed = random.Random(1).sample(rows.collect(), 8000)  # files overlap in time, so blocks do
+    mixed.append(("clock", START + timedelta(days=900), False))
+    for n in range(5):
+        part = mixed[n * 2000 : (n + 1) * 2000]
         spark.createDataFrame(part, rows.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    got = drain(spark, state.drift_stream(stream, "stream", "ts", F.col("wrong"), block_us=32_000_000), "drift")
+    got = drain(spark, state.drift_stream(stream, "stream", "ts", F.col("wrong"), block_us=32_000_000, delay_seconds=86_400), "drift")
     assert {(r.stream, r.timestamp, r.width) for r in got.collect()} == batch
 
 

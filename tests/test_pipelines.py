@@ -198,8 +198,10 @@ def test_live_detectors_to_alerts(spark, tmp_path):
     out, at = str(tmp_path / "out"), START
     odd = [(i, at + timedelta(minutes=i), "10.0.0.1", 90_000_000 if i in (30, 35) else 100, 3000.0 if i in (30, 35) else 1.0, "TCP", 5) for i in range(40)]
     schema = "id long, timestamp timestamp, src_ip string, total_bytes long, duration double, protocol string, packet_count long"
+    odd.append((999, at + timedelta(days=30), "clock", 1, 1.0, "TCP", 5))  # moves the clock beyond all others
     spark.createDataFrame(odd, schema).write.parquet(str(tmp_path / "logs"))
     arp = [(i, at + timedelta(seconds=i), 2, "10.0.0.9", "aa" if i < 2 else "bb") for i in range(5)]
+    arp += [(90 + i, at + timedelta(days=30 * (1 + i // 2)), 2, "clock", mac) for i, mac in enumerate(["aa", "bb", "cc"])]
     spark.createDataFrame(arp, "id long, ts timestamp, op int, ip string, mac string").write.parquet(str(tmp_path / "arp"))
     read = lambda name: spark.readStream.schema(spark.read.parquet(str(tmp_path / name)).schema).parquet(str(tmp_path / name))
     live.run_devices(read("logs"), out, availableNow=True).awaitTermination()
@@ -210,7 +212,7 @@ def test_live_detectors_to_alerts(spark, tmp_path):
     alerts = {r.alert_type: r for r in al.alert_rows(state.present_incidents(spark.read.parquet(f"{out}/alert_changes"))).collect()}
     assert alerts["arp_spoofing"]["count"] == 3 and alerts["arp_spoofing"].traffic_log_id == 4 and alerts["arp_spoofing"].status == "Active"
     assert alerts["device_behaviour"].traffic_log_id in (30, 35) and "Device Behaviour Anomaly" in alerts["device_behaviour"].notes
-    assert spark.read.parquet(f"{out}/device_profiles").head().sample_count == 40
+    assert spark.read.parquet(f"{out}/device_profiles").where("device_ip = '10.0.0.1'").head().sample_count == 40
     assert spark.read.parquet(f"{out}/notifications").count() >= 2
 
 
