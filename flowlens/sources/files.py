@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.values import strip
 from ..operators.normalize import auto_mapping, normalize
 from ..schemas import CAPTURE_MAGIC, JSON_RECORD_KEYS
+from . import ranges
 
 ROW_ID = "__row_id"  # place in the read order; grows with file and line, stable when a task is redone
 
@@ -55,17 +56,20 @@ def _by_content(name: Column, head: Column) -> Column:
 
 
 def detect_formats(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, length, format)`` per file. Only files whose name does not decide are opened.
+    """``(path, length, format)`` per file. Only files whose name does not decide are opened, for their first 1024 bytes.
 
-    Spark lists no empty files, and opens files of up to 2 GiB here.
+    Spark lists no empty files.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = ranges.listed(spark, path)
     name = F.lower("path")
     named = files.select("path", "length", _by_name(name).alias("format")).where(F.col("format").isNotNull())
-    opened = files.where(_by_name(name).isNull()).select(
-        "path", "length", _by_content(name, F.substring("content", 1, 1024)).alias("format")
-    )
-    return named.unionByName(opened)
+    others = files.where(_by_name(name).isNull())
+    if ranges.can_open(files):
+        opened = ranges.heads(others, 1024)
+    else:
+        whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        opened = whole.where(_by_name(name).isNull()).withColumn("head", F.substring("content", 1, 1024))
+    return named.unionByName(opened.select("path", "length", _by_content(name, F.col("head")).alias("format")))
 
 
 def detect_format(spark: SparkSession, path: str) -> str:
@@ -77,9 +81,12 @@ def detect_format(spark: SparkSession, path: str) -> str:
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 per file, to find files that were imported before."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("file_hash"))
+    """SHA-256 per file of any size, to find files that were imported before."""
+    files = ranges.listed(spark, path)
+    if ranges.can_open(files):
+        return ranges.hashes(files)
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return whole.select("path", "length", F.sha2("content", 256).alias("file_hash"))
 
 
 def known_files(hashes: DataFrame, batches: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import struct
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import payloads
 from flowlens.operators.flows import build_flows
-from flowlens.sources import captures, files, indicators
+from flowlens.sources import captures, files, indicators, ranges
 from flowlens.sources.streams import replay
 
 AS_OF = "2024-01-31 00:00:00"
@@ -233,6 +234,49 @@ def test_capture_errors(spark, tmp_path):
     }
 
 
+def long_capture(kind):
+    """Packets whose payloads look like records, and one as long as many ranges."""
+    rng = random.Random(7)
+    fake = b"".join(struct.pack("<IIII", 1_700_000_000, i, 40, 40) + b"x" * 40 for i in range(20))
+    block = lambda number, body: struct.pack("<II", number, len(body) + 12) + body + struct.pack("<I", len(body) + 12)
+    bodies = [rng.randbytes(rng.randrange(300)) for _ in range(110)] + [fake, b"".join(block(6, b"y" * 28) for _ in range(20)), b"z" * 9000] * 2
+    rng.shuffle(bodies)
+    frames = [ether(0x0800, ip_packet("10.0.0.1", "10.0.0.2", 17, udp(i % 60000, 53, body))) for i, body in enumerate(bodies)]
+    if kind == "sections":  # interfaces of two sections, and packets without a time or an interface
+        simple = block(3, struct.pack("<I", 4) + b"abcd")
+        homeless = block(6, struct.pack("<IIIII", 9, 0, 0, 4, 4) + b"abcd")
+        raw = pcapng(frames[:60]) + simple + homeless
+        return raw + pcapng([])[:28] + block(1, struct.pack("<HHI", 1, 0, 0)) + block(1, struct.pack("<HHI", 0, 0, 0)) + pcapng(frames[60:])[48:] + simple
+    return {"pcap": pcap(frames), "big": pcap(frames, ">"), "nano": pcap(frames, nano=True), "ng": pcapng(frames), "cut": pcap(frames)[:-5], "broken": pcap(frames[:90]) + b"\xff" * 900}[kind]
+
+
+@pytest.mark.parametrize("kind", ["pcap", "big", "nano", "ng", "sections", "cut", "broken"])
+def test_captures_in_ranges(spark, tmp_path, kind):
+    """Equal rows and errors, whether a capture is read whole, as one range or as many."""
+    content = long_capture(kind)
+    path = put(tmp_path / "c", "a.pcap", content)
+    whole = spark.createDataFrame([(path, bytearray(content))], "path string, content binary")
+    want = sorted(map(str, captures.packets_of(whole).collect()))
+    errors = sorted(map(str, captures.errors_of(whole).collect()))
+    assert len(want) > 80
+    for size in (1 << 30, len(content) // 8 + 1):
+        assert sorted(map(str, captures.read_captures(spark, path, size).collect())) == want
+    assert sorted(map(str, captures.capture_errors(spark, path, size).collect())) == errors
+    assert captures.capture_ranges(spark, path, size).count() > 4
+
+
+def test_wrong_guesses_are_mended(spark, tmp_path):
+    """Ranges that begin among false records, which the chain of true ones corrects."""
+    content = long_capture("pcap")
+    false = content.index(b"x" * 40) - 16
+    path = put(tmp_path / "c", "a.pcap", content)
+    view = ranges.view_of(content)
+    assert captures.Capture(view).guess(false, false + 56) == false  # a guess that is wrong
+    whole = spark.createDataFrame([(path, bytearray(content))], "path string, content binary")
+    for size in (false, false + 56):
+        assert sorted(map(str, captures.read_captures(spark, path, size).collect())) == sorted(map(str, captures.packets_of(whole).collect()))
+
+
 def test_csv_line_break_in_quotes(spark, tmp_path):
     path = put(tmp_path, "a.csv", 'src,note\n1,"one\ntwo"\n2,three\n')
     assert rows(files.read_csv(spark, path)) == [{"src": "1", "note": "one\ntwo"}, {"src": "2", "note": "three"}]
