@@ -9,21 +9,20 @@ from ..functions import verdicts
 from ..functions.values import round_places
 
 
-def device_summary(scored: DataFrame, window: int = 20) -> DataFrame:
-    """One row per device: counts, averages, flows per protocol, first and last seen, last score.
+def device_sums(scored: DataFrame) -> DataFrame:
+    """What a profile is made of, one row per device; such rows of several epochs can be merged.
 
     Aggregated per (device, protocol) first, so the map of a device is built from a few rows.
     """
-    last = F.max(F.struct("timestamp", "id", "score", "is_anomalous"))
     per_protocol = scored.groupBy("src_ip", "protocol").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if("is_anomalous").alias("anomalies"),
         F.sum("total_bytes").alias("bytes"),
         F.sum("duration").alias("time"),
         F.min("timestamp").alias("first_seen"),
-        last.alias("last"),
+        F.max(F.struct("timestamp", "id", "score", "is_anomalous")).alias("last"),
     )
-    devices = per_protocol.groupBy("src_ip").agg(
+    return per_protocol.groupBy(F.col("src_ip").alias("device_ip")).agg(
         F.sum("n").alias("sample_count"),
         F.sum("anomalies").alias("anomaly_count"),
         F.sum("bytes").alias("total_bytes"),
@@ -32,10 +31,24 @@ def device_summary(scored: DataFrame, window: int = 20) -> DataFrame:
         F.min("first_seen").alias("first_seen"),
         F.max("last").alias("last"),
     )
+
+
+def merged_sums(parts: DataFrame) -> DataFrame:
+    """The sums of devices from those of several epochs."""
+    apart = parts.select(*[c for c in parts.columns if c != "protocols"], F.explode_outer("protocols").alias("protocol", "n"))
+    flows = apart.groupBy("device_ip", "protocol").agg(F.sum("n").alias("n")).where("n is not null")
+    maps = flows.groupBy("device_ip").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("protocol", "n")))).alias("protocols"))
+    sums = ["sample_count", "anomaly_count", "total_bytes", "total_duration"]
+    whole = parts.groupBy("device_ip").agg(*[F.sum(c).alias(c) for c in sums], F.min("first_seen").alias("first_seen"), F.max("last").alias("last"))
+    return whole.join(maps, "device_ip").select("device_ip", *sums, "protocols", "first_seen", "last")
+
+
+def profiles_of(sums: DataFrame, window: int = 20) -> DataFrame:
+    """Profiles from the sums of devices: counts, averages, flows per protocol, first and last seen, last score."""
     alert = F.col("last.is_anomalous")
     score = round_places(F.col("last.score"), 2)
-    return devices.select(
-        F.col("src_ip").alias("device_ip"),
+    return sums.select(
+        "device_ip",
         "first_seen",
         F.col("last.timestamp").alias("last_seen"),
         "sample_count",
@@ -52,6 +65,11 @@ def device_summary(scored: DataFrame, window: int = 20) -> DataFrame:
     )
 
 
+def device_summary(scored: DataFrame, window: int = 20) -> DataFrame:
+    """One row per device."""
+    return profiles_of(device_sums(scored), window)
+
+
 def recent_devices(profiles: DataFrame, n: int = 50) -> DataFrame:
     """The devices seen last."""
     return profiles.orderBy(F.col("last_seen").desc(), "device_ip").limit(n)

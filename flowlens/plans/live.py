@@ -62,14 +62,14 @@ def run_stream(
 def run_devices(logs: DataFrame, out: str, *, trees: int = 25, delay: str = state.DELAY, **trigger):
     """Score every log of a stream against its device's past: ``device_events`` and ``device_profiles`` grow below ``out``.
 
-    Profiles are snapshots of the devices that an epoch saw; readers take the newest per device.
+    `tables.read_devices` gives the present profiles.
     """
 
     def work(scored: DataFrame, epoch: int) -> None:
         scored.persist()
         try:
             write_epoch(al.event_notes(anomaly.device_events(scored)), f"{out}/device_events", epoch)
-            upsert_devices(devices.device_summary(scored), f"{out}/device_profiles", epoch)
+            upsert_devices(devices.device_sums(scored), f"{out}/device_profiles", epoch)
         finally:
             scored.unpersist()
 

@@ -9,8 +9,10 @@ from ..functions import payloads
 from ..functions import values as V
 from ..functions.values import iso_text
 from ..operators import alerts as al
-from ..operators import anomaly, arp, devices, drift, evaluate, flows, model, normalize, watchlist
+from ..operators import anomaly, arp, devices, drift, evaluate, flows, model, normalize, ordering, watchlist
 from ..operators.ordering import HOUR
+from ..session import shared_dir
+from ..sinks import tables
 from ..sources.indicators import extract_indicators
 from .oracle_views import iso, with_views
 from .registry import as_of, query
@@ -607,6 +609,19 @@ def device_summary(spark, sf):
     return _shown(devices.device_summary(anomaly.device_anomaly(scored_flows(spark, sf))))
 
 
+@query("stored_devices", W("logs", extra=_DEVICES) + f"SELECT {_DEVICE_COLUMNS}")
+def stored_devices(spark, sf):
+    """Profiles stored epoch by epoch, with a merge in between, and read back."""
+    scored = ordering.in_parts(anomaly.device_anomaly(scored_flows(spark, sf)), [], ["timestamp", "id"], "scored")
+    low, high = scored.agg(F.min("timestamp"), F.max("timestamp")).head()
+    path, epochs = shared_dir(spark, "devices"), 3
+    place = F.unix_micros("timestamp") - F.unix_micros(F.lit(low))
+    step = F.floor((F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low))) / epochs) + 1
+    for epoch in (0, 1, 1, 2):  # the one that merges twice, as after a failure
+        tables.upsert_devices(devices.device_sums(scored.where(F.floor(place / step) == epoch)), path, epoch, every=2)
+    return _shown(tables.read_devices(spark, path))
+
+
 @query("recent_devices", W("logs", extra=_DEVICES) + f"SELECT {_DEVICE_COLUMNS} ORDER BY last_seen DESC, device_ip LIMIT 50")
 def recent_devices(spark, sf):
     profiles = devices.device_summary(anomaly.device_anomaly(scored_flows(spark, sf)))

@@ -1,20 +1,20 @@
 """Stored tables: append, replace, delete, retention.
 
 Log-like tables are partitioned, so deleting a batch or old days drops partitions and reads nothing.
-Small tables are rewritten through a copy in the shared folder, because a table cannot be
-overwritten while it is read.
+Small tables are rewritten into a new folder to which the table then points, so a failure loses nothing.
 """
 
 from __future__ import annotations
 
+import time
 from datetime import date
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.devices import merged_sums, profiles_of
 from ..operators.watchlist import new_indicators, watchlist_rows
-from ..session import shared_dir
 
 LOGS, ALERTS, WATCHLIST = "traffic_logs", "alerts", "watchlist_entries"
 DEVICES, METRICS, BATCHES = "device_profiles", "model_metrics", "import_batches"
@@ -96,11 +96,40 @@ def purge_before(spark: SparkSession, day: date, name: str = LOGS) -> int:
 
 
 def replace(df: DataFrame, name: str) -> None:
-    """Overwrite a small table with rows that may come from the table itself."""
+    """Put rows, which may come from the table itself, in the place of a small table.
+
+    They are written to a new folder first; then the table points to it, which is one step of the catalog. Whatever fails
+    before leaves the old rows. The folder that the table pointed to before is kept for readers under way, older ones go.
+    """
     spark = df.sparkSession
-    copy = shared_dir(spark, name)
-    df.write.parquet(copy)
-    spark.read.schema(df.schema).parquet(copy).write.mode("overwrite").format("parquet").saveAsTable(name)
+    columns = spark.table(name).columns
+    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + f"/_snapshots/{name}"
+    folder = f"{root}/{time.time_ns():020d}"
+    df.select(*columns).write.parquet(folder)
+    _point(spark, name, folder)
+    for old in sorted(_folders(spark, root))[:-2]:
+        _remove(spark, f"{root}/{old}")
+
+
+def _point(spark: SparkSession, name: str, folder: str) -> None:
+    spark.sql(f"ALTER TABLE {name} SET LOCATION '{folder}'")
+    spark.catalog.refreshTable(name)
+
+
+def _folder(spark: SparkSession, path: str):
+    """File system and path as Hadoop knows them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    system, place = _folder(spark, path)
+    return [x.getPath().getName() for x in system.listStatus(place) if x.isDirectory()] if system.exists(place) else []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    system, place = _folder(spark, path)
+    system.delete(place, True)
 
 
 def add_to_watchlist(feed: DataFrame, feed_name: str, as_of: Column, label: str = "Imported Threat Feed", name: str = WATCHLIST) -> None:
@@ -125,9 +154,52 @@ def write_epoch(df: DataFrame, path: str, epoch: int) -> None:
     )
 
 
-def upsert_devices(profiles: DataFrame, path: str, epoch: int) -> None:
-    """Device profiles as snapshots per epoch; readers take the newest per device."""
-    write_epoch(profiles, path, epoch)
+def upsert_devices(sums: DataFrame, path: str, epoch: int, every: int = 20) -> None:
+    """Add what an epoch tells of its devices (`devices.device_sums`).
+
+    Each epoch writes its own devices only. After every ``every`` epochs all are merged into one base and what went into
+    it is dropped, so what is stored follows the number of devices and not that of epochs. An epoch that is run again
+    replaces itself. A merge that fails leaves the parts; the newest whole base counts.
+    """
+    spark = sums.sparkSession
+    write_epoch(sums, f"{path}/parts", epoch)
+    if (epoch + 1) % every == 0:
+        device_parts(spark, path, epoch).transform(merged_sums).write.mode("overwrite").parquet(f"{path}/base/epoch={epoch}")
+        # What the base before was made of goes; that base and the parts after it stay, should this epoch be run again.
+        before = _newest_base(spark, path, epoch)
+        for kind in ("base", "parts"):
+            for name in _folders(spark, f"{path}/{kind}"):
+                if before is not None and name.startswith("epoch=") and _epoch(name) < before + (kind == "parts"):
+                    _remove(spark, f"{path}/{kind}/{name}")
+
+
+def device_parts(spark: SparkSession, path: str, until: int | None = None) -> DataFrame:
+    """The newest base and the parts after it (up to an epoch)."""
+    base = _newest_base(spark, path, until)
+    first = -1 if base is None else base
+    parts = [p for p in _folders(spark, f"{path}/parts") if p.startswith("epoch=") and _epoch(p) > first and (until is None or _epoch(p) <= until)]
+    folders = [f"{path}/parts/{p}" for p in parts] + ([] if base is None else [f"{path}/base/epoch={base}"])
+    return spark.read.parquet(*folders)
+
+
+def _epoch(name: str) -> int:
+    return int(name.partition("=")[2])
+
+
+def _newest_base(spark: SparkSession, path: str, until: int | None) -> int | None:
+    """Epoch of the newest base that is whole (before an epoch)."""
+    whole = [_epoch(b) for b in _folders(spark, f"{path}/base") if "_SUCCESS" in _files(spark, f"{path}/base/{b}")]
+    return max((e for e in whole if until is None or e < until), default=None)
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    system, place = _folder(spark, path)
+    return [x.getPath().getName() for x in system.listStatus(place)]
+
+
+def read_devices(spark: SparkSession, path: str) -> DataFrame:
+    """The present profile of every device that `upsert_devices` knows below a path."""
+    return profiles_of(merged_sums(device_parts(spark, path)))
 
 
 def append_metrics(metrics: DataFrame, name: str = METRICS) -> None:

@@ -193,6 +193,27 @@ def test_import_of_captures_and_feeds(spark, tmp_path, fitted):
     assert {r.value for r in spark.table(store.watchlist).collect()} == {"10.9.8.7", "bad.example.org", "1.2.3.4"}
 
 
+def test_replace_fails_without_loss(spark, monkeypatch):
+    """Neither a write that fails nor one that is not pointed to loses a row; the rows may come from the table itself."""
+    spark.range(5).write.mode("overwrite").saveAsTable("t_replace")
+    ids = lambda: sorted(r.id for r in spark.table("t_replace").collect())
+    broken = spark.range(3).withColumn("id", F.when(F.col("id") < 2, F.col("id")).otherwise(F.raise_error(F.lit("lost")).cast("long")))
+    with pytest.raises(Exception, match="lost"):
+        tables.replace(broken, "t_replace")
+    assert ids() == [0, 1, 2, 3, 4]
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError):
+        patch.setattr(tables, "_point", lambda *_: (_ for _ in ()).throw(RuntimeError()))
+        tables.replace(spark.range(1), "t_replace")
+    assert ids() == [0, 1, 2, 3, 4]
+    for least in (1, 2, 3):
+        tables.replace(spark.table("t_replace").where(F.col("id") >= least), "t_replace")
+        assert ids() == list(range(least, 5))
+    tables.append(spark.range(9, 10), "t_replace")
+    assert ids() == [3, 4, 9]
+    root = spark.conf.get("spark.sql.warehouse.dir") + "/_snapshots/t_replace"
+    assert len(tables._folders(spark, root)) == 2
+
+
 def test_live_detectors_to_alerts(spark, tmp_path):
     """Flows, devices and ARP end in one table of alerts."""
     out, at = str(tmp_path / "out"), START
@@ -212,7 +233,7 @@ def test_live_detectors_to_alerts(spark, tmp_path):
     alerts = {r.alert_type: r for r in al.alert_rows(state.present_incidents(spark.read.parquet(f"{out}/alert_changes"))).collect()}
     assert alerts["arp_spoofing"]["count"] == 3 and alerts["arp_spoofing"].traffic_log_id == 4 and alerts["arp_spoofing"].status == "Active"
     assert alerts["device_behaviour"].traffic_log_id in (30, 35) and "Device Behaviour Anomaly" in alerts["device_behaviour"].notes
-    assert spark.read.parquet(f"{out}/device_profiles").where("device_ip = '10.0.0.1'").head().sample_count == 40
+    assert tables.read_devices(spark, f"{out}/device_profiles").where("device_ip = '10.0.0.1'").head().sample_count == 40
     assert spark.read.parquet(f"{out}/notifications").count() >= 2
 
 
