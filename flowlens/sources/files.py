@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions.values import strip
 from ..operators.normalize import auto_mapping, normalize
 from ..schemas import CAPTURE_MAGIC, JSON_RECORD_KEYS
-from . import ranges
+from . import csv_ranges, ranges
 
 ROW_ID = "__row_id"  # place in the read order; grows with file and line, stable when a task is redone
 
@@ -106,16 +106,22 @@ def delimiter(first_line: str) -> str:
     return ","
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], sep: str | None = None, multiline: bool = True) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str | Sequence[str], sep: str | None = None, multiline: bool = True, size: int = csv_ranges.RANGE
+) -> DataFrame:
     """CSV files of one layout, all columns strings, header names trimmed, nameless columns dropped.
 
-    A quoted cell may hold line breaks, so a file is read by one task. ``multiline=False`` splits large files; it is
-    only right for files without such cells.
+    A quoted cell may hold line breaks; large files are read in ranges of ``size`` bytes all the same. ``multiline=False``
+    leaves the splitting to Spark; it is only right for files without such cells.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if sep is None:
         first = spark.read.text(paths).head(1)
         sep = delimiter(first[0].value) if first else ","
+    if multiline and ranges.can_open(ranges.listed(spark, paths)):
+        cells = csv_ranges.read(spark, paths, sep, ROW_ID, size)
+        names = [c for c in cells.columns if c != ROW_ID]
+        return cells.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.strip()) for c in names], ROW_ID)
     df = spark.read.csv(
         paths, header=True, sep=sep, quote='"', escape='"', inferSchema=False, enforceSchema=False, multiLine=multiline
     )

@@ -55,7 +55,7 @@ def open_file(path: str, size: int | None = None) -> View:
     return View(read, handle.size() if size is None else size)
 
 
-def listed(spark: SparkSession, path: str) -> DataFrame:
+def listed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(path, length)`` of the files below a path; nothing is opened."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
 

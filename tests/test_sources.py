@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions import payloads
 from flowlens.operators.flows import build_flows
-from flowlens.sources import captures, files, indicators, ranges
+from flowlens.sources import captures, csv_ranges, files, indicators, ranges
 from flowlens.sources.streams import replay
 
 AS_OF = "2024-01-31 00:00:00"
@@ -282,6 +282,27 @@ def test_csv_line_break_in_quotes(spark, tmp_path):
     assert rows(files.read_csv(spark, path)) == [{"src": "1", "note": "one\ntwo"}, {"src": "2", "note": "three"}]
 
 
+def test_csv_in_ranges(spark, tmp_path):
+    """Odd quotes, line breaks of both kinds, short, long and empty lines: the same rows in any ranges as in one read of Spark."""
+    rng = random.Random(12)
+    cells = ["a", "", '"b"', '"c\nd"', '"e""f"', '5" disk', '"g,h"', '"i\r\nj"', '"\n\n"', "é😀", '"k" l', '""']
+    text = " Source IP ,note,,x\n" + "".join(",".join(rng.choice(cells) for _ in range(rng.choice([4, 4, 4, 2, 5]))) + rng.choice(["\n", "\n", "\n\n"]) for _ in range(150))
+    path = put(tmp_path, "a.csv", text + 'last,"open\n end')
+    want = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True).na.fill("")
+    want = [tuple(r[i] for i in (0, 1, 3)) for r in want.collect()]
+    for size in (40, 700, 1 << 30):
+        got = files.read_csv(spark, path, size=size).orderBy(files.ROW_ID)
+        assert got.columns == ["Source IP", "note", "x", files.ROW_ID]
+        assert [tuple(r)[:3] for r in got.collect()] == want
+    assert csv_ranges.read(spark, [path], ",", "place", 700).select(F.spark_partition_id()).distinct().count() > 3
+    put(tmp_path / "two", "a.csv", "a,b\r\n1,2\r\n")
+    put(tmp_path / "two", "b.csv", "a,b\r\n3,4")
+    assert [(r["a"], r["b"]) for r in rows(files.read_csv(spark, str(tmp_path / "two")))] == [("1", "2"), ("3", "4")]
+    put(tmp_path / "two", "c.csv", "b,a\n5,6\n")
+    with pytest.raises(Exception, match="another header"):
+        files.read_csv(spark, str(tmp_path / "two")).collect()
+
+
 def test_zeek_layouts(spark, tmp_path):
     """Layouts differ between files and change inside one; lines above any header are no records."""
     put(tmp_path / "z", "a.log", "early\tline\n#fields a b\n1\t2\n#close\n#fields b c\n3\t-\n4\n")
