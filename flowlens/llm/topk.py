@@ -14,6 +14,8 @@ TILE, BLOCK, SLICE, FAN = 16384, 2048, 128, 16
 LEAST, MOST = -(2**63), 2**63 - 1
 #: Whole numbers up to here are exact in double precision.
 EXACT = 2**53
+#: Components whose products of 21-bit parts are summed exactly in double precision.
+LIMB_DIMS = 1024
 
 
 def whole(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -26,13 +28,35 @@ def whole(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return vectors.where("vec_id is not null").where(usable).select("vec_id", scaled.alias("v"))
 
 
+def _limbs(m: np.ndarray) -> list[np.ndarray]:
+    """Three parts of 21 bits, lowest first, each with the sign of the number."""
+    size, sign = np.abs(m).astype(np.uint64), np.sign(m).astype(np.float64)
+    return [((size >> np.uint64(21 * i)) & np.uint64((1 << 22) - 1 if i == 2 else (1 << 21) - 1)).astype(np.float64) * sign for i in range(3)]
+
+
 def product(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
-    """Integer inner products; in double precision while that is exact."""
+    """Integer inner products, stopping at the ends of long; in double precision while that is exact.
+
+    Larger numbers are multiplied in parts of 21 bits, whose products are exact for LIMB_DIMS components at once. Their sums
+    are put together in wrapping 64-bit numbers, and one by one only where the result may lie beyond these.
+    """
     top = [float(np.abs(m.astype(np.float64)).max(initial=0)) for m in (queries, shard)]
     if queries.shape[1] * top[0] * top[1] < EXACT:
         return (queries.astype(np.float64) @ shard.astype(np.float64).T).astype(np.int64)
-    exact = [[max(LEAST, min(MOST, sum(x * y for x, y in zip(q, r, strict=True)))) for r in shard.tolist()] for q in queries.tolist()]
-    return np.array(exact, dtype=np.int64)
+    sums = [np.zeros((len(queries), len(shard)), dtype=np.int64) for _ in range(5)]
+    for at in range(0, queries.shape[1], LIMB_DIMS):
+        parts = [[(i, x) for i, x in enumerate(_limbs(m[:, at : at + LIMB_DIMS])) if x.any()] for m in (queries, shard)]
+        for i, x in parts[0]:
+            for j, y in parts[1]:
+                sums[i + j] += (x @ y.T).astype(np.int64)
+    out = np.zeros(sums[0].shape, dtype=np.uint64)
+    for i in range(4):
+        out += sums[i].astype(np.uint64) << np.uint64(21 * i)
+    out = out.astype(np.int64)
+    most = np.abs(queries.astype(np.float64)) @ np.abs(shard.astype(np.float64)).T
+    for i, j in np.argwhere(most >= 2.0**62).tolist():
+        out[i, j] = max(LEAST, min(MOST, sum(int(x[i, j]) << (21 * n) for n, x in enumerate(sums))))
+    return out
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -142,6 +142,28 @@ def test_line_blocks():
     assert html.kept([], 3, 86) == []
 
 
+def test_products_of_huge_components_are_exact_and_fast():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        bits = rng.integers(1, 64)
+        q, r = (rng.integers(-(2 ** (bits - 1)), 2 ** (bits - 1) - 1, (5, 7), dtype=np.int64, endpoint=True) for _ in range(2))
+        q[0, 0], r[1, 1], r[2] = -(2**63), 2**63 - 1, -(2**63)
+        want = [[max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=True)))) for b in r.tolist()] for a in q.tolist()]
+        assert topk.product(q, r).tolist() == want
+    wide = rng.integers(-(2**40), 2**40, (2, 3000))
+    assert topk.product(wide, wide).tolist() == [[max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=True)))) for b in wide.tolist()] for a in wide.tolist()]
+    q, r = rng.integers(-128, 128, (64, 64)), rng.integers(-128, 128, (2048, 64))
+    q[3, 3] = 2**50
+    start = time.thread_time()  # a loop over all components takes about a second
+    got = topk.product(q, r)
+    assert time.thread_time() - start < 0.3
+    assert got[5].tolist() == (q[5] @ r.T).tolist()
+
+
 # --- URLs ----------------------------------------------------------------------------------------
 
 
