@@ -250,5 +250,6 @@ def calibrated(queries: DataFrame, index: DataFrame, tree: Tree, k: int, recall:
 
 
 def query(embeddings: DataFrame) -> DataFrame:
+    """The five nearest found of every query of the contract (vec_id divisible by 50); odd rows as in `usable` and `search`."""
     vectors = usable(embeddings)
     return search(vectors.where("vec_id % 50 = 0"), vectors)

@@ -308,6 +308,7 @@ def classes(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, sampl
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """One row per document, in the columns of the contract; odd rows as in `classes`."""
     return classes(docs).select("doc_id", "n_shingles", "component_id")
 
 

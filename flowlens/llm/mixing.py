@@ -73,7 +73,11 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The mixed documents: a row for each epoch in which any word of the document is taken; texts stay whole."""
+    """The mixed documents: a row for each epoch in which any word of the document is taken; texts stay whole.
+
+    Documents without words (null, empty) are taken in no epoch, so they are not in the mix. Null sources are a source, repeated
+    rows count each, own columns stay whatever their names; an empty table gives an empty one.
+    """
     rows = sized(docs.select(F.struct("*").alias("_row"), "doc_id", "source", "text")).drop("text")
     rows = mix(rows, stored(rows.select("size", "_source", "_key"), "mix-sizes"))
     copies = rows.where("taken > 0").withColumn("_copy", F.explode(F.expr("sequence(1, cast(ceil(taken / size) as int))")))

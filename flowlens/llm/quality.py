@@ -214,11 +214,16 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per document, in the columns of the contract; odd rows as in `classify`."""
     return classify(docs.select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
 
 
 def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with their own columns."""
+    """The documents that are not rejected, with their own columns, whatever their names.
+
+    Null and empty texts are scored like others, repeated rows stay or go together, null ids are judged; too few labelled rows
+    reject nothing, and an empty table gives an empty one.
+    """
     score = scorer(docs, labels)
     rows = docs.select(F.struct("*").alias("_row"), score("text").alias("_score")).where("_score >= 0.5")
     return rows.select("_row.*")

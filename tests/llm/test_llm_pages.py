@@ -314,6 +314,25 @@ def test_ann_recall(spark):
 # --- pipeline ------------------------------------------------------------------------------------
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, columns named like those of the stages; no rows at all."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score int, size string, _key string, fp int"
+    text = lambda i: " ".join(f"w{i * j % 97}x{j}" for j in range(12))
+    rows = [(i, text(i), "en", "ab"[i % 2], 1, 1, "s", "k", 2) for i in range(12)]
+    rows += [(20, text(3), None, None, None, None, None, None, None), (21, None, "en", "a", 0, 1, "s", "k", 2), (22, " ", "en", "a", 0, 1, "s", "k", 2)]
+    rows += [(None, text(50), "en", None, 1, 1, "s", "k", 2), rows[1], rows[1], (23, "long " * 30_000, "en", "b", 1, 1, "s", "k", 2)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # Without labels nothing is rejected; copies and what has no words are gone, and what the budgets of the sources cut off.
+    assert {r.doc_id for r in got} <= {*range(12), None, 23} and len({r.doc_id for r in got}) >= 5
+    docs = spark.createDataFrame([], kind)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0] for c in kind.split(", ")] and docs.collect() == []
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect() == []
+
+
 def test_pipeline(spark):
     """Every stage on all that the one before kept; run() is the stages one after the other."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
