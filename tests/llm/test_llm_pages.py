@@ -352,4 +352,4 @@ def test_pipeline(spark):
 
 def test_names():
     names = list(catalog.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] and set(catalog.oracle_sql()) < set(names)
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] and set(catalog.oracle_sql()) < set(names)
