@@ -11,9 +11,9 @@ from pyspark.ml import Model
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import verdicts
+from ..functions import values, verdicts
 from ..operators import alerts as al
-from ..operators import anomaly, evaluate, flows, model, normalize, ordering, watchlist
+from ..operators import anomaly, drift, evaluate, flows, model, normalize, ordering, watchlist
 from ..sinks import tables
 from ..sources import captures, files, indicators
 from . import live
@@ -31,6 +31,7 @@ class Import:
     rejections: DataFrame
     confusion: DataFrame | None = None
     metrics: DataFrame | None = None
+    drifts: DataFrame | None = None
 
 
 def label_flows(flows: DataFrame, entries: DataFrame, classifier: Model, can_classify: bool) -> DataFrame:
@@ -174,10 +175,22 @@ def run_batch(
         out.confusion = evaluate.confusion(logs, "ground_truth_label", "prediction_label")
         out.metrics = evaluate.eval_metrics(logs, "ground_truth_label", "prediction_label")
     if mode != "analyze_only":
+        tables.append_metrics(drift_events(logs, batch_id), store.metrics)
+        own = F.col("import_batch_id") == batch_id
+        out.drifts = spark.table(store.metrics).where(own)
         tables.append_batch(batch_record(out, name, mode, record), store.batches)
     return out
 
 
+def drift_events(logs: DataFrame, batch_id: int) -> DataFrame:
+    """Where the labels of a batch began to fit their ground truth better or worse, in the order of time, as metrics rows."""
+    truth = values.ground_truth(F.col("ground_truth_label"))
+    told = logs.where(truth.isNotNull() & F.col("prediction_label").isNotNull())
+    wrong = truth != F.col("prediction_label")
+    cuts = drift.drift_points(told, "import_batch_id", "timestamp", wrong)
+    return cuts.select("timestamp", "accuracy", "drift_detected", "samples_processed", F.lit(batch_id).cast("long").alias("import_batch_id"))
+
+
 def store_batch(spark: SparkSession, logs: DataFrame, alerts_of, batch_id: int, store: tables.Tables) -> tuple[DataFrame, DataFrame]:
     """Store the logs, then the alerts made of the stored logs; both as read back."""
 
@@ -206,7 +219,7 @@ def batch_record(done: Import, name: str, mode: str, record: DataFrame | None) -
     started = F.lit(None).cast("timestamp") if record is None else record.agg(F.max("started_at")).scalar()
     return done.summary.select(
         "*",
-        F.lit(0).cast("long").alias("drift_count"),
+        (F.lit(0) if done.drifts is None else done.drifts.agg(F.count(F.lit(1))).scalar()).cast("long").alias("drift_count"),
         F.lit(name).alias("dataset_name"),
         F.lit(mode).alias("analysis_mode"),
         F.lit("completed").alias("status"),

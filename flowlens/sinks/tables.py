@@ -203,6 +203,7 @@ def read_devices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_metrics(metrics: DataFrame, name: str = METRICS) -> None:
+    """Add drift events; the table is there even if there were none."""
     append(metrics, name)
 
 

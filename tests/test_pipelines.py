@@ -136,6 +136,7 @@ def test_import_stores_what_it_counts(spark, tmp_path, fitted):
     assert batch.filename == "data.csv" and batch.file_type == "csv" and batch.duplicate_of is None and len(batch.file_hash) == 64
     assert json.loads(batch.mapping_json)["src_ip"] == "src_ip" and json.loads(batch.capabilities_json)
     assert json.loads(batch.eval_metrics_json)["total_evaluated"] == 30 and batch.duration_sec >= 0
+    assert batch.drift_count == 0 and spark.table(tables.METRICS).where("import_batch_id = 11").count() == 0
     importer.import_dataset(spark, data_file(tmp_path), entries(spark), as_of(), batch_id=12, mode="historical", classifier=fitted)
     again = spark.table(tables.BATCHES).where("id = 12").head()
     assert again.duplicate_of == 11 and again.eval_metrics_json is None
@@ -193,6 +194,21 @@ def test_import_of_captures_and_feeds(spark, tmp_path, fitted):
     assert {r.value for r in spark.table(store.watchlist).collect()} == {"10.9.8.7", "bad.example.org", "1.2.3.4"}
 
 
+def test_import_stores_drift(spark, tmp_path, fitted):
+    """Labels that are right for half a day and then wrong: the events are stored and counted."""
+    lines = ["src,dst,sport,dport,proto,ts,sbytes,dbytes,packets,class"]
+    for i in range(6000):
+        lines.append(f"10.1.0.1,10.1.0.2,5,443,tcp,{1_700_000_000 + i * 10},500,500,10,{'BENIGN' if i < 3000 else 'ddos'}")
+    path = tmp_path / "shift.csv"
+    path.write_text("\n".join(lines))
+    store = tables.Tables().prefixed("drift_")
+    importer.import_dataset(spark, str(path), entries(spark), as_of(), batch_id=21, mode="label_eval", classifier=fitted, store=store)
+    events = spark.table(store.metrics).orderBy("timestamp").collect()
+    assert events and {r.import_batch_id for r in events} == {21} and all(r.drift_detected for r in events)
+    assert 30_000 <= events[0].timestamp.timestamp() - 1_700_000_000 <= 36_000
+    assert spark.table(store.batches).head().drift_count == len(events)
+
+
 def test_replace_fails_without_loss(spark, monkeypatch):
     """Neither a write that fails nor one that is not pointed to loses a row; the rows may come from the table itself."""
     spark.range(5).write.mode("overwrite").saveAsTable("t_replace")
