@@ -1,13 +1,15 @@
 """Keyed state in event time: alert incidents, ARP, notification limit, device anomaly, drift.
 
-Rows wait per key until the watermark has passed them, and then go through the rule of the key in the order of their
+Rows wait until the watermark has passed them, and then go through the rule of their key in the order of their
 times, whatever the micro-batches were. So a stream gives what the batch form gives, as long as no row is later than the
 ``delay``; later ones are dropped and counted by Spark (`run.late_rows`). What waits is bounded by the delay and not by the
 size of a micro-batch; frames of rows are put away one by one. The end of the data within the delay is kept back until
 later rows move the clock.
 
-The state of a key is one typed cell. With ``idle_hours`` it is dropped when the key had no rows for that long in event
-time; this bounds the number of devices and signatures kept.
+Keys share buckets (by their hash), and a bucket is what Spark groups by: a call and its trips to the state store then serve
+all keys of the bucket that have rows, instead of one. Rows that wait and the states of the keys are kept as typed frames
+(Arrow). With ``idle_hours`` a state is dropped when its key had no rows for that long in event time; this bounds the number
+of devices and signatures kept. A task holds what waits in one bucket: `BUCKETS` is fixed when a stream first starts.
 """
 
 from __future__ import annotations
@@ -16,8 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import verdicts
@@ -29,9 +34,16 @@ HOUR_US = 3_600_000_000
 DELAY = "1 minute"
 #: Times beyond these (about the year 2255) count as these for the watermark, as pandas knows none far beyond.
 LAST_US = 9_000_000_000_000_000
-#: Rows per frame that is handed back to Spark.
+#: Rows per frame that is handed back to Spark, and states per frame that is kept.
 FRAME = 10_000
-_PLAIN = {"long": int, "int": int, "double": float, "boolean": bool, "string": str, "binary": bytes}
+#: The keys of a stream share so many groups.
+BUCKETS = 1024
+_ARROW = {
+    "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
+    "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64()),
+}
+#: Kinds that travel as text, because pandas would make floats of whole numbers next to nulls.
+_WHOLE = ("long", "bigint", "int")
 
 
 def _fields(schema: str) -> list[tuple[str, str]]:
@@ -42,22 +54,34 @@ def _names(schema: str) -> list[str]:
     return [name for name, _ in _fields(schema)]
 
 
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(frames) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(frame).read_all() for frame in frames])
+
+
 class _Keyed(StatefulProcessor):
-    """Rows of a key in event time. A subclass says what waits (``row``: ``us`` and the order first), what is kept
-    (``kept``) and what a row does (``step``)."""
+    """Rows of the keys of a bucket in event time. A subclass says what waits (``row``: ``us`` and the order first), what is
+    kept per key (``kept``) and what the rows of a key do (``step``)."""
 
     row: str
     kept: str
     order: int = 2  # the first columns of a row that give its place
+    keys: list[tuple[str, str]]  # set by `_run`: names and types
+    arrow: dict[str, pa.DataType]  # set by `_run`: these types and those of the rows as Arrow has them
 
     def __init__(self, columns: list[str], idle_hours: float | None = None):
         self.columns, self.idle = columns, round(idle_hours * HOUR_US) if idle_hours else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row)
-        self.cell = handle.getValueState("kept", "last_us long, " + self.kept)
-        self.plain = [(name, _PLAIN[kind]) for name, kind in _fields(self.row)]
+        self.waiting = handle.getListState("waiting", "first_us long, rows binary")
+        self.cells = handle.getListState("kept", "states binary")
 
     def start(self) -> dict:
         raise NotImplementedError
@@ -70,43 +94,84 @@ class _Keyed(StatefulProcessor):
         self.handle.registerTimer(us // 1000 + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        firsts = []
         for frame in rows:
-            columns = [[None if pd.isna(x) else plain(x) for x in frame[name]] for name, plain in self.plain]
-            self.waiting.appendList(list(zip(*columns)))
-            first = min(columns[0]) if first is None else min(first, *columns[0])
-        if first is not None:
-            self._wake(first)
+            cells = {}
+            for name, kind in [*self.keys, *_fields(self.row)]:
+                text = kind in _WHOLE and not pd.api.types.is_numeric_dtype(frame[name])
+                cell = pa.array(frame[name], type=pa.string() if text else self.arrow[kind], from_pandas=True)
+                cells[name] = cell.cast(self.arrow[kind])
+            firsts.append(pc.min(cells["us"]).as_py())
+            self.waiting.appendValue((firsts[-1], _packed(pa.table(cells))))
+        if firsts:
+            self._wake(min(firsts))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        due, rest = [], []
-        for row in self.waiting.get():
-            (due if row[0] <= now else rest).append(tuple(row))
-        if due:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-            if rest:
-                self._wake(min(r[0] for r in rest))
-            due.sort(key=lambda r: tuple((x is not None, x) for x in r[: self.order]))
-            names = ["last_us", *_names(self.kept)]
-            state = dict(zip(names, self.cell.get())) if self.cell.exists() else {"last_us": None} | self.start()
-            out = []
-            for rows in self._awake(due, state):
-                for line in self.step(key, rows, state):
+        due = self._due(now)
+        if due is None and not self.idle:
+            return
+        states = self._states()
+        out = []
+        for name, rows in self._by_key(due):
+            state = states.setdefault(name, {"last_us": None} | self.start())
+            for stretch in self._awake(rows, state):
+                for line in self.step(name, stretch, state):
                     out.append(line)
                     if len(out) == FRAME:
-                        yield pd.DataFrame(out, columns=self.columns)
+                        yield pd.DataFrame(out, columns=self.columns, dtype=object)
                         out = []
-            self.cell.update(tuple(state[n] for n in names))
-            if self.idle:
-                self._wake(state["last_us"] + self.idle)
-            if out:
-                yield pd.DataFrame(out, columns=self.columns)
-        elif self.idle and self.cell.exists():
-            over = self.cell.get()[0] + self.idle
-            if over <= now and all(r[0] > over for r in rest):
-                self.cell.clear()
+        if self.idle:  # rows that still wait are later than now, so they find a key that was idle for too long anew
+            states = {name: state for name, state in states.items() if state["last_us"] + self.idle > now}
+            if states:
+                self._wake(min(state["last_us"] for state in states.values()) + self.idle)
+        self._keep(states)
+        if out:
+            yield pd.DataFrame(out, columns=self.columns, dtype=object)
+
+    def _due(self, now: int) -> pa.Table | None:
+        """The rows that the watermark has passed, in order; the others wait on."""
+        frames = [tuple(x) for x in self.waiting.get()]
+        opened = [rows for first, rows in frames if first <= now]
+        rest = [x for x in frames if x[0] > now]
+        due = None
+        if opened:
+            table = _unpacked(opened)
+            over = pc.less_equal(table["us"], now)
+            due, later = table.filter(over), table.filter(pc.invert(over))
+            if later.num_rows:
+                rest.append((pc.min(later["us"]).as_py(), _packed(later)))
+            self.waiting.put(rest) if rest else self.waiting.clear()
+            places = [(name, "ascending") for name in _names(self.row)[: self.order]]
+            due = due.take(pc.sort_indices(due, sort_keys=places, null_placement="at_start"))
+        if rest:
+            self._wake(min(first for first, _ in rest))
+        return due
+
+    def _by_key(self, due: pa.Table | None) -> Iterator[tuple[tuple, list[tuple]]]:
+        of_key: dict[tuple, list[tuple]] = {}
+        if due is not None:
+            n = len(self.keys)
+            for row in zip(*[column.to_pylist() for column in due.columns]):
+                of_key.setdefault(row[:n], []).append(row[n:])
+        yield from of_key.items()
+
+    def _states(self) -> dict[tuple, dict]:
+        frames = [x[0] for x in self.cells.get()]
+        if not frames:
+            return {}
+        table = _unpacked(frames)
+        keys, names = [f"key{i}" for i in range(len(self.keys))], ["last_us", *_names(self.kept)]
+        told = [zip(*[table[name].to_pylist() for name in part]) for part in (keys, names)]
+        return {key: dict(zip(names, cells)) for key, cells in zip(*told)}
+
+    def _keep(self, states: dict[tuple, dict]) -> None:
+        kinds = [(f"key{i}", kind) for i, (_, kind) in enumerate(self.keys)]
+        shape = pa.schema([(name, self.arrow[kind]) for name, kind in [*kinds, ("last_us", "long"), *_fields(self.kept)]])
+        lines = [dict(zip([name for name, _ in kinds], key)) | state for key, state in states.items()]
+        frames = [(_packed(pa.Table.from_pylist(lines[i : i + FRAME], shape)),) for i in range(0, len(lines), FRAME)]
+        self.cells.put(frames) if frames else self.cells.clear()
 
     def _awake(self, rows: list[tuple], state: dict) -> Iterator[list[tuple]]:
         """The rows in stretches between which the key was idle for too long; the state starts anew after such a pause."""
@@ -125,9 +190,18 @@ class _Keyed(StatefulProcessor):
 
 def _run(df: DataFrame, keys: list[str], processor: _Keyed, schema: str, delay: str) -> DataFrame:
     """``us`` is the event time of the rows; rows without one take no part."""
-    within = F.least(F.greatest("us", F.lit(-LAST_US)), F.lit(LAST_US))
-    timed = df.where("us is not null").withColumn("__ts", F.timestamp_micros(within)).withWatermark("__ts", delay)
-    return timed.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    types = {key: df.schema[key].dataType for key in keys}
+    processor.keys = [(key, kind.simpleString()) for key, kind in types.items()]
+    processor.arrow = {kind.simpleString(): to_arrow_type(kind) for kind in types.values()} | _ARROW
+
+    def exact(name: str, kind: str) -> Column:
+        return F.col(name).cast("string" if kind in _WHOLE and name != "us" and df.schema[name].nullable else kind).alias(name)
+
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).alias("bucket__")
+    within = F.timestamp_micros(F.least(F.greatest("us", F.lit(-LAST_US)), F.lit(LAST_US))).alias("ts__")
+    cells = [exact(name, kind) for name, kind in [*processor.keys, *_fields(processor.row)]]
+    timed = df.where("us is not null").select(bucket, *cells, within).withWatermark("ts__", delay)
+    return timed.groupBy("bucket__").transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 # --- alert incidents ----------------------------------------------------------------------------
