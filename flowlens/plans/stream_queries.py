@@ -12,6 +12,7 @@ from ..functions.values import iso_text, micros
 from ..operators import alerts as al
 from ..operators import model
 from ..session import shared_dir
+from ..sources.ranges import listed
 from ..sources.streams import stream_table
 from ..streaming import state
 from ..streaming.flows import build_flows_stream
@@ -28,14 +29,14 @@ def drain(spark, stream, name):
     return drain_stream(spark, stream, name, spark.sparkContext.defaultParallelism)
 
 
-#: The events arrive in so many files, one per micro-batch.
-PARTS = 4
+#: The events arrive in so many micro-batches, each dealt over files of about so many rows.
+PARTS, FILE_ROWS = 4, 250_000
 
 
 #: Rows of the keyed streams arrive up to so many seconds late, so files overlap in time.
 LATE = 6 * 3600
-#: Nobody's events far behind all others: they only move the clock.
-CLOCK_USER, CLOCK_DAYS = 9_999, 3
+#: Nobody's events far behind all others: they only move the clock. The number is far below those of users.
+CLOCK_USER, CLOCK_DAYS = -(1 << 62), 3
 
 
 def _stream(spark, sf, late: int = 0):
@@ -45,19 +46,23 @@ def _stream(spark, sf, late: int = 0):
     """
     events = A.table(spark, sf, "events")
     us = micros(F.col("ts"))
-    low, high = events.agg(F.min(us), F.max(us)).head()
+    n, low, high = events.agg(F.count(F.lit(1)), F.min(us), F.max(us)).head()
+    files = 1 + n // (PARTS * FILE_ROWS)
     out = shared_dir(spark, "events")
     step = ((high or 0) - (low or 0) + late * 1_000_000) // PARTS + 1
     arrival = us - F.lit(low) + F.pmod(F.xxhash64("event_id"), F.lit(max(1, late * 1_000_000)))
     for i in range(PARTS):
         part = events.where(F.floor(arrival / F.lit(step)) == i)
-        part.sortWithinPartitions(F.xxhash64("event_id")).write.mode("append").parquet(out)
+        part.repartition(files).sortWithinPartitions(F.xxhash64("event_id")).write.mode("append").parquet(out)
+        # A micro-batch takes so many files: had it those of two parts, rows of the second would come too late.
+        for _ in range(files * (i + 1) - listed(spark, out).count()):
+            events.limit(0).write.mode("append").parquet(out)
     if late:
         kinds = events.groupBy("event_type").agg(F.max("event_id").alias("event_id"), F.first("value").alias("value"), F.first("props").alias("props"))
         last = F.timestamp_micros(F.lit((high or 0) + CLOCK_DAYS * 86_400_000_000)).cast(events.schema["ts"].dataType)
         clock = kinds.withColumn("ts", last).withColumn("user_id", F.lit(CLOCK_USER).cast("long"))
         clock.select(*[F.col(f.name).cast(f.dataType) for f in events.schema]).coalesce(1).write.mode("append").parquet(out)
-    return stream_table(spark, out, events.schema, files_per_trigger=1)
+    return stream_table(spark, out, events.schema, files_per_trigger=files)
 
 
 def _told(rows, key):

@@ -80,3 +80,16 @@ def test_ids_next_to_nulls_stay_whole(spark, tmp_path):
     stream = spark.readStream.schema(shape).parquet(f"{tmp_path}/in")
     got = drain(spark, state.incidents_stream(state.event_timeline(stream)), "ids")
     assert {r.device: r.log_id for r in state.present_incidents(got).collect() if r.device != "clock"} == {"a": ident, "b": None}
+
+
+def test_parts_of_a_stream_are_one_batch_each(spark, tmp_path, monkeypatch):
+    """Input files that hold all times, and a user of any number: nothing comes late and nobody is left out."""
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 20, raising=False)
+    path = folder(spark, tmp_path, events(400, user=lambda i: 9_999 if i % 40 == 3 else i % 7))
+    scored = stream_queries.stream_device_anomaly(spark, path)
+    assert sorted(r.id for r in scored.collect()) == list(range(400))
+    flows = stream_queries.stream_flows(spark, path).count()
+    closed = P.flows.build_flows(A.packets(spark, path), timeout=P._GAP, decode="http")
+    last = A.packets(spark, path).agg(F.max(F.unix_micros("ts"))).head()[0]
+    over = F.unix_micros("last_seen") + P._GAP * 1_000_000 - 1 <= (last // 1000 - stream_queries._DELAY_MS) * 1000
+    assert flows == closed.where(over).count() > 0
