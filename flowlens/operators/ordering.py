@@ -66,8 +66,18 @@ def running_totals(
 
 
 def numbered(df: DataFrame, order: Sequence[str], name: str = "number") -> DataFrame:
-    """Add a number from 0 without gaps, in the given order. The rows are stored, so their numbers stay when a task is redone."""
-    return running_totals(df, [], order, {name: F.lit(1)}, inclusive=False)
+    """Add a number from 0 without gaps, in the given order. The rows are stored, so their numbers stay when a task is redone.
+
+    The ranges of the order are cut by sampled rows, so the input is held until it is stored: it is worked out once.
+    """
+    path = shared_dir(df.sparkSession, "numbered")
+    df.persist()
+    try:
+        ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
+        ranged.write.parquet(path)
+    finally:
+        df.unpersist()
+    return dense_places(df.sparkSession.read.schema(ranged.schema).parquet(path), "__place", name).drop("__place")
 
 
 def dense_places(df: DataFrame, place: str, name: str = "number") -> DataFrame:

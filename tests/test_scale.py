@@ -93,3 +93,29 @@ def test_parts_of_a_stream_are_one_batch_each(spark, tmp_path, monkeypatch):
     last = A.packets(spark, path).agg(F.max(F.unix_micros("ts"))).head()[0]
     over = F.unix_micros("last_seen") + P._GAP * 1_000_000 - 1 <= (last // 1000 - stream_queries._DELAY_MS) * 1000
     assert flows == closed.where(over).count() > 0
+
+
+@pytest.fixture
+def counted(tmp_path):
+    """Rows passed on, and how many rows were worked out so far."""
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    place = str(seen)
+
+    def passing(batches):
+        for batch in batches:
+            with open(f"{place}/{uuid.uuid4().hex}", "w") as file:
+                file.write(str(len(batch)))
+            yield batch
+
+    return lambda df: df.mapInPandas(passing, df.schema), lambda: sum(int(p.read_text()) for p in seen.iterdir())
+
+
+def test_numbered_works_its_input_out_once(spark, counted):
+    through, seen = counted
+    rows = [(i * 37 % 1000, None if i % 100 == 0 else f"x{i % 10}") for i in range(1000)]
+    got = ordering.numbered(through(spark.createDataFrame(rows, "a long, b string")), ["b", "a"]).collect()
+    assert seen() == 1000
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0]))
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.number)] == want and sorted(r.number for r in got) == list(range(1000))
+    assert ordering.numbered(spark.createDataFrame([], "a long, b string"), ["b", "a"]).collect() == []
