@@ -20,6 +20,9 @@ from .registry import as_of, query
 
 W = with_views
 
+#: Records per file that is written.
+FILE_RECORDS = 250_000
+
 
 @query("read_feeds", f"WITH {P._IOC} SELECT value, entry_type FROM feed")
 def read_feeds(spark, sf):
@@ -51,11 +54,13 @@ def feed_to_watchlist(spark, sf):
 def detect_formats(spark, sf):
     """Files of six kinds made of the raw records, told apart by name or content."""
     path = shared_dir(spark, "formats")
-    raw = A.raw_records(spark, sf).drop("row_id").repartition(2)
+    records = A.raw_records(spark, sf)
+    count = max(2, records.count() // FILE_RECORDS)
+    raw = records.drop("row_id").repartition(count)
     raw.write.json(f"{path}/a")
     raw.write.csv(f"{path}/b", header=True)
-    part = F.pmod(F.xxhash64("Source IP"), F.lit(4)).alias("part")
-    lines = raw.select(part, F.lit(1).alias("kind"), F.concat_ws("\t", "`Source IP`", "`Destination IP`", "sport").alias("value"))
+    part = F.pmod(F.xxhash64("row_id"), F.lit(2 * count)).alias("part")
+    lines = records.select(part, F.lit(1).alias("kind"), F.concat_ws("\t", "`Source IP`", "`Destination IP`", "sport").alias("value"))
     heads = lines.select("part", F.lit(0).alias("kind"), F.lit("#fields\tid.orig_h\tid.resp_h\tid.orig_p").alias("value")).distinct()
     lines = lines.union(heads).repartition("part").sortWithinPartitions("part", "kind")
     lines.select("part", "value").write.partitionBy("part").text(f"{path}/c")

@@ -119,3 +119,12 @@ def test_numbered_works_its_input_out_once(spark, counted):
     want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0]))
     assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.number)] == want and sorted(r.number for r in got) == list(range(1000))
     assert ordering.numbered(spark.createDataFrame([], "a long, b string"), ["b", "a"]).collect() == []
+
+
+def test_format_files_are_bounded(spark, tmp_path, monkeypatch):
+    path = folder(spark, tmp_path, events(1000))
+    monkeypatch.setattr(io_queries, "FILE_RECORDS", 100, raising=False)
+    monkeypatch.setattr(io_queries, "shared_dir", lambda spark, name: f"{tmp_path}/{name}")
+    got = {(r.kind, r.format) for r in io_queries.detect_formats(spark, path).collect()}
+    assert got == {("a", "jsonl"), ("b", "csv"), ("c", "zeek"), ("d", "eve"), ("e", "txt_ioc"), ("f", "json")}
+    assert [listed(spark, f"{tmp_path}/formats/{kind}").count() for kind in "abd"] == [10, 10, 10]
