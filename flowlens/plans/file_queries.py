@@ -73,6 +73,8 @@ def read_json_documents(spark, sf):
     return _shown(files.read_flows(spark, path, as_of(), fmt="json"))
 
 
+#: Most records of a Zeek file.
+ZEEK_RECORDS = 250_000
 _ZEEK = {
     "ts": "ts", "id.orig_h": "Source IP", "id.orig_p": "sport", "id.resp_h": "Destination IP", "id.resp_p": "dport",
     "proto": "proto", "service": "host", "duration": "dur", "orig_bytes": "sbytes", "resp_bytes": "dbytes",
@@ -87,7 +89,11 @@ _ZEEK = {
   greatest(1, src_pkts + dest_pkts) AS packet_count, info FROM checked WHERE len(errors) = 0""",
 )
 def read_zeek(spark, sf):
-    """Connection logs whose layout changes inside the file; ``-`` stands for nothing."""
+    """Connection logs whose layout changes inside the file; ``-`` stands for nothing.
+
+    A file has a stretch of records, with one layout in its first half and another in the second. There are at most about
+    64 files until they have `ZEEK_RECORDS` records each.
+    """
     path = shared_dir(spark, "zeek")
     raw = A.raw_records(spark, sf)
 
@@ -96,10 +102,14 @@ def read_zeek(spark, sf):
         return F.concat_ws("\t", *cells)
 
     turned = dict(reversed(_ZEEK.items()))
-    other, run = F.col("row_id") % 1000 >= 500, F.floor(F.col("row_id") / 1000).alias("run")
+    n = raw.count()
+    size = min(max(1000, n // 64), ZEEK_RECORDS)
+    other, stretch = F.pmod("row_id", F.lit(size)) >= size // 2, F.floor(F.col("row_id") / size)
+    run = F.pmod(stretch, F.lit(1 + n // size)).alias("run")  # numbers may have gaps, files are bounded all the same
     lines = raw.select(run, F.col("row_id").alias("at"), F.lit(1).alias("kind"), F.when(other, line(turned)).otherwise(line(_ZEEK)).alias("value"))
-    head = F.when(other, "#fields\t" + "\t".join(turned)).otherwise("#fields\t" + "\t".join(_ZEEK))
-    heads = raw.where("row_id % 500 = 0").select(run, F.col("row_id").alias("at"), F.lit(0).alias("kind"), head.alias("value"))
+    head = F.when(F.col("other"), "#fields\t" + "\t".join(turned)).otherwise("#fields\t" + "\t".join(_ZEEK))
+    halves = raw.groupBy(run, stretch.alias("stretch"), other.alias("other")).agg(F.min("row_id").alias("at"))
+    heads = halves.select("run", "at", F.lit(0).alias("kind"), head.alias("value"))
     ordered = lines.unionByName(heads).repartition("run").sortWithinPartitions("run", "at", "kind")
     ordered.select("run", "value").write.partitionBy("run").text(path)
     flows = valid_rows(files.read_flows(spark, path, as_of(), fmt="zeek"))

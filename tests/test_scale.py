@@ -121,6 +121,15 @@ def test_numbered_works_its_input_out_once(spark, counted):
     assert ordering.numbered(spark.createDataFrame([], "a long, b string"), ["b", "a"]).collect() == []
 
 
+def test_zeek_files_are_few_and_whole(spark, tmp_path, monkeypatch):
+    """Record numbers with gaps: every record comes back, and no file is made per record."""
+    path = folder(spark, tmp_path, events(300, ident=lambda i: 1000 * i + 7))
+    monkeypatch.setattr(file_queries, "shared_dir", lambda spark, name: f"{tmp_path}/{name}")
+    got = file_queries.read_zeek(spark, path).count()
+    assert got == file_queries.valid_rows(P._normalized(spark, path)).count() > 0
+    assert listed(spark, f"{tmp_path}/zeek").count() <= 65
+
+
 def test_format_files_are_bounded(spark, tmp_path, monkeypatch):
     path = folder(spark, tmp_path, events(1000))
     monkeypatch.setattr(io_queries, "FILE_RECORDS", 100, raising=False)
