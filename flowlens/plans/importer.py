@@ -282,8 +282,10 @@ def import_capture(
         events = al.event_notes(al.flow_events(rows))
         return al.alert_rows(al.incidents(events, al.no_actions(events)), batch_id)
 
-    alerts = alerts_of(logs)
-    if mode != "analyze_only":
+    # Incidents store their rows on the way, so they are made once: of the logs that are stored, if any are.
+    if mode == "analyze_only":
+        alerts = alerts_of(logs)
+    else:
         logs, alerts = store_batch(spark, logs, alerts_of, batch_id, store)
     summary = batch_summary(logs, errors, None, batch_id)
     summary = summary.withColumn("alerts_count", alerts.agg(F.count(F.lit(1))).scalar())

@@ -121,6 +121,22 @@ def test_numbered_works_its_input_out_once(spark, counted):
     assert ordering.numbered(spark.createDataFrame([], "a long, b string"), ["b", "a"]).collect() == []
 
 
+def test_stored_captures_make_their_alerts_once(spark, tmp_path, monkeypatch):
+    calls = []
+    made = importer.al.incidents
+    monkeypatch.setattr(importer.al, "incidents", lambda *a: calls.append(1) or made(*a))
+    path = folder(spark, tmp_path, events(100))
+    none = spark.createDataFrame([], "source string, packets long, error string")
+    entries = spark.createDataFrame([(1, "10.0.0.1", "ipv4", "x")], "id long, value string, entry_type string, label string")
+    store = importer.tables.Tables().prefixed(f"once_{uuid.uuid4().hex[:8]}_")
+    for mode in ("historical", "analyze_only"):
+        done = importer.import_capture(
+            spark, "", entries, batch_id=1, mode=mode, classifier=P.FOREST, timeout=P._GAP, packets=A.packets(spark, path), errors=none, store=store
+        )
+        assert done.logs.count() > 0 and done.alerts.count() > 0
+    assert len(calls) == 2
+
+
 def test_zeek_files_are_few_and_whole(spark, tmp_path, monkeypatch):
     """Record numbers with gaps: every record comes back, and no file is made per record."""
     path = folder(spark, tmp_path, events(300, ident=lambda i: 1000 * i + 7))
